@@ -1,6 +1,7 @@
 """Session settings and the shared folder."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -39,10 +40,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def reliable_checkpoint(df):
-    """Write a DataFrame to the shared folder and cut its lineage there."""
+def write_stage(df, name: str):
+    """Write an intermediate table to the shared folder and read it back.
+
+    Later steps then start from files that survive lost executors, and Spark knows
+    the table's size when it chooses a join.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
