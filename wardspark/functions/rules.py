@@ -18,6 +18,7 @@ RULE_SCHEMA = (
     "tenant_id string, version string, rule_order int, rule_name string, "
     f"atoms array<{ATOM_TYPE}>, action string, reason string"
 )
+VERDICT_FIELDS = ("rule_name", "action", "reason")
 
 
 @dataclass(frozen=True)

@@ -128,9 +128,13 @@ def quota_policy_fold(
     last_chunk = late.agg(F.max("_chunk")).first()[0] or 0
 
     with_rules = rows.join(bundles, "_tenant", "left")
+
+    def verdict_at(total):
+        rule = R.first_match(F.col("rules"), F.col("score"), F.col("model"), total)
+        return F.struct(*[rule[name].alias(name) for name in R.VERDICT_FIELDS])
+
     verdicts = F.transform(
-        R.token_samples(F.coalesce(F.col("_bounds"), F.array().cast("array<double>"))),
-        lambda total: R.first_match(F.col("rules"), F.col("score"), F.col("model"), total),
+        R.token_samples(F.coalesce(F.col("_bounds"), F.array().cast("array<double>"))), verdict_at
     )
     prepared = with_rules.withColumn("_verdicts", verdicts).withColumn(
         "_blocked",
