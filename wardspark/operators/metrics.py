@@ -84,17 +84,14 @@ def histogram_quantile(histogram: DataFrame, by: list[str], quantiles: tuple[flo
     ).withColumn("_below", F.coalesce(F.lag("cumulative").over(order), F.lit(0)))
     rank = F.col("quantile") * F.col("total")
     ranked = bounded.withColumn("quantile", F.explode(F.array(*[F.lit(q) for q in quantiles])))
+    share = F.try_divide(rank - F.col("_below"), F.col("cumulative") - F.col("_below"))
     value = F.when(F.col("le") == float("inf"), F.col("_low")).otherwise(
-        F.col("_low") + (F.col("le") - F.col("_low")) * (rank - F.col("_below"))
-        / (F.col("cumulative") - F.col("_below"))
+        F.col("_low") + (F.col("le") - F.col("_low")) * share
     )
-    reached = ranked.filter(
-        (F.col("total") > 0) & (F.col("cumulative") >= rank)
-        & ((F.col("_below") < rank) | (F.col("_low") == 0.0))
-        & (F.col("cumulative") > F.col("_below"))
-    )
-    return reached.groupBy(*by, "quantile").agg(
-        F.min_by(value, F.col("le")).alias("value")
+    return (
+        ranked.filter((F.col("total") > 0) & (F.col("cumulative") >= rank))
+        .groupBy(*by, "quantile")
+        .agg(F.min_by(value, F.col("le")).alias("value"))
     )
 
 
@@ -187,11 +184,12 @@ def load_report(requests: DataFrame, latency: str = "seconds", ts: str = "ts") -
         F.max(F.when(F.col("quantile") == q, F.col("value"))).alias(name)
         for q, name in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))
     ])
-    # One row beside one row.
-    both = totals.join(ranks, F.lit(True))
+    # Two single rows become one by aggregation.
+    parts = totals.unionByName(ranks, allowMissingColumns=True)
+    both = parts.agg(*[F.max(name).alias(name) for name in parts.columns])
     return both.select(
         "sent", "ok", "errors",
-        F.when(F.col("_seconds") > 0, F.col("ok") / F.col("_seconds")).alias("throughput"),
+        F.when(F.col("_seconds") > 0, F.try_divide("ok", "_seconds")).alias("throughput"),
         "p50", "p95", "p99", "max_latency",
-        (F.col("errors") / F.col("sent") > 0.05).alias("too_many_errors"),
+        F.coalesce(F.try_divide("errors", "sent") > 0.05, F.lit(False)).alias("too_many_errors"),
     )
