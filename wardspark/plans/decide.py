@@ -12,6 +12,7 @@ from ..functions import fixed_values as V
 from ..functions import output as O
 from ..functions import rules as R
 from ..operators import access, admission, intercept, policy, quota, scan
+from ..session import write_stage
 from ..sources import wire
 
 
@@ -72,7 +73,8 @@ def decide(
     policy, model, output.  Requests refused later still hold their rate slot;
     refused ones charge no tokens, nor do streams.
     """
-    scanned = _scanned(requests, tenants, limits)
+    # The scan of the texts runs once; everything after it starts from narrow rows.
+    scanned = write_stage(_scanned(requests, tenants, limits), "scanned")
     limited = F.col("tenant_id").isNotNull() & ~F.col("path").isin(*V.OPEN_ROUTES)
     admitted = admission.admit(
         scanned.filter(limited), limits.requests_per_window, limits.window_seconds,
