@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import fixed_values as V
 from ..functions import output as O
 from ..functions.regex import folded
+from ..session import write_stage
 
 RUN_CHUNKS = 4096
 BLOCK_BYTES = 64 * 1024
@@ -192,8 +193,12 @@ def _block_verdicts(blocks: DataFrame, window: int) -> DataFrame:
     )
 
 
-def _verdicts(chunks: DataFrame, window: int, block_bytes: int, run_chunks: int) -> DataFrame:
-    return _block_verdicts(_blocks(chunks, window, block_bytes, run_chunks), window)
+def _staged_verdicts(
+    chunks: DataFrame, window: int, block_bytes: int, run_chunks: int
+) -> DataFrame:
+    """Block verdicts as a written table: one small row per block, scanned once."""
+    blocks = _blocks(chunks, window, block_bytes, run_chunks)
+    return write_stage(_block_verdicts(blocks, window), "block-verdicts")
 
 
 def _stream_outcome(blocks: DataFrame, window: int) -> DataFrame:
@@ -234,9 +239,8 @@ def stream_abort(
 ) -> DataFrame:
     """Per stream: aborted, at which stage and chunk, and the bytes let through."""
     window = window if window > 0 else V.WINDOW_BYTES
-    return _stream_outcome(_verdicts(chunks, window, block_bytes, run_chunks), window).drop(
-        "first_ts", "last_ts", "_abort_block"
-    )
+    blocks = _block_verdicts(_blocks(chunks, window, block_bytes, run_chunks), window)
+    return _stream_outcome(blocks, window).drop("first_ts", "last_ts", "_abort_block")
 
 
 def stream_timing(
@@ -251,7 +255,7 @@ def stream_timing(
     needed.  A stream short enough to be held whole is first forwarded by the drain.
     """
     window = window if window > 0 else V.WINDOW_BYTES
-    blocks = _verdicts(chunks, window, block_bytes, run_chunks)
+    blocks = _staged_verdicts(chunks, window, block_bytes, run_chunks)
     outcome = _stream_outcome(blocks, window)
     sent = (
         blocks.join(outcome.select("stream_id", "_abort_block"), "stream_id")
@@ -291,7 +295,7 @@ def forward_gaps(
     block meet those of its neighbours.
     """
     window = window if window > 0 else V.WINDOW_BYTES
-    blocks = _verdicts(chunks, window, block_bytes, run_chunks)
+    blocks = _staged_verdicts(chunks, window, block_bytes, run_chunks)
     outcome = _stream_outcome(blocks, window).select("stream_id", "_abort_block")
     sent = (
         blocks.join(outcome, "stream_id")

@@ -72,6 +72,10 @@ def live_daily_usage(charged: DataFrame, ts: str = "ts", watermark: str = "1 hou
     )
 
 
+def _types(df: DataFrame, *names: str) -> str:
+    return ", ".join(f"{name} {df.schema[name].dataType.simpleString()}" for name in names)
+
+
 def live_rate_limit(
     requests: DataFrame, limit: int = V.REQUESTS_PER_MINUTE, window_seconds: float = 60.0,
     watermark: str = "10 minutes",
@@ -113,7 +117,7 @@ def live_rate_limit(
     )
     return narrow.groupBy("tenant_id").applyInPandasWithState(
         step,
-        "tenant_id string, request_id bigint, ts timestamp, admitted boolean, remaining bigint",
+        f"{_types(narrow, 'tenant_id', 'request_id')}, ts timestamp, admitted boolean, remaining bigint",
         "times array<bigint>",
         "append",
         GroupStateTimeout.EventTimeTimeout,
@@ -137,12 +141,12 @@ def live_daily_quota(
         before = used + np.cumsum(tokens) - tokens
         ok = before < limit
         state.update((int(used + tokens[ok].sum()),))
-        expiry = int((day + 1) * 86_400_000 + 3_600_000)
+        expiry = (int(day) + 1) * 86_400_000 + 3_600_000
         state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({
             "tenant_id": tenant, "request_id": rows["request_id"].to_numpy(),
             "ts": rows["ts"].to_numpy(),
-            "used_before": pd.array(np.where(ok, before, 0), dtype="Int64").copy(),
+            "used_before": np.where(ok, before, 0),
             "quota_ok": ok,
         })
 
@@ -152,7 +156,7 @@ def live_daily_quota(
     )
     return narrow.groupBy("tenant_id", "day").applyInPandasWithState(
         step,
-        "tenant_id string, request_id bigint, ts timestamp, used_before bigint, quota_ok boolean",
+        f"{_types(narrow, 'tenant_id', 'request_id')}, ts timestamp, used_before bigint, quota_ok boolean",
         "used bigint",
         "append",
         GroupStateTimeout.EventTimeTimeout,
@@ -170,7 +174,7 @@ def _byte_patterns() -> list[re.Pattern]:
 
 def _unsafe_bytes(buffer: bytes, patterns: list[re.Pattern]) -> bool:
     """Both views of the buffer; the two non-ASCII letters that fold to ASCII read so."""
-    plain = buffer.replace("ſ".encode(), b"s").replace("K".encode(), b"k")
+    plain = buffer.replace("ſ".encode(), b"s").replace("K".encode(), b"k")
     bare = plain.replace(V.DATA_PREFIX.encode(), b"")
     joined = bare.replace(b"\n", b"").replace(b"\r", b"").replace(V.DONE.encode(), b"")
     spaced = bare.replace(V.DONE.encode(), b"").translate(bytes.maketrans(b"\r\n", b"  "))
@@ -235,7 +239,7 @@ def live_intercept(
     )
     return narrow.groupBy("stream_id").applyInPandasWithState(
         step,
-        "stream_id string, chunk_idx bigint, event string, payload binary",
+        f"{_types(narrow, 'stream_id')}, chunk_idx bigint, event string, payload binary",
         "held binary, done boolean",
         "append",
         GroupStateTimeout.EventTimeTimeout,
