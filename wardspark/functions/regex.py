@@ -14,11 +14,11 @@ _SPACE = r"\t\n\f\r "
 _WORD_BOUNDARY = (
     "(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 )
-# Characters whose Java lower case and RE2 fold class disagree: dotted and
-# dotless i fold to nothing else in RE2; long s and the old Cyrillic letter
-# forms fold to plain letters that Java's lower() does not reach.
-_FOLD_FROM = "İıſᲀᲁᲂᲃᲄᲅᲆᲇ"
-_FOLD_TO = "sвдосттъѣ"
+# Characters whose Java lower case and RE2 fold class disagree: capital dotted i
+# folds to nothing in RE2, so it reads as dotless i, which no pattern holds; long s
+# and the old Cyrillic letter forms fold to letters that lower() does not reach.
+_FOLD_FROM = "İſᲀᲁᲂᲃᲄᲅᲆᲇ"
+_FOLD_TO = "ısвдосттъѣ"
 
 
 def is_folding(pattern: str) -> bool:
@@ -52,7 +52,53 @@ def to_java(pattern: str) -> str:
                 in_class = False
             out.append(body[i])
             i += 1
-    return "(?d)" + "".join(out)
+    starts = "".join(f"\\x{{{ord(c):x}}}" for c in sorted(first_chars(body)))
+    # Most positions fail on this one class and never reach the alternatives.
+    return f"(?d)(?=[{starts}])(?:{''.join(out)})" if starts else "(?d)" + "".join(out)
+
+
+def _alternatives(body: str) -> list[str]:
+    """Parts between the bars that lie outside groups and classes."""
+    parts, depth, in_class, start, i = [], 0, False, 0, 0
+    while i < len(body):
+        c = body[i]
+        if c == "\\":
+            i += 1
+        elif in_class:
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and depth == 0:
+            parts.append(body[start:i])
+            start = i + 1
+        i += 1
+    return [*parts, body[start:]]
+
+
+def first_chars(body: str) -> set[str]:
+    """Characters a match can start with; empty if that is not a short list."""
+    found: set[str] = set()
+    for part in _alternatives(body):
+        part = part.removeprefix("\\b")
+        if part.startswith("(") and not part.startswith("(?"):
+            depth, end = 0, 0
+            for end, c in enumerate(part):
+                depth += {"(": 1, ")": -1}.get(c, 0)
+                if depth == 0:
+                    break
+            inner = first_chars(part[1:end])
+            if not inner or part[end + 1:end + 2] in ("?", "*"):
+                return set()
+            found |= inner
+        elif part[:1] == "\\" and part[1:2] in set("[]<>/|"):
+            found.add(part[1])
+        elif part[:1] and part[0] not in "\\[.(" and part[1:2] not in ("?", "*"):
+            found.add(part[0])
+        else:
+            return set()
+    return found
 
 
 def folded(text: Column) -> Column:

@@ -10,7 +10,7 @@ _RARE_WS = char_class("".join(c for c in V.UNICODE_SPACE if c not in V.ASCII_SPA
 _ASCII_WS = char_class(V.ASCII_SPACE)
 _DELIM = r"[-._/]"
 # One letter standing alone between blanks, and the blank between two of them.
-_LONE_LETTER = rf"(?<![^ \n]){_DELIM}*(\p{{L}}){_DELIM}*(?![^ \n])"
+_LONE_LETTER = rf"([ \n]){_DELIM}*(\p{{L}}){_DELIM}*(?=[ \n]|\z)"
 _LONE_GAP = r" (?<=(?<![^ \n])\p{L} )(?=\p{L}(?![^ \n]))"
 # The delimiter comes first, so that most positions fail on one comparison.
 _INNER_DELIM = rf"{_DELIM}(?<=[\p{{L}}\p{{Nd}}].)(?=[\p{{L}}\p{{Nd}}])"
@@ -63,7 +63,9 @@ def collapse_spaced(text: Column) -> Column:
 
 
 def _join_lone_letters(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, _LONE_LETTER, "$1"), _LONE_GAP, "")
+    # Every word then follows a blank, which is the quickest thing to look for.
+    led = F.regexp_replace(F.concat(F.lit(" "), text), _LONE_LETTER, "$1$2")
+    return F.substring(F.regexp_replace(led, _LONE_GAP, ""), 2, 2**31 - 1)
 
 
 def _collapse_chunk(chunk: Column) -> Column:

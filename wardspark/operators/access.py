@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as V
 from ..functions.regex import char_class
+from ..session import broadcast_if_small
 
 _PREFIX = "Bearer "
 _SPACE = char_class(V.UNICODE_SPACE)
@@ -19,14 +20,14 @@ def api_key(header: Column) -> Column:
 def authenticate(requests: DataFrame, tenants: DataFrame) -> DataFrame:
     """Add tenant_id, tenant_name and auth_status (401 or null).
 
-    The tenant table is joined without a hint: Spark broadcasts it while its size
-    is below the threshold, and splits a hot key's partition beyond it.
+    A tenant table proven small is broadcast, so the requests stay where they are;
+    a larger one is joined by shuffle, where Spark splits a hot key's partition.
     """
     keyed = requests.withColumn("_key", api_key(F.col("auth_header")))
     known = tenants.select(F.col("api_key").alias("_key"), "tenant_id", "tenant_name")
     open_route = F.col("path").isin(*V.OPEN_ROUTES)
     return (
-        keyed.join(known, "_key", "left")
+        keyed.join(broadcast_if_small(known), "_key", "left")
         .withColumn("auth_status", F.when(F.col("tenant_id").isNull() & ~open_route, 401))
         .drop("_key")
     )
@@ -38,4 +39,4 @@ def unauthorized(requests: DataFrame, tenants: DataFrame) -> DataFrame:
         "_key", api_key(F.col("auth_header"))
     )
     known = tenants.select(F.col("api_key").alias("_key"))
-    return keyed.join(known, "_key", "left_anti").drop("_key")
+    return keyed.join(broadcast_if_small(known), "_key", "left_anti").drop("_key")

@@ -8,10 +8,11 @@ counts per tenant and short time slot tell where the limit can bind at all.
 * Where it cannot, every request is admitted and the remaining allowance is a
   window over at most `2 * limit` rows.
 * Where it can, neighbouring slots form clusters that no other cluster influences.
-  A cluster is folded in time order, cut into chunks of `chunk_rows` rows; the
-  admitted requests of the last window carry over from chunk to chunk.
+  Clusters are folded in time order, packed to about `chunk_rows` rows.  A longer
+  cluster is cut into chunks of that size, folded one after the other; the admitted
+  requests of the last window carry over from chunk to chunk.
 
-No task ever holds more than one chunk, however many rows a tenant has.
+No task ever holds more than two chunks, however many rows a tenant has.
 """
 
 import numpy as np
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions import fixed_values as V
+from ..functions.slots import micros, slot
 from ..session import write_stage
 
 SLOTS_PER_WINDOW = 60
@@ -43,26 +45,27 @@ def slot_labels(
     )
     gap = F.col("_slot") - F.lag("_slot").over(by_slot)
     fresh = F.coalesce((gap > slots_per_window) | ~F.lag("_fold").over(by_slot), F.lit(True))
-    headed = marked.withColumn("_head", F.col("_fold") & fresh)
-    clustered = headed.withColumn(
-        "_cluster",
-        F.sum(F.col("_head").cast("long")).over(
-            by_slot.rowsBetween(Window.unboundedPreceding, 0)
-        ),
-    ).withColumn("_leads", F.max("_head").over(ahead))
-    before = (
-        Window.partitionBy("_tenant", "_cluster").orderBy("_slot")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    until = by_slot.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = by_slot.rowsBetween(Window.unboundedPreceding, -1)
+    counted = marked.withColumn("_head", F.col("_fold") & fresh).withColumn(
+        "_before", F.coalesce(F.sum(F.when(F.col("_fold"), F.col("_n"))).over(earlier), F.lit(0))
     )
-    return clustered.select(
+    first = F.when(F.col("_head"), F.col("_before"))
+    packed = counted.withColumn("_first", F.max(first).over(until)).withColumn(
+        "_pack", slot(F.col("_first"), chunk_rows)
+    ).withColumn(
+        # The admitted requests just before a cluster are its starting state.
+        "_leads_to", slot(F.min(first).over(ahead), chunk_rows)
+    )
+    folded_there = F.col("_fold") & (F.col("_pack") == F.col("_leads_to"))
+    return packed.select(
         "_tenant",
         "_slot",
         "_contested",
         "_fold",
-        "_cluster",
-        F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / chunk_rows).alias("_chunk"),
-        # The admitted requests just before a cluster are its starting state.
-        F.when(F.coalesce(F.col("_leads"), F.lit(False)), F.col("_cluster") + 1).alias("_leads_to"),
+        "_pack",
+        slot(F.col("_before") - F.col("_first"), chunk_rows).alias("_chunk"),
+        F.when(~F.coalesce(folded_there, F.lit(False)), F.col("_leads_to")).alias("_leads_to"),
     )
 
 
@@ -83,10 +86,11 @@ def admit(
     window_us = int(window_seconds * 1_000_000)
     slot_us = max(1, -(-window_us // slots_per_window))
     slots = -(-window_us // slot_us)
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = requests.withColumn("_us", us).withColumn(
-        "_slot", F.floor(F.col("_us") / F.lit(slot_us))
-    ).withColumn("_tenant", F.col(tenant))
+    rows = (
+        requests.withColumn("_us", micros(F.col(ts)))
+        .withColumn("_slot", slot(F.col("_us"), slot_us))
+        .withColumn("_tenant", F.col(tenant))
+    )
 
     labels = slot_labels(rows.select("_tenant", "_slot"), limit, slots, chunk_rows)
     hot = write_stage(
@@ -117,7 +121,7 @@ def _uncontested(rows: DataFrame, limit: int, window_us: int, order_id: str) ->
     Rows are grouped by window-long buckets and also copied to the next bucket,
     which needs them as its past.
     """
-    bucket = F.floor(F.col("_us") / F.lit(window_us))
+    bucket = slot(F.col("_us"), window_us)
     spread = rows.withColumn("_home", bucket).withColumn(
         "_bucket", F.explode(F.array(bucket, bucket + 1))
     )
@@ -138,10 +142,10 @@ def _fold_chunks(
     rows: DataFrame, hot: DataFrame, last_chunk: int, limit: int, window_us: int,
     slot_us: int, order_id: str,
 ) -> list[DataFrame]:
-    """Fold every cluster chunk by chunk; all clusters of one chunk run in parallel."""
-    fold_slots = hot.filter("_fold").select("_tenant", "_slot", "_cluster", "_chunk")
+    """Fold every pack chunk by chunk; all packs of one round run in parallel."""
+    fold_slots = hot.filter("_fold").select("_tenant", "_slot", "_pack", "_chunk")
     lead_slots = hot.filter(F.col("_leads_to").isNotNull()).select(
-        "_tenant", "_slot", F.col("_leads_to").alias("_cluster")
+        "_tenant", "_slot", F.col("_leads_to").alias("_pack")
     )
     past = (
         rows.join(lead_slots, ["_tenant", "_slot"]).withColumn("_past", F.lit(True))
@@ -158,7 +162,7 @@ def _fold_chunks(
         )
         out = (
             current.unionByName(past.select(*current.columns))
-            .groupBy("_tenant", "_cluster")
+            .groupBy("_tenant", "_pack")
             .applyInArrow(_folder(limit, window_us, order_id), schema)
         )
         if chunk == last_chunk:
@@ -168,13 +172,13 @@ def _fold_chunks(
         parts.append(out)
         starts = (
             fold_slots.filter(F.col("_chunk") == chunk + 1)
-            .groupBy("_tenant", "_cluster")
+            .groupBy("_tenant", "_pack")
             .agg((F.min("_slot") * slot_us - window_us).alias("_from"))
         )
         taken = out.filter("admitted").drop("admitted", "remaining").withColumn("_past", F.lit(True))
         past = (
             taken.unionByName(past.select(*taken.columns))
-            .join(starts, ["_tenant", "_cluster"])
+            .join(starts, ["_tenant", "_pack"])
             .filter(F.col("_us") > F.col("_from"))
             .drop("_from")
         )
@@ -188,23 +192,29 @@ def _folder(limit: int, window_us: int, order_id: str):
         table = table.sort_by([("_us", "ascending"), (order_id, "ascending")])
         is_past = table["_past"].to_numpy(zero_copy_only=False)
         us = table["_us"].to_numpy()
-        now = us[~is_past]
-        taken = list(us[is_past])
-        admitted = np.zeros(len(now), dtype=bool)
-        remaining = np.zeros(len(now), dtype=np.int64)
+        n = len(us)
+        past_at = np.append(np.flatnonzero(is_past), n)
+        taken: list[int] = []
+        admitted = np.zeros(n, dtype=bool)
+        remaining = np.zeros(n, dtype=np.int64)
         live, i = 0, 0  # taken[live:] lies in the window of the latest request
-        while i < len(now) and limit > 0:
-            if len(taken) >= limit:
-                # The next request with room is the first once the limit-th last expires.
-                i = max(i, int(np.searchsorted(now, taken[-limit] + window_us, "left")))
-                if i >= len(now):
-                    break
-            taken.append(now[i])
-            while taken[live] <= now[i] - window_us:
+        while i < n:
+            if not is_past[i]:
+                room_from = us[i] if len(taken) < limit else taken[-limit] + window_us
+                if limit <= 0 or room_from > us[i]:
+                    # Everything up to the next row with room, or known row, is refused.
+                    next_past = past_at[np.searchsorted(past_at, i)]
+                    free = np.searchsorted(us, room_from, "left") if limit > 0 else n
+                    i = int(min(free, next_past))
+                    continue
+            taken.append(us[i])
+            while taken[live] <= us[i] - window_us:
                 live += 1
             admitted[i] = True
             remaining[i] = limit - (len(taken) - live)
             i += 1
+        decided = ~is_past
+        admitted, remaining = admitted[decided], remaining[decided]
         kept = table.filter(pa.array(~is_past)).drop_columns(["_past"])
         return kept.append_column("admitted", pa.array(admitted)).append_column(
             "remaining", pa.array(remaining)

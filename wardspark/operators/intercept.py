@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import fixed_values as V
 from ..functions import output as O
 from ..functions.regex import folded
+from ..functions.slots import slot
 from ..session import write_stage
 
 RUN_CHUNKS = 4096
@@ -25,7 +26,7 @@ BLOCK_BYTES = 64 * 1024
 def chunk_offsets(chunks: DataFrame, run_chunks: int = RUN_CHUNKS) -> DataFrame:
     """Add start, end (byte offsets of each chunk) and total (bytes of its stream)."""
     sized = chunks.withColumn("_n", F.octet_length("raw").cast("long")).withColumn(
-        "_run", F.floor(F.col("chunk_idx") / run_chunks)
+        "_run", slot(F.col("chunk_idx"), run_chunks)
     )
     sums = sized.groupBy("stream_id", "_run").agg(F.sum("_n").alias("_sum"))
     stream = Window.partitionBy("stream_id")
@@ -48,13 +49,13 @@ def chunk_offsets(chunks: DataFrame, run_chunks: int = RUN_CHUNKS) -> DataFrame:
 
 def _blocks(chunks: DataFrame, window: int, block_bytes: int, run_chunks: int) -> DataFrame:
     """One row per block: its bytes, their first offset, and its chunks in order."""
-    home = F.floor(F.col("start") / block_bytes)
+    home = slot(F.col("start"), block_bytes)
     # A chunk also serves as the past of blocks in which a later chunk may start
     # within `window` bytes after it; there only its last bytes count.
     targets = F.array_distinct(F.array(
         home,
-        F.floor(F.col("end") / block_bytes),
-        F.floor((F.col("end") + window - 1) / block_bytes),
+        slot(F.col("end"), block_bytes),
+        slot(F.col("end") + window - 1, block_bytes),
     ))
     raw = F.col("raw").cast("binary")
     placed = (

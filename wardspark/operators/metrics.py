@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as V
+from ..functions.slots import micros, slot
 
 REFUSED_EARLY = (401, 429)
 
@@ -105,8 +106,7 @@ def rate_per_second(
     """
     step_us = step_seconds * 1_000_000
     steps = window_seconds // step_seconds
-    slot = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(step_us))
-    counts = events.groupBy(*by, slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = events.groupBy(*by, slot(micros(F.col(ts)), step_us).alias("_slot")).agg(F.count(F.lit(1)).alias("_n"))
     spread = counts.withColumn("_end", F.explode(F.sequence(F.col("_slot") + 1, F.col("_slot") + steps)))
     return spread.groupBy(*by, "_end").agg(
         (F.sum("_n") / F.lit(float(window_seconds))).alias("per_second")
@@ -172,7 +172,7 @@ def _log_slot(value: Column) -> Column:
 def load_report(requests: DataFrame, latency: str = "seconds", ts: str = "ts") -> DataFrame:
     """One row: sent, ok, errors, throughput, exact percentiles, maximum, error flag."""
     ok = F.col("status").between(200, 299)
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    us = micros(F.col(ts))
     totals = requests.agg(
         F.count(F.lit(1)).alias("sent"),
         F.count_if(ok).alias("ok"),

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as V
 from ..functions import rules as R
+from ..session import broadcast_if_small
 
 
 def evaluate_policy(
@@ -36,7 +37,7 @@ def evaluate_tenant_policies(
     The join brings each request its tenant's rules as one array, so there is no row
     per (request, rule) and nothing to aggregate afterwards.
     """
-    joined = requests.join(R.bundles(rules), "tenant_id", "left")
+    joined = requests.join(broadcast_if_small(R.bundles(rules)), "tenant_id", "left")
     hit = R.first_match(F.col("rules"), F.col(score), F.col(model), F.col(tokens))
     return _with_verdict(joined.withColumn("_hit", hit).drop("rules")).select(
         *requests.columns, "matched", *R.VERDICT_FIELDS
@@ -54,7 +55,7 @@ def _with_verdict(df: DataFrame) -> DataFrame:
 
 def rule_hits(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """Per rule: how often it held, was the first to hold, and was shadowed."""
-    joined = requests.join(R.bundles(rules), "tenant_id")
+    joined = requests.join(broadcast_if_small(R.bundles(rules)), "tenant_id")
     held = F.filter(
         F.col("rules"),
         lambda rule: R.rule_holds(rule, F.col("score"), F.col("model"), F.col("daily_tokens")),

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import fixed_values as V
 from ..functions import rules as R
-from ..session import write_stage
+from ..functions.slots import micros, slot
+from ..session import broadcast_if_small, write_stage
 
 SLOT_SECONDS = 1
 CHUNK_ROWS = 1_000_000
@@ -53,11 +54,10 @@ def daily_quota(
     which keeps a busy tenant's day from being one task.  `used_before` is null on
     refused rows.
     """
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
     rows = (
-        requests.withColumn("_us", us)
+        requests.withColumn("_us", micros(F.col(ts)))
         .withColumn("_day", F.to_date(F.col(ts).cast("timestamp")))
-        .withColumn("_slot", F.floor(F.col("_us") / F.lit(slot_seconds * 1_000_000)))
+        .withColumn("_slot", slot(F.col("_us"), slot_seconds * 1_000_000))
         .withColumn("_tenant", F.col(tenant))
     )
     sums = rows.groupBy("_tenant", "_day", "_slot").agg(F.sum("tokens").alias("_sum"))
@@ -107,11 +107,10 @@ def quota_policy_fold(
     bundles = R.bundles(rules).select(
         F.col("tenant_id").alias("_tenant"), "rules", R.token_bounds(F.col("rules")).alias("_bounds")
     )
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
     rows = (
-        requests.withColumn("_us", us)
+        requests.withColumn("_us", micros(F.col(ts)))
         .withColumn("_day", F.to_date(F.col(ts).cast("timestamp")))
-        .withColumn("_slot", F.floor(F.col("_us") / F.lit(slot_seconds * 1_000_000)))
+        .withColumn("_slot", slot(F.col("_us"), slot_seconds * 1_000_000))
         .withColumn("_tenant", F.col(tenant))
     )
     before = (
@@ -121,13 +120,13 @@ def quota_policy_fold(
     counts = rows.groupBy("_tenant", "_day", "_slot").agg(F.count(F.lit(1)).alias("_n"))
     chunks = counts.select(
         "_tenant", "_day", "_slot",
-        F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / chunk_rows).alias("_chunk"),
+        slot(F.coalesce(F.sum("_n").over(before), F.lit(0)), chunk_rows).alias("_chunk"),
     )
     # Only slots beyond a day's first chunk need to be looked up.
     late = write_stage(chunks.filter(F.col("_chunk") > 0), "quota-slots")
     last_chunk = late.agg(F.max("_chunk")).first()[0] or 0
 
-    with_rules = rows.join(bundles, "_tenant", "left")
+    with_rules = rows.join(broadcast_if_small(bundles), "_tenant", "left")
 
     def verdict_at(total):
         rule = R.first_match(F.col("rules"), F.col("score"), F.col("model"), total)

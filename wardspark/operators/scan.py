@@ -37,8 +37,9 @@ def with_signals(df: DataFrame, text_col: str, keep: list[str] | None = None) ->
         contains_any(F.col("_lower"), V.BOUNDARY_LITERALS).alias("_boundary"),
     )
     any_suspect = F.col("_keyword") | F.col("_structural") | F.col("_repetition")
+    # Folding case first gives the same forms as folding each of them.
     forms = suspects.withColumn(
-        "_forms", F.when(any_suspect, F.transform(T.prompt_variants(F.col("_text")), folded))
+        "_forms", F.when(any_suspect, T.prompt_variants(F.col("_lower")))
     )
     raw, variants, none = F.col("_text"), F.col("_forms"), F.lit(0.0)
     return forms.select(
@@ -105,11 +106,17 @@ def verdict_summary(scanned: DataFrame, by: list[str]) -> DataFrame:
             F.count_if(F.col("verdict") == name).alias(f"n_{name}")
             for name in ("pass", "tag", "block")
         ],
-        F.avg("score").alias("mean_score"),
+        mean_score().alias("mean_score"),
         F.max("score").alias("max_score"),
     )
 
 
+def mean_score() -> Column:
+    """Mean of two-decimal scores by whole hundredths, so row order cannot change it."""
+    hundredths = F.sum(F.round(F.col("score") * 100).cast("long"))
+    return hundredths / (F.count("score") * F.lit(100.0))
+
+
 def pattern_counts(flagged: DataFrame, by: list[str]) -> DataFrame:
     """Texts per group that set each output flag, in one pass."""
     return flagged.groupBy(*by).agg(

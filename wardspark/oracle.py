@@ -184,7 +184,7 @@ GATED = (
     f"gate AS (SELECT *, {gate_sql()} AS gate_error FROM requests), "
     "gated AS (SELECT *, CASE gate_error WHEN 'not_found' THEN 404 WHEN 'method_not_allowed' THEN 405 "
     "WHEN 'payload_too_large' THEN 413 WHEN 'invalid_request_body' THEN 400 WHEN 'prompt_required' THEN 400 END "
-    "AS gate_status, CASE WHEN gate_error IS NULL AND json_valid(body) THEN json_extract_string(body, '$.prompt') END "
+    "AS gate_status, CASE WHEN gate_error IS NULL AND path NOT IN ('/healthz', '/metrics') THEN json_extract_string(body, '$.prompt') END "
     "AS prompt FROM gate)"
 )
 
@@ -424,14 +424,14 @@ def oracle_sql() -> dict[str, str]:
     sql["verdict_summary"] = _with(DOCS, *scored_docs) + (
         "SELECT lang, source, count(*) AS n, count(*) FILTER (verdict = 'pass') AS n_pass, "
         "count(*) FILTER (verdict = 'tag') AS n_tag, count(*) FILTER (verdict = 'block') AS n_block, "
-        "round(avg(score), 6) AS mean_score, max(score) AS max_score FROM scored GROUP BY lang, source"
+        "sum(round(score * 100)::BIGINT)::BIGINT / (count(score) * 100.0::DOUBLE) AS mean_score, max(score) AS max_score FROM scored GROUP BY lang, source"
     )
     sql["corpus_scan"] = _with(
         DOCS, *scored_docs, f"risky AS (SELECT doc_id, {unsafe_sql('text')} AS unsafe FROM docs)"
     ) + (
         "SELECT lang, source, count(*) AS n, count(*) FILTER (verdict = 'block') AS n_block, "
         "count(*) FILTER (verdict = 'tag') AS n_tag, count(*) FILTER (unsafe) AS n_unsafe, "
-        "round(avg(score), 6) AS mean_score, max(score) AS max_score FROM scored JOIN risky USING (doc_id) "
+        "sum(round(score * 100)::BIGINT)::BIGINT / (count(score) * 100.0::DOUBLE) AS mean_score, max(score) AS max_score FROM scored JOIN risky USING (doc_id) "
         "GROUP BY lang, source"
     )
 

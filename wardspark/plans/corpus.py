@@ -13,6 +13,6 @@ def corpus_report(documents: DataFrame, text_col: str, by: list[str]) -> DataFra
         F.count_if(F.col("verdict") == "block").alias("n_block"),
         F.count_if(F.col("verdict") == "tag").alias("n_tag"),
         F.count_if("unsafe").alias("n_unsafe"),
-        F.round(F.avg("score"), 6).alias("mean_score"),
+        scan.mean_score().alias("mean_score"),
         F.max("score").alias("max_score"),
     )

@@ -80,6 +80,7 @@ def decide(
         scanned.filter(limited), limits.requests_per_window, limits.window_seconds,
         chunk_rows=limits.chunk_rows,
     ).withColumn("tokens", F.when(F.col("admitted"), F.col("tokens")).otherwise(F.lit(0).cast("long")))
+    admitted = write_stage(admitted, "admitted")
 
     if reads_tokens(rules):
         judged = quota.quota_policy_fold(

@@ -53,9 +53,7 @@ def input_scan(spark, folder):
 
 def verdict_summary(spark, folder):
     scanned = scan.input_scan(W.documents(spark, folder), "text", ["lang", "source"])
-    return scan.verdict_summary(scanned, ["lang", "source"]).withColumn(
-        "mean_score", F.round("mean_score", 6)
-    )
+    return scan.verdict_summary(scanned, ["lang", "source"])
 
 
 def request_gate(spark, folder):

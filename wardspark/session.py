@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 
 
 def build_session(master: str | None = None, app: str = "wardspark", **conf) -> SparkSession:
@@ -40,6 +40,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def broadcast_if_small(df, max_rows: int = 100_000):
+    """Broadcast hint for a side proven to have at most `max_rows` rows.
+
+    Beyond that the join is left to Spark, which shuffles and splits hot keys.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def write_stage(df, name: str):
     """Write an intermediate table to the shared folder and read it back.
 

@@ -11,6 +11,12 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input of few files; larger inputs are left as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def read_json_table(spark: SparkSession, path: str, schema) -> DataFrame:
     """JSON lines with a declared schema: no inference pass."""
     return spark.read.schema(schema).json(path)

@@ -66,7 +66,10 @@ def gate_requests(
         .withColumn("gate_status", status)
         .withColumn(
             "prompt",
-            F.when(F.col("gate_error").isNull(), _variant_string(F.col("_json"), "$.prompt")),
+            F.when(
+                F.col("gate_error").isNull() & ~F.col("path").isin(*V.OPEN_ROUTES),
+                _variant_string(F.col("_json"), "$.prompt"),
+            ),
         )
         .select(*keep, "gate_status", "gate_error", "prompt")
     )

@@ -8,7 +8,7 @@ checks in DuckDB see the same rows.
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions.rules import RULE_SCHEMA, Atom, Rule
-from .sources.tables import read_table
+from .sources.tables import read_table, spread
 
 # FIXED VALUES - prompts put before a text; blank ones leave it as it is.
 ATTACKS = [
@@ -136,12 +136,17 @@ def request_columns(duck: bool) -> dict[str, str]:
     }
 
 
+def _texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of texts: scanning them costs far more than moving a small file."""
+    return spread(read_table(spark, folder, name))
+
+
 def _select(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.selectExpr(*[f"{sql} AS {name}" for name, sql in columns.items()])
 
 
 def requests(spark: SparkSession, folder: str) -> DataFrame:
-    return _select(read_table(spark, folder, "events"), request_columns(False))
+    return _select(_texts(spark, folder, "events"), request_columns(False))
 
 
 def tenants(spark: SparkSession, folder: str) -> DataFrame:
@@ -221,7 +226,7 @@ def document_columns(duck: bool) -> dict[str, str]:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return _select(read_table(spark, folder, "documents"), document_columns(False))
+    return _select(_texts(spark, folder, "documents"), document_columns(False))
 
 
 def prompt_columns(duck: bool) -> dict[str, str]:
@@ -234,7 +239,7 @@ def prompt_columns(duck: bool) -> dict[str, str]:
 
 def prompts(spark: SparkSession, folder: str) -> DataFrame:
     """Every turn of a conversation, each with a phrase before it."""
-    return _select(read_table(spark, folder, "conversations"), prompt_columns(False))
+    return _select(_texts(spark, folder, "conversations"), prompt_columns(False))
 
 
 def answer_columns(duck: bool) -> dict[str, str]:
@@ -249,7 +254,7 @@ def answer_columns(duck: bool) -> dict[str, str]:
 
 
 def answers(spark: SparkSession, folder: str) -> DataFrame:
-    return _select(read_table(spark, folder, "conversations"), answer_columns(False))
+    return _select(_texts(spark, folder, "conversations"), answer_columns(False))
 
 
 def raw_stream_columns() -> dict[str, str]:
