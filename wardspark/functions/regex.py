@@ -52,9 +52,33 @@ def to_java(pattern: str) -> str:
                 in_class = False
             out.append(body[i])
             i += 1
-    starts = "".join(f"\\x{{{ord(c):x}}}" for c in sorted(first_chars(body)))
-    # Most positions fail on this one class and never reach the alternatives.
-    return f"(?d)(?=[{starts}])(?:{''.join(out)})" if starts else "(?d)" + "".join(out)
+    # Most positions fail on the lead and never reach the alternatives.
+    return f"(?d){_lead(body)}(?:{''.join(out)})"
+
+
+def _lead(body: str) -> str:
+    """A cheap test that holds wherever a match starts; empty if none is known.
+
+    Two character classes for the first two characters of ASCII alternatives, the
+    word boundary if all of them ask for it; other characters may start the rest.
+    """
+    starts = leads(body)
+    if starts is None:
+        return ""
+    ascii_starts = [s for s in starts if s[0].isascii()]
+    tests = []
+    if ascii_starts:
+        second = "".join(s[1] for s in ascii_starts if len(s) == 2)
+        pair = char_class("".join(s[0] for s in ascii_starts))
+        if all(len(s) == 2 for s in ascii_starts):
+            pair += char_class(second)
+        bounded = all(starts[s] and s[0].isalnum() for s in ascii_starts)
+        tests.append(f"(?={pair})" + ("(?<![0-9A-Za-z_])" if bounded else ""))
+    others = [s for s in starts if not s[0].isascii()]
+    if others:
+        latin = any(ord(s[0]) < 256 for s in others)
+        tests.append(r"(?=[^\x00-\x7F])" if latin else r"(?=[^\x00-\xFF])")
+    return f"(?:{'|'.join(tests)})"
 
 
 def _alternatives(body: str) -> list[str]:
@@ -77,27 +101,40 @@ def _alternatives(body: str) -> list[str]:
     return [*parts, body[start:]]
 
 
-def first_chars(body: str) -> set[str]:
-    """Characters a match can start with; empty if that is not a short list."""
-    found: set[str] = set()
+_SPECIAL = set("\\[](){}.*+?|^$")
+
+
+def leads(body: str) -> dict[str, bool] | None:
+    """First one or two characters of every alternative, None if not literal.
+
+    The value tells whether all alternatives with that start ask for a boundary.
+    """
+    found: dict[str, bool] = {}
     for part in _alternatives(body):
-        part = part.removeprefix("\\b")
+        bounded = part.startswith(r"\b")
+        part = part.removeprefix(r"\b")
         if part.startswith("(") and not part.startswith("(?"):
             depth, end = 0, 0
             for end, c in enumerate(part):
                 depth += {"(": 1, ")": -1}.get(c, 0)
                 if depth == 0:
                     break
-            inner = first_chars(part[1:end])
-            if not inner or part[end + 1:end + 2] in ("?", "*"):
-                return set()
-            found |= inner
-        elif part[:1] == "\\" and part[1:2] in set("[]<>/|"):
-            found.add(part[1])
-        elif part[:1] and part[0] not in "\\[.(" and part[1:2] not in ("?", "*"):
-            found.add(part[0])
+            inner = leads(part[1:end])
+            if inner is None or part[end + 1:end + 2] in ("?", "*"):
+                return None
         else:
-            return set()
+            lead, rest = "", part
+            while len(lead) < 2 and rest:
+                escaped = rest[0] == "\\" and not rest[1:2].isalnum()
+                char, after = (rest[1], rest[2:]) if escaped else (rest[0], rest[1:])
+                if (not escaped and char in _SPECIAL) or after[:1] in ("?", "*"):
+                    break
+                lead, rest = lead + char, after
+            if not lead:
+                return None
+            inner = {lead: False}
+        for lead, inside in inner.items():
+            found[lead] = found.get(lead, True) and (bounded or inside)
     return found
 
 
@@ -107,14 +144,18 @@ def folded(text: Column) -> Column:
 
 
 def char_class(chars: str) -> str:
-    """Bracket class of the given characters, neighbours written as ranges."""
+    """Bracket class of the given characters.
+
+    Java keeps single Latin-1 characters in one bit set; others go fastest as ranges.
+    """
+    latin = "".join(f"\\x{{{c:x}}}" for c in sorted(set(map(ord, chars))) if c < 256)
     spans: list[list[int]] = []
-    for code in sorted(map(ord, chars)):
+    for code in sorted({ord(c) for c in chars if ord(c) > 255}):
         if spans and code == spans[-1][1] + 1:
             spans[-1][1] = code
         else:
             spans.append([code, code])
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]"
+    return f"[{latin}" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]"
 
 
 def count(text: Column, pattern: str) -> Column:

@@ -36,14 +36,18 @@ def structural_signal(forms: Column) -> Column:
 def repetition_signal(text: Column, forms: Column) -> Column:
     """Density of override verbs, with a floor for texts spelled out in letters."""
 
-    def density(v):
-        words = T.word_count(v)
-        hits = count(v, V.OVERRIDE_VERBS).cast("double")
-        return F.when(words == 0, F.lit(0.0)).otherwise(
-            F.least(hits / words / F.lit(V.REPETITION_FULL_DENSITY), F.lit(1.0))
-        )
-
-    best = _max_over(forms, density)
+    def density(form, hits):
+        # Words are counted only where a verb was found.
+        per_word = hits / T.word_count(form) / F.lit(V.REPETITION_FULL_DENSITY)
+        return F.when(hits == 0, F.lit(0.0)).otherwise(F.least(per_word, F.lit(1.0)))
+
+    distinct = F.array_distinct(forms)
+    hits = F.transform(distinct, lambda v: count(v, V.OVERRIDE_VERBS).cast("double"))
+    best = F.coalesce(F.array_max(F.zip_with(distinct, hits, density)), F.lit(0.0))
+    return T.bind(best, lambda b: _spelled_floor(text, b))
+
+
+def _spelled_floor(text: Column, best: Column) -> Column:
     words = T.word_count(text)
     spelled = (
         (best > 0)

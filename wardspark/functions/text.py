@@ -47,13 +47,22 @@ def collapse_spaced(text: Column) -> Column:
     Runs of two or more ASCII blanks cut the text into chunks; lone letters join
     only within a chunk.  Chunks without a word stay as they are.
     """
-    apart = F.regexp_replace(text, _INNER_DELIM, " ")
+    return bind(F.regexp_replace(text, _INNER_DELIM, " "), _collapse_apart)
+
+
+def bind(value: Column, use) -> Column:
+    """use(value) with the value computed once; a one-element array holds it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _collapse_apart(apart: Column) -> Column:
     # Only ASCII blanks: one pass over the whole string.  Blanks become spaces,
     # a newline marks the cut between chunks.
     spaced = F.translate(apart, V.ASCII_SPACE, " " * len(V.ASCII_SPACE))
-    cut = F.regexp_replace(spaced, " {2,}", "\n")
-    fast = F.when(cut == " ", apart).otherwise(
-        F.translate(_join_lone_letters(F.trim(cut)), "\n", " ")
+    cut = F.trim(F.regexp_replace(spaced, " {2,}", "\n"))
+    # A lone blank trims to nothing, yet stays as it is.
+    fast = F.when(F.octet_length(apart) == 1, apart).otherwise(
+        F.translate(_join_lone_letters(cut), "\n", " ")
     )
     # Other white space: chunk by chunk, as such a chunk may hold no word at all.
     slow = F.array_join(
@@ -75,12 +84,9 @@ def _collapse_chunk(chunk: Column) -> Column:
 
 def prompt_variants(text: Column) -> Column:
     """The six inspected forms, in order, duplicates kept."""
-    clean = strip_invisible(text)
-    leet = fold_leet(clean)
-    return F.array(
-        text, clean, leet, collapse_spaced(clean), collapse_spaced(leet),
-        strip_whitespace(leet),
-    )
+    return bind(strip_invisible(text), lambda clean: bind(fold_leet(clean), lambda leet: F.array(
+        text, clean, leet, collapse_spaced(clean), collapse_spaced(leet), strip_whitespace(leet)
+    )))
 
 
 def word_count(text: Column) -> Column:
@@ -104,8 +110,7 @@ def entropy_bits(text: Column) -> Column:
     A row per character would shuffle the whole corpus; sorting the characters of
     one text turns equal ones into runs instead.
     """
-    # transform over one element binds the stripped text, so it is computed once.
-    return F.transform(F.array(strip_whitespace(text)), _solid_entropy)[0]
+    return bind(strip_whitespace(text), _solid_entropy)
 
 
 def _solid_entropy(solid: Column) -> Column:
