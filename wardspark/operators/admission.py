@@ -171,7 +171,8 @@ def _fold_chunks(
         out = write_stage(out, f"rate-chunk-{chunk}")
         parts.append(out)
         starts = (
-            fold_slots.filter(F.col("_chunk") == chunk + 1)
+            # A full slot may skip chunk numbers: the state waits for the next one.
+            fold_slots.filter(F.col("_chunk") > chunk)
             .groupBy("_tenant", "_pack")
             .agg((F.min("_slot") * slot_us - window_us).alias("_from"))
         )

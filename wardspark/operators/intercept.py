@@ -85,9 +85,12 @@ def _blocks(chunks: DataFrame, window: int, block_bytes: int, run_chunks: int) -
         "block",
         "total",
         F.array_join(F.transform("_items", lambda c: c["bytes"]), "").cast("binary").alias("bytes"),
-        F.get("_items", F.lit(0))["from"].alias("base"),
+        F.element_at("_items", -1)["end"].alias("_end"),
         own.alias("chunks"),
-    ).filter(F.size("chunks") > 0)
+    ).filter(F.size("chunks") > 0).withColumn(
+        # Counted from the end: a cut chunk may leave a gap before the bytes needed.
+        "base", F.col("_end") - F.octet_length("bytes")
+    ).drop("_end")
 
 
 def _buffer(chunk: Column, window: int) -> Column:
