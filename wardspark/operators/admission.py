@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions import fixed_values as V
 from ..functions.slots import micros, slot
-from ..session import write_stage
+from ..session import ship_package, write_stage
 
 SLOTS_PER_WINDOW = 60
 CHUNK_ROWS = 1_000_000
@@ -143,6 +143,7 @@ def _fold_chunks(
     slot_us: int, order_id: str,
 ) -> list[DataFrame]:
     """Fold every pack chunk by chunk; all packs of one round run in parallel."""
+    ship_package(rows.sparkSession)
     fold_slots = hot.filter("_fold").select("_tenant", "_slot", "_pack", "_chunk")
     lead_slots = hot.filter(F.col("_leads_to").isNotNull()).select(
         "_tenant", "_slot", F.col("_leads_to").alias("_pack")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..functions import fixed_values as V
 from ..functions import rules as R
 from ..functions.slots import micros, slot
-from ..session import broadcast_if_small, write_stage
+from ..session import broadcast_if_small, ship_package, write_stage
 
 SLOT_SECONDS = 1
 CHUNK_ROWS = 1_000_000
@@ -104,6 +104,7 @@ def quota_policy_fold(
     Adds used_before (null if refused by quota), quota_ok, charged, policy_rule,
     policy_action and policy_reason.
     """
+    ship_package(requests.sparkSession)
     bundles = R.bundles(rules).select(
         F.col("tenant_id").alias("_tenant"), "rules", R.token_bounds(F.col("rules")).alias("_bounds")
     )

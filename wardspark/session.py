@@ -1,7 +1,9 @@
 """Session settings and the shared folder."""
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession, functions as F
 
@@ -40,6 +42,24 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per application.
+
+    Spark copies the archive to every executor; the driver's copy is only its source.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    base = f"{tempfile.mkdtemp(prefix='wardspark-')}/wardspark"
+    archive = shutil.make_archive(base, "zip", package.parent, package.name)
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def broadcast_if_small(df, max_rows: int = 100_000):
     """Broadcast hint for a side proven to have at most `max_rows` rows.
 

@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed_values as V
 from ..operators import metrics, policy, scan
+from ..session import ship_package
 
 
 def live_input_scan(requests: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
@@ -84,6 +85,7 @@ def live_rate_limit(
 
     The state is the tenant's admitted times of the last window.
     """
+    ship_package(requests.sparkSession)
     window_us = int(window_seconds * 1_000_000)
 
     def step(key, batches, state: GroupState):
@@ -129,6 +131,7 @@ def live_daily_quota(
 ) -> DataFrame:
     """(tenant_id, request_id, ts, used_before, quota_ok); 25 hours after a day
     begins its total may go, an hour after it can no longer be asked for."""
+    ship_package(requests.sparkSession)
 
     def step(key, batches, state: GroupState):
         tenant, day = key
@@ -191,6 +194,7 @@ def live_intercept(
     drain, drain_abort), payload.  The end mark or `idle_seconds` without a chunk
     drains a stream.  Nothing of a stopped stream is let through any more.
     """
+    ship_package(chunks.sparkSession)
     window = window if window > 0 else V.WINDOW_BYTES
 
     def step(key, batches, state: GroupState):
