@@ -9,6 +9,7 @@ from wardspark.sources import tables
 from wardspark.streaming.live import _byte_patterns, _unsafe_bytes, live_intercept
 
 PATTERNS = _byte_patterns()
+BASE = 1_700_000_000_000_000
 
 
 def framed(*parts):
@@ -32,7 +33,7 @@ def plain(chunks, window):
 
 
 def chunk_frame(spark, streams):
-    rows = [(s, i, 1000 * i + i * i, c) for s, chunks in streams.items() for i, c in enumerate(chunks)]
+    rows = [(s, i, BASE + 1000 * i + i * i, c) for s, chunks in streams.items() for i, c in enumerate(chunks)]
     return spark.createDataFrame(rows, "stream_id long, chunk_idx long, us long, raw string").withColumn(
         "ts", F.timestamp_micros("us")
     )
@@ -102,7 +103,7 @@ def test_live_equals_batch_over_several_batches(spark, tmp_path):
         rows = frame.filter((F.col("chunk_idx") / 14).cast("int") == part)
         rows.coalesce(1).write.mode("append").parquet(folder)
     # A far later stream moves the watermark, so that idle streams are drained.
-    late = chunk_frame(spark, {10**6: ["data: bye\n\n"]}).withColumn("ts", F.timestamp_seconds(F.lit(10**6)))
+    late = chunk_frame(spark, {10**6: ["data: bye\n\n"]}).withColumn("ts", F.timestamp_seconds(F.lit(1_800_000_000)))
     late.coalesce(1).write.mode("append").parquet(folder)
     source = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     rows = tables.run_available(live_intercept(source, 32, idle_seconds=1, watermark="1 second"), "live")
