@@ -161,11 +161,13 @@ def test_java_form_of_patterns():
 
 
 def test_ascii_word_boundary_and_folding(spark):
-    texts = ["забудь", "xзабудь ", "x забудь", "IGNORE", "İgnore", "ıgnore", "diſregard", "ignore\x0b"]
+    texts = ["забудь", "xзабудь ", "x забудь", "IGNORE", "İgnore", "ıgnore", "diſregard", "ignore\x0b",
+             "忽略ignore ignore,forget", "xзабудьignore", "ignoreforget", "é-ignore_ bypass"]
     rows = frame(spark, texts).select(
         "id", R.count(R.folded(F.col("text")), V.OVERRIDE_VERBS).alias("n")
     ).collect()
     assert {texts[r.id]: r.n for r in rows} == {
         "забудь": 0, "xзабудь ": 0, "x забудь": 0, "IGNORE": 1, "İgnore": 0, "ıgnore": 0,
-        "diſregard": 1, "ignore\x0b": 1,
+        "diſregard": 1, "ignore\x0b": 1, "忽略ignore ignore,forget": 4, "xзабудьignore": 2,
+        "ignoreforget": 0, "é-ignore_ bypass": 1,
     }

@@ -11,9 +11,8 @@ import re
 from pyspark.sql import Column, functions as F
 
 _SPACE = r"\t\n\f\r "
-_WORD_BOUNDARY = (
-    "(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
-)
+# Java's \w is ASCII unless asked otherwise, unlike its \b.
+_WORD_BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 # Characters whose Java lower case and RE2 fold class disagree: capital dotted i
 # folds to nothing in RE2, so it reads as dotless i, which no pattern holds; long s
 # and the old Cyrillic letter forms fold to letters that lower() does not reach.
@@ -26,7 +25,10 @@ def is_folding(pattern: str) -> bool:
 
 
 def to_java(pattern: str) -> str:
-    """Java form of an RE2 pattern; for ``folded(text)`` if it starts ``(?i)``."""
+    """Java form of an RE2 pattern; for ``folded(text)`` if it starts ``(?i)``.
+
+    For counting and testing: a match may include the character before it.
+    """
     body = pattern
     if is_folding(body):
         body = body[len("(?i)"):]
@@ -73,7 +75,9 @@ def _lead(body: str) -> str:
         if all(len(s) == 2 for s in ascii_starts):
             pair += char_class(second)
         bounded = all(starts[s] and s[0].isalnum() for s in ascii_starts)
-        tests.append(f"(?={pair})" + ("(?<![0-9A-Za-z_])" if bounded else ""))
+        # A boundary before an ASCII word means another character or the end of the
+        # match before; taking that character along is quicker than looking back.
+        tests.append((r"(?:\W|\G)" if bounded else "") + f"(?={pair})")
     others = [s for s in starts if not s[0].isascii()]
     if others:
         latin = any(ord(s[0]) < 256 for s in others)
