@@ -53,8 +53,8 @@ def test_left_association_and_empty_list(spark):
         )),
         Rule("all", (Atom("request.model", "NOT_IN"),), "LOG"),
     ]
-    assert both(spark, rules, [("0.0", "x", 50.0), ("0.9", "y", 5.0), ("0.0", "x", 5.0)] and [
-        (0.0, "x", 50.0), (0.9, "y", 5.0), (0.0, "x", 5.0)]) == ["all", "left", "left"]
+    contexts = [(0.0, "x", 50.0), (0.9, "y", 5.0), (0.0, "x", 5.0)]
+    assert both(spark, rules, contexts) == ["all", "left", "left"]
 
 
 def test_hundred_rules(spark):

@@ -276,12 +276,10 @@ CHARGE = (
 def decide_views() -> str:
     """Views up to decided: every request with its answer."""
     open_routes = "('/healthz', '/metrics')"
-    reason = rule_case(lambda r: r.rule_name + "|" + r.reason, "0")
     reasons = " ".join(
         f"WHEN {_text(r.rule_name)} THEN {_text(r.reason)}"
         for rules in W.TENANT_RULES.values() for r in rules
     )
-    del reason
     views = [
         REQUESTS, TENANTS, GATED,
         "asked AS (SELECT * FROM gated WHERE prompt IS NOT NULL)",

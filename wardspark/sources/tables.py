@@ -12,9 +12,12 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input of few files; larger inputs are left as they lie."""
+    """Use all cores on an input of few splits; larger inputs are left as they lie.
+
+    What is moved is at most one split per core.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def read_json_table(spark: SparkSession, path: str, schema) -> DataFrame:
