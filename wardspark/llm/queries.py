@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracle, sharding
+from . import oracle, packing, sharding, tokens
 from .common import read
 
 
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(read(spark, folder, "documents"))
+
+
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.token_counts(read(spark, folder, "documents"))
+
+
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(read(spark, folder, "documents"))
 
 
 QUERIES = {
+    "op4_packing": op4_packing,
+    "op5_token_counts": op5_token_counts,
     "op8_sharding": op8_sharding,
 }
 
