@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracle, packing, sharding, tokens
+from . import language, oracle, packing, pages, quality, sharding, tokens
 from .common import read
 
 
@@ -16,14 +16,29 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_counts(read(spark, folder, "documents"))
 
 
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+def op7_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extract_pages(read(spark, folder, "pages"))
+
+
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(read(spark, folder, "documents"))
 
 
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(read(spark, folder, "documents"))
+
+
 QUERIES = {
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
+    "op6_quality": op6_quality,
+    "op7_html_extraction": op7_html_extraction,
     "op8_sharding": op8_sharding,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL = {"op8_sharding": oracle.SHARDING}
