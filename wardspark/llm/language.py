@@ -30,7 +30,7 @@ FAMILIES = {
     "slavic": ("ru", "uk", "be", "pl", "cs", "sk", "bg", "sr", "hr", "sl"),
 }
 ORDERS = (2, 3, 4)
-DIMS = 4096
+DIMS = 2048
 UNKNOWN = "und"
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -131,7 +131,7 @@ class LanguageModel:
 
 
 def learn_languages(
-    docs: DataFrame, per_language: int = 400, max_languages: int = 16
+    docs: DataFrame, per_language: int = 300, max_languages: int = 16
 ) -> LanguageModel | None:
     """A model from a bounded sample of rows with text and lang that are not held out."""
     ship_package(docs.sparkSession)
