@@ -139,7 +139,7 @@ def learn_languages(
         ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     ).select("doc_id", "text", "lang")
     sample = bounded_sample(known, "lang", per_language, max_languages)
-    x, y = collect_vectors(sample, vectors, "lang")
+    x, y = collect_vectors(sample, vectors, "lang", 2 * per_language * max_languages)
     return LanguageModel(x, y) if len(x) else None
 
 

@@ -23,7 +23,7 @@ def held_out(doc_id: Column) -> Column:
 def bounded_sample(
     rows: DataFrame, label: str, per_class: int, max_classes: int, key: str = "doc_id"
 ) -> DataFrame:
-    """About `per_class` rows of each of the most frequent classes, and never over twice that.
+    """About `per_class` rows of each of the most frequent classes.
 
     Classes are counted over all rows; each row is kept by a hash of its id at the rate
     its class needs, so nothing is sorted and the choice does not depend on partitions.
@@ -38,7 +38,7 @@ def bounded_sample(
     keep = F.lit(False)
     for row in counts:
         keep = keep | ((F.col(label) == F.lit(row[0])) & (draw < int(1e6 * per_class / row["n"]) + 1))
-    return rows.where(keep).limit(2 * per_class * len(counts))
+    return rows.where(keep)
 
 
 def batches_of(texts: list[str], rows: int = 500):
@@ -99,10 +99,13 @@ def logistic_scale(margin: np.ndarray, y: np.ndarray) -> float:
     return float(slopes[int(np.argmin(losses))])
 
 
-def collect_vectors(rows: DataFrame, make, label: str) -> tuple[np.ndarray, np.ndarray]:
+def collect_vectors(
+    rows: DataFrame, make, label: str, most: int
+) -> tuple[np.ndarray, np.ndarray]:
     """Feature vectors of a bounded sample, made where the texts are, and their labels.
 
-    They travel as 16-bit numbers: a row is two bytes per feature on the driver.
+    They travel as 16-bit numbers: a row is two bytes per feature on the driver, and at
+    most `most` rows are taken there (repeated ids could make a sample larger than meant).
     """
 
     def vectors(parts):
@@ -116,7 +119,8 @@ def collect_vectors(rows: DataFrame, make, label: str) -> tuple[np.ndarray, np.n
                 )
 
     kind = rows.schema[label].dataType.simpleString()
-    found = rows.select("text", label).mapInArrow(vectors, f"label {kind}, vector binary").collect()
+    made = rows.select("text", label).mapInArrow(vectors, f"label {kind}, vector binary")
+    found = made.limit(most).collect()
     found.sort(key=lambda r: (str(r.label), r.vector))
     x = np.array([np.frombuffer(r.vector, dtype=np.float16) for r in found], dtype=np.float32)
     return x, np.array([r.label for r in found])

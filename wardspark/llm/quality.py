@@ -105,7 +105,7 @@ def learn_quality(
     ).where("label = _other").drop("_other")
     chosen = bounded_sample(marks, "label", per_class, 2)
     known = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
-    x, y = collect_vectors(known.limit(8 * per_class), vectors, "label")
+    x, y = collect_vectors(known, vectors, "label", 4 * per_class)
     return QualityModel(x, y) if len(x) else None
 
 
