@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, oracle, packing, pages, quality, sharding, tokens
+from . import decontamination, fingerprints, language, oracle, packing, pages, quality, sharding, tokens
 from .common import read
 
 
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contaminated(
+        read(spark, folder, "documents"), read(spark, folder, "benchmark")
+    )
+
+
+def op2_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(read(spark, folder, "documents"))
+
+
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(read(spark, folder, "documents"))
 
@@ -33,6 +43,8 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_fingerprints": op2_fingerprints,
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
     "op6_quality": op6_quality,
