@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, language, oracle, packing, pages, quality, sharding, tokens
+from . import decontamination, dedup, fingerprints, language, oracle, packing, pages, quality, sharding, tokens
 from .common import read
 
 
@@ -18,6 +18,10 @@ def op2_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprint_documents(read(spark, folder, "documents"))
 
 
+def op3_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup.duplicate_classes(read(spark, folder, "documents"))
+
+
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(read(spark, folder, "documents"))
 
@@ -45,6 +49,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_fingerprints": op2_fingerprints,
+    "op3_near_dedup": op3_near_dedup,
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
     "op6_quality": op6_quality,
