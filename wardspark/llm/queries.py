@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, dedup, fingerprints, language, oracle, packing, pages, quality, sharding, tokens
+from . import (
+    decontamination, dedup, fingerprints, language, licenses, oracle, packing, pages, quality, sharding, tokens,
+)
 from .common import read
 
 
@@ -42,6 +44,10 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(read(spark, folder, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(read(spark, folder, "documents"))
+
+
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(read(spark, folder, "documents"))
 
@@ -55,6 +61,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_html_extraction": op7_html_extraction,
     "op8_sharding": op8_sharding,
+    "op9_license_scan": op9_license_scan,
     "op10_language_id": op10_language_id,
 }
 
