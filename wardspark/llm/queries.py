@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import (
     decontamination, dedup, fingerprints, language, licenses, oracle, packing, pages, quality, sharding, tokens,
 )
@@ -52,7 +54,12 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(read(spark, folder, "documents"))
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_decontamination": op1_decontamination,
     "op2_fingerprints": op2_fingerprints,
     "op3_near_dedup": op3_near_dedup,
