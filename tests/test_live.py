@@ -3,53 +3,131 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wardspark.operators import admission, quota
+from wardspark.functions import output as O
+from wardspark.operators import admission, intercept, quota
 from wardspark.sources import tables
 from wardspark.streaming import live
 
 BASE = 1_700_000_000_000_000
 
 
-def parts(spark, tmp_path, name):
-    """Requests in time order as three files, so that state crosses micro-batches."""
+def requests(spark):
     rng = random.Random(9)
     rows, us = [], BASE
     for rid in range(300):
         us += rng.choice([0, 1, 300_000, 1_000_000, 4_000_000])
         rows.append((rng.choice(["a", "b", "hot", "hot"]), us, rid, rng.choice([0, 3, 9])))
     df = spark.createDataFrame(rows, "tenant_id string, us long, request_id long, tokens long")
-    df = df.withColumn("ts", F.timestamp_micros("us"))
-    folder = str(tmp_path / name)
-    for part in range(3):
-        df.filter((F.col("request_id") / 100).cast("int") == part).coalesce(1).write.mode("append").parquet(folder)
-    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    return df, source
+    return df.withColumn("ts", F.timestamp_micros("us"))
+
+
+def as_files(df, folder, part_of, parts):
+    """A table folder of `parts` files, written one after the other."""
+    for part in range(parts):
+        df.filter(part_of == part).coalesce(1).write.mode("append").parquet(folder)
 
 
 def as_rows(df, *columns):
     return sorted(tuple(r) for r in df.select(*columns).collect())
 
 
-def test_live_limit_equals_batch(spark, tmp_path):
-    batch, source = parts(spark, tmp_path, "limit")
+@pytest.fixture(params=["in order", "shuffled"])
+def parts(request, spark, tmp_path):
+    """Requests over six files, so that state and disorder cross micro-batches."""
+    df = requests(spark)
+    by = (F.col("request_id") / 50).cast("int") if request.param == "in order" else F.pmod("request_id", F.lit(6))
+    as_files(df, f"{tmp_path}/requests.parquet", by, 6)
+    stream = tables.stream_table(spark, str(tmp_path), "requests", 1)
+    kept, late = tables.split_late(stream, "parts", "1 hour", files_per_trigger=1)
+    assert late.count() == 0
+    return df, kept
+
+
+def test_live_limit_equals_batch(parts):
+    batch, source = parts
     columns = ("request_id", "admitted", "remaining")
-    got = tables.run_available(live.live_rate_limit(source, 3, 10.0), "limit")
+    got = tables.run_available(live.live_rate_limit(source, 3, 10.0, "1 hour"), "limit")
     assert as_rows(got, *columns) == as_rows(admission.admit(batch, 3, 10.0), *columns)
 
 
-def test_live_quota_equals_batch(spark, tmp_path):
-    batch, source = parts(spark, tmp_path, "quota")
-    got = tables.run_available(live.live_daily_quota(source, 200), "quota")
+def test_live_quota_equals_batch(parts):
+    batch, source = parts
+    got = tables.run_available(live.live_daily_quota(source, 200, "1 hour"), "quota")
     want = quota.daily_quota(batch, 200)
     assert as_rows(got.filter("quota_ok"), "request_id", "used_before") == as_rows(
         want.filter("quota_ok"), "request_id", "used_before")
     assert got.count() == want.count()
 
 
+def test_a_request_is_not_judged_against_later_ones(spark, tmp_path):
+    rows = spark.createDataFrame([("t", 100, 0), ("t", 101, 1), ("t", 95, 2)], "tenant_id string, s long, request_id long")
+    df = rows.withColumn("ts", F.timestamp_seconds("s"))
+    as_files(df, f"{tmp_path}/r.parquet", F.col("request_id"), 3)
+    kept, _ = tables.split_late(tables.stream_table(spark, str(tmp_path), "r", 1), "r", "1 minute", files_per_trigger=1)
+    got = tables.run_available(live.live_rate_limit(kept, 2, 10.0, "1 minute"), "r")
+    assert as_rows(got, "request_id", "admitted") == [(0, True), (1, False), (2, True)]
+
+
+def test_late_rows_are_kept_apart(spark, tmp_path):
+    rows = spark.createDataFrame([("t", 1000, 0), ("t", 2000, 1), ("t", 1500, 2), ("u", 1990, 3)], "tenant_id string, s long, request_id long")
+    df = rows.withColumn("ts", F.timestamp_seconds("s"))
+    as_files(df, f"{tmp_path}/r.parquet", F.col("request_id"), 4)
+    kept, late = tables.split_late(tables.stream_table(spark, str(tmp_path), "r", 1), "r", "60 seconds", files_per_trigger=1)
+    assert as_rows(late, "request_id") == [(2,)]
+    counts = tables.run_available(live.live_counters(kept, ["tenant_id"], watermark="60 seconds"), "counts")
+    assert sum(r.n for r in counts.collect()) == 3
+
+
+def test_the_last_window_is_closed(spark, tmp_path):
+    df = requests(spark)
+    as_files(df, f"{tmp_path}/r.parquet", F.lit(0), 1)
+    kept, _ = tables.split_late(tables.stream_table(spark, str(tmp_path), "r"), "r", "1 hour")
+    counts = tables.run_available(live.live_counters(kept, ["tenant_id"], watermark="1 hour"), "counts")
+    want = df.groupBy(F.window("ts", "1 minute").start.alias("w"), "tenant_id").count()
+    assert as_rows(counts, "window_start", "tenant_id", "n") == as_rows(want, "w", "tenant_id", "count")
+
+
+def test_a_table_folder_streams_all_its_rows(spark, tmp_path):
+    df = requests(spark)
+    as_files(df, f"{tmp_path}/r.parquet", F.pmod("request_id", F.lit(3)), 3)
+    df.limit(5).write.parquet(f"{tmp_path}/r2.parquet")
+    assert tables.run_available(tables.stream_table(spark, str(tmp_path), "r"), "all").count() == 300
+
+
+@pytest.mark.parametrize("marked", [True, False])
+def test_live_interception_equals_batch(spark, tmp_path, marked):
+    rng = random.Random(3)
+    words = ["a", "me@mail.com", "ſk-" + "x" * 24, "sk-", "AbCdEfGhIjKlMnOpQrStUvWxYz1234", "555-123-", "4567", "tell", "é", "b c"]
+    rows = []
+    for stream in range(40):
+        n = rng.randint(1, 12)
+        picked = [rng.choice(words) for _ in range(n)] + (["[DONE]"] if marked else [])
+        rows += [(stream, i, BASE + i, f"data: {w}\n\n", rng.randrange(3)) for i, w in enumerate(picked)]
+    df = spark.createDataFrame(rows, "stream_id long, chunk_idx long, us long, raw string, file int").withColumn(
+        "ts", F.timestamp_micros("us"))
+    as_files(df, f"{tmp_path}/c.parquet", F.col("file"), 3)
+    kept, _ = tables.split_late(tables.stream_table(spark, str(tmp_path), "c", 1), "c", "1 hour", files_per_trigger=1)
+    scanned = tables.run_available(live.scan_buffers(live.live_buffers(kept, 32, watermark="1 hour")), "buffers")
+    out = live.intercepted(scanned).groupBy("stream_id").agg(
+        F.sum(F.octet_length("payload").cast("long")).alias("forwarded_bytes"),
+        F.max(F.col("event").isin("abort", "drain_abort")).alias("aborted"),
+    )
+    want = intercept.stream_abort(df.drop("us", "file"), 32)
+    assert as_rows(out, "stream_id", "forwarded_bytes", "aborted") == as_rows(want, "stream_id", "forwarded_bytes", "aborted")
+
+
+def test_long_s_is_judged_alike(spark):
+    text = "ſk-" + "x" * 24
+    row = spark.range(1).select(O.stream_unsafe(F.lit(text)).alias("b"))
+    buffers = spark.createDataFrame([(1, 0, 0, text.encode(), b"")], "stream_id long, seq long, chunk_idx long, buffer binary, payload binary")
+    assert row.first().b == live.scan_buffers(buffers).first().unsafe
+
+
 def test_rules_in_force_when_a_batch_starts(spark, tmp_path):
     from wardspark import workload as W
 
-    batch, source = parts(spark, tmp_path, "rules")
+    as_files(requests(spark), f"{tmp_path}/r.parquet", (F.col("request_id") / 100).cast("int"), 3)
+    source = tables.stream_table(spark, str(tmp_path), "r", 1)
     scored = source.select(
         F.lit("click").alias("tenant_id"), "request_id", F.lit(0.7).alias("score"),
         F.lit("small-chat").alias("model"), F.lit(0.0).alias("daily_tokens"),

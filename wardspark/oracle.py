@@ -322,13 +322,14 @@ def decide_views() -> str:
 # --- streams ----------------------------------------------------------------
 
 
-def chunk_views(source: str, text: str, keep: str) -> list[str]:
+def chunk_views(source: str, text: str, keep: str, ended: str = "TRUE") -> list[str]:
     """Views up to chunks(stream_id, chunk_idx, raw, start_b, end_b, total, full_b)."""
     plain = "regexp_replace(regexp_replace(regexp_replace(raw, '[\\x{80}-\\x{7FF}]', chr(1) || chr(1), 'g'), " \
         "'[\\x{800}-\\x{FFFF}]', chr(1) || chr(1) || chr(1), 'g'), " \
         "'[\\x{10000}-\\x{10FFFF}]', chr(1) || chr(1) || chr(1) || chr(1), 'g')"
     return [
-        f"word_lists AS (SELECT {keep}, list_append(string_split({text}, ' '), '[DONE]') AS words FROM {source})",
+        f"word_lists AS (SELECT {keep}, CASE WHEN {ended} THEN list_append(string_split({text}, ' '), '[DONE]') "
+        f"ELSE string_split({text}, ' ') END AS words FROM {source})",
         f"word_rows AS (SELECT {keep}, unnest(words) AS word, unnest(range(len(words))) AS chunk_idx FROM word_lists)",
         f"raw_chunks AS (SELECT *, 'data: ' || word || chr(10) || chr(10) AS raw FROM word_rows)",
         f"byte_chunks AS (SELECT * REPLACE ({plain} AS raw) FROM raw_chunks)",
@@ -575,7 +576,8 @@ def oracle_sql() -> dict[str, str]:
         f"greatest(end_b - {HOLD}, 0) AS forwarded_bytes FROM scanned"
     )
     sql["stream_abort"] = _with(*STREAMS) + "SELECT * FROM outcomes"
-    sql["live_intercept"] = _with(*STREAMS) + (
+    half_marked = chunk_views("answers", "answer", "stream_id, tenant_id", "stream_id % 2 = 0")
+    sql["live_intercept"] = _with(ANSWERS, *half_marked) + (
         "SELECT stream_id, forwarded_bytes, CASE abort_stage WHEN 'flush' THEN 'abort' "
         "WHEN 'drain' THEN 'drain_abort' END AS stopped FROM outcomes"
     )
@@ -696,16 +698,17 @@ def oracle_sql() -> dict[str, str]:
             for level, message, condition in arms
         )
     )
-    # A stream's last day stays open, as its watermark never passes the day's end.
-    closed = "CAST(ts AS DATE) < (SELECT max(CAST(ts AS DATE)) FROM latencies)"
     sql["live_counters"] = _with(LATENCIES) + (
         "SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS window_start, tenant_id, status, count(*) AS n FROM latencies "
-        f"WHERE {closed} GROUP BY 1, 2, 3"
+        "GROUP BY 1, 2, 3"
     )
     sql["live_histogram"] = _with(
         LATENCIES,
-        "daily AS (SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS window_start, tenant_id, seconds FROM latencies "
-        f"WHERE {closed})",
+        "daily AS (SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS window_start, tenant_id, seconds FROM latencies)",
         _buckets("seconds", "window_start, tenant_id", "daily", V.REQUEST_BUCKETS),
     ) + "SELECT window_start, tenant_id, le, cumulative, total, round(sum, 4) AS sum FROM cumulative"
+    # One file is one batch, and nothing in the first batch is late.
+    sql["late_rows"] = _with(CONTEXTS) + (
+        "SELECT tenant_id, count(*) AS n, count(*) AS in_time FROM contexts GROUP BY tenant_id"
+    )
     return sql

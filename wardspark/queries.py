@@ -283,25 +283,47 @@ def corpus_scan(spark, folder):
     return corpus.corpus_report(W.documents(spark, folder), "text", ["lang", "source"])
 
 
-def _live_contexts(spark, folder):
-    events = tables.stream_table(spark, folder, "events")
-    return W._select(events, W.context_columns(False))
+FILES_PER_TRIGGER = 8
+DELAY = "1 hour"
+
+
+def _in_time(spark, folder, table: str, columns: dict[str, str], name: str, delay: str = DELAY) -> DataFrame:
+    """Rows of a table as a closed stream, without the late ones."""
+    source = tables.stream_table(spark, folder, table, FILES_PER_TRIGGER)
+    kept, _ = tables.split_late(
+        W._select(source, columns), name, delay, files_per_trigger=FILES_PER_TRIGGER
+    )
+    return kept
+
+
+def late_rows(spark, folder):
+    """Per tenant: rows in time and rows that came too late for the watermark."""
+    source = tables.stream_table(spark, folder, "events", 1)
+    kept, late = tables.split_late(W._select(source, W.context_columns(False)), "late", DELAY, close=False)
+    in_time = tables.run_available(kept.select("tenant_id"), "in-time")
+    both = in_time.withColumn("late", F.lit(0)).union(late.select("tenant_id", F.lit(1)))
+    return both.groupBy("tenant_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.lit(1) - F.col("late")).alias("in_time")
+    )
 
 
 def live_rate_limit(spark, folder):
-    limited = live.live_rate_limit(_live_contexts(spark, folder), RATE_LIMIT, RATE_WINDOW)
-    return tables.run_available(limited, "live-rate").drop("ts")
+    events = _in_time(spark, folder, "events", W.context_columns(False), "live-rate")
+    limited = live.live_rate_limit(events, RATE_LIMIT, RATE_WINDOW, DELAY)
+    return tables.run_available(limited, "live-rate").drop("us")
 
 
 def live_daily_quota(spark, folder):
-    checked = live.live_daily_quota(_live_contexts(spark, folder), QUOTA)
-    return tables.run_available(checked, "live-quota").drop("ts")
+    events = _in_time(spark, folder, "events", W.context_columns(False), "live-quota")
+    checked = live.live_daily_quota(events, QUOTA, DELAY)
+    return tables.run_available(checked, "live-quota").drop("us")
 
 
 def live_intercept(spark, folder):
-    conversations = tables.stream_table(spark, folder, "conversations")
-    answered = W._select(conversations, W.answer_columns(False))
-    words = F.concat(F.split("answer", " ", -1), F.array(F.lit("[DONE]")))
+    """Half of the streams send no end mark and are drained once they are idle."""
+    answered = W._select(tables.stream_table(spark, folder, "conversations", FILES_PER_TRIGGER), W.answer_columns(False))
+    ended = F.when(F.col("stream_id") % 2 == 0, F.array(F.lit("[DONE]"))).otherwise(F.array().cast("array<string>"))
+    words = F.concat(F.split("answer", " ", -1), ended)
     framed = answered.select(
         "stream_id", F.posexplode(words).alias("chunk_idx", "word")
     ).select(
@@ -309,8 +331,11 @@ def live_intercept(spark, folder):
         F.timestamp_micros(F.lit(W.BASE_US) + F.col("chunk_idx") * 20_000).alias("ts"),
         F.concat(F.lit("data: "), F.col("word"), F.lit("\n\n")).alias("raw"),
     )
-    rows = tables.run_available(live.live_intercept(framed, HOLD), "live-intercept")
-    return rows.groupBy("stream_id").agg(
+    # The streams of all files begin at one time, so no chunk may count as late.
+    chunks, _ = tables.split_late(framed, "live-chunks", "100 days", files_per_trigger=FILES_PER_TRIGGER)
+    buffers = live.live_buffers(chunks, HOLD, watermark="100 days")
+    scanned = tables.run_available(live.scan_buffers(buffers), "live-buffers")
+    return live.intercepted(scanned).groupBy("stream_id").agg(
         F.sum(F.octet_length("payload").cast("long")).alias("forwarded_bytes"),
         F.max(F.when(F.col("event").isin("abort", "drain_abort"), F.col("event"))).alias("stopped"),
     )
@@ -325,19 +350,14 @@ def live_input_scan(spark, folder):
 
 
 def live_counters(spark, folder):
-    events = tables.stream_table(spark, folder, "events")
-    flat = W._select(events, W.latency_columns(False))
-    counts = live.live_counters(flat, ["tenant_id", "status"], window="1 day", watermark="0 seconds")
-    # Days still open when the input ends stay in the state, as in any append sink.
+    events = _in_time(spark, folder, "events", W.latency_columns(False), "live-counters")
+    counts = live.live_counters(events, ["tenant_id", "status"], window="1 day", watermark=DELAY)
     return tables.run_available(counts, "live-counters")
 
 
 def live_histogram(spark, folder):
-    events = tables.stream_table(spark, folder, "events")
-    flat = W._select(events, W.latency_columns(False))
-    histogram = live.live_histogram(
-        flat, "seconds", ["tenant_id"], window="1 day", watermark="0 seconds"
-    )
+    events = _in_time(spark, folder, "events", W.latency_columns(False), "live-histogram")
+    histogram = live.live_histogram(events, "seconds", ["tenant_id"], window="1 day", watermark=DELAY)
     rows = tables.run_available(histogram, "live-histogram")
     return _finite(rows.withColumn("window", F.col("window.start"))).withColumnRenamed(
         "window", "window_start"
@@ -393,6 +413,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "decide_complete": decide_complete_query,
     "decide_stream": decide_stream_query,
     "corpus_scan": corpus_scan,
+    "late_rows": late_rows,
     "live_rate_limit": live_rate_limit,
     "live_daily_quota": live_daily_quota,
     "live_intercept": live_intercept,

@@ -2,7 +2,7 @@
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import shared_dir
 
@@ -20,24 +20,31 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def read_json_table(spark: SparkSession, path: str, schema) -> DataFrame:
-    """JSON lines with a declared schema: no inference pass."""
-    return spark.read.schema(schema).json(path)
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    """Asked of the file system that holds the table, whatever it is."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
 
 
 def stream_table(
     spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None
 ) -> DataFrame:
-    """Parquet files of a table as a stream; the schema is read from the files there."""
-    schema = read_table(spark, folder, name).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
+    """Parquet files of a table as a stream; the schema is read from the files there.
+
+    The table is the one file or the folder of part files of exactly that name.
+    """
+    path = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(read_table(spark, folder, name).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    if _is_folder(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def run_available(stream: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
-    """Run a stream over the files there now and read what it wrote.
+def run_available(stream: DataFrame, name: str) -> DataFrame:
+    """Run an appending stream over the files there now and read what it wrote.
 
     Output and checkpoint lie in the shared folder.
     """
@@ -47,9 +54,69 @@ def run_available(stream: DataFrame, name: str, output_mode: str = "append") ->
         stream.writeStream.format("parquet")
         .option("path", f"{base}/out")
         .option("checkpointLocation", f"{base}/checkpoint")
-        .outputMode(output_mode)
+        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def split_late(
+    stream: DataFrame, name: str, delay: str, ts: str = "ts", close: bool = True,
+    files_per_trigger: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Run a stream over the files there now; (rows in time as a stream, late rows).
+
+    A row is late if it lies more than `delay` before the newest time of the batches
+    before its own, which is when an operator with that watermark would drop it.  Late
+    rows are kept in a table of their own.  Each batch writes its rows and its newest
+    time under its own number, so a batch that runs again gives the same files.
+
+    `close` adds one row of nulls far in the future to the rows in time: an input that
+    ends has its last windows closed and its last rows decided.  Operators see it as a
+    row without a key; `closing_row` tells it.
+    """
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def split(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        newest = session.createDataFrame([], "newest timestamp")
+        if number:
+            newest = session.read.schema("newest timestamp, batch int").parquet(f"{base}/newest").filter(
+                F.col("batch") < number
+            )
+        known = newest.agg((F.max("newest") - F.expr(f"INTERVAL {delay}")).alias("t")).first().t
+        late = F.coalesce(F.col(ts) < F.lit(known), F.lit(False)) if known else F.lit(False)
+        batch.filter(late).write.mode("overwrite").parquet(f"{base}/late/batch={number}")
+        batch.filter(~late).write.mode("overwrite").parquet(f"{base}/kept/batch={number}")
+        seen = batch.agg(F.max(ts).cast("timestamp").alias("newest"))
+        seen.coalesce(1).write.mode("overwrite").parquet(f"{base}/newest/batch={number}")
+
+    query = (
+        stream.writeStream.foreachBatch(split)
+        .option("checkpointLocation", f"{base}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    schema = stream.schema
+    if close:
+        nulls = spark.range(1).select(*[
+            (F.lit(CLOSING_TIME) if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in schema.fields
+        ])
+        nulls.write.mode("overwrite").parquet(f"{base}/kept/batch=closing")
+    kept = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+    if files_per_trigger:
+        kept = kept.option("maxFilesPerTrigger", files_per_trigger)
+    late = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/late")
+    return kept.parquet(f"{base}/kept"), late
+
+
+CLOSING_TIME = "2200-01-01 00:00:00"  # still a time that pandas can hold
+
+
+def closing_row(ts: str = "ts") -> Column:
+    return F.col(ts) >= F.lit(CLOSING_TIME).cast("timestamp")

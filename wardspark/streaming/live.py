@@ -2,20 +2,22 @@
 
 Scans are stateless and run as they are on a streaming DataFrame.  The rate limit,
 the daily quota and the hold-back buffer keep a small keyed state: at most `limit`
-times per tenant, one total per tenant and day, `window` bytes per stream.  Rows
-later than the watermark go to `late_rows`, not into decisions already made.
+times per tenant, one total per tenant and day, `window` bytes per stream, and the
+rows that the watermark has not passed.  `sources.tables.split_late` puts rows that
+come later than the watermark into a table of their own before any of these drops them.
 """
 
-import re
+import bisect
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed_values as V
+from ..functions.output import stream_unsafe
 from ..operators import metrics, policy, scan
 from ..session import ship_package
+from ..sources.tables import closing_row
 
 
 def live_input_scan(requests: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
@@ -58,193 +60,258 @@ def live_histogram(
     return metrics.latency_histogram(windowed, value, ["window", *by], buckets)
 
 
-def late_rows(events: DataFrame, seen_until, ts: str = "ts") -> DataFrame:
-    """Rows at or before the watermark `seen_until`, for a side output."""
-    return events.filter(F.col(ts) <= seen_until)
+def _types(df: DataFrame, *names: str) -> str:
+    return ", ".join(f"{name} {df.schema[name].dataType.simpleString()}" for name in names)
 
 
-def live_daily_usage(charged: DataFrame, ts: str = "ts", watermark: str = "1 hour") -> DataFrame:
-    """Tokens per tenant and UTC day; a day leaves the state once it is closed."""
-    return (
-        charged.withWatermark(ts, watermark)
-        .groupBy(F.window(ts, "1 day"), "tenant_id")
-        .agg(F.sum("tokens").alias("tokens"))
-        .select(F.to_date("window.start").alias("day"), "tenant_id", "tokens")
-    )
+class _Held:
+    """Rows of one key that wait for the watermark, in order of time and id.
 
+    A row is decided once no row before it can come any more; until then it is part of
+    the state, which so holds the rows of the last `watermark` of its key.
+    """
 
-def _types(df: DataFrame, *names: str) -> str:
-    return ", ".join(f"{name} {df.schema[name].dataType.simpleString()}" for name in names)
+    def __init__(self, state: GroupState, names: list[str]):
+        self.names, self.state = names, state
+        self.rows = {n: list(v) for n, v in zip(names, state.get)} if state.exists else {n: [] for n in names}
+
+    def add(self, batches) -> None:
+        for batch in batches:
+            for name in self.names[:-1]:
+                self.rows[name].extend(batch[name].tolist())
+
+    def due(self) -> list[tuple]:
+        """Rows up to the watermark, taken out of the state in order."""
+        waiting = self.names[:-1]
+        order = sorted(zip(*[self.rows[n] for n in waiting]))
+        upto = self.state.getCurrentWatermarkMs() * 1000
+        ready = bisect.bisect_right([r[0] for r in order], upto)
+        for i, name in enumerate(waiting):
+            self.rows[name] = [r[i] for r in order[ready:]]
+        return order[:ready]
+
+    def keep(self, last: list, expires_ms: int | None) -> None:
+        """Store what is left; wake up when the next row is due, or drop a spent state."""
+        times = self.rows["us"]
+        if not times and expires_ms is None:
+            self.state.remove()
+            return
+        self.rows[self.names[-1]] = last
+        self.state.update(tuple(self.rows[n] for n in self.names))
+        wake = times[0] // 1000 if times else expires_ms
+        self.state.setTimeoutTimestamp(max(int(wake) + 1, self.state.getCurrentWatermarkMs() + 1))
 
 
 def live_rate_limit(
     requests: DataFrame, limit: int = V.REQUESTS_PER_MINUTE, window_seconds: float = 60.0,
     watermark: str = "10 minutes",
 ) -> DataFrame:
-    """(tenant_id, request_id, ts, admitted, remaining) of each request.
+    """(tenant_id, request_id, us, admitted, remaining) of each request, in event time.
 
-    The state is the tenant's admitted times of the last window.
+    Requests are decided in order of time and id once the watermark has passed them, so
+    the order of arrival does not matter.  The state is the tenant's undecided requests
+    and the admitted times of the last window.
     """
     ship_package(requests.sparkSession)
     window_us = int(window_seconds * 1_000_000)
 
     def step(key, batches, state: GroupState):
-        (tenant,) = key
-        if state.hasTimedOut:
-            state.remove()
+        if key[0] is None:  # the row that closes an input, and requests of no tenant
             return
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["us", "request_id"])
-        times = list(state.get[0]) if state.exists else []
-        now = rows["us"].to_numpy()
-        admitted = np.zeros(len(now), dtype=bool)
-        remaining = np.zeros(len(now), dtype=np.int64)
-        for i, t in enumerate(now):
-            while times and times[0] <= t - window_us:
-                times.pop(0)
-            if len(times) < limit:
-                times.append(int(t))
-                admitted[i] = True
-                remaining[i] = limit - len(times)
-        state.update((times,))
-        # A second beyond the window, the state holds nothing of use.
-        expiry = int(now[-1] // 1000 + window_us // 1000 + 1000)
-        state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({
-            "tenant_id": tenant, "request_id": rows["request_id"].to_numpy(),
-            "ts": rows["ts"].to_numpy(), "admitted": admitted, "remaining": remaining,
-        })
+        held = _Held(state, ["us", "request_id", "times"])
+        held.add(batches)
+        times, begin, out = held.rows["times"], 0, []
+        for us, request in held.due():
+            while begin < len(times) and times[begin] <= us - window_us:
+                begin += 1
+            used = len(times) - begin
+            if used < limit:
+                times.append(us)
+            out.append((request, us, used < limit, max(limit - used - 1, 0)))
+        times = times[begin:]
+        done = times[-1] // 1000 + window_us // 1000 + 1 if times else None
+        if done is not None and state.getCurrentWatermarkMs() > done and not held.rows["us"]:
+            done = None
+        held.keep(times, done)
+        yield _frame(key[0], out, ["request_id", "us", "admitted", "remaining"])
 
     narrow = requests.withWatermark("ts", watermark).select(
-        "tenant_id", "request_id", "ts", F.unix_micros("ts").alias("us")
+        "tenant_id", "ts", F.unix_micros("ts").alias("us"), "request_id"
     )
+    kind = narrow.schema["request_id"].dataType.simpleString()
     return narrow.groupBy("tenant_id").applyInPandasWithState(
-        step,
-        f"{_types(narrow, 'tenant_id', 'request_id')}, ts timestamp, admitted boolean, remaining bigint",
-        "times array<bigint>",
+        _without_ts(step),
+        f"{_types(narrow, 'tenant_id', 'request_id')}, us bigint, admitted boolean, remaining bigint",
+        f"us array<bigint>, request_id array<{kind}>, times array<bigint>",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )
 
 
+def _without_ts(step):
+    """The watermark needs the time column in the rows; the state does not."""
+    return lambda key, batches, state: step(key, (b.drop(columns="ts") for b in batches), state)
+
+
+def _frame(tenant, rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=names)
+    frame.insert(0, "tenant_id", tenant)
+    return frame
+
+
 def live_daily_quota(
     requests: DataFrame, limit: int = V.DAILY_TOKENS, watermark: str = "1 hour"
 ) -> DataFrame:
-    """(tenant_id, request_id, ts, used_before, quota_ok); 25 hours after a day
-    begins its total may go, an hour after it can no longer be asked for."""
+    """(tenant_id, request_id, us, used_before, quota_ok), in event time.
+
+    The state of a tenant's day is its total and the requests the watermark has not
+    passed; 25 hours after a day begins its total may go.
+    """
     ship_package(requests.sparkSession)
 
     def step(key, batches, state: GroupState):
         tenant, day = key
-        if state.hasTimedOut:
-            state.remove()
+        if tenant is None:
             return
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["us", "request_id"])
-        used = state.get[0] if state.exists else 0
-        tokens = rows["tokens"].to_numpy()
-        before = used + np.cumsum(tokens) - tokens
-        ok = before < limit
-        state.update((int(used + tokens[ok].sum()),))
-        expiry = (int(day) + 1) * 86_400_000 + 3_600_000
-        state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({
-            "tenant_id": tenant, "request_id": rows["request_id"].to_numpy(),
-            "ts": rows["ts"].to_numpy(),
-            "used_before": np.where(ok, before, 0),
-            "quota_ok": ok,
-        })
+        held = _Held(state, ["us", "request_id", "tokens", "used"])
+        held.add(batches)
+        used = held.rows["used"][0] if held.rows["used"] else 0
+        out = []
+        for us, request, tokens in held.due():
+            ok = used < limit
+            out.append((request, us, used if ok else None, ok))
+            used += tokens if ok else 0
+        expires = int(day) * 86_400_000 + 25 * 3_600_000
+        spent = not held.rows["us"] and state.getCurrentWatermarkMs() > expires
+        held.keep([used], None if spent else expires)
+        yield _frame(tenant, out, ["request_id", "us", "used_before", "quota_ok"]).astype(
+            {"used_before": "Int64"}
+        )
 
     narrow = requests.withWatermark("ts", watermark).select(
-        "tenant_id", "request_id", "ts", "tokens", F.unix_micros("ts").alias("us"),
-        F.unix_date(F.to_date("ts")).alias("day"),
+        "tenant_id", F.unix_date(F.to_date("ts")).alias("day"), "ts", F.unix_micros("ts").alias("us"),
+        "request_id", "tokens",
     )
+    kind = narrow.schema["request_id"].dataType.simpleString()
     return narrow.groupBy("tenant_id", "day").applyInPandasWithState(
-        step,
-        f"{_types(narrow, 'tenant_id', 'request_id')}, ts timestamp, used_before bigint, quota_ok boolean",
-        "used bigint",
+        _without_ts(step),
+        f"{_types(narrow, 'tenant_id', 'request_id')}, us bigint, used_before bigint, quota_ok boolean",
+        f"us array<bigint>, request_id array<{kind}>, tokens array<bigint>, used array<bigint>",
         "append",
         GroupStateTimeout.EventTimeTimeout,
-    ).withColumn("used_before", F.when(F.col("quota_ok"), F.col("used_before")))
-
-
-def _byte_patterns() -> list[re.Pattern]:
-    """The output patterns on bytes, where Python's classes are ASCII like RE2's."""
-    compiled = []
-    for pattern in V.OUTPUT_PATTERNS.values():
-        in_class = re.sub(r"\[([^\]]*)\\s", r"[\1\\t\\n\\f\\r ", pattern)
-        compiled.append(re.compile(in_class.replace(r"\s", r"[\t\n\f\r ]").encode()))
-    return compiled
-
-
-def _unsafe_bytes(buffer: bytes, patterns: list[re.Pattern]) -> bool:
-    """Both views of the buffer; the two non-ASCII letters that fold to ASCII read so."""
-    plain = buffer.replace("ſ".encode(), b"s").replace("K".encode(), b"k")
-    bare = plain.replace(V.DATA_PREFIX.encode(), b"")
-    joined = bare.replace(b"\n", b"").replace(b"\r", b"").replace(V.DONE.encode(), b"")
-    spaced = bare.replace(V.DONE.encode(), b"").translate(bytes.maketrans(b"\r\n", b"  "))
-    return any(p.search(view) for view in (joined, spaced) for p in patterns)
+    )
 
 
-def live_intercept(
+def live_buffers(
     chunks: DataFrame, window: int = V.WINDOW_BYTES, idle_seconds: int = 60,
     watermark: str = "1 minute",
 ) -> DataFrame:
-    """Bytes let through per chunk, and one row when a stream ends or is stopped.
+    """The buffer of every chunk as it would be checked, and of the drain.
+
+    Columns: stream_id, seq (order within the stream), chunk_idx (null at the drain),
+    buffer and payload, the bytes that go out if the buffer is safe.  Chunks are taken
+    in order of chunk_idx from 0; one that comes early waits in the state.  The end mark
+    or `idle_seconds` without a chunk, by the watermark, drains a stream.
 
-    Columns: stream_id, chunk_idx (null on the end row), event (forward, abort,
-    drain, drain_abort), payload.  The end mark or `idle_seconds` without a chunk
-    drains a stream.  Nothing of a stopped stream is let through any more.
+    The state only keeps bytes; what is unsafe is judged by `scan_buffers`, with the
+    column functions of the batch form.
     """
     ship_package(chunks.sparkSession)
     window = window if window > 0 else V.WINDOW_BYTES
+    mark = (V.DATA_PREFIX + V.DONE).encode()
 
     def step(key, batches, state: GroupState):
         (stream,) = key
-        patterns = _byte_patterns()
-        held, done = state.get if state.exists else (b"", False)
-        held = bytes(held)
+        if stream is None:
+            return
+        fresh = (b"", 0, 0, False, [], [], 0)
+        held, following, seq, done, places, waiting, latest = state.get if state.exists else fresh
+        held, early = bytes(held), dict(zip(places, map(bytes, waiting)))
         out = []
 
-        def drain():
-            if held and _unsafe_bytes(held, patterns):
-                out.append((stream, None, "drain_abort", b""))
-            else:
-                out.append((stream, None, "drain", held))
+        def take(index: int, data: bytes) -> None:
+            nonlocal held, seq, done
+            held += data
+            out.append((stream, seq, index, held, held[:-window] if len(held) > window else b""))
+            held = held[-window:]
+            seq += 1
+            if data.rstrip(b"\r\n").endswith(mark):
+                drain()
 
+        def drain() -> None:
+            nonlocal held, seq, done
+            out.append((stream, seq, None, held, held))
+            held, done, seq = b"", True, seq + 1
+
+        for batch in batches:
+            if batch.empty:  # a timer has no rows
+                continue
+            latest = max(latest, int(batch["us"].max() // 1000))
+            early.update(zip(batch["chunk_idx"].tolist(), map(_bytes, batch["raw"])))
+        if state.hasTimedOut:  # nothing more will fill a gap
+            order = sorted(early)
+        else:
+            order = []
+            while following + len(order) in early:
+                order.append(following + len(order))
+        for index in order:
+            data = early.pop(index)
+            if not done:
+                take(index, data)
+            following = index + 1
         if state.hasTimedOut:
             if not done:
                 drain()
             state.remove()
         else:
-            rows = pd.concat(list(batches), ignore_index=True).sort_values("chunk_idx")
-            for idx, raw in zip(rows["chunk_idx"], rows["raw"]):
-                if done:
-                    break
-                data = raw.encode() if isinstance(raw, str) else bytes(raw)
-                held += data
-                if _unsafe_bytes(held, patterns):
-                    out.append((stream, idx, "abort", b""))
-                    held, done = b"", True
-                    break
-                if len(held) > window:
-                    out.append((stream, idx, "forward", held[:-window]))
-                    held = held[-window:]
-                if data.rstrip(b"\r\n").endswith((V.DATA_PREFIX + V.DONE).encode()):
-                    drain()
-                    held, done = b"", True
-            state.update((held, done))
-            last = int(rows["us"].max() // 1000) + idle_seconds * 1000
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["stream_id", "chunk_idx", "event", "payload"]).astype(
+            state.update((held, following, seq, done, list(early), list(early.values()), latest))
+            state.setTimeoutTimestamp(
+                max(latest + idle_seconds * 1000, state.getCurrentWatermarkMs() + 1)
+            )
+        yield pd.DataFrame(out, columns=["stream_id", "seq", "chunk_idx", "buffer", "payload"]).astype(
             {"chunk_idx": "Int64"}
         )
 
-    narrow = chunks.withWatermark("ts", watermark).select(
+    narrow = chunks.filter(F.col("stream_id").isNotNull() | closing_row()).withWatermark("ts", watermark).select(
         "stream_id", "chunk_idx", "ts", "raw", F.unix_micros("ts").alias("us")
     )
     return narrow.groupBy("stream_id").applyInPandasWithState(
         step,
-        f"{_types(narrow, 'stream_id')}, chunk_idx bigint, event string, payload binary",
-        "held binary, done boolean",
+        f"{_types(narrow, 'stream_id')}, seq bigint, chunk_idx bigint, buffer binary, payload binary",
+        "held binary, following bigint, seq bigint, done boolean, "
+        "places array<bigint>, waiting array<binary>, latest bigint",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )
+
+
+def _bytes(raw) -> bytes:
+    return raw.encode() if isinstance(raw, str) else bytes(raw or b"")
+
+
+def scan_buffers(buffers: DataFrame) -> DataFrame:
+    """Buffers with the flag `unsafe`: one scanner for streams and for batches."""
+    return buffers.filter(F.col("stream_id").isNotNull()).withColumn(
+        "unsafe", stream_unsafe(F.col("buffer").cast("string"))
+    ).drop("buffer")
+
+
+def intercepted(scanned: DataFrame) -> DataFrame:
+    """What goes out: forward and drain rows up to the first unsafe buffer, which stops it.
+
+    scanned(stream_id, seq, chunk_idx, payload, unsafe), as a table that `scan_buffers`
+    has written.  The first unsafe buffer of a stream is one number per stream, found by
+    partial aggregation; payloads are not shuffled if few streams are stopped.
+    """
+    stops = scanned.filter("unsafe").groupBy("stream_id").agg(F.min("seq").alias("_stop"))
+    ending = F.col("chunk_idx").isNull()
+    event = F.when(F.col("seq") == F.col("_stop"), F.when(ending, "drain_abort").otherwise("abort")).otherwise(
+        F.when(ending, "drain").otherwise("forward")
+    )
+    kept = scanned.join(stops, "stream_id", "left").filter(
+        F.col("_stop").isNull() | (F.col("seq") <= F.col("_stop"))
+    )
+    return kept.select(
+        "stream_id", "seq", "chunk_idx", event.alias("event"),
+        F.when(F.col("_stop") == F.col("seq"), F.lit(b"")).otherwise(F.col("payload")).alias("payload"),
+    )
