@@ -1,7 +1,6 @@
+import datetime as dt
 import random
 
-from pyspark.sql import functions as F
-
 from wardspark import workload as W
 from wardspark.functions.rules import RULE_SCHEMA, Atom, Rule
 from wardspark.operators import policy
@@ -12,7 +11,7 @@ CONTEXT = "request_id long, tenant_id string, score double, model string, daily_
 def rule_frame(spark, rules, tenant="a"):
     rows = [
         (tenant, "v", i, r.rule_name,
-         [(a.connective, a.field, a.op, a.num_value, list(a.str_values)) for a in r.atoms], r.action, r.reason)
+         [(a.connective, a.field, a.op, a.num_value, list(a.str_values)) for a in r.atoms], r.action, r.reason, None)
         for i, r in enumerate(rules)
     ]
     return spark.createDataFrame(rows, RULE_SCHEMA)
@@ -74,19 +73,18 @@ def test_hits_add_up(spark):
 
 
 def test_faulty_rules(spark):
-    def row(order, field, op, num, action="BLOCK", version="v1", day=1):
-        return ("a", version, order, f"r{order}", [(None, field, op, num, ["m"])], action, "", day)
+    def row(order, field, op, num, action="BLOCK", version="v1", day=2):
+        at = dt.datetime(2024, 1, day, tzinfo=dt.UTC)
+        return ("a", version, order, f"r{order}", [(None, field, op, num, ["m"])], action, "", at)
 
     rows = [
         row(0, "input.risk_score", ">", 0.5), row(1, "request.size", ">", 1.0),
         row(2, "request.model", ">", None), row(3, "input.risk_score", "NOT_IN", None),
         row(4, "tenant.daily_tokens", "<", None), row(5, "request.model", "NOT_IN", None, "drop"),
         row(6, "request.model", "==", None, "redact"), row(7, "input.risk_score", ">=", 0.5),
-        row(0, "input.risk_score", ">", 0.5, version="v0", day=0),
+        row(0, "input.risk_score", ">", 0.5, version="v0", day=1),
     ]
-    df = spark.createDataFrame(rows, RULE_SCHEMA + ", day int").withColumn(
-        "written_at", F.timestamp_seconds(F.col("day") * 86400)
-    )
+    df = spark.createDataFrame(rows, RULE_SCHEMA)
     faults = {r.rule_order: r.fault for r in policy.rule_table_check(df).collect()}
     assert faults == {
         1: "unknown_field", 2: "unsupported_op", 3: "not_in_on_number", 4: "not_a_number",
@@ -94,3 +92,47 @@ def test_faulty_rules(spark):
     }
     live = policy.live_versions(df).first()
     assert (live.live_version, live.newest_version, live.n_rejected) == ("v0", "v1", 1)
+
+
+def test_strict_checks(spark):
+    def row(order, atoms, action="TAG"):
+        return ("a", f"v{order}", order, f"r{order}", atoms, action, "", None)
+
+    good = ("input.risk_score", ">", 0.5, None)
+    rows = [
+        row(0, [(None, *good), ("AND", *good)]), row(1, [(None, "input.risk_score", None, 0.5, None)]), row(2, []),
+        row(3, [(None, "request.model", "==", None, [])]), row(4, [(None, *good), ("XOR", *good)]),
+        row(5, [(None, *good), (None, *good)]), row(6, None), row(7, [(None, *good)], None),
+    ]
+    faults = {r.rule_order: r.fault for r in policy.rule_table_check(spark.createDataFrame(rows, RULE_SCHEMA)).collect()}
+    assert faults == {
+        1: "unsupported_op", 2: "no_condition", 3: "no_value", 4: "unknown_connective", 5: "unknown_connective",
+        6: "no_condition", 7: "unknown_action",
+    }
+
+
+def test_newest_accepted_version_is_in_force(spark):
+    def version(name, day, bound, op=">"):
+        at = dt.datetime(2024, 1, day, tzinfo=dt.UTC)
+        return ("a", name, 0, name, [(None, "input.risk_score", op, bound, None)], "BLOCK", "", at)
+
+    rules = spark.createDataFrame([version("v1", 1, 0.5), version("v2", 2, 0.9), version("v3", 3, 0.1, "~")], RULE_SCHEMA)
+    asked = spark.createDataFrame([(1, "a", 0.7, "m", 0.0), (2, "a", 0.95, "m", 0.0)], CONTEXT)
+    judged = {r.request_id: r.rule_name for r in policy.evaluate_tenant_policies(asked, rules).collect()}
+    assert judged == {1: None, 2: "v2"}
+    assert [(r.rule_name, r.n_held) for r in policy.rule_hits(asked, rules).collect()] == [("v2", 1)]
+
+
+def test_forced_model(spark):
+    rules = rule_frame(spark, [Rule("r", (Atom("request.model", "==", str_values=("mock",)),))])
+    asked = spark.createDataFrame([(1, "a", 0.7, "other", 0.0)], CONTEXT)
+    assert policy.evaluate_tenant_policies(asked, rules).first().rule_name is None
+    assert policy.evaluate_tenant_policies(asked, rules, force_model="Mock").first().rule_name == "r"
+
+
+def test_a_doubled_key_does_not_double_requests(spark):
+    from wardspark.operators import access
+
+    tenants = spark.createDataFrame([("k", "b", "B"), ("k", "a", "A")], "api_key string, tenant_id string, tenant_name string")
+    asked = spark.createDataFrame([(1, "Bearer k", "/v1/complete")], "request_id long, auth_header string, path string")
+    assert [r.tenant_id for r in access.authenticate(asked, tenants).collect()] == ["a"]

@@ -1,6 +1,6 @@
 """Policy rules as data: conditions, first match, bundles per tenant.
 
-A rule row is (tenant_id, version, rule_order, rule_name, atoms, action, reason).
+A rule row is (tenant_id, version, rule_order, rule_name, atoms, action, reason, written_at).
 An atom is (connective, field, op, num_value, str_values); AND and OR rank equally
 and associate to the left.
 """
@@ -16,7 +16,7 @@ ATOM_TYPE = (
 )
 RULE_SCHEMA = (
     "tenant_id string, version string, rule_order int, rule_name string, "
-    f"atoms array<{ATOM_TYPE}>, action string, reason string"
+    f"atoms array<{ATOM_TYPE}>, action string, reason string, written_at timestamp"
 )
 VERDICT_FIELDS = ("rule_name", "action", "reason")
 
@@ -108,8 +108,14 @@ def first_match(rules: Column, score: Column, model: Column, tokens: Column) ->
     )
 
 
+def first_match_index(rules: Column, score: Column, model: Column, tokens: Column) -> Column:
+    """Place of the first rule that holds, -1 if none does."""
+    held = F.transform(rules, lambda rule: rule_holds(rule, score, model, tokens))
+    return F.coalesce(F.array_position(held, True).cast("int") - 1, F.lit(-1))
+
+
 def bundles(rules: DataFrame) -> DataFrame:
-    """(tenant_id, rules): each tenant's rules in order, list values in lower case.
+    """(tenant_id, rules): the rules of one version per tenant in order, values in lower case.
 
     A bundle is one policy file's worth of rules, so the array is small.
     """

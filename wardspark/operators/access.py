@@ -17,14 +17,22 @@ def api_key(header: Column) -> Column:
     return F.when(header.startswith(_PREFIX) & (key != ""), key)
 
 
+def one_tenant_per_key(tenants: DataFrame) -> DataFrame:
+    """(_key, tenant_id, tenant_name); of several tenants with one key the least counts."""
+    least = F.min(F.struct("tenant_id", "tenant_name"))
+    return tenants.groupBy(F.col("api_key").alias("_key")).agg(least.alias("_t")).select(
+        "_key", "_t.tenant_id", "_t.tenant_name"
+    )
+
+
 def authenticate(requests: DataFrame, tenants: DataFrame) -> DataFrame:
     """Add tenant_id, tenant_name and auth_status (401 or null).
 
-    A tenant table proven small is broadcast, so the requests stay where they are;
+    A key that occurs twice does not double a request.  A tenant table proven small is broadcast, so the requests stay where they are;
     a larger one is joined by shuffle, where Spark splits a hot key's partition.
     """
     keyed = requests.withColumn("_key", api_key(F.col("auth_header")))
-    known = tenants.select(F.col("api_key").alias("_key"), "tenant_id", "tenant_name")
+    known = one_tenant_per_key(tenants)
     open_route = F.col("path").isin(*V.OPEN_ROUTES)
     return (
         keyed.join(broadcast_if_small(known), "_key", "left")

@@ -14,6 +14,8 @@ def _events() -> list[tuple[str, str, Column]]:
     complete = F.col("path") == "/v1/complete"
     scanned = F.col("verdict").isNotNull() & handled
     answered = complete & (error.isin("", "output_policy_violation"))
+    stream = F.col("path") == "/v1/stream"
+    unsafe = stream & (error == "output_policy_violation")
     return [
         ("warn", "auth_failed", error == "unauthorized"),
         ("warn", "rate_limited", error == "rate_limit_exceeded"),
@@ -27,12 +29,21 @@ def _events() -> list[tuple[str, str, Column]]:
         ("error", "provider_error", complete & (error == "provider_error")),
         ("info", "provider_response_ok", answered),
         ("warn", "output_blocked", complete & (error == "output_policy_violation")),
+        ("error", "stream_provider_timeout", stream & (error == "provider_timeout")),
+        ("error", "stream_provider_error", stream & (error == "provider_error")),
+        ("info", "stream_first_chunk_sent", stream & F.col("first_sent")),
+        ("warn", "stream_aborted_unsafe_output", unsafe & (F.col("abort_stage") == "flush")),
+        ("warn", "stream_aborted_unsafe_output_drain", unsafe & (F.col("abort_stage") == "drain")),
+        ("info", "stream_completed", stream & (error == "")),
         ("info", "request_completed", handled & status.isNotNull()),
     ]
 
 
 def audit_events(decisions: DataFrame, min_level: str = "info") -> DataFrame:
-    """One row per log event at or above `min_level` (unknown levels read as info)."""
+    """One row per log event at or above `min_level` (unknown levels read as info).
+
+    `decisions` are those of `decide_all`: completions and streams.
+    """
     floor = LEVELS.get(min_level, 0)
     entries = [
         F.when(condition, F.struct(

@@ -25,7 +25,10 @@ def count_by(df: DataFrame, *by: str) -> DataFrame:
 
 
 def blocks_total(decisions: DataFrame) -> DataFrame:
-    """Blocks by tenant and stage: input, output (streamed), output_sync."""
+    """Blocks by tenant and stage: input, output (streamed), output_sync.
+
+    `decisions` are those of `decide_all`, which knows how streams ended.
+    """
     stage = (
         F.when(F.col("error") == "guardrail_block", "input")
         .when(F.col("error") == "output_policy_violation",
@@ -74,6 +77,17 @@ def latency_histogram(
     return counted.select(*by, F.inline(rows), "total", "sum")
 
 
+def ttft_histogram(timing: DataFrame, by: list[str]) -> DataFrame:
+    """Time to the first forwarded byte of streams, from their timing rows."""
+    seconds = timing.filter(F.col("ttft_us").isNotNull()).withColumn("seconds", F.col("ttft_us") / 1e6)
+    return latency_histogram(seconds, "seconds", by, V.TTFT_BUCKETS)
+
+
+def check_histogram(checks: DataFrame, seconds: str, by: list[str]) -> DataFrame:
+    """Logged durations of output checks."""
+    return latency_histogram(checks, seconds, by, V.CHECK_BUCKETS)
+
+
 def histogram_quantile(histogram: DataFrame, by: list[str], quantiles: tuple[float, ...]) -> DataFrame:
     """Quantiles by linear interpolation inside the bucket that reaches the rank.
 

@@ -31,14 +31,17 @@ def evaluate_tenant_policies(
     score: str = "score",
     model: str = "model",
     tokens: str = "daily_tokens",
+    force_model: str | None = None,
 ) -> DataFrame:
     """Add matched, rule_name, action, reason from the rules of each row's tenant.
 
-    The join brings each request its tenant's rules as one array, so there is no row
-    per (request, rule) and nothing to aggregate afterwards.
+    The newest accepted version of a tenant's rules is in force.  The join brings each
+    request that version's rules as one array, so there is no row per (request, rule)
+    and nothing to aggregate afterwards.
     """
-    joined = requests.join(broadcast_if_small(R.bundles(rules)), "tenant_id", "left")
-    hit = R.first_match(F.col("rules"), F.col(score), F.col(model), F.col(tokens))
+    joined = requests.join(broadcast_if_small(bundles_in_force(rules)), "tenant_id", "left")
+    model_col = F.lit(force_model) if force_model else F.col(model)
+    hit = R.first_match(F.col("rules"), F.col(score), model_col, F.col(tokens))
     return _with_verdict(joined.withColumn("_hit", hit).drop("rules")).select(
         *requests.columns, "matched", *R.VERDICT_FIELDS
     )
@@ -53,8 +56,20 @@ def _with_verdict(df: DataFrame) -> DataFrame:
     ).drop("_hit")
 
 
+def rules_in_force(rules: DataFrame) -> DataFrame:
+    """The rows of each tenant's newest version that has no faulty rule."""
+    live = live_versions(rules).select("tenant_id", F.col("live_version").alias("version"))
+    return rules.join(live, ["tenant_id", "version"], "left_semi")
+
+
+def bundles_in_force(rules: DataFrame) -> DataFrame:
+    """(tenant_id, rules) of the versions in force."""
+    return R.bundles(rules_in_force(rules))
+
+
 def rule_hits(requests: DataFrame, rules: DataFrame) -> DataFrame:
-    """Per rule: how often it held, was the first to hold, and was shadowed."""
+    """Per rule in force: how often it held, was the first to hold, and was shadowed."""
+    rules = rules_in_force(rules)
     joined = requests.join(broadcast_if_small(R.bundles(rules)), "tenant_id")
     held = F.filter(
         F.col("rules"),
@@ -82,24 +97,33 @@ def _atom_fault(atom: Column) -> Column:
     text = atom["field"].isin(*V.STRING_FIELDS)
     return (
         F.when(~(numeric | text) | atom["field"].isNull(), "unknown_field")
+        .when(atom["op"].isNull(), "unsupported_op")
         .when((atom["op"] == "NOT_IN") & numeric, "not_in_on_number")
         .when(atom["op"] == "NOT_IN", None)
         .when(numeric & ~atom["op"].isin(">", "<", "=="), "unsupported_op")
         .when(numeric & atom["num_value"].isNull(), "not_a_number")
         .when(text & (atom["op"] != "=="), "unsupported_op")
+        .when(text & F.get(atom["str_values"], F.lit(0)).isNull(), "no_value")
     )
 
 
-def rule_table_check(rules: DataFrame) -> DataFrame:
-    """Faulty rules with the first fault of each."""
+def _rule_fault() -> Column:
+    """The first fault of a rule: its atoms, how they are joined, its action."""
     faults = F.filter(F.transform(F.col("atoms"), _atom_fault), lambda fault: fault.isNotNull())
-    action_known = F.upper("action").isin(*V.ACTIONS)
-    fault = F.coalesce(
+    joins = F.transform(F.slice("atoms", 2, F.greatest(F.size("atoms"), F.lit(1))), lambda a: a["connective"])
+    known = F.forall(joins, lambda c: F.coalesce(c.isin("AND", "OR"), F.lit(False)))
+    return F.coalesce(
+        F.when(F.coalesce(F.size("atoms") < 1, F.lit(True)), "no_condition"),
         F.get(faults, F.lit(0)),
-        F.when(~F.coalesce(action_known, F.lit(False)), "unknown_action"),
+        F.when(~known, "unknown_connective"),
+        F.when(~F.coalesce(F.upper("action").isin(*V.ACTIONS), F.lit(False)), "unknown_action"),
     )
+
+
+def rule_table_check(rules: DataFrame) -> DataFrame:
+    """Faulty rules with the first fault of each."""
     return (
-        rules.withColumn("fault", fault)
+        rules.withColumn("fault", _rule_fault())
         .filter(F.col("fault").isNotNull())
         .select("tenant_id", "version", "rule_order", "rule_name", "fault")
     )
@@ -110,10 +134,7 @@ def live_versions(rules: DataFrame) -> DataFrame:
 
     `rules` has written_at; a faulty version leaves the one before it in force.
     """
-    faulty = F.coalesce(
-        F.exists(F.transform(F.col("atoms"), _atom_fault), lambda fault: fault.isNotNull()),
-        F.lit(False),
-    ) | ~F.coalesce(F.upper("action").isin(*V.ACTIONS), F.lit(False))
+    faulty = _rule_fault().isNotNull()
     versions = rules.groupBy("tenant_id", "version").agg(
         F.max("written_at").alias("written_at"),
         F.count(F.lit(1)).alias("n_rules"),
@@ -133,25 +154,28 @@ def content_version(source: Column) -> Column:
 
 
 def register_policy_versions(
-    sources: DataFrame, as_of: Column, ttl_hours: int = V.POLICY_TTL_HOURS
+    sources: DataFrame, as_of: Column | None = None, ttl_hours: int = V.POLICY_TTL_HOURS
 ) -> DataFrame:
-    """Live content-addressed versions: one row per (tenant, version).
+    """Content-addressed versions: one row per (tenant, version) ever written.
 
     Writing the same source again renews the entry; entries end `ttl_hours` after
-    their last write.  `is_latest` marks each tenant's newest live version.
+    their last write.  `is_live` tells those there at `as_of`, by default the time of
+    the newest write; `is_latest` marks each tenant's newest live version.
     """
+    if as_of is None:
+        as_of = F.lit(sources.agg(F.max("written_at")).first()[0])
     # Only the hash, not the source text, is shuffled.
     versions = (
         sources.select("tenant_id", content_version(F.col("source")).alias("version"), "written_at")
         .groupBy("tenant_id", "version")
         .agg(F.max("written_at").alias("written_at"), F.count(F.lit(1)).alias("n_writes"))
         .withColumn("expires_at", F.col("written_at") + F.expr(f"INTERVAL {ttl_hours} HOURS"))
-        .filter((F.col("written_at") <= as_of) & (F.col("expires_at") > as_of))
+        .withColumn("is_live", (F.col("written_at") <= as_of) & (F.col("expires_at") > as_of))
     )
     latest = versions.groupBy("tenant_id").agg(
-        F.max(F.struct("written_at", "version"))["version"].alias("_latest")
+        F.max(F.when(F.col("is_live"), F.struct("written_at", "version")))["version"].alias("_latest")
     )
     return versions.join(latest, "tenant_id").select(
-        "tenant_id", "version", "written_at", "n_writes", "expires_at",
-        (F.col("version") == F.col("_latest")).alias("is_latest"),
+        "tenant_id", "version", "written_at", "n_writes", "expires_at", "is_live",
+        F.coalesce(F.col("version") == F.col("_latest"), F.lit(False)).alias("is_latest"),
     )

@@ -8,6 +8,7 @@ from ..functions import fixed_values as V
 from ..functions import rules as R
 from ..functions.slots import micros, slot
 from ..session import broadcast_if_small, ship_package, write_stage
+from .policy import bundles_in_force
 
 SLOT_SECONDS = 1
 CHUNK_ROWS = 1_000_000
@@ -92,6 +93,7 @@ def quota_policy_fold(
     order_id: str = "request_id",
     slot_seconds: int = SLOT_SECONDS,
     chunk_rows: int = CHUNK_ROWS,
+    force_model: str | None = None,
 ) -> DataFrame:
     """Quota and policy where a rule reads the tenant's tokens of the day.
 
@@ -105,7 +107,7 @@ def quota_policy_fold(
     policy_action and policy_reason.
     """
     ship_package(requests.sparkSession)
-    bundles = R.bundles(rules).select(
+    bundles = bundles_in_force(rules).select(
         F.col("tenant_id").alias("_tenant"), "rules", R.token_bounds(F.col("rules")).alias("_bounds")
     )
     rows = (
@@ -129,9 +131,10 @@ def quota_policy_fold(
 
     with_rules = rows.join(broadcast_if_small(bundles), "_tenant", "left")
 
+    model = F.lit(force_model) if force_model else F.col("model")
+
     def verdict_at(total):
-        rule = R.first_match(F.col("rules"), F.col("score"), F.col("model"), total)
-        return F.struct(*[rule[name].alias(name) for name in R.VERDICT_FIELDS])
+        return R.first_match_index(F.col("rules"), F.col("score"), model, total)
 
     verdicts = F.transform(
         R.token_samples(F.coalesce(F.col("_bounds"), F.array().cast("array<double>"))), verdict_at
@@ -139,7 +142,8 @@ def quota_policy_fold(
     prepared = with_rules.withColumn("_verdicts", verdicts).withColumn(
         "_blocked",
         F.transform(
-            F.col("_verdicts"), lambda v: F.coalesce(v["action"] == "BLOCK", F.lit(False))
+            F.col("_verdicts"),
+            lambda v: F.coalesce(F.get(F.col("rules"), v)["action"] == "BLOCK", F.lit(False)),
         ),
     ).drop("rules")
     if last_chunk:
@@ -177,8 +181,11 @@ def quota_policy_fold(
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
-    verdict = F.get(F.col("_verdicts"), F.col("_range"))
-    return result.select(
+    # Rows went through the fold with the places of their rules; names are looked up now.
+    named = result.join(broadcast_if_small(bundles.drop("_bounds")), "_tenant", "left")
+    place = F.get(F.col("_verdicts"), F.col("_range"))
+    verdict = F.when(place >= 0, F.get(F.col("rules"), place))
+    return named.select(
         *requests.columns,
         "used_before",
         "quota_ok",

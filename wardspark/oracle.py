@@ -367,9 +367,9 @@ FORWARDS = (
 )
 
 
-def _buckets(value: str, by: str, table: str, buckets) -> str:
+def _buckets(value: str, by: str, table: str, buckets, digits: int = 3) -> str:
     """Cumulative buckets as rows of le, cumulative, total, sum."""
-    bounds = ", ".join(f"({b}::DOUBLE, '{b:.3f}')" for b in buckets)
+    bounds = ", ".join(f"({b}::DOUBLE, '{b:.{digits}f}')" for b in buckets)
     keys = ", ".join(f"h.{k}" for k in by.split(", "))
     return (
         f"per AS (SELECT {by}, count(*) AS total, sum({value}) AS sum FROM {table} GROUP BY {by}), "
@@ -511,14 +511,13 @@ def oracle_sql() -> dict[str, str]:
                 f"WHERE tenant_id = {_text(tenant)} AND {rule_condition(rule, 'daily_tokens')}"
             )
     sql["rule_hits"] = _with(CONTEXTS) + " UNION ALL ".join(hit_parts)
-    as_of = f"make_timestamp({W.BASE_US + 86_400_000_000})"
     sql["policy_versions"] = (
         "WITH versions AS (SELECT source AS tenant_id, substr(sha256(text), 1, 16) AS version, "
         f"make_timestamp(max({W.BASE_US} + doc_id * 60000000)) AS written_at, count(*) AS n_writes "
-        "FROM documents GROUP BY 1, 2), live AS (SELECT *, written_at + INTERVAL 24 HOURS AS expires_at FROM versions "
-        f"WHERE written_at <= {as_of} AND written_at + INTERVAL 24 HOURS > {as_of}) "
-        "SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY written_at DESC, version DESC) = 1 AS is_latest "
-        "FROM live"
+        "FROM documents GROUP BY 1, 2), lives AS (SELECT *, written_at + INTERVAL 24 HOURS AS expires_at, "
+        "written_at + INTERVAL 24 HOURS > (SELECT max(written_at) FROM versions) AS is_live FROM versions) "
+        "SELECT *, is_live AND row_number() OVER (PARTITION BY tenant_id ORDER BY is_live DESC, written_at DESC, "
+        "version DESC) = 1 AS is_latest FROM lives"
     )
 
     flag_columns = ", ".join(f"{body} AS {name}" for name, body in flags_sql("text").items())
@@ -545,6 +544,7 @@ def oracle_sql() -> dict[str, str]:
         CONTEXTS, *rate_views("contexts", RATE_LIMIT, RATE_WINDOW), recursive=True
     ) + "SELECT tenant_id, request_id, admitted, remaining FROM rated"
     sql["live_rate_limit"] = sql["rate_limit"]
+    sql["live_policy"] = sql["policy_rule_join"]
     sql["daily_quota"] = _with(
         CONTEXTS,
         "sums AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY tenant_id, CAST(ts AS DATE) "
@@ -599,6 +599,19 @@ def oracle_sql() -> dict[str, str]:
         "real_gaps AS (SELECT * FROM gaps WHERE seconds IS NOT NULL)",
         _buckets("seconds", "kind", "real_gaps", V.INTER_CHUNK_BUCKETS),
     ) + "SELECT kind, le, cumulative, total, round(sum, 4) AS sum FROM cumulative"
+    sql["ttft_histogram"] = _with(
+        *STREAMS, FORWARDS,
+        "sums AS (SELECT stream_id, min(us) AS first_us FROM forwards GROUP BY stream_id)",
+        "spans AS (SELECT stream_id, min(us) AS start_us, max(us) AS end_us FROM sent GROUP BY stream_id)",
+        "times AS (SELECT stream_id % 5 AS kind, (coalesce(first_us, CASE WHEN NOT aborted THEN end_us END) - start_us) "
+        "/ 1e6 AS seconds FROM outcomes LEFT JOIN sums USING (stream_id) JOIN spans USING (stream_id))",
+        "real_times AS (SELECT * FROM times WHERE seconds IS NOT NULL)",
+        _buckets("seconds", "kind", "real_times", V.TTFT_BUCKETS),
+    ) + "SELECT kind, le, cumulative, total, round(sum, 4) AS sum FROM cumulative"
+    sql["check_histogram"] = _with(
+        LATENCIES, "checks AS (SELECT tenant_id, seconds / 1000 AS seconds FROM latencies)",
+        _buckets("seconds", "tenant_id", "checks", V.CHECK_BUCKETS, 6),
+    ) + "SELECT tenant_id, le, cumulative, total, round(sum, 4) AS sum FROM cumulative"
     sql["stream_aborts"] = _with(*STREAMS) + (
         "SELECT tenant_id, count(*) AS n FROM outcomes JOIN answers USING (stream_id) WHERE aborted GROUP BY tenant_id"
     )
@@ -642,10 +655,24 @@ def oracle_sql() -> dict[str, str]:
         "CASE WHEN error = 'guardrail_block' THEN 'Request blocked by input safety policy' "
         "WHEN error = 'policy_block' THEN policy_reason END AS reason FROM decided WHERE path <> '/v1/stream'"
     )
-    sql["blocks_total"] = decided + (
+    stream_texts = "sent_texts AS (SELECT request_id AS stream_id, response_text FROM requests WHERE path = '/v1/stream')"
+    with_streams = (
+        decided.rstrip() + ", "
+        + ", ".join([stream_texts, *[
+            v.replace("scanned AS", "scanned_chunks AS", 1).replace("FROM scanned GROUP", "FROM scanned_chunks GROUP")
+            for v in chunk_views("sent_texts", "response_text", "stream_id")
+        ]])
+    )
+    ended = (
+        ", all_decided AS MATERIALIZED (SELECT d.* REPLACE (CASE WHEN error IS NULL AND aborted THEN "
+        "'output_policy_violation' ELSE error END AS error), path = '/v1/stream' AS stream, abort_stage, "
+        "error IS NULL AND forwarded_bytes > CASE WHEN aborted THEN 0 ELSE "
+        f"{LIMITS.window_bytes} END AS first_sent FROM decided d LEFT JOIN outcomes o ON o.stream_id = d.request_id) "
+    )
+    sql["blocks_total"] = with_streams + ended + (
         "SELECT tenant_id, stage, count(*) AS n FROM (SELECT tenant_id, CASE WHEN error = 'guardrail_block' THEN 'input' "
         "WHEN error = 'output_policy_violation' AND path = '/v1/stream' THEN 'output' "
-        "WHEN error = 'output_policy_violation' THEN 'output_sync' END AS stage FROM decided) "
+        "WHEN error = 'output_policy_violation' THEN 'output_sync' END AS stage FROM all_decided) "
         "WHERE stage IS NOT NULL AND tenant_id IS NOT NULL GROUP BY tenant_id, stage"
     )
     sql["policy_verdicts"] = decided + (
@@ -656,13 +683,8 @@ def oracle_sql() -> dict[str, str]:
         "SELECT tenant_id, CASE error WHEN 'rate_limit_exceeded' THEN 'rate' ELSE 'quota' END AS kind, count(*) AS n "
         "FROM decided WHERE error IN ('rate_limit_exceeded', 'daily_quota_exceeded') GROUP BY 1, 2"
     )
-    stream_texts = "sent_texts AS (SELECT request_id AS stream_id, response_text FROM requests WHERE path = '/v1/stream')"
     sql["decide_stream"] = (
-        decided.rstrip() + ", "
-        + ", ".join([stream_texts, *[
-            v.replace("scanned AS", "scanned_chunks AS", 1).replace("FROM scanned GROUP", "FROM scanned_chunks GROUP")
-            for v in chunk_views("sent_texts", "response_text", "stream_id")
-        ]])
+        with_streams
         + " SELECT request_id, tenant_id, status, CASE WHEN error IS NULL AND aborted THEN 'output_policy_violation' "
         "ELSE error END AS error, error IS NULL OR error IN ('provider_timeout', 'provider_error') AS opened, "
         "error IS NULL AND coalesce(aborted, FALSE) AS aborted, "
@@ -687,14 +709,22 @@ def oracle_sql() -> dict[str, str]:
         ("info", "provider_response_ok",
          f"{complete} AND coalesce(error, 'output_policy_violation') = 'output_policy_violation'"),
         ("warn", "output_blocked", f"{complete} AND error = 'output_policy_violation'"),
+        ("error", "stream_provider_timeout", "stream AND error = 'provider_timeout'"),
+        ("error", "stream_provider_error", "stream AND error = 'provider_error'"),
+        ("info", "stream_first_chunk_sent", "stream AND first_sent"),
+        ("warn", "stream_aborted_unsafe_output",
+         "stream AND error = 'output_policy_violation' AND abort_stage = 'flush'"),
+        ("warn", "stream_aborted_unsafe_output_drain",
+         "stream AND error = 'output_policy_violation' AND abort_stage = 'drain'"),
+        ("info", "stream_completed", "stream AND error IS NULL"),
         ("info", "request_completed", handled),
     ]
-    sql["audit_log"] = decided.rstrip() + ", base AS MATERIALIZED (SELECT * FROM decided WHERE path <> '/v1/stream') " + (
+    sql["audit_log"] = with_streams + ended + (
         " UNION ALL ".join(
             f"SELECT request_id, '{level}' AS level, '{message}' AS message, tenant_id, "
             f"{'status' if message == 'request_completed' else 'NULL::INT'} AS status, "
             f"{'score' if message.startswith('guardrail') else 'NULL::DOUBLE'} AS score, "
-            f"{'policy_rule' if message == 'policy_blocked' else 'NULL::VARCHAR'} AS rule FROM base WHERE {condition}"
+            f"{'policy_rule' if message == 'policy_blocked' else 'NULL::VARCHAR'} AS rule FROM all_decided WHERE {condition}"
             for level, message, condition in arms
         )
     )

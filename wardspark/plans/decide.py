@@ -24,6 +24,7 @@ class Limits:
     daily_tokens: int = V.DAILY_TOKENS
     window_bytes: int = V.WINDOW_BYTES
     chunk_rows: int = admission.CHUNK_ROWS
+    force_model: str | None = None  # judge all requests as if they asked for this model
 
 
 _NARROW = ["request_id", "ts", "path", "model", "provider_error"]
@@ -61,7 +62,7 @@ def _scanned(requests: DataFrame, tenants: DataFrame, limits: Limits) -> DataFra
 def reads_tokens(rules: DataFrame) -> bool:
     """True if any rule reads the tenant's tokens of the day."""
     reading = F.exists("atoms", lambda a: a["field"] == "tenant.daily_tokens")
-    return bool(rules.filter(reading).limit(1).count())
+    return not rules.filter(reading).isEmpty()
 
 
 def decide(
@@ -84,11 +85,12 @@ def decide(
 
     if reads_tokens(rules):
         judged = quota.quota_policy_fold(
-            admitted, rules, limits.daily_tokens, chunk_rows=limits.chunk_rows
+            admitted, rules, limits.daily_tokens, chunk_rows=limits.chunk_rows,
+            force_model=limits.force_model,
         )
     else:
         ruled = policy.evaluate_tenant_policies(
-            admitted.withColumn("daily_tokens", F.lit(0.0)), rules
+            admitted.withColumn("daily_tokens", F.lit(0.0)), rules, force_model=limits.force_model
         ).drop("daily_tokens")
         blocks = F.coalesce(F.col("action") == "BLOCK", F.lit(False))
         judged = quota.daily_quota(
@@ -176,6 +178,27 @@ def decide_stream(
     `chunks` holds the model's chunks with stream_id equal to request_id.
     """
     decided = decide(requests, tenants, rules, limits).filter(F.col("path") == "/v1/stream")
+    return _with_outcomes(decided, chunks, limits)
+
+
+def decide_all(
+    requests: DataFrame, tenants: DataFrame, rules: DataFrame, chunks: DataFrame,
+    limits: Limits = Limits(),
+) -> DataFrame:
+    """Decisions for every request; stream columns are null for all but streams.
+
+    `first_sent` tells whether anything was forwarded before the end of a stream.
+    """
+    decided = write_stage(decide(requests, tenants, rules, limits), "decided")
+    is_stream = F.coalesce(F.col("path") == "/v1/stream", F.lit(False))
+    streams = _with_outcomes(decided.filter(is_stream), chunks, limits)
+    # A stream that ends well sends its last window by the drain only.
+    held = F.when(F.col("aborted"), F.lit(0)).otherwise(F.lit(limits.window_bytes))
+    streams = streams.withColumn("first_sent", F.coalesce(F.col("forwarded_bytes") > held, F.lit(False)))
+    return streams.unionByName(decided.filter(~is_stream), allowMissingColumns=True)
+
+
+def _with_outcomes(decided: DataFrame, chunks: DataFrame, limits: Limits) -> DataFrame:
     outcomes = intercept.stream_abort(chunks, limits.window_bytes).withColumnRenamed(
         "stream_id", "request_id"
     )

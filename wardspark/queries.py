@@ -9,7 +9,8 @@ from .functions import fixed_values as V
 from .functions import text as T
 from .operators import access, admission, audit, intercept, metrics, policy, quota, scan
 from .plans import corpus
-from .plans.decide import Limits, decide, decide_complete, decide_stream
+from .plans.decide import Limits, decide, decide_all, decide_complete, decide_stream
+from .session import stage_folder, write_stage
 from .sources import tables, wire
 from .streaming import live
 
@@ -105,8 +106,7 @@ def rule_hits(spark, folder):
 
 
 def policy_versions(spark, folder):
-    as_of = F.timestamp_micros(F.lit(W.BASE_US + 86_400_000_000))
-    return policy.register_policy_versions(W.policy_sources(spark, folder), as_of)
+    return policy.register_policy_versions(W.policy_sources(spark, folder))
 
 
 def output_scan(spark, folder):
@@ -184,11 +184,23 @@ def inter_chunk_histogram(spark, folder):
     return _finite(histogram)
 
 
-def _finite(histogram: DataFrame) -> DataFrame:
+def ttft_histogram(spark, folder):
+    timing = intercept.stream_timing(W.chunks(spark, folder), HOLD).withColumn(
+        "kind", F.pmod("stream_id", F.lit(5))
+    )
+    return _finite(metrics.ttft_histogram(timing, ["kind"]))
+
+
+def check_histogram(spark, folder):
+    checks = W.latencies(spark, folder).withColumn("check_seconds", F.col("seconds") / 1000)
+    return _finite(metrics.check_histogram(checks, "check_seconds", ["tenant_id"]), 6)
+
+
+def _finite(histogram: DataFrame, digits: int = 3) -> DataFrame:
     """The bound as text, so that infinity compares as a plain value."""
     return histogram.withColumn(
         "le", F.when(F.col("le") == float("inf"), "+Inf").otherwise(
-            F.format_number(F.col("le"), 3))
+            F.format_number(F.col("le"), digits))
     ).withColumn("sum", F.round("sum", 4))
 
 
@@ -202,8 +214,15 @@ def _decisions(spark, folder):
     )
 
 
+def _all_decisions(spark, folder):
+    return decide_all(
+        W.requests(spark, folder), W.tenants(spark, folder), W.policy_rules(spark),
+        W.request_chunks(spark, folder), LIMITS,
+    )
+
+
 def blocks_total(spark, folder):
-    return metrics.blocks_total(_decisions(spark, folder))
+    return metrics.blocks_total(_all_decisions(spark, folder))
 
 
 def policy_verdicts(spark, folder):
@@ -268,10 +287,7 @@ def decide_stream_query(spark, folder):
 
 
 def audit_log(spark, folder):
-    decisions = decide_complete(
-        W.requests(spark, folder), W.tenants(spark, folder), W.policy_rules(spark), LIMITS
-    )
-    events = audit.audit_events(decisions, "info")
+    events = audit.audit_events(_all_decisions(spark, folder), "info")
     return events.select(
         F.col("fields.request_id").alias("request_id"), "level", "message",
         F.col("fields.tenant_id").alias("tenant_id"), F.col("fields.status").alias("status"),
@@ -349,6 +365,21 @@ def live_input_scan(spark, folder):
     )
 
 
+def live_policy(spark, folder):
+    """Each micro-batch judged by the rules in force when it starts, one folder per batch."""
+    events = tables.stream_table(spark, folder, "events", FILES_PER_TRIGGER)
+    base = stage_folder(spark, "live-policy")
+    rules = write_stage(W.policy_rules(spark), "rules")
+
+    def write(decided, batch_id):
+        decided.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+
+    query = live.live_decisions(W._select(events, W.context_columns(False)), lambda: rules, write)
+    query.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    decided = spark.read.parquet(f"{base}/out")
+    return decided.select("request_id", "tenant_id", "matched", "rule_name", "action", "reason")
+
+
 def live_counters(spark, folder):
     events = _in_time(spark, folder, "events", W.latency_columns(False), "live-counters")
     counts = live.live_counters(events, ["tenant_id", "status"], window="1 day", watermark=DELAY)
@@ -399,6 +430,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_abort": stream_abort,
     "stream_timing": stream_timing,
     "inter_chunk_histogram": inter_chunk_histogram,
+    "ttft_histogram": ttft_histogram,
+    "check_histogram": check_histogram,
     "requests_total": requests_total,
     "blocks_total": blocks_total,
     "policy_verdicts": policy_verdicts,
@@ -418,6 +451,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "live_daily_quota": live_daily_quota,
     "live_intercept": live_intercept,
     "live_input_scan": live_input_scan,
+    "live_policy": live_policy,
     "live_counters": live_counters,
     "live_histogram": live_histogram,
 }

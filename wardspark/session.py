@@ -60,21 +60,34 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def broadcast_if_small(df, max_rows: int = 100_000):
-    """Broadcast hint for a side proven to have at most `max_rows` rows.
+def broadcast_if_small(df, max_bytes: int = 16 << 20):
+    """Broadcast hint for a side that the plan's statistics prove to be small.
 
-    Beyond that the join is left to Spark, which shuffles and splits hot keys.
+    Sizes of tables are those of their files, so no job runs here.  Where the size is
+    larger or not known the join is left to Spark, which decides once it has seen the
+    data, shuffles, and splits hot keys.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= max_bytes else df
+
+
+def stage_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one; it goes when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(context._jsc.hadoopConfiguration())
+    system.mkdirs(where)
+    system.deleteOnExit(where)
+    return path
 
 
 def write_stage(df, name: str):
     """Write an intermediate table to the shared folder and read it back.
 
     Later steps then start from files that survive lost executors, and Spark knows
-    the table's size when it chooses a join.
+    the table's size when it chooses a join.  The files go when the application ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = stage_folder(df.sparkSession, name)
+    df.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,10 +1,8 @@
 """Tables as batch and streaming DataFrames."""
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import shared_dir
+from ..session import stage_folder
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -49,7 +47,7 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
     Output and checkpoint lie in the shared folder.
     """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    base = stage_folder(spark, name)
     query = (
         stream.writeStream.format("parquet")
         .option("path", f"{base}/out")
@@ -78,7 +76,7 @@ def split_late(
     row without a key; `closing_row` tells it.
     """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    base = stage_folder(spark, name)
 
     def split(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession

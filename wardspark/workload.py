@@ -5,9 +5,12 @@ id.  Expressions that Spark and DuckDB read alike are plain SQL text here, so th
 checks in DuckDB see the same rows.
 """
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions.rules import RULE_SCHEMA, Atom, Rule
+from .session import write_stage
 from .sources.tables import read_table, spread
 
 # FIXED VALUES - prompts put before a text; blank ones leave it as it is.
@@ -150,21 +153,29 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tenants(spark: SparkSession, folder: str) -> DataFrame:
+    """One tenant per event type; staged, so that its size is known to later plans."""
     kinds = read_table(spark, folder, "events").select("event_type").distinct()
-    return kinds.selectExpr(
+    return write_stage(kinds.selectExpr(
         "'key-' || event_type AS api_key", "event_type AS tenant_id", "upper(event_type) AS tenant_name"
-    )
+    ), "tenants")
 
 
 def policy_rules(spark: SparkSession) -> DataFrame:
+    """Three versions per tenant: an old one, the one in force, and a newer faulty one."""
+    old = [Rule("old", (Atom("input.risk_score", ">", 0.0),), "BLOCK", "replaced since")]
+    faulty = [
+        Rule("newest", (Atom("input.risk_score", ">", 0.0),), "BLOCK", "never in force"),
+        Rule("broken", (Atom("request.model", "=="),), "BLOCK", "no model named"),
+    ]
     rows = [
         (
-            tenant, "v1", order, rule.rule_name,
+            tenant, version, order, rule.rule_name,
             [(a.connective, a.field, a.op, a.num_value, list(a.str_values)) for a in rule.atoms],
-            rule.action, rule.reason,
+            rule.action, rule.reason, dt.datetime(2024, 1, day, tzinfo=dt.UTC),
         )
         for tenant, rules in TENANT_RULES.items()
-        for order, rule in enumerate(rules)
+        for day, (version, written) in enumerate({"v1": old, "v2": rules, "v3": faulty}.items(), 1)
+        for order, rule in enumerate(written)
     ]
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
