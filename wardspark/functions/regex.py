@@ -143,8 +143,12 @@ def leads(body: str) -> dict[str, bool] | None:
 
 
 def folded(text: Column) -> Column:
-    """Case-folded text for patterns that start with ``(?i)``."""
-    return F.lower(F.translate(text, _FOLD_FROM, _FOLD_TO))
+    """Case-folded text for patterns that start with ``(?i)``.
+
+    Character by character translation only runs where one of those few is found.
+    """
+    odd = text.rlike(char_class(_FOLD_FROM))
+    return F.lower(F.when(odd, F.translate(text, _FOLD_FROM, _FOLD_TO)).otherwise(text))
 
 
 def char_class(chars: str) -> str:

@@ -7,6 +7,7 @@ from ..functions import output as O
 from ..functions import signals as S
 from ..functions import text as T
 from ..functions.regex import contains_any, folded
+from ..session import ship_package
 
 SIGNAL_NAMES = tuple(V.SIGNAL_WEIGHTS)
 
@@ -20,6 +21,7 @@ def with_signals(df: DataFrame, text_col: str, keep: list[str] | None = None) ->
     projection of its own; none of them shuffles.
     """
     keep = keep if keep is not None else df.columns
+    ship_package(df.sparkSession)
     lower = folded(F.col(text_col))
     squeezed = df.select(
         *keep,

@@ -114,7 +114,7 @@ def output_scan(spark, folder):
 
 
 def page_scan(spark, folder):
-    return scan.output_scan(tables.read_table(spark, folder, "pages"), "html", ["page_id"])
+    return scan.output_scan(W._texts(spark, folder, "pages"), "html", ["page_id"])
 
 
 def output_scan_views(spark, folder):

@@ -98,13 +98,9 @@ def extract_deltas(raw_streams: DataFrame) -> DataFrame:
 
     Malformed frames, frames without choices and empty deltas are skipped.
     """
+    parsed = F.transform(_frames(F.col("raw")), F.try_parse_json)  # each frame once
     deltas = F.filter(
-        F.transform(
-            _frames(F.col("raw")),
-            lambda payload: _variant_string(
-                F.try_parse_json(payload), "$.choices[0].delta.content"
-            ),
-        ),
+        F.transform(parsed, lambda frame: _variant_string(frame, "$.choices[0].delta.content")),
         lambda delta: delta.isNotNull() & (delta != ""),
     )
     return raw_streams.select(

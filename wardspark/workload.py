@@ -277,7 +277,7 @@ def raw_stream_columns() -> dict[str, str]:
 
 
 def raw_streams(spark: SparkSession, folder: str) -> DataFrame:
-    return _select(read_table(spark, folder, "conversations"), raw_stream_columns())
+    return _select(_texts(spark, folder, "conversations"), raw_stream_columns())
 
 
 def json_streams(spark: SparkSession, folder: str) -> DataFrame:
@@ -294,7 +294,7 @@ def json_streams(spark: SparkSession, folder: str) -> DataFrame:
         F.array(F.lit('data: {"choices":[{"delta":{"content":5}}]}'), F.lit("data: [DONE]"),
                 F.lit('data: {"choices":[{"delta":{"content":"late"}}]}')),
     )
-    return read_table(spark, folder, "conversations").select(
+    return _texts(spark, folder, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("stream_id"),
         F.array_join(lines, "\n\n").alias("raw"),
     )
@@ -311,7 +311,7 @@ def raw_completions(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("conv_id") % 5 != 0, choices).alias("choices"),
         F.when(F.col("turn") % 3 != 0, usage).alias("usage"),
     )
-    return read_table(spark, folder, "conversations").select(
+    return _texts(spark, folder, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), F.to_json(doc).alias("raw")
     )
 
