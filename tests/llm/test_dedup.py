@@ -72,11 +72,12 @@ def test_classes_equal_those_of_all_pairs(make_docs):
     assert got == brute(rows)
 
 
-def test_one_large_group_whose_members_differ(make_docs, monkeypatch):
+@pytest.mark.parametrize("stars", [1, 8])
+def test_one_large_group_whose_members_differ(make_docs, monkeypatch, stars):
     draw = random.Random(8)
     base = [f"w{draw.randrange(400)}" for _ in range(120)]
-    rows = [(i, " ".join(edit(base, draw, draw.randint(0, 3)))) for i in range(150)]
-    monkeypatch.setattr(M, "STARS", (1, 2))
+    rows = [(i, " ".join(edit(base, draw, draw.randint(0, 5)))) for i in range(150)]
+    monkeypatch.setattr(M, "STARS", stars)
     monkeypatch.setattr(M, "SALT_MEMBERS", 7)
     assert classes(make_docs([(i, t, None) for i, t in rows])) == brute(rows)
 
@@ -127,3 +128,19 @@ def test_components_of_a_path(spark, n):
     links = spark.createDataFrame([(f"{i:03}".encode(), f"{i + 1:03}".encode()) for i in range(n)], "a binary, b binary")
     got = M.components(links, "a", "b").collect()
     assert len(got) == n + 1 and {bytes(r.label) for r in got} == {b"000"}
+
+
+def test_rare_units_find_all_pairs_that_are_alike(make_docs, spark):
+    draw = random.Random(21)
+    base = [f"w{draw.randrange(60)}" for _ in range(70)]
+    texts = [" ".join(edit(base[draw.choice([0, 0, 3]) :], draw, draw.randint(0, 4))) for _ in range(60)]
+    texts += [" ".join(f"w{draw.randrange(60)}" for _ in range(70)) for _ in range(10)]
+    docs = make_docs(list(dict.fromkeys(texts)))
+    named = docs.select("doc_id", "text", M.node_of().alias("node"))
+    members = M.stage(named.select("node", M.F.col("node").alias("label")), "members")
+    found = M.rare_meetings(docs, members, members.select("node"), 0.8)
+    ids = {bytes(r.node): r.doc_id for r in named.collect()}
+    got = {(ids[bytes(r.node)], ids[bytes(r.star)]) for r in found.collect()}
+    rows = {r.doc_id: bag(r.text) for r in named.collect()}
+    want = {(a, b) for a in rows for b in rows if a != b and jaccard(rows[a], rows[b]) >= 0.8}
+    assert want and want <= got

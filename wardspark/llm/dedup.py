@@ -8,10 +8,15 @@ About k ln k + 2k darts fill all k coordinates, whatever the text's length; a te
 empty coordinate looks on for twice as long.
 
 Equal texts are one node.  Nodes that agree on a whole band meet in a bucket.  No bucket
-is expanded into pairs: first all its members are compared exactly with one of them, the
-star; then, only in buckets whose members are still in different classes, with more and
-more stars, until every member has been one or no such bucket is left.  So all pairs that
-meet are either compared or already in one class, and classes are those of all pairs.
+is expanded into pairs.  First all its members are compared exactly with one of them, the
+star: the most central one, which meets the most others over all its buckets.  Then, only
+in buckets whose members are still in different classes, those outside the bucket's main
+class are compared with `STARS` more central members.  What is still apart is settled by
+an exact filter: two texts that are alike share one of their rarest shingles, so outsiders
+are joined with the members of such buckets on these, and only pairs that meet again are
+compared.  A text with many shingles of its own meets nobody there, however many members
+its bucket has.  So all pairs that meet in a bucket are either in one class or proven
+unlike, and classes are those of all pairs.
 
 The result is one row per document: `class_id` is the least doc_id of the class.  Texts
 without words are in a class only with equal texts.  Null text counts as empty.  Documents
@@ -24,14 +29,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import ship_package
 from .common import SHINGLE_WORDS, SIMILARITY, batch_words, bounded_broadcast, mix, stage, text_shingles
 from .learn import batches_of
 
 BANDS, ROWS = 24, 4
-STARS = (8, 8)  # stars of the second round, and by how much they grow each round
+STARS = 8
 SALT_MEMBERS = 64
 
 _LAYER = np.uint64(0xA24BAED4963EE407)
@@ -220,48 +225,116 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
             return labels
 
 
+def with_units(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, size, unit: every unit of weight of the given nodes' texts."""
+    texts = (
+        docs.select(node_of().alias("node"), "text").join(bounded_broadcast(nodes), "node", "left_semi")
+        .groupBy("node").agg(F.first("text").alias("text"))
+    )
+
+    def units(parts):
+        for batch in parts:
+            texts = batch.column("text").to_pylist()
+            for a, b in batches_of(texts):
+                found, owner = weight_units(*batch_words(texts[a:b]))
+                size = np.bincount(owner, minlength=b - a)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("node")[a:b].take(pa.array(owner)), pa.array(size[owner], pa.int64()),
+                        pa.array(found.view(np.int64)),
+                    ],
+                    ["node", "size", "unit"],
+                )
+
+    return texts.mapInArrow(units, "node binary, size long, unit long")
+
+
+def rare_meetings(
+    docs: DataFrame, members: DataFrame, outsiders: DataFrame, similarity: float
+) -> DataFrame:
+    """Pairs (node, star) of an outsider and a member of another class that may be alike.
+
+    members(node, label), outsiders(node).  Texts of m and n units that are alike share
+    at least s(m+n)/(1+s); if units are put in one order, rarest first, then the first
+    m-that+1 of one and the first n-that+1 of the other have a unit in common.
+    """
+    units = stage(with_units(docs, members.select("node")), "units")
+    spread = units.groupBy("unit").agg(F.count("*").alias("texts"))
+    order = Window.partitionBy("node").orderBy("texts", "unit")
+    ranked = units.join(spread, "unit").withColumn("rank", F.row_number().over(order)).where(
+        F.col("rank") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
+    )
+    first = stage(ranked.where("texts > 1").join(members, "node"), "rare-units")
+    left = first.join(bounded_broadcast(outsiders), "node", "left_semi")
+    right = first.select(
+        "unit", F.col("node").alias("star"), F.col("size").alias("star_size"),
+        F.col("rank").alias("star_rank"), F.col("label").alias("star_label"),
+    )
+    shared = F.ceil((F.col("size") + F.col("star_size")) * (similarity / (1 + similarity)) - 1e-9)
+    near = left.join(right, "unit").where(
+        (F.col("label") != F.col("star_label"))
+        & (F.col("rank") <= F.col("size") - shared + 1)
+        & (F.col("star_rank") <= F.col("star_size") - shared + 1)
+    )
+    return near.select("node", "star").distinct()
+
+
 def link_classes(docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame | None:
     """node, label for all nodes that are linked to another; None if there are none."""
     buckets = nodes.select("node", F.explode("keys").alias("bucket"))
-    draw = F.pmod(F.xxhash64("node"), F.lit(1 << 40)) / float(1 << 40)
-    sizes = stage(
-        buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("star")).where("n > 1"), "buckets"
-    )
+    sizes = stage(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     if sizes.isEmpty():
         return None
-    shared = stage(buckets.join(bounded_broadcast(sizes), "bucket").withColumn("u", draw), "shared-buckets")
-    tried = stage(shared.where("node != star").select("node", "star").distinct(), "pairs")
+    shared = stage(buckets.join(bounded_broadcast(sizes), "bucket"), "shared-buckets")
+    central = shared.groupBy("node").agg(F.sum("n").alias("meets"))
+    placed = stage(shared.drop("n").join(central, "node"), "placed")
+    star = F.max_by("node", F.struct("meets", "node"))
+    stars = stage(placed.groupBy("bucket").agg(star.alias("star")), "bucket-stars")
+    pairs = placed.join(bounded_broadcast(stars), "bucket").where("node != star").select("node", "star").distinct()
+    tried = stage(pairs, "pairs")
     links = stage(verify(docs, tried, similarity), "links")
     labels = components(links, "node", "star")
-    low, high = 0, STARS[0]
-    while True:
-        # buckets whose members are in several classes, and whose stars are not all done
-        named = shared.select("bucket", "node", "n", "u").where(F.col("n") > low).join(labels, "node", "left").withColumn(
-            "label", F.coalesce("label", "node")
-        )
-        mixed = stage(
-            named.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most")
-            .select("bucket"),
-            "mixed",
-        )
-        if mixed.isEmpty():
-            return labels
-        rest = stage(named.join(bounded_broadcast(mixed), "bucket"), "mixed-buckets")
-        turn = (F.col("u") * F.col("n") >= low) & (F.col("u") * F.col("n") < high)
-        stars = rest.where(turn).select("bucket", F.col("node").alias("star"), F.col("label").alias("star_label"))
-        pairs = (
-            rest.join(stars, "bucket").where("label != star_label")
-            .select(F.least("node", "star").alias("node"), F.greatest("node", "star").alias("star")).distinct()
-        )
-        seen = tried.select(F.least("node", "star").alias("node"), F.greatest("node", "star").alias("star"))
-        fresh = stage(pairs.join(seen, ["node", "star"], "left_anti"), "pairs")
-        if not fresh.isEmpty():
-            tried = tried.union(fresh)
-            found = stage(verify(docs, fresh, similarity), "links")
-            if not found.isEmpty():
-                links = links.union(found)
-                labels = components(links, "node", "star")
-        low, high = high, high * STARS[1]
+
+    outsiders = _outsiders(placed, labels)
+    if outsiders is None:
+        return labels
+    salted = outsiders.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(STARS)))
+    more = salted.groupBy("bucket", "salt").agg(star.alias("star"), F.max_by("label", F.struct("meets", "node")).alias("star_label"))
+    pairs = (
+        outsiders.where("outside").join(bounded_broadcast(stage(more, "more-stars")), "bucket")
+        .where("label != star_label").select("node", "star").distinct()
+    )
+    fresh = stage(pairs.join(tried, ["node", "star"], "left_anti"), "pairs")
+    links = links.union(stage(verify(docs, fresh, similarity), "links"))
+    labels = components(links, "node", "star")
+
+    outsiders = _outsiders(placed, labels)
+    if outsiders is None:
+        return labels
+    members = stage(outsiders.select("node", "label").distinct(), "members")
+    outside = stage(outsiders.where("outside").select("node").distinct(), "outside")
+    known = tried.union(fresh)
+    pairs = rare_meetings(docs, members, outside, similarity).join(known, ["node", "star"], "left_anti")
+    links = links.union(stage(verify(docs, stage(pairs, "pairs"), similarity), "links"))
+    return components(links, "node", "star")
+
+
+def _outsiders(placed: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """Rows of buckets with several classes: bucket, node, label, meets, outside.
+
+    `outside` marks rows that are not of the class that most rows of their bucket have.
+    Any two rows of a bucket in different classes include one of these.
+    """
+    named = placed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    counts = named.groupBy("bucket", "label").agg(F.count("*").alias("rows"))
+    main = counts.groupBy("bucket").agg(
+        F.max_by("label", F.struct("rows", "label")).alias("main"), F.count("*").alias("classes")
+    ).where("classes > 1").drop("classes")
+    main = stage(main, "mixed-buckets")
+    if main.isEmpty():
+        return None
+    rows = named.join(bounded_broadcast(main), "bucket").withColumn("outside", F.col("label") != F.col("main"))
+    return stage(rows.drop("main"), "mixed-rows")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
