@@ -93,3 +93,14 @@ def test_best_fit_takes_the_tightest_bin():
 def test_repeated_ids_are_packed_one_by_one(make_docs):
     rows = packing.pack_documents(make_docs([(None, "a b", None), (None, "a b", None)])).collect()
     assert len(rows) == 2 and {r.offset for r in rows} == {0, 3}
+
+
+def test_both_libraries_agree_on_every_code_point(library):
+    words = tokens.vocabulary(tokens.default_vocabulary())
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{chr(c)}b {chr(c)}1{chr(c)} {chr(c)}{chr(c)}. " for c in points[i : i + 64]) for i in range(0, len(points), 64)]
+    for i in range(0, len(texts), 2000):
+        part = texts[i : i + 2000]
+        for text, want in zip(part, library.encode_batch_fast(part, add_special_tokens=False)):
+            assert words.ids(text).tolist() == want.ids
+            assert words.total(text) == len(want.ids)
