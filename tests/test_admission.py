@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from wardspark import workload as W
 from wardspark.functions.rules import RULE_SCHEMA
 from wardspark.operators import admission, quota
 
@@ -118,7 +119,7 @@ def test_quota_with_token_rules_equals_plain_fold(spark, chunk_rows):
         cost = 0 if action == "BLOCK" else tokens
         used[key] = total + cost
         want[rid] = (total, True, cost, name)
-    rules = spark.createDataFrame(RULES, RULE_SCHEMA)
+    rules = spark.createDataFrame([(*r, None) for r in RULES], RULE_SCHEMA)
     got = quota.quota_policy_fold(usage_frame(spark, rows), rules, 200, chunk_rows=chunk_rows)
     assert {
         r.request_id: (r.used_before, r.quota_ok, r.charged, r.policy_rule) for r in got.collect()
@@ -132,3 +133,30 @@ def test_charge(spark):
     )
     costs = df.select(quota.charge(F.col("prompt"), F.col("text"), F.col("i"), F.col("o")).alias("n"))
     assert [r.n for r in costs.collect()] == [2, 4, 1, 7]
+
+
+def test_rounds_do_not_read_the_input_again(spark):
+    """The input is read as often for two rounds as for many."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    rows = [("hot", 1_700_000_000_000_000 + i * 100_000, i, 0.5, "m", 1) for i in range(400)]
+    df = spark.createDataFrame(rows, "tenant_id string, us long, request_id long, score double, model string, tokens long")
+    source = df.withColumn("ts", F.timestamp_micros("us")).drop("us")
+    source = source.mapInPandas(counted, source.schema)
+    seen = []
+    for chunk_rows in (250, 20):
+        before = read.value
+        admission.admit(source.select("tenant_id", "ts", "request_id"), 3, 1.0, chunk_rows=chunk_rows).collect()
+        seen.append(read.value - before)
+    assert seen[0] == seen[1]
+    seen = []
+    for chunk_rows in (250, 20):
+        before = read.value
+        quota.quota_policy_fold(source, W.policy_rules(spark), 300, chunk_rows=chunk_rows).collect()
+        seen.append(read.value - before)
+    assert seen[0] == seen[1]

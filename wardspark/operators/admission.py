@@ -10,9 +10,11 @@ counts per tenant and short time slot tell where the limit can bind at all.
 * Where it can, neighbouring slots form clusters that no other cluster influences.
   Clusters are folded in time order, packed to about `chunk_rows` rows.  A longer
   cluster is cut into chunks of that size, folded one after the other; the admitted
-  requests of the last window carry over from chunk to chunk.
+  requests of the last window carry over from chunk to chunk.  Contested rows are written
+  once by chunk, so that a round reads its own chunk only.
 
-No task ever holds more than two chunks, however many rows a tenant has.
+A task holds a chunk and the admitted requests of one window, however many rows a tenant
+has.  A slot is never cut: one that alone has more than `chunk_rows` rows is one chunk.
 """
 
 import numpy as np
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions import fixed_values as V
 from ..functions.slots import micros, slot
-from ..session import ship_package, write_stage
+from ..session import ship_package, write_parts, write_stage
 
 SLOTS_PER_WINDOW = 60
 CHUNK_ROWS = 1_000_000
@@ -151,12 +153,13 @@ def _fold_chunks(
     past = (
         rows.join(lead_slots, ["_tenant", "_slot"]).withColumn("_past", F.lit(True))
     )
+    contested = rows.join(fold_slots, ["_tenant", "_slot"])
+    if last_chunk:
+        contested = write_parts(contested, "rate-rows", "_chunk")
+        past = write_stage(past, "rate-leads")
     parts = []
     for chunk in range(last_chunk + 1):
-        current = (
-            rows.join(fold_slots.filter(F.col("_chunk") == chunk).drop("_chunk"), ["_tenant", "_slot"])
-            .withColumn("_past", F.lit(False))
-        )
+        current = contested.filter(F.col("_chunk") == chunk).drop("_chunk").withColumn("_past", F.lit(False))
         schema = T.StructType(
             [f for f in current.schema.fields if f.name != "_past"]
             + [T.StructField("admitted", T.BooleanType()), T.StructField("remaining", T.LongType())]
@@ -184,8 +187,7 @@ def _fold_chunks(
             .filter(F.col("_us") > F.col("_from"))
             .drop("_from")
         )
-        if chunk + 2 <= last_chunk:
-            past = write_stage(past, f"rate-past-{chunk}")
+        past = write_stage(past, f"rate-past-{chunk}")
     return parts
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..functions import fixed_values as V
 from ..functions import rules as R
 from ..functions.slots import micros, slot
-from ..session import broadcast_if_small, ship_package, write_stage
+from ..session import broadcast_if_small, ship_package, write_parts, write_stage
 from .policy import bundles_in_force
 
 SLOT_SECONDS = 1
@@ -150,6 +150,8 @@ def quota_policy_fold(
         prepared = prepared.join(late, ["_tenant", "_day", "_slot"], "left").withColumn(
             "_chunk", F.coalesce(F.col("_chunk"), F.lit(0))
         )
+        # Written once by chunk: a round reads its own chunk, verdicts and all.
+        prepared = write_parts(prepared, "quota-rows", "_chunk")
     else:
         prepared = prepared.withColumn("_chunk", F.lit(0).cast("long"))
 

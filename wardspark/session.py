@@ -91,3 +91,10 @@ def write_stage(df, name: str):
     path = stage_folder(df.sparkSession, name)
     df.write.mode("append").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_parts(df, name: str, part: str):
+    """write_stage with one folder per value of `part`: a filter on it reads only that."""
+    path = stage_folder(df.sparkSession, name)
+    df.write.mode("append").partitionBy(part).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
