@@ -6,6 +6,7 @@ from ..functions import fixed_values as V
 from ..functions.slots import micros, slot
 
 REFUSED_EARLY = (401, 429)
+FINE_SLOTS = 4096
 
 
 def requests_total(
@@ -144,9 +145,10 @@ def total_requests(decisions: DataFrame) -> DataFrame:
 def exact_ranks(df: DataFrame, value: str, quantiles: tuple[float, ...]) -> DataFrame:
     """(quantile, value): the element at floor((n - 1) * q) of the sorted values.
 
-    Equal values are counted first.  A logarithmic slot of each value, at most some
-    ten thousand of them, finds the slot that holds each rank; only the values of
-    those slots are put in order.
+    Equal values are counted first.  A logarithmic slot of each value (64 powers of two
+    by 256, so at most some ten thousand rows in the window over all slots) finds the slot
+    that holds each rank; `FINE_SLOTS` even parts of that slot's span find the part, and
+    only the values of that part are put in order.
     """
     counts = df.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")).filter(
         F.col("_v").isNotNull()
@@ -167,11 +169,22 @@ def exact_ranks(df: DataFrame, value: str, quantiles: tuple[float, ...]) -> Data
     wanted = ranks.filter(
         (F.col("_rank") >= F.col("_base")) & (F.col("_rank") < F.col("_base") + F.col("_n"))
     ).select("_slot", "quantile", (F.col("_rank") - F.col("_base")).alias("_offset"))
-    within = Window.partitionBy("_slot", "quantile").orderBy("_v")
+    inside = slotted.join(wanted, "_slot")
+    spans = inside.groupBy("quantile").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    share = F.coalesce(F.try_divide(F.col("_v") - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0))
+    fine = inside.join(spans, "quantile").withColumn("_fine", F.floor(share * FINE_SLOTS))
+    earlier = Window.partitionBy("quantile").orderBy("_fine")
+    per_fine = fine.groupBy("quantile", "_fine").agg(
+        F.sum("_n").alias("_in"), F.first("_offset").alias("_rest")
+    ).withColumn("_base", F.sum("_in").over(earlier) - F.col("_in"))
+    part = per_fine.filter(
+        (F.col("_rest") >= F.col("_base")) & (F.col("_rest") < F.col("_base") + F.col("_in"))
+    ).select("quantile", "_fine", (F.col("_rest") - F.col("_base")).alias("_place"))
+    within = Window.partitionBy("quantile").orderBy("_v")
     return (
-        slotted.join(wanted, "_slot")
+        fine.join(part, ["quantile", "_fine"])
         .withColumn("_upto", F.sum("_n").over(within))
-        .filter(F.col("_upto") > F.col("_offset"))
+        .filter(F.col("_upto") > F.col("_place"))
         .groupBy("quantile")
         .agg(F.min("_v").alias("value"))
     )
