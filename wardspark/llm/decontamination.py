@@ -138,7 +138,8 @@ def within_radius(left: DataFrame, right: DataFrame, same: str, radius: int = RA
     for j, (bit, mask) in enumerate(blocks(radius)):
         agree = F.shiftrightunsigned(differ, bit).bitwiseAND(F.lit(mask).cast("long")) == 0
         earlier = earlier | ((F.col("block") > j) & agree)
-    pairs = a.join(bounded_broadcast(b), [same, "block", "value"])
+    # a row of `right` becomes radius+1 rows, which the size estimate does not know
+    pairs = a.join(bounded_broadcast(b, (8 << 20) // (radius + 1)), [same, "block", "value"])
     near = pairs.withColumn("distance", F.bit_count(differ)).where((F.col("distance") <= radius) & ~earlier)
     return near.drop("block", "value")
 
