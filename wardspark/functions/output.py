@@ -10,10 +10,21 @@ from .regex import folded, is_folding, matches
 _FOUR_DIGITS = r"(?:[0-9][ \-]?){4}"
 
 
-def pattern_flags(text: Column) -> dict[str, Column]:
-    """One boolean column per output pattern, in the listed order."""
-    lower = folded(text)
-    digits = text.rlike(_FOUR_DIGITS)
+def has_digits(text: Column) -> Column:
+    """Four digits near each other, which every number pattern needs."""
+    return text.rlike(_FOUR_DIGITS)
+
+
+def pattern_flags(
+    text: Column, lower: Column | None = None, digits: Column | None = None
+) -> dict[str, Column]:
+    """One boolean column per output pattern, in the listed order.
+
+    `lower` and `digits` are folded(text) and has_digits(text) where they are columns
+    already; several patterns read each of them.
+    """
+    lower = folded(text) if lower is None else lower
+    digits = has_digits(text) if digits is None else digits
     guards = {
         "email": text.contains("@"),
         "phone": digits,

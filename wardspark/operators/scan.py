@@ -84,11 +84,19 @@ def input_scan(
 def output_scan(df: DataFrame, text_col: str, keep: list[str] | None = None) -> DataFrame:
     """One flag per output pattern and `unsafe` if any is set."""
     keep = keep if keep is not None else df.columns
-    flags = O.pattern_flags(F.col(text_col))
-    flagged = df.select(*keep, *[f.alias(name) for name, f in flags.items()])
+    flags = O.pattern_flags(F.col("_text"), F.col("_folded"), F.col("_digits"))
+    flagged = _prepared(df, text_col, keep).select(*keep, *[f.alias(name) for name, f in flags.items()])
     return flagged.withColumn("unsafe", _any(list(flags)))
 
 
+def _prepared(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """What several output patterns read, worked out once per text."""
+    text = F.col(text_col)
+    return df.select(
+        *keep, text.alias("_text"), folded(text).alias("_folded"), O.has_digits(text).alias("_digits")
+    )
+
+
 def output_scan_views(df: DataFrame, raw_col: str, keep: list[str] | None = None) -> DataFrame:
     """`joined_unsafe`, `spaced_unsafe` and `unsafe` over raw event bytes."""
     keep = keep if keep is not None else df.columns
@@ -130,10 +138,9 @@ def pattern_counts(flagged: DataFrame, by: list[str]) -> DataFrame:
 
 def corpus_scan(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """Input score and output flags of each text in one pass over the corpus."""
-    text = F.col(text_col)
-    flags = O.pattern_flags(text)
-    staged = df.select(
-        *keep, text_col, *[flag.alias(name) for name, flag in flags.items()]
+    flags = O.pattern_flags(F.col("_text"), F.col("_folded"), F.col("_digits"))
+    staged = _prepared(df, text_col, keep).select(
+        *keep, F.col("_text").alias(text_col), *[flag.alias(name) for name, flag in flags.items()]
     )
     return input_scan(staged, text_col, [*keep, *flags]).drop("signals").withColumn(
         "unsafe", _any(list(flags))
