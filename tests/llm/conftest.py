@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import Row
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 

@@ -25,6 +25,12 @@ def test_article_without_the_rest():
     ("<article><header>By me</header><p>Text&nbsp;here.</p><aside>See also</aside></article>", "Text here."),
     ("<div><p>A paragraph, rather long, of text.</p><ul><li>item one</ul></div>", "A paragraph, rather long, of text. item one"),
     ("<div class='cookie-notice'>We use cookies.</div><div id=content><p>Body of it, whole.</p></div>", "Body of it, whole."),
+    ("<div class='wrap has-sidebar'><div><p>Body, of the page.</p></div></div>", "Body, of the page."),
+    ("<div class='header-fixed'><article><p>Body, of it.</p></article><p>Menu</p></div>", "Body, of it."),
+    ("<main><article class='post'><p>Body, of it.</p></article><article class='comment'><p>Nice, thanks.</p></article></main>",
+     "Body, of it."),
+    ("<article><p>Body, of it.</p><div id=comments><article><p>Well said, you.</p></article></div></article>", "Body, of it."),
+    ("<div class='sidebar'><p>Aside, this.</p></div><div class=content><p>The text, all.</p><p>Ok.</p></div>", "The text, all. Ok."),
     ("<p>&lt;b&gt; &#233;&#x1F600;</p>", "<b> é😀"),
 ])
 def test_cases(page, want):

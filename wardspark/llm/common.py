@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import write_stage
@@ -65,6 +70,22 @@ def splits_for(df: DataFrame) -> int:
 
 # ---- the same words and hashes over Arrow batches, in numpy ----
 
+SLICE_ROWS, SLICE_BYTES = 500, 2 << 20
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows and bytes, so that a task's memory is bounded by
+    them or by its longest text, however large Spark makes its batches."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            until = int(np.searchsorted(ends, before + SLICE_BYTES, "right"))
+            until = max(at + 1, min(until, at + SLICE_ROWS))
+            yield batch.slice(at, until - at)
+            at = until
+
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _WORD_BYTE = np.zeros(256, dtype=bool)
 _WORD_BYTE[48:58] = _WORD_BYTE[97:123] = _WORD_BYTE[128:] = True
@@ -81,32 +102,46 @@ def mix(values: np.ndarray) -> np.ndarray:
     return x
 
 
-def _prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Running polynomial hash and inverse powers, modulo 2**64."""
-    base = 0xD6E8FEB86659FD93
-    inverse = pow(base, -1, 1 << 64)
-    n = len(data)
-    powers = np.empty(n + 1, dtype=np.uint64)
+_BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64))
+_BASE = 0xD6E8FEB86659FD93
+_SLICE = 1 << 20
+
+
+@lru_cache(maxsize=2)
+def _powers(base: int, n: int) -> np.ndarray:
+    powers = np.full(n + 1, base, dtype=np.uint64)
     powers[0] = 1
-    np.multiply.accumulate(np.full(n, base, dtype=np.uint64), out=powers[1:])
-    inverses = np.empty(n + 1, dtype=np.uint64)
-    inverses[0] = 1
-    np.multiply.accumulate(np.full(n, inverse, dtype=np.uint64), out=inverses[1:])
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(mix(data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
-    return sums, inverses
+    return np.multiply.accumulate(powers)
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hash, modulo 2**64 and then mixed, of the words that lie in `data`."""
+    n = 1 << max(16, int(len(data)).bit_length())  # few sizes, so that powers are found again
+    powers, inverses = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE_HASH[data] * powers[: len(data)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
 
 
 def batch_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of every text, and the offset of each text's first word."""
+    """Hash of every word of every text, and the offset of each text's first word.
+
+    Bytes are hashed in slices of about a megabyte that end with a word, so that a very
+    long text needs little more memory than itself and its words' hashes.
+    """
     parts = [t.lower().encode("utf-8", "replace") for t in texts]
     data = np.frombuffer(b" ".join([*parts, b""]), dtype=np.uint8)
     inside = np.zeros(len(data) + 2, dtype=np.int8)
     inside[1:-1] = _WORD_BYTE[data]
     edges = np.diff(inside)
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    sums, inverses = _prefix_hash(data)
-    hashes = mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+    hashes = np.empty(len(starts), dtype=np.uint64)
+    a = 0
+    while a < len(starts):
+        low = starts[a]
+        b = max(a + 1, int(np.searchsorted(ends, low + _SLICE, "right")))
+        hashes[a:b] = _word_hashes(data[low : ends[b - 1]], starts[a:b] - low, ends[a:b] - low)
+        a = b
     text_starts = np.zeros(len(parts) + 1, dtype=np.int64)
     np.cumsum([len(p) + 1 for p in parts], out=text_starts[1:])
     return hashes, np.searchsorted(starts, text_starts)

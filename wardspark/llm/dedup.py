@@ -32,8 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import ship_package
-from .common import SHINGLE_WORDS, SIMILARITY, batch_words, bounded_broadcast, mix, stage, text_shingles
-from .learn import batches_of
+from .common import (
+    SHINGLE_WORDS, SIMILARITY, batch_words, bounded_broadcast, mix, slices, stage, text_shingles,
+)
 
 BANDS, ROWS = 24, 4
 STARS = 8
@@ -125,12 +126,9 @@ def with_bands(docs: DataFrame) -> DataFrame:
     ship_package(docs.sparkSession)
 
     def bands(parts):
-        for batch in parts:
-            texts = batch.column("text").to_pylist()
-            keys = []
-            for a, b in batches_of(texts):
-                rows, wordy = signatures(texts[a:b])
-                keys += [k if w else [] for k, w in zip(band_keys(rows), wordy)]
+        for batch in slices(parts):
+            rows, wordy = signatures(batch.column("text").to_pylist())
+            keys = [k if w else [] for k, w in zip(band_keys(rows), wordy)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("node"), pa.array(keys, pa.list_(pa.int64()))],
                 ["doc_id", "node", "keys"],
@@ -182,7 +180,7 @@ def verify(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
 
     def compare(parts):
         last, held = None, None
-        for batch in parts:
+        for batch in slices(parts):
             alike = []
             stars_, texts_ = batch.column("star"), batch.column("text")
             star_texts = batch.column("star_text")
@@ -233,18 +231,16 @@ def with_units(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
     def units(parts):
-        for batch in parts:
-            texts = batch.column("text").to_pylist()
-            for a, b in batches_of(texts):
-                found, owner = weight_units(*batch_words(texts[a:b]))
-                size = np.bincount(owner, minlength=b - a)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("node")[a:b].take(pa.array(owner)), pa.array(size[owner], pa.int64()),
-                        pa.array(found.view(np.int64)),
-                    ],
-                    ["node", "size", "unit"],
-                )
+        for batch in slices(parts):
+            found, owner = weight_units(*batch_words(batch.column("text").to_pylist()))
+            size = np.bincount(owner, minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("node").take(pa.array(owner)), pa.array(size[owner], pa.int64()),
+                    pa.array(found.view(np.int64)),
+                ],
+                ["node", "size", "unit"],
+            )
 
     return texts.mapInArrow(units, "node binary, size long, unit long")
 

@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import ship_package
+from .common import slices
 from .learn import (
-    batches_of, bounded_sample, collect_vectors, held_out, logistic_scale, ngram_index, train_svm,
+    bounded_sample, collect_vectors, held_out, logistic_scale, ngram_index, train_svm,
 )
 
 # Families of languages by their codes; a code not listed here is a family of its own.
@@ -149,12 +150,11 @@ def predict_languages(docs: DataFrame, model: LanguageModel | None) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(parts):
-        for batch in parts:
+        for batch in slices(parts):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
             if shared.value is not None:
-                for a, b in batches_of(texts):
-                    names[a:b], scores[a:b] = shared.value.predict(texts[a:b])
+                names, scores = shared.value.predict(texts)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                 [*batch.schema.names, "lang_pred", "score"],

@@ -6,10 +6,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import slices
+
 
 
 FOLDS = 5
-BATCH_BYTES = 8 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -41,18 +42,6 @@ def bounded_sample(
     return rows.where(keep)
 
 
-def batches_of(texts: list[str], rows: int = 500):
-    """Slices of the list of at most `rows` texts and about `BATCH_BYTES` characters."""
-    begin = size = 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= BATCH_BYTES or i + 1 - begin == rows:
-            yield begin, i + 1
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def ngram_index(data: np.ndarray, order: int, dims: int) -> np.ndarray:
     """Bucket of the byte n-gram at every position but the last order-1."""
     n = len(data) - order + 1
@@ -109,14 +98,12 @@ def collect_vectors(
     """
 
     def vectors(parts):
-        for batch in parts:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in batches_of(texts):
-                made = make(texts[a:b]).astype(np.float16)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(label)[a:b], pa.array([v.tobytes() for v in made], pa.binary())],
-                    ["label", "vector"],
-                )
+        for batch in slices(parts):
+            made = make([t or "" for t in batch.column("text").to_pylist()]).astype(np.float16)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(label), pa.array([v.tobytes() for v in made], pa.binary())],
+                ["label", "vector"],
+            )
 
     kind = rows.schema[label].dataType.simpleString()
     made = rows.select("text", label).mapInArrow(vectors, f"label {kind}, vector binary")

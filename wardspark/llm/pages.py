@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..session import ship_package
+from .common import slices
 
 RAW = frozenset("script style textarea title noscript iframe template svg math object".split())
 VOID = frozenset(
@@ -37,13 +38,19 @@ INLINE = frozenset(
 SKIPPED = frozenset(
     "head nav header footer aside form button select option fieldset dialog menu audio video canvas".split()
 )
+# Words of a class or id.  Those of the second list also name layouts of wrappers, so an
+# article or main element inside is read all the same.
 SKIPPED_WORDS = frozenset(
-    "ad ads advert advertisement advertising sponsor sponsored promo promotion banner nav navbar "
-    "navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead comment comments "
-    "disqus replies cookie cookies consent notice notices alert popup modal overlay newsletter "
-    "subscribe subscription signup login share sharing social related recommended pagination pager "
-    "widget copyright legal disclaimer toolbar skip hidden".split()
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion "
+    "breadcrumb breadcrumbs comment comments commentlist disqus replies reply cookie cookies consent "
+    "popup modal newsletter subscribe subscription signup login related recommended recommendations "
+    "pagination pager copyright disclaimer hidden".split()
 )
+LAYOUT_WORDS = frozenset(
+    "banner nav navbar navigation menu sidebar aside footer header masthead notice notices alert overlay "
+    "share sharing social widget widgets legal toolbar skip".split()
+)
+NOT_MEANT = re.compile(r"\b(?:has|have|no|with|without|is|not)[-_][\w-]*")
 SKIPPED_ROLES = frozenset(
     "navigation banner contentinfo complementary search form alert dialog menu menubar".split()
 )
@@ -86,17 +93,21 @@ def _attributes(attributes: str) -> dict[str, str]:
     return found
 
 
-def _skips(tag: str, attributes: str) -> bool:
+def _skips(tag: str, attributes: str) -> int:
+    """0 read, 1 skipped but for an article inside, 2 skipped."""
     if tag in SKIPPED:
-        return True
+        return 2
     if not attributes:
-        return False
+        return 0
     found = _attributes(attributes)
     if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role") in SKIPPED_ROLES:
-        return True
-    if tag in ("html", "body", *ARTICLE):
-        return False
-    return not SKIPPED_WORDS.isdisjoint(WORD.findall(f"{found.get('class', '')} {found.get('id', '')}"))
+        return 2
+    if tag in ("html", "body", "main"):
+        return 0
+    words = WORD.findall(NOT_MEANT.sub(" ", f"{found.get('class', '')} {found.get('id', '')}"))
+    if not SKIPPED_WORDS.isdisjoint(words):
+        return 2
+    return int(tag != "article" and not LAYOUT_WORDS.isdisjoint(words))
 
 
 def _label(tag: str, attributes: str) -> str:
@@ -112,7 +123,7 @@ def _label(tag: str, attributes: str) -> str:
 def read_blocks(page: str) -> list[Block]:
     """Blocks of text in page order, without those that are never article."""
     blocks: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, step of the path, within a skipped part
+    stack: list[tuple[str, str, int]] = []  # tag, step of the path, how far it is skipped
     text: list[str] = []
     links = linked = 0
 
@@ -132,7 +143,7 @@ def read_blocks(page: str) -> list[Block]:
         match = TOKEN.match(page, at)
         at = match.end()
         plain = match[7]
-        skipping = bool(stack) and stack[-1][2]
+        skipping = bool(stack) and stack[-1][2] > 0
         if plain is not None or match[0] == "<":
             if not skipping:
                 part = match[0]
@@ -187,8 +198,10 @@ def read_blocks(page: str) -> list[Block]:
                     break
         if tag == "body":
             stack[:] = [s for s in stack if s[0] == "html"]
-        skipping = bool(stack) and stack[-1][2]
-        stack.append((tag, _label(tag, attributes), skipping or _skips(tag, attributes)))
+        around = stack[-1][2] if stack else 0
+        if around == 1 and tag in ARTICLE:
+            around = 0
+        stack.append((tag, _label(tag, attributes), max(around, _skips(tag, attributes))))
     flush()
     return blocks
 
@@ -251,7 +264,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     ship_package(pages.sparkSession)
 
     def extract(parts):
-        for batch in parts:
+        for batch in slices(parts, "html"):
             texts = [main_text(p) for p in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [

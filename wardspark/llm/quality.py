@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import ship_package
-from .common import batch_words
-from .learn import batches_of, bounded_sample, collect_vectors, held_out, ngram_index
+from .common import batch_words, slices
+from .learn import bounded_sample, collect_vectors, held_out, ngram_index
 
 DIMS = 4096
 MARKS = 16
@@ -56,7 +56,8 @@ class QualityModel:
         x = self._weigh(x)
         rank = min(RANK, *x.shape)
         rng = np.random.default_rng(11)
-        basis = np.linalg.qr(x.T @ rng.standard_normal((len(x), min(rank + 16, *x.shape))))[0]
+        start = rng.standard_normal((len(x), min(rank + 16, *x.shape)), dtype=np.float32)
+        basis = np.linalg.qr(x.T @ start)[0]
         for _ in range(4):
             basis = np.linalg.qr(x.T @ (x @ basis))[0]
         _, _, turned = np.linalg.svd(x @ basis, full_matrices=False)
@@ -70,7 +71,9 @@ class QualityModel:
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
-        return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        """Rows scaled to length one, in place."""
+        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
+        return x
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if not texts:
@@ -93,7 +96,7 @@ class QualityModel:
 
 
 def learn_quality(
-    docs: DataFrame, labels: DataFrame, per_class: int = 1500
+    docs: DataFrame, labels: DataFrame, per_class: int = 1000
 ) -> QualityModel | None:
     """A model from a bounded sample of each label, of rows that are not held out.
 
@@ -115,12 +118,11 @@ def score_quality(docs: DataFrame, model: QualityModel | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(parts):
-        for batch in parts:
+        for batch in slices(parts):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             scores = np.full(len(texts), 0.5)
             if shared.value is not None:
-                for a, b in batches_of(texts):
-                    scores[a:b] = shared.value.scores(texts[a:b])
+                scores = shared.value.scores(texts)
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns, pa.array(scores, pa.float64()),

@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from ..session import ship_package
+from .common import slices
 
 # Fixed values of the vocabulary: how text is cut into pre-tokens, and its special string.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -203,7 +204,7 @@ def prefix_tables(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
-        for batch in batches:
+        for batch in slices(batches):
             made = [words.table(_whole(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -231,7 +232,7 @@ def token_counts(docs: DataFrame, limit: int = 512, ranks_path: str | None = Non
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [_whole(t) for t in batch.column("text").to_pylist()]
             totals, fits = [], []
             for text in texts:
@@ -273,7 +274,7 @@ def token_pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
-        for batch in batches:
+        for batch in slices(batches):
             rows, number, start, length, checksum = [], [], [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
                 ids = np.append(words.ids(_whole(text)), end_id).astype("<u4")
