@@ -173,7 +173,8 @@ def verify(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
         .join(texts, "node")
     )
     stars = (
-        crowd.join(texts.select(F.col("node").alias("star"), F.col("text").alias("star_text")), "star")
+        texts.select(F.col("node").alias("star"), F.col("text").alias("star_text"))
+        .join(bounded_broadcast(crowd), "star")
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     )
     both = members.join(stars.hint("merge"), ["star", "salt"]).select("node", "star", "text", "star_text")
@@ -206,16 +207,17 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         "labels",
     )
     while True:
+        small = bounded_broadcast(labels)  # one exchange a round then, three beyond
+        around = both.join(small.select(F.col("node").alias("other"), "label"), "other").select("node", "label")
         near = (
-            both.join(labels.select(F.col("node").alias("other"), "label"), "other")
-            .groupBy("node").agg(F.min("label").alias("near"))
+            labels.select("node", "label", F.col("label").alias("own"))
+            .union(around.withColumn("own", F.lit(None).cast("binary")))
+            .groupBy("node").agg(F.min("label").alias("near"), F.max("own").alias("own"))
         )
-        hop = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))
+        hop = small.select(F.col("node").alias("near"), F.col("label").alias("far"))
+        label = F.least("near", "far")
         moved = stage(
-            labels.join(near, "node").withColumn("near", F.least("near", "label"))
-            .join(hop, "near").select(
-                "node", F.least("near", "far").alias("label"), (F.least("near", "far") < F.col("label")).alias("moved")
-            ),
+            near.join(hop, "near").select("node", label.alias("label"), (label < F.col("own")).alias("moved")),
             "labels",
         )
         labels = moved.select("node", "label")
@@ -321,7 +323,7 @@ def _outsiders(placed: DataFrame, labels: DataFrame) -> DataFrame | None:
     `outside` marks rows that are not of the class that most rows of their bucket have.
     Any two rows of a bucket in different classes include one of these.
     """
-    named = placed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = placed.join(bounded_broadcast(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
     counts = named.groupBy("bucket", "label").agg(F.count("*").alias("rows"))
     main = counts.groupBy("bucket").agg(
         F.max_by("label", F.struct("rows", "label")).alias("main"), F.count("*").alias("classes")
@@ -345,7 +347,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     if labels is None:
         classes = own.withColumns({"class_id": F.col("least"), "keeper": F.col("node")}).drop("least")
     else:
-        joined = own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        joined = own.join(bounded_broadcast(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
         linked = joined.join(bounded_broadcast(stage(labels.select("label").distinct(), "classes")), "label", "left_semi")
         heads = stage(
             linked.groupBy("label").agg(F.min(order).alias("head")).select(
