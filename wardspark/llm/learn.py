@@ -11,6 +11,7 @@ from .common import slices
 
 
 FOLDS = 5
+DRAWS = 1 << 40
 
 
 def held_out(doc_id: Column) -> Column:
@@ -35,10 +36,10 @@ def bounded_sample(
     )
     if not counts:
         return rows.limit(0)
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1_000_000))
+    draw = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(DRAWS))
     keep = F.lit(False)
     for row in counts:
-        keep = keep | ((F.col(label) == F.lit(row[0])) & (draw < int(1e6 * per_class / row["n"]) + 1))
+        keep = keep | ((F.col(label) == F.lit(row[0])) & (draw < DRAWS * per_class // row["n"] + 1))
     return rows.where(keep)
 
 

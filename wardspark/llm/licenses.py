@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import bounded_broadcast, stage, words
 from .decontamination import text_key
+from .learn import DRAWS
 
 UNKNOWN = "unknown"
 SAMPLE_DOCUMENTS = 300
@@ -165,8 +166,8 @@ def training_rows(docs: DataFrame) -> DataFrame:
         "w", F.filter("w", lambda w, i: F.pmod(F.xxhash64(w, i, "variant"), F.lit(100)) >= drop)
     )
     rows = max(docs.count(), 1)
-    rate = min(1.0, SAMPLE_DOCUMENTS / rows)
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < int(rate * 1e6) + 1)
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(DRAWS))
+    chosen = docs.where(draw < DRAWS * SAMPLE_DOCUMENTS // rows + 1)
     grams = known.select(F.explode(runs_of(F.col("w"))).alias("run")).distinct()
     sample = paragraphs(chosen).limit(SAMPLE_PARAGRAPHS).select(
         F.xxhash64("doc_id", "paragraph").alias("notice"), "w"
