@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,12 +7,31 @@ from pyspark.sql import functions as F
 from wardspark.functions import fixed_values as V
 from wardspark.operators import intercept
 from wardspark.sources import tables
-from wardspark.streaming.live import _byte_patterns, _unsafe_bytes, live_intercept
+from wardspark.streaming import live
 
-PATTERNS = _byte_patterns()
 BASE = 1_700_000_000_000_000
 
 
+def _byte_patterns():
+    """The output patterns on bytes, where Python's classes are ASCII like RE2's."""
+    compiled = []
+    for pattern in V.OUTPUT_PATTERNS.values():
+        in_class = re.sub(r"\[([^\]]*)\\s", r"[\1\\t\\n\\f\\r ", pattern)
+        compiled.append(re.compile(in_class.replace(r"\s", r"[\t\n\f\r ]").encode()))
+    return compiled
+
+
+PATTERNS = _byte_patterns()
+
+
+def _unsafe_bytes(buffer, patterns):
+    """Both views of the buffer, by plain Python, to replay streams with."""
+    bare = buffer.replace(V.DATA_PREFIX.encode(), b"")
+    joined = bare.replace(b"\n", b"").replace(b"\r", b"").replace(V.DONE.encode(), b"")
+    spaced = bare.replace(V.DONE.encode(), b"").translate(bytes.maketrans(b"\r\n", b"  "))
+    return any(p.search(view) for view in (joined, spaced) for p in patterns)
+
+
 def framed(*parts):
     return [f"data: {p}\n\n" for p in parts]
 
@@ -106,7 +126,8 @@ def test_live_equals_batch_over_several_batches(spark, tmp_path):
     late = chunk_frame(spark, {10**6: ["data: bye\n\n"]}).withColumn("ts", F.timestamp_seconds(F.lit(1_800_000_000)))
     late.coalesce(1).write.mode("append").parquet(folder)
     source = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    rows = tables.run_available(live_intercept(source, 32, idle_seconds=1, watermark="1 second"), "live")
+    buffers = live.live_buffers(source, 32, idle_seconds=1, watermark="1 second")
+    rows = live.intercepted(tables.run_available(live.scan_buffers(buffers), "live"))
     sent, stopped = {}, {}
     for row in rows.collect():
         sent[row.stream_id] = sent.get(row.stream_id, 0) + len(row.payload)
