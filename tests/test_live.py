@@ -78,6 +78,31 @@ def test_late_rows_are_kept_apart(spark, tmp_path):
     assert sum(r.n for r in counts.collect()) == 3
 
 
+def test_a_batch_of_many_part_files_loses_no_rows(spark, tmp_path):
+    """Two batches of 12 files; within a batch the times fall from file to file."""
+    hours = F.when(F.col("file") < 12, 40 - F.col("file")).otherwise(70 - F.col("file") * 2)
+    df = spark.range(240).select(
+        F.lit("t").alias("tenant_id"), F.col("id").alias("request_id"), F.lit(1).cast("long").alias("tokens"),
+        F.lit(0.1).alias("seconds"), F.pmod("id", F.lit(24)).cast("int").alias("file"),
+    ).withColumn("ts", F.timestamp_seconds(1_700_000_000 + hours * 3600 + F.col("request_id")))
+    for batch in (df.filter("file < 12"), df.filter("file >= 12")):
+        batch.repartitionByRange(12, "file").write.mode("append").parquet(f"{tmp_path}/r.parquet")
+    source = tables.stream_table(spark, str(tmp_path), "r", 12)
+    kept, late = tables.split_late(source, "many", "1 hour", files_per_trigger=2)
+    forms = {
+        "counters": live.live_counters(kept, ["tenant_id"], "ts", "1 hour", "1 hour"),
+        "histogram": live.live_histogram(kept, "seconds", ["tenant_id"], window="1 hour", watermark="1 hour")
+        .filter("le = double('inf')").withColumnRenamed("cumulative", "n"),
+        "limit": live.live_rate_limit(kept, 3, 10.0, "1 hour").withColumn("n", F.lit(1)),
+        "quota": live.live_daily_quota(kept, 200, "1 hour").withColumn("n", F.lit(1)),
+    }
+    got = {
+        name: tables.run_available(form.select("tenant_id", "n"), name).filter("tenant_id = 't'").agg(F.sum("n")).first()[0]
+        for name, form in forms.items()
+    }
+    assert late.count() == 80 and got == dict.fromkeys(forms, 160)
+
+
 def test_the_last_window_is_closed(spark, tmp_path):
     df = requests(spark)
     as_files(df, f"{tmp_path}/r.parquet", F.lit(0), 1)

@@ -60,6 +60,25 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def _fill_up(spark: SparkSession, folder: str, empty: str, schema, files: int) -> None:
+    """Add part files without rows to a folder until it has `files` of them."""
+    context = spark.sparkContext
+    hadoop, conf = context._jvm.org.apache.hadoop.fs, context._jsc.hadoopConfiguration()
+    system = hadoop.Path(folder).getFileSystem(conf)
+
+    def parts(path: str) -> list:
+        found = [f.getPath() for f in system.listStatus(hadoop.Path(path))]
+        return [p for p in found if p.getName().startswith("part-")]
+
+    missing = files - len(parts(folder))
+    if missing > 0:
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(empty)
+        (source,) = parts(empty)
+    for i in range(missing):
+        target = hadoop.Path(folder, f"part-empty-{i:05d}.parquet")
+        hadoop.FileUtil.copy(system, source, system, target, False, conf)
+
+
 def split_late(
     stream: DataFrame, name: str, delay: str, ts: str = "ts", close: bool = True,
     files_per_trigger: int | None = None,
@@ -71,6 +90,11 @@ def split_late(
     rows are kept in a table of their own.  Each batch writes its rows and its newest
     time under its own number, so a batch that runs again gives the same files.
 
+    The rows in time come in the same batches again: each is written as exactly
+    `files_per_trigger` part files, filled up with empty ones, and a trigger reads as
+    many.  Else a batch in several triggers would move the watermark past its own rows.
+    Without `files_per_trigger` one trigger reads all.
+
     `close` adds one row of nulls far in the future to the rows in time: an input that
     ends has its last windows closed and its last rows decided.  Operators see it as a
     row without a key; `closing_row` tells it.
@@ -88,7 +112,12 @@ def split_late(
         known = newest.agg((F.max("newest") - F.expr(f"INTERVAL {delay}")).alias("t")).first().t
         late = F.coalesce(F.col(ts) < F.lit(known), F.lit(False)) if known else F.lit(False)
         batch.filter(late).write.mode("overwrite").parquet(f"{base}/late/batch={number}")
-        batch.filter(~late).write.mode("overwrite").parquet(f"{base}/kept/batch={number}")
+        in_time, folder = batch.filter(~late), f"{base}/kept/batch={number:09d}"
+        if files_per_trigger:
+            in_time = in_time.coalesce(files_per_trigger)
+        in_time.write.mode("overwrite").option("maxRecordsPerFile", 0).parquet(folder)
+        if files_per_trigger:
+            _fill_up(session, folder, f"{base}/empty", batch.schema, files_per_trigger)
         seen = batch.agg(F.max(ts).cast("timestamp").alias("newest"))
         seen.coalesce(1).write.mode("overwrite").parquet(f"{base}/newest/batch={number}")
 
@@ -105,7 +134,7 @@ def split_late(
             (F.lit(CLOSING_TIME) if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in schema.fields
         ])
-        nulls.write.mode("overwrite").parquet(f"{base}/kept/batch=closing")
+        nulls.coalesce(1).write.mode("overwrite").parquet(f"{base}/kept/batch=closing")
     kept = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
     if files_per_trigger:
         kept = kept.option("maxFilesPerTrigger", files_per_trigger)
