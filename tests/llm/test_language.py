@@ -53,6 +53,15 @@ def test_one_language_and_unlisted_languages(make_docs):
     assert {r.lang_pred for r in one} == {"xx"}
 
 
+def test_every_language_is_learned(make_docs):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"x{c}": f"{c * 3} {c * 4} {c}{c}" for c in letters}
+    rows = [(i, words[lang], lang) for i, lang in enumerate([*words] * 30 + [*words][:20] * 10)]
+    got = language.identify(make_docs(rows)).collect()
+    want = {i: lang for i, _, lang in rows}
+    assert len(words) == 26 and [r for r in got if r.lang_pred != want[r.doc_id]] == []
+
+
 def test_svm_separates():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((200, 5))

@@ -4,8 +4,10 @@ Texts are whole; their features are counts of byte n-grams of the letters, by lo
 One linear SVM per family tells it from the others; inside a family there is one linear
 SVM for each pair of languages and the language with most votes wins.
 
-The model learns from a bounded sample (`per_language` documents of each of at most
-`max_languages` languages) of rows that are not held out.  A null text and one without
+The model learns every language there is, from a bounded sample of rows that are not held
+out: `per_language` documents of each, or fewer of each where more than `budget_languages`
+languages share the budget of `per_language * budget_languages`; at least MIN_PER_LANGUAGE
+of each, as far as it has them.  A null text and one without
 letters is `und` with score 0; so is every text if nothing can be learned.  Repeated rows
 are predicted alike; an empty table gives no rows.
 """
@@ -32,6 +34,7 @@ FAMILIES = {
 }
 ORDERS = (2, 3, 4)
 DIMS = 2048
+MIN_PER_LANGUAGE = 20
 UNKNOWN = "und"
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -132,15 +135,17 @@ class LanguageModel:
 
 
 def learn_languages(
-    docs: DataFrame, per_language: int = 300, max_languages: int = 16
+    docs: DataFrame, per_language: int = 300, budget_languages: int = 16
 ) -> LanguageModel | None:
     """A model from a bounded sample of rows with text and lang that are not held out."""
     ship_package(docs.sparkSession)
     known = docs.where(
         ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     ).select("doc_id", "text", "lang")
-    sample = bounded_sample(known, "lang", per_language, max_languages)
-    x, y = collect_vectors(sample, vectors, "lang", 2 * per_language * max_languages)
+    languages = max(known.select("lang").distinct().count(), 1)
+    share = min(per_language, max(MIN_PER_LANGUAGE, per_language * budget_languages // languages))
+    sample = bounded_sample(known, "lang", share, languages)
+    x, y = collect_vectors(sample, vectors, "lang", 2 * share * max(languages, budget_languages))
     return LanguageModel(x, y) if len(x) else None
 
 
