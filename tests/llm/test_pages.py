@@ -32,6 +32,12 @@ def test_article_without_the_rest():
     ("<article><p>Body, of it.</p><div id=comments><article><p>Well said, you.</p></article></div></article>", "Body, of it."),
     ("<div class='sidebar'><p>Aside, this.</p></div><div class=content><p>The text, all.</p><p>Ok.</p></div>", "The text, all. Ok."),
     ("<p>&lt;b&gt; &#233;&#x1F600;</p>", "<b> é😀"),
+    ("<article class='post category-advertising'><p>Body, of it.</p></article>", "Body, of it."),
+    ("<article class='post tag-cookies comments-open'><p>Body, of it.</p></article>", "Body, of it."),
+    ("<div class='content related-enabled'><p>Body, of the page.</p></div>", "Body, of the page."),
+    ("<div class='newsletter-on'><article><p>Body, of it.</p></article><p>Mail, us.</p></div>", "Body, of it."),
+    ("<div><p>Body, of the page, whole.</p><div class='ad-slot'><p>Buy, now.</p></div></div>", "Body, of the page, whole."),
+    ("<main><p>Body, of it.</p><article class='comment-12'><p>Nice, thanks.</p></article></main>", "Body, of it."),
 ])
 def test_cases(page, want):
     assert pages.main_text(page) == want

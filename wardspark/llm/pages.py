@@ -38,8 +38,10 @@ INLINE = frozenset(
 SKIPPED = frozenset(
     "head nav header footer aside form button select option fieldset dialog menu audio video canvas".split()
 )
-# Words of a class or id.  Those of the second list also name layouts of wrappers, so an
-# article or main element inside is read all the same.
+# Names in a class or id, whole or made of these words alone.  Those of the second list also
+# name layouts of wrappers, so an article or main element inside is read all the same.  A
+# name with other words in it (`category-advertising`) hides no article, and nothing that
+# holds most of the page's text.
 SKIPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion "
     "breadcrumb breadcrumbs comment comments commentlist disqus replies reply cookie cookies consent "
@@ -79,10 +81,10 @@ SMOOTH = (0.05, 0.25, 0.4, 0.25, 0.05)
 
 
 class Block:
-    __slots__ = ("path", "text", "linked")
+    __slots__ = ("path", "text", "linked", "doubted")
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int):
-        self.path, self.text, self.linked = path, text, linked
+    def __init__(self, path: tuple[str, ...], text: str, linked: int, doubted: tuple[int, ...] = ()):
+        self.path, self.text, self.linked, self.doubted = path, text, linked, doubted
 
 
 def _attributes(attributes: str) -> dict[str, str]:
@@ -93,8 +95,9 @@ def _attributes(attributes: str) -> dict[str, str]:
     return found
 
 
-def _skips(tag: str, attributes: str) -> int:
-    """0 read, 1 skipped but for an article inside, 2 skipped."""
+def _skips(tag: str, attributes: str) -> float:
+    """0 read, 0.5 skipped unless it holds most of the text, 1 skipped but for an article
+    inside, 2 skipped."""
     if tag in SKIPPED:
         return 2
     if not attributes:
@@ -104,10 +107,15 @@ def _skips(tag: str, attributes: str) -> int:
         return 2
     if tag in ("html", "body", "main"):
         return 0
-    words = WORD.findall(NOT_MEANT.sub(" ", f"{found.get('class', '')} {found.get('id', '')}"))
-    if not SKIPPED_WORDS.isdisjoint(words):
-        return 2
-    return int(tag != "article" and not LAYOUT_WORDS.isdisjoint(words))
+    level = 0
+    for name in NOT_MEANT.sub(" ", f"{found.get('class', '')} {found.get('id', '')}").split():
+        words = {w for w in WORD.findall(name) if not w.isdigit()}
+        never, layout = words & SKIPPED_WORDS, words & LAYOUT_WORDS
+        if never and words <= SKIPPED_WORDS | LAYOUT_WORDS:
+            return 2
+        if tag != "article" and (never or layout):
+            level = max(level, 1 if words == layout else 0.5)
+    return level
 
 
 def _label(tag: str, attributes: str) -> str:
@@ -123,15 +131,16 @@ def _label(tag: str, attributes: str) -> str:
 def read_blocks(page: str) -> list[Block]:
     """Blocks of text in page order, without those that are never article."""
     blocks: list[Block] = []
-    stack: list[tuple[str, str, int]] = []  # tag, step of the path, how far it is skipped
+    # tag, step of the path, how far it is skipped, elements around that may be skipped
+    stack: list[tuple[str, str, float, tuple[int, ...]]] = []
     text: list[str] = []
-    links = linked = 0
+    links = linked = doubts = 0
 
     def flush() -> None:
         nonlocal linked
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            blocks.append(Block(tuple(s for _, s, _ in stack), joined, linked))
+            blocks.append(Block(tuple(s[1] for s in stack), joined, linked, stack[-1][3] if stack else ()))
         text.clear()
         linked = 0
 
@@ -198,12 +207,25 @@ def read_blocks(page: str) -> list[Block]:
                     break
         if tag == "body":
             stack[:] = [s for s in stack if s[0] == "html"]
-        around = stack[-1][2] if stack else 0
-        if around == 1 and tag in ARTICLE:
-            around = 0
-        stack.append((tag, _label(tag, attributes), max(around, _skips(tag, attributes))))
+        around, doubted = stack[-1][2:] if stack else (0, ())
+        if around <= 1 and tag in ARTICLE:
+            around, doubted = 0, ()
+        level = _skips(tag, attributes)
+        if level == 0.5:
+            level, doubted, doubts = 0, (*doubted, doubts), doubts + 1
+        stack.append((tag, _label(tag, attributes), max(around, level), doubted))
     flush()
-    return blocks
+    return _undoubted(blocks) if doubts else blocks
+
+
+def _undoubted(blocks: list[Block]) -> list[Block]:
+    """Blocks all of whose doubted elements hold most of the page's text."""
+    held: dict[int, int] = defaultdict(int)
+    for b in blocks:
+        for element in b.doubted:
+            held[element] += len(b.text)
+    total = sum(len(b.text) for b in blocks)
+    return [b for b in blocks if all(2 * held[element] > total for element in b.doubted)]
 
 
 def path_scores(blocks: list[Block]) -> list[float]:
