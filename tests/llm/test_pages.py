@@ -43,6 +43,23 @@ def test_cases(page, want):
     assert pages.main_text(page) == want
 
 
+LI = "A step of the list, with some words."
+P = "A paragraph of the article, long enough, with marks."
+SITE = "<body><nav><a href='/'>Home</a></nav>{}<footer>All rights.</footer></body>"
+
+
+@pytest.mark.parametrize("body,want", [
+    (f"<div class=content><p>{P}</p><ul>{f'<li>{LI}</li>' * 20}</ul><p>The end, all.</p></div>",
+     " ".join([P, *[LI] * 20, "The end, all."])),
+    (f"<div id=page><div class=intro><p>{P}</p><p>{P}</p></div><div class=body>{f'<p>{P}</p>' * 4}</div></div>", " ".join([P] * 6)),
+    (f"<div class=intro><p>{P}</p><p>{P}</p></div><div class=body>{f'<p>{P}</p>' * 4}</div>", " ".join([P] * 6)),
+    (f"<div class=head><h1>A title</h1></div><div class=body>{f'<p>{P}</p>' * 4}</div>", " ".join(["A title", *[P] * 4])),
+    (f"<div class=body>{f'<p>{P}</p>' * 6}<p>Ok.</p></div><div class=note>Mind</div>", " ".join([*[P] * 6, "Ok."])),
+])
+def test_articles_of_several_paths(body, want):
+    assert pages.main_text(SITE.format(body)) == want
+
+
 def test_long_and_broken_pages_end():
     assert len(pages.main_text("<article>" + "<p>word, word." * 20000)) == 20000 * 11 + 19999
     assert pages.main_text("<" * 20000).count("<") == 20000

@@ -3,9 +3,12 @@
 A page is cut into blocks of text, each with its path of block tags from the root (with
 the words of their class and id).  Per path the text length per block and the punctuation
 per block are summed; along the page the ratios are smoothed, fused into one figure and
-compared with the page's own spread.  The best path tells the container of the article;
-blocks of paths inside it are kept, others only above the threshold.  Paths through parts
-that are never article (menus, headers, footers, sidebars, notices, adverts, forms,
+compared with the page's own spread: every block above that threshold is selected.  The
+article's container is the article or main element, and where there is none the nearest
+element around the best path that holds CONTAINED of the selected mass.  All inside it is
+kept; beside an article or main nothing is, beside others what is selected, with the
+headings right before (if that element is the body: the best path's siblings).  Paths
+through parts that are never article (menus, headers, footers, sidebars, notices, adverts, forms,
 comments) take no part, whatever their text.
 
 A null or empty page, and one with no text left, gives an empty string.  Unclosed and
@@ -77,6 +80,8 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 WORD = re.compile(r"[a-z0-9]+")
+CONTAINED = 0.9
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SMOOTH = (0.05, 0.25, 0.4, 0.25, 0.05)
 
 
@@ -265,22 +270,57 @@ def main_text(page: str | None) -> str:
         marked = any(step.partition(".")[0] in ARTICLE for step in b.path)
         mass[b.path] += s * (1000 if marked else 1)
     best = max(mass, key=mass.get)
-    depth = next(
-        (i + 1 for i, step in enumerate(best) if step.partition(".")[0] in ARTICLE), max(len(best) - 1, 0)
-    )
-    container = best[:depth]
-    rooted = all(step.partition(".")[0] in ("html", "body") for step in container)
-    kept = []
+    depth = next((i + 1 for i, step in enumerate(best) if step.partition(".")[0] in ARTICLE), None)
+    marked, nearest = depth is not None, max(len(best) - 1, 0)
+    if not marked:
+        depth = _container(blocks, scores, best, threshold)
+
+    def rooted(path: tuple[str, ...]) -> bool:
+        return all(step.partition(".")[0] in ("html", "body") for step in path)
+
+    around = best[:depth] if marked or not rooted(best[:depth]) else best[:nearest]
+    loose = not marked and rooted(around)
+    own = _own_ratios(blocks)
+    kept: list[str] = []
+    headings: list[str] = []
     for b, s in zip(blocks, scores):
-        if b.path[:depth] != container:
+        inside = b.path[: len(around)] == around
+        if marked and not inside:
             continue
         if 2 * b.linked > len(b.text) and not PUNCTUATION.search(b.text):
+            headings.clear()
             continue  # lists of links
-        if not rooted or b.path == best or s >= threshold:
-            kept.append(b.text)
+        selected = s >= threshold and (loose or own[b.path] >= threshold)
+        if inside and not loose or b.path == best or selected:
+            kept += [*headings, b.text]
+            headings.clear()
+        elif b.path and b.path[-1].partition(".")[0] in HEADINGS:
+            headings.append(b.text)
+        else:
+            headings.clear()
     return " ".join(kept)
 
 
+def _own_ratios(blocks: list[Block]) -> dict[tuple[str, ...], float]:
+    """The fused ratio of each path without its neighbours on the page."""
+    length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
+    for b in blocks:
+        length[b.path] += len(b.text) - b.linked
+        marks[b.path] += len(PUNCTUATION.findall(b.text))
+        count[b.path] += 1
+    return {p: length[p] / count[p] * (1 + marks[p] / count[p]) for p in count}
+
+
+def _container(blocks: list[Block], scores: list[float], best: tuple[str, ...], threshold: float) -> int:
+    """Depth of the nearest element around the best path with most of the selected mass."""
+    selected = [(b.path, s) for b, s in zip(blocks, scores) if s >= threshold or b.path == best]
+    needed = CONTAINED * sum(s for _, s in selected)
+    depth = max(len(best) - 1, 0)
+    while depth and sum(s for path, s in selected if path[:depth] == best[:depth]) < needed:
+        depth -= 1
+    return depth
+
+
 def extract_pages(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text and its length in code points."""
     ship_package(pages.sparkSession)
