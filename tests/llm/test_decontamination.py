@@ -64,6 +64,27 @@ def test_planted_passages_against_brute_force(make_docs, make_items):
     assert kept == {d[0] for d in docs} - {i for i, _ in want}
 
 
+def test_reordered_passages_and_short_items(make_docs, make_items):
+    """Halves swapped, and sentences of 20 words in another order, against all windows."""
+    draw = random.Random(8)
+    prose = lambda n: [f"w{draw.randrange(400)}" for _ in range(n)]
+    items = [(j, " ".join(prose(n))) for j, n in enumerate([40, 59, 59, 80, 120])]
+    docs = []
+    for i, (_, text) in enumerate(items):
+        w, half = word_list(text), len(word_list(text)) // 2
+        docs.append((i, " ".join(prose(30) + w[half:] + w[:half] + prose(30)), None))
+        sentences = [w[k : k + 20] for k in range(0, len(w), 20)]
+        docs.append((10 + i, " ".join(prose(9) + sum(sentences[::-1], []) + prose(50)), None))
+    docs += [(100 + i, " ".join(prose(90)), None) for i in range(20)]
+    want = brute([d[:2] for d in docs], items)
+    assert {(1, 1), (2, 2), (3, 3), (4, 4)} <= want.keys()
+    short = [(90, "zeta"), (91, "alpha beta gamma delta"), (92, "gamma beta")]
+    docs += [(200, "x Alpha beta, gamma delta y zeta z", None), (201, "alpha beta gamma", None), (202, "zeta", None)]
+    want |= {(200, 90): 1.0, (200, 91): 1.0, (202, 90): 1.0}
+    got = {(r.doc_id, r.item_id): r.similarity for r in D.contaminated(make_docs(docs), make_items(items + short)).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_hard_texts_copies_and_empty(make_docs, make_items):
     passage = "one two three four five six seven eight nine ten eleven twelve"
     rows = [*HARD, f"x {passage.upper()}, y", f"x {passage.upper()}, y", passage, "six seven eight nine ten"]

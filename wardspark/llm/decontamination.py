@@ -1,10 +1,10 @@
 """Operator 1: passages of benchmark items in documents, by SimHash of item-sized windows.
 
 1. Windows.  An item of n shingles is similar (weighted Jaccard of at least s) to a window
-   of as many words only if at most (1-s)n of its shingles are missing.  So any
-   floor((1-s)n)+1 of them must hold one that the window has: the rarest ones are looked
-   up in every document, and windows of the item's size are laid there, shifted by as much
-   as an edited copy that keeps its words' order can be shifted.  No other window can pass.
+   of as many words only if at most (1-2s/(1+s))n of its shingles are missing, and to a
+   whole text of fewer words only if at most (1-s)n are.  Its floor((1-s)n)+1 rarest
+   shingles are looked up in every document, and each window of the item's size is laid
+   that holds as many of them as must be there, in whatever order.  No other can pass.
 2. SimHash of each window and item over 64 bits, each shingle weighted by its count.
 3. Multi-index Hamming blocks.  The bits are cut into RADIUS+1 blocks; two fingerprints
    within RADIUS agree on a whole block, so a join on (size, block, value) finds all.
@@ -12,8 +12,8 @@
 
 All steps are joins, groupings and column functions.  Work is done per distinct text, so
 copies cost no more than their first pass, and only texts with a lookup hit are read again.
-Items without words are never found; an item shorter than a shingle is found only in a
-text of the same words.  Null and empty texts hold nothing; repeated items are told by
+Items without words are never found; an item shorter than a shingle is looked up as one run
+of its own words.  Null and empty texts hold nothing; repeated items are told by
 `item_id` and words, repeated documents give equal rows; empty tables give no rows.
 """
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import SIMILARITY, bounded_broadcast, shingles, stage, word_hashes
+from .common import SHINGLE_WORDS, SIMILARITY, bounded_broadcast, shingles, stage, word_hashes
 
 RADIUS = 19
 BITS = 64
@@ -46,35 +46,57 @@ def item_table(benchmark: DataFrame) -> DataFrame:
 
 
 def lookup_table(items: DataFrame, similarity: float) -> DataFrame:
-    """shingle -> (words, place in the item, shift): the rarest shingles of each item."""
+    """shingle -> (item, words, need): the rarest shingles of each item.
+
+    `need` tells how many of them a window of the item's size must hold.
+    """
     n = F.size("shingles")
-    one = items.select("item", "words", n.alias("n"), F.posexplode("shingles").alias("place", "shingle"))
-    spread = one.groupBy("shingle").agg(F.countDistinct("item").alias("items"))
+    one = items.select("item", "words", n.alias("n"), F.explode("shingles").alias("shingle")).distinct()
+    spread = one.groupBy("shingle").agg(F.count("*").alias("items"))
+    by_item = Window.partitionBy("item")
     ranked = one.join(spread, "shingle").withColumn(
-        "rank", F.dense_rank().over(Window.partitionBy("item").orderBy("items", "shingle"))
+        "rank", F.row_number().over(by_item.orderBy("items", "shingle"))
     )
     missing = F.floor(F.col("n") * (1 - similarity) + 1e-9)
-    shift = F.floor(F.col("n") * (1 - 2 * similarity / (1 + similarity)) + 1e-9).cast("int")
+    absent = F.floor(F.col("n") * (1 - 2 * similarity / (1 + similarity)) + 1e-9)
     chosen = ranked.where(F.col("rank") <= missing + 1)
-    return chosen.select("shingle", "words", "place", shift.alias("shift")).distinct()
+    need = F.greatest(F.lit(1), F.count("*").over(by_item) - absent).cast("int")
+    return chosen.select("shingle", "item", "words", need.alias("need"))
 
 
 def lay_windows(docs: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Windows (text key, words, start) that hold a looked-up shingle, each once."""
+    """Windows (text key, words, start) with enough looked-up shingles of one item, each once."""
     hashed = docs.select(*text_key(F.col("text")), word_hashes(F.col("text")).alias("h")).where(
         F.size("h") > 0
     )
-    places = hashed.select(
-        *TEXT_KEY, F.size("h").alias("length"), F.posexplode(shingles(F.col("h"))).alias("at", "shingle")
-    )
-    hits = places.join(bounded_broadcast(lookup), "shingle")
+
+    def places(size: int) -> DataFrame:
+        return hashed.select(
+            *TEXT_KEY, F.size("h").alias("length"), F.posexplode(shingles(F.col("h"), size)).alias("at", "shingle")
+        )
+
+    long = lookup.where(F.col("words") >= SHINGLE_WORDS)
+    hits = places(SHINGLE_WORDS).join(bounded_broadcast(long), "shingle")
+    # a window of fewer words than the item is the whole text, which may lack more shingles
+    hits = hits.withColumn("need", F.when(F.col("length") < F.col("words"), 1).otherwise(F.col("need")))
+    group = [*TEXT_KEY, "length", "item", "words", "need"]
+    several = hits.groupBy(*group).agg(
+        F.collect_list(F.struct("at", "shingle")).alias("found"), F.collect_set("shingle").alias("kinds")
+    ).where(F.size("kinds") >= F.col("need"))
+    each = several.select(*group, F.inline("found"))
     last = F.greatest(F.lit(0), F.col("length") - F.col("words"))
-    first = F.col("at") - F.col("place")
     starts = F.sequence(
-        F.least(last, F.greatest(F.lit(0), first - F.col("shift"))),
-        F.least(last, F.greatest(F.lit(0), first + F.col("shift"))),
+        F.least(last, F.greatest(F.lit(0), F.col("at") - F.col("words") + SHINGLE_WORDS)), F.least(last, F.col("at"))
+    )
+    counted = each.select(*group, "shingle", F.explode(starts).alias("start")).groupBy(*group, "start").agg(
+        F.collect_set("shingle").alias("kinds")
     )
-    return hits.select(*TEXT_KEY, "words", F.explode(starts).alias("start")).distinct()
+    windows = counted.where(F.size("kinds") >= F.col("need")).select(*TEXT_KEY, "words", "start")
+    for row in lookup.where(F.col("words") < SHINGLE_WORDS).select("words").distinct().collect():
+        short = bounded_broadcast(lookup.where(F.col("words") == row.words).select("shingle", "words"))
+        whole = places(row.words).where(F.col("length") >= row.words).join(short, "shingle")
+        windows = windows.union(whole.select(*TEXT_KEY, "words", F.col("at").alias("start")))
+    return windows.distinct()
 
 
 def window_shingles(docs: DataFrame, windows: DataFrame) -> DataFrame:
