@@ -10,7 +10,7 @@ FOLDER = "/root/testdata/sf0.001"
 def test_all_are_registered():
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE_SQL) <= set(QUERIES)
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

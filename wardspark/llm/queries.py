@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 
 from . import (
-    decontamination, dedup, fingerprints, language, licenses, oracle, packing, pages, quality, sharding, tokens,
+    conversations, decontamination, dedup, filters, fingerprints, language, licenses, mixing, oracle, packing, pages,
+    quality, sharding, tokens,
 )
 from .common import read
 
@@ -54,6 +55,18 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(read(spark, folder, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair_damaged(read(spark, folder, "conversations"))
+
+
+def op12_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_documents(read(spark, folder, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filters.audit_filters(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
@@ -70,6 +83,14 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_license_scan": op9_license_scan,
     "op10_language_id": op10_language_id,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_mixing": op12_mixing,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLE_SQL = {"op8_sharding": oracle.SHARDING}
+ORACLE_SQL = {
+    "op8_sharding": oracle.SHARDING,
+    "op11_conversation_repair": oracle.CONVERSATIONS,
+    "op12_mixing": oracle.MIXING,
+    "op13_filter_audit": oracle.FILTERS,
+}
