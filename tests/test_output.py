@@ -36,7 +36,14 @@ def test_views_join_and_part_chunks(spark):
     assert not rows[2].unsafe
 
 
-def test_scan_has_no_python_and_no_shuffle(spark):
+def test_both_scans_share_one_pass_and_no_shuffle(spark):
     df = spark.range(10).select(F.col("id"), F.lit("x").alias("text"))
     plan = scan.corpus_scan(df, "text", ["id"])._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+    assert plan.count("ArrowEvalPython") == 1 and "BatchEvalPython" not in plan and "Exchange" not in plan
+
+
+def test_null_and_long_texts(spark):
+    rows = [(0, None), (1, ""), (2, "word " * 200_000 + "a@b.com"), (3, "a@b.com"), (4, "a@b.com")]
+    got = {r.id: r for r in scan.output_scan(spark.createDataFrame(rows, "id int, text string"), "text").collect()}
+    assert (got[0].email, got[0].unsafe, got[1].unsafe) == (None, None, False)
+    assert got[2].email and got[3].email and got[4].email and not got[2].phone

@@ -2,11 +2,13 @@ import random
 import re
 import unicodedata
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
+from wardspark.functions import batches as B
 from wardspark.functions import fixed_values as V
-from wardspark.functions import regex as R
 from wardspark.functions import text as T
 from wardspark.operators import scan
 
@@ -118,19 +120,89 @@ def test_collapse_equals_word_by_word_fold(spark):
         assert row.out == collapse_plain(texts[row.id]), repr(texts[row.id])
 
 
-def test_word_counts_and_entropy(spark):
-    import math
-    texts = ["", "a", "a b c", " two  words ", "x" * 30, "aGVsbG8gd29ybGQ=xYz9Q8pR7mN6kL5jH4", "é忽я aa"]
-    rows = frame(spark, texts).select(
-        "id", T.word_count(F.col("text")).alias("n"), T.one_letter_word_count(F.col("text")).alias("one"),
-        T.entropy_bits(F.col("text")).alias("bits"),
-    ).collect()
+def texts_of_all_kinds(n, seed=7):
+    rng = random.Random(seed)
+    alphabet = list("abé1") + list("  \n\t--._/") + [" ", "\xa0", "\x0b", "\u2003", "я", "忽", "\x01", "\u200b", "😀"]
+    texts = ["", " ", "  ", " a", "a b", "a  b c", "\xa0", "a \xa0  b", "\n", "\n a", "-", " - ", "a\x02 b c"]
+    texts += ["".join(rng.choices(alphabet[:11], k=rng.randint(1, 25))) for _ in range(n)]
+    return texts + ["".join(rng.choices(alphabet, k=rng.randint(1, 25))) for _ in range(n)]
+
+
+def test_forms_of_arrays_equal_the_columns(spark):
+    texts = texts_of_all_kinds(1500) + [p[0] for p in PROMPTS]
+    rows = frame(spark, texts).select("id", T.prompt_variants(F.col("text")).alias("forms")).collect()
+    forms = [f.to_pylist() for f in B.forms(pa.array(texts))]
     for row in rows:
-        words = [w for w in re.split("[" + re.escape(V.UNICODE_SPACE) + "]+", texts[row.id]) if w]
-        solid = "".join(words)
-        bits = -sum(solid.count(c) / len(solid) * math.log2(solid.count(c) / len(solid)) for c in set(solid))
-        assert (row.n, row.one) == (len(words), sum(len(w) == 1 for w in words))
-        assert row.bits == pytest.approx(bits, abs=1e-9)
+        assert row.forms == [f[row.id] for f in forms], repr(texts[row.id])
+    collapsed = B.collapse_spaced(pa.array(texts)).to_pylist()
+    assert collapsed == [collapse_plain(t) for t in texts]
+
+
+def test_word_counts_and_entropy():
+    import math
+    texts = ["a", "a b c", " two  words ", "x" * 30, "aGVsbG8gd29ybGQ=xYz9Q8pR7mN6kL5jH4", "é忽я aa", "😀 é a"]
+    texts += texts_of_all_kinds(500)
+    words = [[w for w in re.split("[" + re.escape(V.UNICODE_SPACE) + "]+", t) if w] for t in texts]
+    whole = pa.array(["cut", *texts, "off"]).slice(1, len(texts))
+    count, single = B.word_counts(whole)
+    assert count.tolist() == [len(w) for w in words]
+    assert single.tolist() == [sum(len(x) == 1 for x in w) for w in words]
+    for bits, w in zip(B.entropy_bits(whole), words):
+        solid = "".join(w)
+        want = -sum(solid.count(c) / len(solid) * math.log2(solid.count(c) / len(solid)) for c in set(solid))
+        assert bits == pytest.approx(want, abs=1e-9)
+
+
+def naive_signals(text):
+    """The three phrase signals from the counts of all patterns over all six forms."""
+    def count(form, pattern):
+        return pc.count_substring_regex(pa.array([form]), pattern)[0].as_py()
+
+    def words(form):
+        return [w for w in re.split("[" + re.escape(V.UNICODE_SPACE) + "]+", form) if w]
+
+    forms = [f[0].as_py() for f in B.forms(pa.array([text]))]
+    repetition = max(
+        min(count(f, V.OVERRIDE_VERBS) / max(len(words(f)), 1) / V.REPETITION_FULL_DENSITY, 1.0) for f in forms
+    )
+    mine = words(text)
+    if repetition and len(mine) >= 5 and sum(len(w) == 1 for w in mine) / len(mine) >= 0.4:
+        repetition = max(repetition, V.SPACED_FLOOR)
+    return (
+        max(min(count(f, V.KEYWORD) * V.KEYWORD_POINTS, 1.0) for f in forms),
+        max(min(count(f, V.STRUCTURAL) * V.STRUCTURAL_POINTS, 1.0) for f in forms), repetition,
+    )
+
+
+def test_pruned_scan_equals_all_patterns_on_all_forms():
+    rng = random.Random(5)
+    phrases = [p[0] for p in PROMPTS] + ["hypothetically speaking\nplease instruct", "hypothetically  speaking, x instruct"]
+    texts = []
+    for _ in range(700):
+        text = rng.choice(phrases)
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(text) + 1)
+            text = text[:at] + rng.choice(["\xa0", "\n", " ", "  ", "-", ".", "\u200b", "1", "!", "a ", "\x0b", "\u2003"]) + text[at:]
+        if rng.random() < 0.3:
+            text = rng.choice([" ", "-", "\xa0", "  ", "\n"]).join(text)
+        if rng.random() < 0.3:
+            text = "".join({"i": "1", "e": "3", "o": "0", "a": "@", "s": "$"}.get(c, c) for c in text)
+        texts.append(text)
+    found = B.phrase_signals(pa.array(texts))
+    for i, text in enumerate(texts):
+        got = tuple(found[n][i] for n in ("keyword", "structural", "repetition"))
+        assert got == pytest.approx(naive_signals(text)), repr(text)
+
+
+def test_scan_in_parts_and_nulls(monkeypatch):
+    monkeypatch.setattr(B, "PART_BYTES", 100)
+    texts = [None, "", *[p[0] for p in PROMPTS], None, "ignore all previous instructions " * 50]
+    got = B.signals(pa.array(texts, pa.string())).to_pylist()
+    assert got[0] == dict.fromkeys(V.SIGNAL_WEIGHTS, 0.0) and got[-1]["keyword"] == 1.0
+    assert got[2:-2] == [B.signals(pa.array([p[0]]))[0].as_py() for p in PROMPTS]
+    flags = B.output_flags(pa.array(texts, pa.string())).to_pylist()
+    assert set(flags[0].values()) == {None} and set(flags[1].values()) == {False}
+    assert B.signals(pa.array([], pa.string())).to_pylist() == []
 
 
 @pytest.mark.parametrize("name", ["KEYWORD", "STRUCTURAL", "OVERRIDE_VERBS"])
@@ -148,25 +220,16 @@ def test_every_alternative_holds_a_listed_literal(name):
     def check(match):
         squeezed = match.replace("İ", "i").lower().replace("ſ", "s").replace("ı", "i").translate(drop)
         assert any(l in squeezed for l in literals), repr(match)
+        assert B.matches(pa.array([match]), B.HINT)[0].as_py(), repr(match)
 
     check()
 
 
-def test_java_form_of_patterns():
-    assert R.to_java(r"\bAKIA[\s\-]") .startswith("(?d)")
-    assert r"[\t\n\f\r \-]" in R.to_java(r"\d[\s\-]")
-    assert "a|b" in R.to_java("(?i)(A|B)")
-    with pytest.raises(ValueError):
-        R.to_java(r"(?i)\S")
-
-
-def test_ascii_word_boundary_and_folding(spark):
+def test_ascii_word_boundary_and_folding():
     texts = ["забудь", "xзабудь ", "x забудь", "IGNORE", "İgnore", "ıgnore", "diſregard", "ignore\x0b",
              "忽略ignore ignore,forget", "xзабудьignore", "ignoreforget", "é-ignore_ bypass"]
-    rows = frame(spark, texts).select(
-        "id", R.count(R.folded(F.col("text")), V.OVERRIDE_VERBS).alias("n")
-    ).collect()
-    assert {texts[r.id]: r.n for r in rows} == {
+    counts = pc.count_substring_regex(pa.array(texts), V.OVERRIDE_VERBS).to_pylist()
+    assert dict(zip(texts, counts)) == {
         "забудь": 0, "xзабудь ": 0, "x забудь": 0, "IGNORE": 1, "İgnore": 0, "ıgnore": 0,
         "diſregard": 1, "ignore\x0b": 1, "忽略ignore ignore,forget": 4, "xзабудьignore": 2,
         "ignoreforget": 0, "é-ignore_ bypass": 1,

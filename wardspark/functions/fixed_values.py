@@ -1,12 +1,11 @@
 """Values that results depend on, stated as they are.
 
 FIXED VALUES: word lists, patterns, weights, thresholds and bucket bounds.  The
-patterns are written in RE2 syntax, so the same text serves the DuckDB checks
-unchanged and the Java engine after ``regex.to_java``.
+patterns are written in RE2 syntax, so the same text serves Arrow's engine and the DuckDB checks.
 """
 
 # FIXED VALUES - invisible characters removed before matching.
-INVISIBLE = "​‌‍‎‏⁠﻿­"
+INVISIBLE = "\u200b\u200c\u200d\u200e\u200f\u2060\ufeff\xad"
 
 # FIXED VALUES - look-alike characters and the letters they stand for.
 LEET_FROM = "01!|3@$57+"
@@ -18,8 +17,8 @@ DELIMITERS = "-._/"
 # FIXED VALUES - RE2 \s and Unicode white space.
 ASCII_SPACE = "\t\n\f\r "
 UNICODE_SPACE = (
-    "\t\n\x0b\f\r \x85\xa0         "
-    "       　"
+    "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002"
+    "\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
 # FIXED VALUES - keyword phrases, 0.60 per match.

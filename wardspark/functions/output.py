@@ -1,53 +1,23 @@
 """Output patterns: personal data, secrets, unsafe instructions."""
 
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
 
+from . import batches
 from . import fixed_values as V
-from .regex import folded, is_folding, matches
-
-# Cheap necessary conditions.  Java backtracks, so a long text is tested for
-# these before the full pattern runs.
-_FOUR_DIGITS = r"(?:[0-9][ \-]?){4}"
-
-
-def has_digits(text: Column) -> Column:
-    """Four digits near each other, which every number pattern needs."""
-    return text.rlike(_FOUR_DIGITS)
-
-
-def pattern_flags(
-    text: Column, lower: Column | None = None, digits: Column | None = None
-) -> dict[str, Column]:
-    """One boolean column per output pattern, in the listed order.
-
-    `lower` and `digits` are folded(text) and has_digits(text) where they are columns
-    already; several patterns read each of them.
-    """
-    lower = folded(text) if lower is None else lower
-    digits = has_digits(text) if digits is None else digits
-    guards = {
-        "email": text.contains("@"),
-        "phone": digits,
-        "ssn": digits,
-        "card": digits,
-        "aws_key": text.contains("AKIA"),
-        "sk_key": text.contains("sk-"),
-        "unsafe_instruction": lower.contains("how"),
-        "self_harm": lower.contains("step"),
-    }
-    return {
-        name: guards[name] & matches(lower if is_folding(p) else text, p)
-        for name, p in V.OUTPUT_PATTERNS.items()
-    }
-
-
-def contains_unsafe(text: Column) -> Column:
+
+
+@F.arrow_udf(StructType([StructField(name, BooleanType()) for name in V.OUTPUT_PATTERNS]))
+def pattern_flags(texts: pa.Array) -> pa.Array:
+    """One flag per output pattern, in the listed order; null for null."""
+    return batches.output_flags(texts)
+
+
+@F.arrow_udf(BooleanType())
+def contains_unsafe(texts: pa.Array) -> pa.Array:
     """True if any output pattern matches the text exactly as given."""
-    flags = list(pattern_flags(text).values())
-    result = flags[0]
-    for flag in flags[1:]:
-        result = result | flag
-    return result
+    return batches.unsafe(texts)
 
 
 def joined_view(raw: Column) -> Column:
@@ -69,3 +39,29 @@ def spaced_view(raw: Column) -> Column:
 def stream_unsafe(raw: Column) -> Column:
     """True if either view of raw event bytes holds an output pattern."""
     return contains_unsafe(joined_view(raw)) | contains_unsafe(spaced_view(raw))
+
+
+_LONGS, _FLAGS = ArrayType(LongType()), ArrayType(BooleanType())
+
+
+def scan_runs(window: int):
+    """Column function (bytes, sizes of chunks) of a run of a stream: see batches.run_flags."""
+
+    @F.arrow_udf(StructType([
+        StructField("n_bytes", LongType()), StructField("sizes", _LONGS), StructField("ends", _LONGS),
+        StructField("flags", _FLAGS), StructField("head", BinaryType()), StructField("tail", BinaryType()),
+    ]))
+    def scan(data: pa.Array, sizes: pa.Array) -> pa.Array:
+        return batches.run_flags(data, sizes, window)
+
+    return scan
+
+
+def scan_heads(window: int):
+    """Column function (past, head, ends, flags, finale): see batches.head_flags."""
+
+    @F.arrow_udf(StructType([StructField("flags", _FLAGS), StructField("drain", BooleanType())]))
+    def scan(past: pa.Array, head: pa.Array, ends: pa.Array, flags: pa.Array, finale: pa.Array) -> pa.Array:
+        return batches.head_flags(past, head, ends, flags, finale, window)
+
+    return scan

@@ -1,155 +1,8 @@
-"""RE2 patterns on the Java engine.
+"""Bracket classes for patterns that the Java engine runs.
 
-RE2 reads ``\\b``, ``\\d`` and ``\\s`` as ASCII, folds case over Unicode and lets
-``.`` stop only at a newline; Java 17 differs on each point.  ``to_java``
-rewrites a pattern; case-folding patterns are lower-cased and must be run on
-``folded(text)``, which is cheaper than the engine's own Unicode folding.
+Phrases and output patterns do not run on that engine: see batches.
 """
 
-import re
-
-from pyspark.sql import Column, functions as F
-
-_SPACE = r"\t\n\f\r "
-# Java's \w is ASCII unless asked otherwise, unlike its \b.
-_WORD_BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
-# Characters whose Java lower case and RE2 fold class disagree: capital dotted i
-# folds to nothing in RE2, so it reads as dotless i, which no pattern holds; long s
-# and the old Cyrillic letter forms fold to letters that lower() does not reach.
-_FOLD_FROM = "İſᲀᲁᲂᲃᲄᲅᲆᲇ"
-_FOLD_TO = "ısвдосттъѣ"
-
-
-def is_folding(pattern: str) -> bool:
-    return pattern.startswith("(?i)")
-
-
-def to_java(pattern: str) -> str:
-    """Java form of an RE2 pattern; for ``folded(text)`` if it starts ``(?i)``.
-
-    For counting and testing: a match may include the character before it.
-    """
-    body = pattern
-    if is_folding(body):
-        body = body[len("(?i)"):]
-        if re.search(r"\\[A-Z]", body):
-            raise ValueError(f"cannot lower-case an upper-case escape: {pattern}")
-        body = body.lower()
-    out, in_class, i = [], False, 0
-    while i < len(body):
-        pair = body[i:i + 2]
-        if pair == r"\s":
-            out.append(_SPACE if in_class else f"[{_SPACE}]")
-            i += 2
-        elif pair == r"\b" and not in_class:
-            out.append(_WORD_BOUNDARY)
-            i += 2
-        elif body[i] == "\\":
-            out.append(pair)
-            i += 2
-        else:
-            if body[i] == "[":
-                in_class = True
-            elif body[i] == "]":
-                in_class = False
-            out.append(body[i])
-            i += 1
-    # Most positions fail on the lead and never reach the alternatives.
-    return f"(?d){_lead(body)}(?:{''.join(out)})"
-
-
-def _lead(body: str) -> str:
-    """A cheap test that holds wherever a match starts; empty if none is known.
-
-    Two character classes for the first two characters of ASCII alternatives, the
-    word boundary if all of them ask for it; other characters may start the rest.
-    """
-    starts = leads(body)
-    if starts is None:
-        return ""
-    ascii_starts = [s for s in starts if s[0].isascii()]
-    tests = []
-    if ascii_starts:
-        second = "".join(s[1] for s in ascii_starts if len(s) == 2)
-        pair = char_class("".join(s[0] for s in ascii_starts))
-        if all(len(s) == 2 for s in ascii_starts):
-            pair += char_class(second)
-        bounded = all(starts[s] and s[0].isalnum() for s in ascii_starts)
-        # A boundary before an ASCII word means another character or the end of the
-        # match before; taking that character along is quicker than looking back.
-        tests.append((r"(?:\W|\G)" if bounded else "") + f"(?={pair})")
-    others = [s for s in starts if not s[0].isascii()]
-    if others:
-        latin = any(ord(s[0]) < 256 for s in others)
-        tests.append(r"(?=[^\x00-\x7F])" if latin else r"(?=[^\x00-\xFF])")
-    return f"(?:{'|'.join(tests)})"
-
-
-def _alternatives(body: str) -> list[str]:
-    """Parts between the bars that lie outside groups and classes."""
-    parts, depth, in_class, start, i = [], 0, False, 0, 0
-    while i < len(body):
-        c = body[i]
-        if c == "\\":
-            i += 1
-        elif in_class:
-            in_class = c != "]"
-        elif c == "[":
-            in_class = True
-        elif c in "()":
-            depth += 1 if c == "(" else -1
-        elif c == "|" and depth == 0:
-            parts.append(body[start:i])
-            start = i + 1
-        i += 1
-    return [*parts, body[start:]]
-
-
-_SPECIAL = set("\\[](){}.*+?|^$")
-
-
-def leads(body: str) -> dict[str, bool] | None:
-    """First one or two characters of every alternative, None if not literal.
-
-    The value tells whether all alternatives with that start ask for a boundary.
-    """
-    found: dict[str, bool] = {}
-    for part in _alternatives(body):
-        bounded = part.startswith(r"\b")
-        part = part.removeprefix(r"\b")
-        if part.startswith("(") and not part.startswith("(?"):
-            depth, end = 0, 0
-            for end, c in enumerate(part):
-                depth += {"(": 1, ")": -1}.get(c, 0)
-                if depth == 0:
-                    break
-            inner = leads(part[1:end])
-            if inner is None or part[end + 1:end + 2] in ("?", "*"):
-                return None
-        else:
-            lead, rest = "", part
-            while len(lead) < 2 and rest:
-                escaped = rest[0] == "\\" and not rest[1:2].isalnum()
-                char, after = (rest[1], rest[2:]) if escaped else (rest[0], rest[1:])
-                if (not escaped and char in _SPECIAL) or after[:1] in ("?", "*"):
-                    break
-                lead, rest = lead + char, after
-            if not lead:
-                return None
-            inner = {lead: False}
-        for lead, inside in inner.items():
-            found[lead] = found.get(lead, True) and (bounded or inside)
-    return found
-
-
-def folded(text: Column) -> Column:
-    """Case-folded text for patterns that start with ``(?i)``.
-
-    Character by character translation only runs where one of those few is found.
-    """
-    odd = text.rlike(char_class(_FOLD_FROM))
-    return F.lower(F.when(odd, F.translate(text, _FOLD_FROM, _FOLD_TO)).otherwise(text))
-
 
 def char_class(chars: str) -> str:
     """Bracket class of the given characters.
@@ -164,19 +17,3 @@ def char_class(chars: str) -> str:
         else:
             spans.append([code, code])
     return f"[{latin}" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]"
-
-
-def count(text: Column, pattern: str) -> Column:
-    """Number of non-overlapping matches; pass folded text for ``(?i)``."""
-    return F.regexp_count(text, F.lit(to_java(pattern)))
-
-
-def matches(text: Column, pattern: str) -> Column:
-    return text.rlike(to_java(pattern))
-
-
-def contains_any(text: Column, literals: tuple[str, ...]) -> Column:
-    result = text.contains(literals[0])
-    for literal in literals[1:]:
-        result = result | text.contains(literal)
-    return result

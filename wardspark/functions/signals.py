@@ -1,74 +1,23 @@
-"""The five prompt signals, the risk score and the verdict.
-
-`forms` is the array of the six inspected forms, each case-folded.
-"""
+"""The five prompt signals, the risk score and the verdict."""
 
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from . import batches
 from . import fixed_values as V
-from . import text as T
-from .regex import count
-
-
-def _max_over(forms: Column, score) -> Column:
-    # Equal forms score equally, so each distinct one is scanned once.
-    return F.coalesce(
-        F.array_max(F.transform(F.array_distinct(forms), score)), F.lit(0.0)
-    )
-
-
-def _points(matches: Column, points: float) -> Column:
-    return F.least(matches.cast("double") * F.lit(points), F.lit(1.0))
-
-
-def keyword_signal(forms: Column) -> Column:
-    """0.60 per known phrase in the worst of the six forms, at most 1."""
-    return _max_over(forms, lambda v: _points(count(v, V.KEYWORD), V.KEYWORD_POINTS))
-
-
-def structural_signal(forms: Column) -> Column:
-    """0.65 per role override in the worst of the six forms, at most 1."""
-    return _max_over(
-        forms, lambda v: _points(count(v, V.STRUCTURAL), V.STRUCTURAL_POINTS)
-    )
-
-
-def repetition_signal(text: Column, forms: Column) -> Column:
-    """Density of override verbs, with a floor for texts spelled out in letters."""
-
-    def density(form, hits):
-        # Words are counted only where a verb was found.
-        per_word = hits / T.word_count(form) / F.lit(V.REPETITION_FULL_DENSITY)
-        return F.when(hits == 0, F.lit(0.0)).otherwise(F.least(per_word, F.lit(1.0)))
-
-    distinct = F.array_distinct(forms)
-    hits = F.transform(distinct, lambda v: count(v, V.OVERRIDE_VERBS).cast("double"))
-    best = F.coalesce(F.array_max(F.zip_with(distinct, hits, density)), F.lit(0.0))
-    return T.bind(best, lambda b: _spelled_floor(text, b))
-
-
-def _spelled_floor(text: Column, best: Column) -> Column:
-    words = T.word_count(text)
-    spelled = (
-        (best > 0)
-        & (words >= V.SPACED_MIN_WORDS)
-        & (T.one_letter_word_count(text) / words >= V.SPACED_MIN_RATIO)
-    )
-    return F.when(spelled, F.greatest(best, F.lit(V.SPACED_FLOOR))).otherwise(best)
-
 
-def boundary_signal(lower: Column) -> Column:
-    """0.50 per chat-format marker in the text as sent, at most 1."""
-    return _points(count(lower, V.BOUNDARY), V.BOUNDARY_POINTS)
 
+@F.arrow_udf(StructType([StructField(name, DoubleType()) for name in V.SIGNAL_WEIGHTS]))
+def text_signals(texts: pa.Array) -> pa.Array:
+    """The five unrounded signals of a text, all 0 for null.
 
-def entropy_signal(text: Column) -> Column:
-    """How far the character entropy lies above 5 bits, at most 1."""
-    bits = T.entropy_bits(text)
-    over = F.least((bits - F.lit(V.ENTROPY_BASE_BITS)) / F.lit(V.ENTROPY_SPAN_BITS), F.lit(1.0))
-    return F.when(
-        F.octet_length(text) < V.ENTROPY_MIN_BYTES, F.lit(0.0)
-    ).otherwise(F.greatest(over, F.lit(0.0)))
+    keyword: 0.60 per known phrase in the worst of the six forms; structural: 0.65 per role
+    override there; repetition: density of override verbs there, with a floor for texts
+    spelled out in letters; boundary: 0.50 per chat-format marker in the text as sent;
+    entropy: how far the character entropy lies above 5 bits.  None is above 1.
+    """
+    return batches.signals(texts)
 
 
 def round2(value: Column) -> Column:

@@ -1,9 +1,9 @@
-"""Text normalisation: the six forms in which a prompt is inspected."""
+"""Text normalisation: the six forms in which a prompt is inspected, as columns.
+
+Scans build the same forms over whole Arrow arrays (see batches); tests compare the two.
+"""
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import DoubleType
 
 from . import fixed_values as V
 from .regex import char_class
@@ -35,16 +35,6 @@ def strip_whitespace(text: Column) -> Column:
     return F.translate(text, V.UNICODE_SPACE, "")
 
 
-def squeeze(lower: Column) -> Column:
-    """One form that holds, unbroken, every phrase any of the six forms holds.
-
-    Leet signs are folded; invisible characters, blanks and delimiters dropped.
-    """
-    return F.translate(
-        lower, V.LEET_FROM + V.INVISIBLE + V.UNICODE_SPACE + V.DELIMITERS, V.LEET_TO
-    )
-
-
 def collapse_spaced(text: Column) -> Column:
     """Join letters that were set apart by blanks or delimiters into words.
 
@@ -91,44 +81,3 @@ def prompt_variants(text: Column) -> Column:
     return bind(strip_invisible(text), lambda clean: bind(fold_leet(clean), lambda leet: F.array(
         text, clean, leet, collapse_spaced(clean), collapse_spaced(leet), strip_whitespace(leet)
     )))
-
-
-def word_count(text: Column) -> Column:
-    """Number of words between Unicode white space."""
-    return F.size(_words(text))
-
-
-def one_letter_word_count(text: Column) -> Column:
-    """Number of words that are a single character."""
-    return F.size(F.filter(_words(text), lambda w: F.char_length(w) == 1))
-
-
-def _words(text: Column) -> Column:
-    blanks = F.translate(text, V.UNICODE_SPACE, " " * len(V.UNICODE_SPACE))
-    return F.array_remove(F.split(blanks, " ", -1), "")
-
-
-@F.pandas_udf(DoubleType())
-def entropy_bits(texts: pd.Series) -> pd.Series:
-    """Shannon bits per non-blank character, null for null.
-
-    No built-in counts the characters of one text; a row per character would shuffle
-    the corpus, and sorting them costs ten times this.  Code points are counted in
-    numpy, one text at a time, over Arrow batches.
-    """
-    return texts.map(_entropy, na_action="ignore").astype("float64")
-
-
-_BLANKS = np.array([ord(c) for c in V.UNICODE_SPACE])
-
-
-def _entropy(text: str) -> float:
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    if len(points) and points.max() >= 1 << 16:  # few such texts; a counter per code point is large
-        values = np.unique(points[~np.isin(points, _BLANKS)], return_counts=True)[1]
-    else:
-        counts = np.bincount(points, minlength=_BLANKS.max() + 1)
-        counts[_BLANKS] = 0
-        values = counts[counts > 0]
-    total = values.sum()
-    return float(np.log2(total) - (values * np.log2(values)).sum() / total) if total else 0.0

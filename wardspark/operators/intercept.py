@@ -5,134 +5,89 @@ chunk itself.  An unsafe buffer ends the stream; otherwise all but the last
 `window` bytes are forwarded.  After the last chunk the held bytes are checked once
 more (the drain).
 
-Byte offsets come from sums per run of chunks.  Chunks are then grouped into blocks
-of `block_bytes`, each with the `window` bytes before it, so a block holds every
-buffer of its chunks and a long stream is many tasks.  A block is first tested as a
-whole; buffers are cut and scanned only in blocks that could hold a match.
+Bytes are shuffled once, into runs of `run_chunks` chunks, so a long stream is many tasks
+and no group is larger than a run.  Each run is matched where it lies: it is searched once,
+in spans of a few buffers, for what any match must leave there, and only where something
+is found are buffers cut out and matched, all of a batch in one call.  What is left is
+written: offsets, times and flags, and the first and last `window` bytes.  Sums over these
+give each run its offset in the stream and the bytes before it, and only the buffers that
+reach back into those are matched again.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as V
 from ..functions import output as O
-from ..functions.regex import folded
 from ..functions.slots import slot
-from ..session import write_stage
+from ..session import broadcast_if_small, ship_package, write_stage
 
-RUN_CHUNKS = 4096
-BLOCK_BYTES = 64 * 1024
+RUN_CHUNKS = 1024
 
 
-def chunk_offsets(chunks: DataFrame, run_chunks: int = RUN_CHUNKS) -> DataFrame:
-    """Add start, end (byte offsets of each chunk) and total (bytes of its stream)."""
-    sized = chunks.withColumn("_n", F.octet_length("raw").cast("long")).withColumn(
-        "_run", slot(F.col("chunk_idx"), run_chunks)
-    )
-    sums = sized.groupBy("stream_id", "_run").agg(F.sum("_n").alias("_sum"))
-    stream = Window.partitionBy("stream_id")
-    earlier = stream.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(
-        "stream_id",
-        "_run",
-        F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"),
-        F.sum("_sum").over(stream).alias("total"),
-    )
-    within = Window.partitionBy("stream_id", "_run").orderBy("chunk_idx")
-    return (
-        sized.join(bases, ["stream_id", "_run"])
-        .withColumn("end", F.col("_base") + F.sum("_n").over(
-            within.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("start", F.col("end") - F.col("_n"))
-        .drop("_n", "_run", "_base")
+def _runs(chunks: DataFrame, window: int, run_chunks: int) -> DataFrame:
+    """One written row per run: its chunks, flags as if nothing came before, first and last bytes."""
+    ship_package(chunks.sparkSession)
+    item = F.struct("chunk_idx", "ts", F.coalesce(F.col("raw").cast("binary"), F.lit(b"")).alias("raw"))
+    known = chunks.filter(F.col("stream_id").isNotNull() & F.col("chunk_idx").isNotNull())
+    runs = known.groupBy("stream_id", slot(F.col("chunk_idx"), run_chunks).alias("run")).agg(
+        F.sort_array(F.collect_list(item)).alias("items")
     )
+    joined = F.array_join(F.transform("items", lambda c: c["raw"].cast("string")), "").cast("binary")
+    sizes = F.transform("items", lambda c: F.octet_length(c["raw"]).cast("long"))
+    scanned = runs.withColumn("scan", O.scan_runs(window)(joined, sizes))
+    return write_stage(scanned.select(
+        "stream_id", "run",
+        F.transform("items", lambda c: c["chunk_idx"]).alias("idx"),
+        F.transform("items", lambda c: c["ts"]).alias("ts"),
+        "scan.*",
+    ), "runs")
 
 
-def _blocks(chunks: DataFrame, window: int, block_bytes: int, run_chunks: int) -> DataFrame:
-    """One row per block: its bytes, their first offset, and its chunks in order."""
-    home = slot(F.col("start"), block_bytes)
-    # A chunk also serves as the past of blocks in which a later chunk may start
-    # within `window` bytes after it; there only its last bytes count.
-    targets = F.array_distinct(F.array(
-        home,
-        slot(F.col("end"), block_bytes),
-        slot(F.col("end") + window - 1, block_bytes),
+def _places(runs: DataFrame, window: int) -> DataFrame:
+    """Of each run: the offset it begins at, its stream's bytes, and the bytes before it.
+
+    Those are the last bytes of the run before, and of as many runs before that as begin
+    within `window` bytes; runs of no bytes add nothing.
+    """
+    stream = Window.partitionBy("stream_id")
+    based = runs.select("stream_id", "run", "n_bytes", "tail").withColumn("base", F.coalesce(
+        F.sum("n_bytes").over(stream.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     ))
-    raw = F.col("raw").cast("binary")
-    placed = (
-        chunk_offsets(chunks, run_chunks)
-        .withColumn("_home", home)
-        .withColumn("block", F.explode(targets))
-        .withColumn("own", F.col("block") == F.col("_home"))
-        .withColumn(
-            "bytes",
-            F.when(F.col("own"), raw).otherwise(F.substring(raw, -window, window)).cast("string"),
-        )
-        .withColumn("from", F.col("end") - F.octet_length("bytes"))
-    )
-    item = F.struct("chunk_idx", "from", "end", "own", "ts", "bytes")
-    grouped = placed.groupBy("stream_id", "block").agg(
-        F.sort_array(F.collect_list(item)).alias("_items"), F.first("total").alias("total")
-    )
-    own = F.transform(
-        F.filter("_items", lambda c: c["own"]),
+    tail = F.when(F.col("n_bytes") > 0, F.col("tail").cast("string"))
+    by_base = stream.orderBy("base")
+    further = F.last(tail, ignorenulls=True).over(by_base.rangeBetween(Window.unboundedPreceding, -window - 1))
+    near = F.array_join(F.collect_list(tail).over(by_base.rangeBetween(-window, -1)), "")
+    before = F.concat(F.coalesce(further, F.lit("")), near).cast("binary")
+    return based.select(
+        "stream_id", "run", "base", F.sum("n_bytes").over(stream).alias("total"),
+        (F.max("run").over(stream) == F.col("run")).alias("last"),
+        F.substring(before, -window, window).alias("past"),
+    )
+
+
+def _blocks(chunks: DataFrame, window: int, run_chunks: int) -> DataFrame:
+    """stream_id, block (the run), total, chunks (chunk_idx, start, end, ts, unsafe), drain_unsafe."""
+    runs = _runs(chunks, window, run_chunks)
+    placed = runs.join(broadcast_if_small(_places(runs, window)), ["stream_id", "run"])
+    finale = F.when(F.col("last"), F.substring(F.concat("past", "tail"), -window, window))
+    checked = placed.withColumn("checked", O.scan_heads(window)("past", "head", "ends", "flags", finale))
+    base = F.col("base")
+    chunk = F.transform(
+        F.arrays_zip("idx", "ends", "sizes", "ts", F.col("checked.flags").alias("unsafe")),
         lambda c: F.struct(
-            c["chunk_idx"].alias("chunk_idx"), c["from"].alias("start"),
-            c["end"].alias("end"), c["ts"].alias("ts"),
+            c["idx"].alias("chunk_idx"), (base + c["ends"] - c["sizes"]).alias("start"),
+            (base + c["ends"]).alias("end"), c["ts"].alias("ts"), c["unsafe"].alias("unsafe"),
         ),
     )
-    return grouped.select(
-        "stream_id",
-        "block",
-        "total",
-        F.array_join(F.transform("_items", lambda c: c["bytes"]), "").cast("binary").alias("bytes"),
-        F.element_at("_items", -1)["end"].alias("_end"),
-        own.alias("chunks"),
-    ).filter(F.size("chunks") > 0).withColumn(
-        # Counted from the end: a cut chunk may leave a gap before the bytes needed.
-        "base", F.col("_end") - F.octet_length("bytes")
-    ).drop("_end")
-
-
-def _buffer(chunk: Column, window: int) -> Column:
-    start = F.greatest(chunk["start"] - window, F.lit(0))
-    return F.substring(
-        F.col("bytes"),
-        (start - F.col("base") + 1).cast("int"),
-        (chunk["end"] - start).cast("int"),
-    ).cast("string")
-
-
-# What any match of an output pattern needs, in a view that ignores line ends.
-_NINE_DIGITS = r"(?:[0-9][\t\n\f\r \-.()]{0,3}){9}"
-
-
-def _suspicious(raw: Column) -> Column:
-    def test(view: Column) -> Column:
-        return (
-            view.contains("@")
-            | view.contains("AKIA")
-            | view.contains("sk-")
-            | view.rlike(_NINE_DIGITS)
-            | F.exists(
-                F.array(folded(view)), lambda low: low.contains("how") | low.contains("step")
-            )
-        )
-
-    return F.exists(F.array(O.joined_view(raw)), test)
-
-
-def _unsafe(raw: Column) -> Column:
-    """stream_unsafe with the buffer and its views bound, so each is built once."""
-    return F.exists(
-        F.array(raw),
-        lambda b: F.exists(F.array(O.joined_view(b), O.spaced_view(b)), O.contains_unsafe),
+    return checked.select(
+        "stream_id", F.col("run").alias("block"), "total", chunk.alias("chunks"),
+        F.coalesce("checked.drain", F.lit(False)).alias("drain_unsafe"),
     )
 
 
 def holdback_buffer(
     chunks: DataFrame,
     window: int = V.WINDOW_BYTES,
-    block_bytes: int = BLOCK_BYTES,
     run_chunks: int = RUN_CHUNKS,
 ) -> DataFrame:
     """Per chunk: buffer size, whether it is unsafe, bytes held and forwarded so far.
@@ -140,14 +95,7 @@ def holdback_buffer(
     Chunks after the first unsafe one are listed too, as if the stream went on.
     """
     window = window if window > 0 else V.WINDOW_BYTES
-    blocks = _blocks(chunks, window, block_bytes, run_chunks).withColumn(
-        "suspicious", _suspicious(F.col("bytes").cast("string"))
-    )
-    scanned = blocks.withColumn(
-        "_chunk",
-        F.explode(F.transform("chunks", lambda c: c.withField(
-            "unsafe", F.col("suspicious") & _unsafe(_buffer(c, window))))),
-    )
+    scanned = _blocks(chunks, window, run_chunks).withColumn("_chunk", F.explode("chunks"))
     end, start = F.col("_chunk.end"), F.col("_chunk.start")
     return scanned.select(
         "stream_id",
@@ -161,23 +109,7 @@ def holdback_buffer(
 
 def _block_verdicts(blocks: DataFrame, window: int) -> DataFrame:
     """Per block: its first unsafe chunk, the drain check, and its forwards until then."""
-    # The drain checks the last bytes of the stream; its block ends with them.
-    tail = F.substring(F.col("bytes"), -window, window).cast("string")
-    ends = F.array_max(F.transform("chunks", lambda c: c["end"]))
-    tested = blocks.withColumn("suspicious", _suspicious(F.col("bytes").cast("string")))
-    first = F.get(
-        F.filter("chunks", lambda c: _unsafe(_buffer(c, window))), F.lit(0)
-    )
-    found = tested.select(
-        "stream_id",
-        "block",
-        "total",
-        "chunks",
-        F.when(F.col("suspicious"), first).alias("_first"),
-        F.when(
-            F.col("suspicious") & (ends == F.col("total")), _unsafe(tail)
-        ).otherwise(F.lit(False)).alias("drain_unsafe"),
-    )
+    found = blocks.withColumn("_first", F.get(F.filter("chunks", lambda c: c["unsafe"]), F.lit(0)))
 
     def forwards(c):
         reached = F.col("_first").isNull() | (c["chunk_idx"] < F.col("_first.chunk_idx"))
@@ -198,10 +130,10 @@ def _block_verdicts(blocks: DataFrame, window: int) -> DataFrame:
 
 
 def _staged_verdicts(
-    chunks: DataFrame, window: int, block_bytes: int, run_chunks: int
+    chunks: DataFrame, window: int, run_chunks: int
 ) -> DataFrame:
     """Block verdicts as a written table: one small row per block, scanned once."""
-    blocks = _blocks(chunks, window, block_bytes, run_chunks)
+    blocks = _blocks(chunks, window, run_chunks)
     return write_stage(_block_verdicts(blocks, window), "block-verdicts")
 
 
@@ -238,19 +170,17 @@ def _stream_outcome(blocks: DataFrame, window: int) -> DataFrame:
 def stream_abort(
     chunks: DataFrame,
     window: int = V.WINDOW_BYTES,
-    block_bytes: int = BLOCK_BYTES,
     run_chunks: int = RUN_CHUNKS,
 ) -> DataFrame:
     """Per stream: aborted, at which stage and chunk, and the bytes let through."""
     window = window if window > 0 else V.WINDOW_BYTES
-    blocks = _block_verdicts(_blocks(chunks, window, block_bytes, run_chunks), window)
+    blocks = _block_verdicts(_blocks(chunks, window, run_chunks), window)
     return _stream_outcome(blocks, window).drop("first_ts", "last_ts", "_abort_block")
 
 
 def stream_timing(
     chunks: DataFrame,
     window: int = V.WINDOW_BYTES,
-    block_bytes: int = BLOCK_BYTES,
     run_chunks: int = RUN_CHUNKS,
 ) -> DataFrame:
     """Per stream: time to the first forwarded byte, forwards, and mean gap between them.
@@ -259,7 +189,7 @@ def stream_timing(
     needed.  A stream short enough to be held whole is first forwarded by the drain.
     """
     window = window if window > 0 else V.WINDOW_BYTES
-    blocks = _staged_verdicts(chunks, window, block_bytes, run_chunks)
+    blocks = _staged_verdicts(chunks, window, run_chunks)
     outcome = _stream_outcome(blocks, window)
     sent = (
         blocks.join(outcome.select("stream_id", "_abort_block"), "stream_id")
@@ -290,7 +220,6 @@ def stream_timing(
 def forward_gaps(
     chunks: DataFrame,
     window: int = V.WINDOW_BYTES,
-    block_bytes: int = BLOCK_BYTES,
     run_chunks: int = RUN_CHUNKS,
 ) -> DataFrame:
     """(stream_id, gap_us) for each pair of neighbouring forwards.
@@ -299,7 +228,7 @@ def forward_gaps(
     block meet those of its neighbours.
     """
     window = window if window > 0 else V.WINDOW_BYTES
-    blocks = _staged_verdicts(chunks, window, block_bytes, run_chunks)
+    blocks = _staged_verdicts(chunks, window, run_chunks)
     outcome = _stream_outcome(blocks, window).select("stream_id", "_abort_block")
     sent = (
         blocks.join(outcome, "stream_id")

@@ -5,8 +5,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import fixed_values as V
 from ..functions import output as O
 from ..functions import signals as S
-from ..functions import text as T
-from ..functions.regex import contains_any, folded
 from ..session import ship_package
 
 SIGNAL_NAMES = tuple(V.SIGNAL_WEIGHTS)
@@ -15,43 +13,12 @@ SIGNAL_NAMES = tuple(V.SIGNAL_WEIGHTS)
 def with_signals(df: DataFrame, text_col: str, keep: list[str] | None = None) -> DataFrame:
     """Add the five unrounded signal columns; `keep` names the other columns.
 
-    A text is first squeezed to one form and searched for plain literals that any
-    phrase must hold.  Only texts with a hit get the six forms and the patterns.
-    Each step is read several times by the next, so Catalyst keeps it in a
-    projection of its own; none of them shuffles.
+    Texts go through RE2 automata where they are read, in Arrow batches; nothing shuffles.
     """
     keep = keep if keep is not None else df.columns
     ship_package(df.sparkSession)
-    lower = folded(F.col(text_col))
-    squeezed = df.select(
-        *keep,
-        F.col(text_col).alias("_text"),
-        lower.alias("_lower"),
-        T.squeeze(lower).alias("_squeezed"),
-    )
-    suspects = squeezed.select(
-        *keep,
-        "_text",
-        "_lower",
-        contains_any(F.col("_squeezed"), V.KEYWORD_LITERALS).alias("_keyword"),
-        contains_any(F.col("_squeezed"), V.STRUCTURAL_LITERALS).alias("_structural"),
-        contains_any(F.col("_squeezed"), V.VERB_LITERALS).alias("_repetition"),
-        contains_any(F.col("_lower"), V.BOUNDARY_LITERALS).alias("_boundary"),
-    )
-    any_suspect = F.col("_keyword") | F.col("_structural") | F.col("_repetition")
-    # Folding case first gives the same forms as folding each of them.
-    forms = suspects.withColumn(
-        "_forms", F.when(any_suspect, T.prompt_variants(F.col("_lower")))
-    )
-    raw, variants, none = F.col("_text"), F.col("_forms"), F.lit(0.0)
-    return forms.select(
-        *keep,
-        F.when(F.col("_keyword"), S.keyword_signal(variants)).otherwise(none).alias("keyword"),
-        F.when(F.col("_structural"), S.structural_signal(variants)).otherwise(none).alias("structural"),
-        F.when(F.col("_repetition"), S.repetition_signal(raw, variants)).otherwise(none).alias("repetition"),
-        F.when(F.col("_boundary"), S.boundary_signal(F.col("_lower"))).otherwise(none).alias("boundary"),
-        S.entropy_signal(raw).alias("entropy"),
-    )
+    scanned = df.select(*keep, S.text_signals(text_col).alias("_signals"))
+    return scanned.select(*keep, *[F.col("_signals")[name].alias(name) for name in SIGNAL_NAMES])
 
 
 def input_scan(
@@ -64,10 +31,16 @@ def input_scan(
 ) -> DataFrame:
     """Score and verdict per text, with the rounded signals flat and as a map."""
     keep = keep if keep is not None else df.columns
+    return with_scores(with_signals(df, text_col, keep), keep, block, tag, weights)
+
+
+def with_scores(
+    signalled: DataFrame, keep: list[str], block: float = V.BLOCK_THRESHOLD, tag: float = V.TAG_THRESHOLD,
+    weights: dict[str, float] = V.SIGNAL_WEIGHTS,
+) -> DataFrame:
+    """Score, verdict and rounded signals from the unrounded ones."""
     unrounded = {name: F.col(name) for name in SIGNAL_NAMES}
-    scored = with_signals(df, text_col, keep).withColumn(
-        "score", S.risk_score(unrounded, weights)
-    )
+    scored = signalled.withColumn("score", S.risk_score(unrounded, weights))
     rounded = {name: S.round2(F.col(name)) for name in SIGNAL_NAMES}
     return scored.select(
         *keep,
@@ -84,22 +57,18 @@ def input_scan(
 def output_scan(df: DataFrame, text_col: str, keep: list[str] | None = None) -> DataFrame:
     """One flag per output pattern and `unsafe` if any is set."""
     keep = keep if keep is not None else df.columns
-    flags = O.pattern_flags(F.col("_text"), F.col("_folded"), F.col("_digits"))
-    flagged = _prepared(df, text_col, keep).select(*keep, *[f.alias(name) for name, f in flags.items()])
-    return flagged.withColumn("unsafe", _any(list(flags)))
-
-
-def _prepared(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """What several output patterns read, worked out once per text."""
-    text = F.col(text_col)
-    return df.select(
-        *keep, text.alias("_text"), folded(text).alias("_folded"), O.has_digits(text).alias("_digits")
+    ship_package(df.sparkSession)
+    flagged = df.select(*keep, O.pattern_flags(text_col).alias("_flags"))
+    names = list(V.OUTPUT_PATTERNS)
+    return flagged.select(*keep, *[F.col("_flags")[name].alias(name) for name in names]).withColumn(
+        "unsafe", _any(names)
     )
 
 
 def output_scan_views(df: DataFrame, raw_col: str, keep: list[str] | None = None) -> DataFrame:
     """`joined_unsafe`, `spaced_unsafe` and `unsafe` over raw event bytes."""
     keep = keep if keep is not None else df.columns
+    ship_package(df.sparkSession)
     raw = F.col(raw_col)
     return df.select(
         *keep,
@@ -137,14 +106,15 @@ def pattern_counts(flagged: DataFrame, by: list[str]) -> DataFrame:
 
 
 def corpus_scan(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """Input score and output flags of each text in one pass over the corpus."""
-    flags = O.pattern_flags(F.col("_text"), F.col("_folded"), F.col("_digits"))
-    staged = _prepared(df, text_col, keep).select(
-        *keep, F.col("_text").alias(text_col), *[flag.alias(name) for name, flag in flags.items()]
-    )
-    return input_scan(staged, text_col, [*keep, *flags]).drop("signals").withColumn(
-        "unsafe", _any(list(flags))
-    )
+    """Input score and output flags of each text; both scans share one pass of batches."""
+    ship_package(df.sparkSession)
+    staged = df.select(*keep, S.text_signals(text_col).alias("_signals"), O.pattern_flags(text_col).alias("_flags"))
+    flags = list(V.OUTPUT_PATTERNS)
+    scored = with_scores(staged.select(
+        *keep, *[F.col("_flags")[name].alias(name) for name in flags],
+        *[F.col("_signals")[name].alias(name) for name in SIGNAL_NAMES],
+    ), [*keep, *flags])
+    return scored.drop("signals").withColumn("unsafe", _any(flags))
 
 
 def _any(names: list[str]) -> Column:

@@ -164,7 +164,7 @@ def token_usage(spark, folder):
 
 
 def holdback_buffer(spark, folder):
-    return intercept.holdback_buffer(W.chunks(spark, folder), HOLD, block_bytes=1024, run_chunks=64)
+    return intercept.holdback_buffer(W.chunks(spark, folder), HOLD, run_chunks=64)
 
 
 def stream_abort(spark, folder):
