@@ -177,14 +177,43 @@ def test_live_equals_batch_over_several_batches(spark, tmp_path):
     late = chunk_frame(spark, {10**6: ["data: bye\n\n"]}).withColumn("ts", F.timestamp_seconds(F.lit(1_800_000_000)))
     late.coalesce(1).write.mode("append").parquet(folder)
     source = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    buffers = live.live_buffers(source, 32, idle_seconds=1, watermark="1 second")
-    rows = live.intercepted(tables.run_available(live.scan_buffers(buffers), "live"))
-    sent, stopped = {}, {}
-    for row in rows.collect():
-        sent[row.stream_id] = sent.get(row.stream_id, 0) + len(row.payload)
+    out = live.live_intercept(source, 32, idle_seconds=1, watermark="1 second")
+    rows = tables.run_available(out, "live").collect()
+    stopped = {}
+    for row in rows:
         if "abort" in row.event:
-            stopped[row.stream_id] = {"abort": "flush", "drain_abort": "drain"}[row.event]
+            assert row.stream_id not in stopped
+            stopped[row.stream_id] = ({"abort": "flush", "drain_abort": "drain"}[row.event], row.seq)
     for s, chunks in streams.items():
         end = next((i for i, c in enumerate(chunks) if c.rstrip("\r\n").endswith("data: [DONE]")), None)
-        stage, _, forwarded, _ = plain(chunks if end is None else chunks[:end + 1], 32)
-        assert (stopped.get(s), sent.get(s, 0)) == (stage, forwarded), (s, chunks)
+        chunks = chunks if end is None else chunks[:end + 1]
+        stage, _, forwarded, _ = plain(chunks, 32)
+        mine = sorted((r for r in rows if r.stream_id == s), key=lambda r: r.seq)
+        bytes_sent = b"".join(bytes(r.payload) for r in mine)
+        assert [r.seq for r in mine] == list(range(len(mine)))
+        assert bytes_sent == "".join(chunks).encode()[:forwarded], (s, chunks)
+        # A stopped stream's later chunks never reach the sink.
+        assert stopped.get(s, (None, None))[0] == stage
+        assert stage is None or mine[-1].seq == stopped[s][1]
+
+
+def test_a_stopped_stream_stays_stopped(spark, tmp_path):
+    """Chunks that come after the stop, also after its idle time, open nothing again."""
+    folder, rows = str(tmp_path / "chunks"), [
+        [(1, 0, 0, "data: hello\n\n"), (1, 1, 1, "data: a@b.com\n\n"), (2, 1, 1, "data: two\n\n")],
+        [(1, 2, 2, "data: more\n\n"), (2, 0, 3, "data: one\n\n"), (2, 1, 3, "data: repeated\n\n")],
+        [(3, 0, 500, "data: later\n\n")], [(3, 1, 501, "data: on\n\n")],
+        [(1, 3, 502, "data: straggler\n\n"), (2, 2, 502, "data: straggler\n\n")],
+        [(4, 0, 600, "x")], [(4, 1, 601, "x")],
+    ]
+    for part in rows:
+        frame = spark.createDataFrame(part, "stream_id long, chunk_idx long, s long, raw string")
+        frame.withColumn("ts", F.timestamp_seconds(1_700_000_000 + F.col("s"))).drop("s").coalesce(1).write.mode(
+            "append").parquet(folder)
+    schema = "stream_id long, chunk_idx long, raw string, ts timestamp"
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    out = tables.run_available(live.live_intercept(source, 8, idle_seconds=60, watermark="1 second"), "live").collect()
+    one = sorted((r.seq, r.event) for r in out if r.stream_id == 1)
+    assert one == [(0, "forward"), (1, "abort")]
+    two = b"".join(bytes(r.payload) for r in sorted(out, key=lambda r: r.seq) if r.stream_id == 2)
+    assert two == b"data: one\n\ndata: two\n\n"

@@ -1,9 +1,11 @@
 import datetime as dt
 import random
 
+import pytest
+
 from wardspark import workload as W
 from wardspark.functions.rules import RULE_SCHEMA, Atom, Rule
-from wardspark.operators import policy
+from wardspark.operators import policy, quota
 
 CONTEXT = "request_id long, tenant_id string, score double, model string, daily_tokens double"
 
@@ -136,3 +138,56 @@ def test_a_doubled_key_does_not_double_requests(spark):
     tenants = spark.createDataFrame([("k", "b", "B"), ("k", "a", "A")], "api_key string, tenant_id string, tenant_name string")
     asked = spark.createDataFrame([(1, "Bearer k", "/v1/complete")], "request_id long, auth_header string, path string")
     assert [r.tenant_id for r in access.authenticate(asked, tenants).collect()] == ["a"]
+
+
+def test_rules_of_the_time(spark):
+    """Each request by the version in force at its time, also for one written twice."""
+    def at(hour):
+        return dt.datetime(2024, 5, 1, hour, tzinfo=dt.UTC)
+
+    def written(name, hour, op=">"):
+        return ("t", name, 0, name, [(None, "input.risk_score", op, 0.0, [])], "TAG", name, at(hour))
+
+    log = [written("a", 2), written("b", 4), written("bad", 6, "~"), written("a", 8), written("c", 8)]
+    log += [("u", "x", 0, "x", [(None, "input.risk_score", ">", 0.0, [])], "LOG", "x", None)]
+    requests = [(h, tenant, at(h), 0.5, "m", 0.0) for h in range(1, 12) for tenant in ("t", "u", None)]
+    frame = spark.createDataFrame(requests, "request_id int, tenant_id string, ts timestamp, score double, model string, daily_tokens double")
+    got = policy.evaluate_tenant_policies(frame, spark.createDataFrame(log, RULE_SCHEMA), as_of="ts").collect()
+    assert len(got) == len(requests)
+    found = {(r.tenant_id, r.request_id): r.rule_name for r in got}
+    for hour in range(1, 12):
+        want = None if hour < 2 else "a" if hour < 4 else "b" if hour < 8 else "c"
+        assert found["t", hour] == want and found["u", hour] == "x" and found[None, hour] is None
+
+
+@pytest.mark.parametrize("chunk_rows", [7, 1000])
+def test_fold_by_the_rules_of_the_time(spark, chunk_rows):
+    """Totals and verdicts request by request, with rules that change during a day."""
+    draw = random.Random(chunk_rows)
+    start = dt.datetime(2024, 5, 1, tzinfo=dt.UTC)
+    bounds = {"a": (3, 40.0), "b": (9, 15.0), "c": (15, 70.0)}
+    log = [
+        (tenant, name, 0, name, [(None, "tenant.daily_tokens", ">", bound, [])], "BLOCK", name, start + dt.timedelta(hours=hour))
+        for tenant in ("t", "u") for name, (hour, bound) in bounds.items()
+    ]
+    requests = [
+        (i, draw.choice("tu"), start + dt.timedelta(seconds=draw.randrange(86_400)), 0.5, "m", draw.randrange(6)) for i in range(120)
+    ]
+    frame = spark.createDataFrame(requests, "request_id int, tenant_id string, ts timestamp, score double, model string, tokens long")
+    got = {
+        r.request_id: (r.used_before, r.quota_ok, r.charged, r.policy_rule)
+        for r in quota.quota_policy_fold(
+            frame, spark.createDataFrame(log, RULE_SCHEMA), 60, chunk_rows=chunk_rows, slot_seconds=600, as_of=True
+        ).collect()
+    }
+    used = {}
+    for i, tenant, ts, _, _, tokens in sorted(requests, key=lambda r: (r[2], r[0])):
+        before = used.get(tenant, 0)
+        hours = (ts - start).total_seconds() / 3600
+        name = max((n for n, (h, _) in bounds.items() if h <= hours), default=None)
+        if before >= 60:
+            assert got[i] == (None, False, 0, None)
+            continue
+        blocked = name is not None and before > bounds[name][1]
+        assert got[i] == (before, True, 0 if blocked else tokens, name if blocked else None), i
+        used[tenant] = before + (0 if blocked else tokens)

@@ -114,9 +114,11 @@ def first_match_index(rules: Column, score: Column, model: Column, tokens: Colum
     return F.coalesce(F.array_position(held, True).cast("int") - 1, F.lit(-1))
 
 
-def bundles(rules: DataFrame) -> DataFrame:
+def bundles(rules: DataFrame, by: tuple[str, ...] = ("tenant_id",)) -> DataFrame:
     """(tenant_id, rules): the rules of one version per tenant in order, values in lower case.
 
+    `by` names the columns that tell versions apart, where there are several.
+
     A bundle is one policy file's worth of rules, so the array is small.
     """
     atoms = F.transform(
@@ -132,7 +134,7 @@ def bundles(rules: DataFrame) -> DataFrame:
         "rule_order", "rule_name", F.upper("action").alias("action"), "reason",
         atoms.alias("atoms"),
     )
-    return rules.groupBy("tenant_id").agg(
+    return rules.groupBy(*by).agg(
         F.array_sort(F.collect_list(entry), lambda a, b: a["rule_order"] - b["rule_order"]).alias("rules")
     )
 

@@ -32,14 +32,19 @@ def evaluate_tenant_policies(
     model: str = "model",
     tokens: str = "daily_tokens",
     force_model: str | None = None,
+    as_of: str | None = None,
 ) -> DataFrame:
     """Add matched, rule_name, action, reason from the rules of each row's tenant.
 
-    The newest accepted version of a tenant's rules is in force.  The join brings each
-    request that version's rules as one array, so there is no row per (request, rule)
-    and nothing to aggregate afterwards.
+    The newest accepted version of a tenant's rules is in force, or with `as_of`, the
+    version in force at the time in that column.  The join brings each request that
+    version's rules as one array, so there is no row per (request, rule) and nothing to
+    aggregate afterwards.
     """
-    joined = requests.join(broadcast_if_small(bundles_in_force(rules)), "tenant_id", "left")
+    if as_of:
+        joined = with_rules_of_the_time(requests, rules, as_of)
+    else:
+        joined = requests.join(broadcast_if_small(bundles_in_force(rules)), "tenant_id", "left")
     model_col = F.lit(force_model) if force_model else F.col(model)
     hit = R.first_match(F.col("rules"), F.col(score), model_col, F.col(tokens))
     return _with_verdict(joined.withColumn("_hit", hit).drop("rules")).select(
@@ -67,6 +72,56 @@ def bundles_in_force(rules: DataFrame) -> DataFrame:
     return R.bundles(rules_in_force(rules))
 
 
+_WRITING = ("tenant_id", "version", "written_at")
+
+
+def _dated(rules: DataFrame) -> DataFrame:
+    """Rules without a time are as old as can be."""
+    first = F.lit("0001-01-01 00:00:00").cast("timestamp")
+    return rules.withColumn("written_at", F.coalesce(F.col("written_at").cast("timestamp"), first))
+
+
+def accepted_writings(rules: DataFrame) -> DataFrame:
+    """(tenant_id, version, written_at) of each time a version without a faulty rule was written."""
+    return _dated(rules).groupBy(*_WRITING).agg(F.count_if(_rule_fault().isNotNull()).alias("_faulty")).filter(
+        "_faulty = 0"
+    ).drop("_faulty")
+
+
+def with_rules_of_the_time(
+    requests: DataFrame, rules: DataFrame, ts: str = "ts", tenant: str = "tenant_id"
+) -> DataFrame:
+    """Add `in_force` (written_at, version) and `rules` as they were at the time of each request.
+
+    A version is in force from when it was written until the next accepted one of its
+    tenant; a faulty version changes nothing, one written again is in force again.
+    Before a tenant's first there are no rules; a version without a time was always there.  A tenant's times form one short array, in
+    which a request finds its version; a second join on tenant and version brings the
+    rules.  Both are joins on equal keys, so no request meets a version that it does not use.
+    """
+    entry = F.struct("written_at", "version")
+    accepted = accepted_writings(rules)
+    times = accepted.groupBy(F.col("tenant_id").alias("_of")).agg(
+        F.sort_array(F.collect_list(entry)).alias("_times")
+    )
+    earlier = F.filter("_times", lambda t: t["written_at"] <= F.col(ts))
+    placed = requests.join(broadcast_if_small(times), F.col(tenant) == F.col("_of"), "left").withColumn(
+        "in_force", F.get(earlier, F.size(earlier) - 1)
+    ).drop("_of", "_times")
+    return placed.join(
+        broadcast_if_small(writing_bundles(rules)),
+        (F.col(tenant) == F.col("_of")) & (F.col("in_force") == F.col("_writing")), "left",
+    ).drop("_of", "_writing")
+
+
+def writing_bundles(rules: DataFrame) -> DataFrame:
+    """(_of, _writing, rules): the rules of each accepted writing of each tenant."""
+    kept = _dated(rules).join(accepted_writings(rules), list(_WRITING), "left_semi")
+    return R.bundles(kept, _WRITING).select(
+        F.col("tenant_id").alias("_of"), F.struct("written_at", "version").alias("_writing"), "rules"
+    )
+
+
 def rule_hits(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """Per rule in force: how often it held, was the first to hold, and was shadowed."""
     rules = rules_in_force(rules)

@@ -8,7 +8,7 @@ from ..functions import fixed_values as V
 from ..functions import rules as R
 from ..functions.slots import micros, slot
 from ..session import broadcast_if_small, ship_package, write_parts, write_stage
-from .policy import bundles_in_force
+from .policy import bundles_in_force, with_rules_of_the_time, writing_bundles
 
 SLOT_SECONDS = 1
 CHUNK_ROWS = 1_000_000
@@ -94,6 +94,7 @@ def quota_policy_fold(
     slot_seconds: int = SLOT_SECONDS,
     chunk_rows: int = CHUNK_ROWS,
     force_model: str | None = None,
+    as_of: bool = False,
 ) -> DataFrame:
     """Quota and policy where a rule reads the tenant's tokens of the day.
 
@@ -103,12 +104,16 @@ def quota_policy_fold(
     range each request falls in.  Days are folded in time order in chunks of
     `chunk_rows` rows; the total carries over from chunk to chunk.
 
+    With `as_of` each request is judged by the version of its tenant's rules in force at
+    its time; the ranges are then those of all versions of the tenant.
+
     Adds used_before (null if refused by quota), quota_ok, charged, policy_rule,
     policy_action and policy_reason.
     """
     ship_package(requests.sparkSession)
-    bundles = bundles_in_force(rules).select(
-        F.col("tenant_id").alias("_tenant"), "rules", R.token_bounds(F.col("rules")).alias("_bounds")
+    bundles = writing_bundles(rules) if as_of else bundles_in_force(rules).withColumnRenamed("tenant_id", "_of")
+    bounds = bundles.groupBy(F.col("_of").alias("_tenant")).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(R.token_bounds(F.col("rules")))))).alias("_bounds")
     )
     rows = (
         requests.withColumn("_us", micros(F.col(ts)))
@@ -129,7 +134,13 @@ def quota_policy_fold(
     late = write_stage(chunks.filter(F.col("_chunk") > 0), "quota-slots")
     last_chunk = late.agg(F.max("_chunk")).first()[0] or 0
 
-    with_rules = rows.join(broadcast_if_small(bundles), "_tenant", "left")
+    bounded = rows.join(broadcast_if_small(bounds), "_tenant", "left")
+    if as_of:
+        with_rules = with_rules_of_the_time(bounded, rules, ts, "_tenant").withColumnRenamed("in_force", "_in_force")
+    else:
+        with_rules = bounded.join(
+            broadcast_if_small(bundles.withColumnRenamed("_of", "_tenant")), "_tenant", "left"
+        )
 
     model = F.lit(force_model) if force_model else F.col("model")
 
@@ -184,7 +195,10 @@ def quota_policy_fold(
     for part in parts[1:]:
         result = result.unionByName(part)
     # Rows went through the fold with the places of their rules; names are looked up now.
-    named = result.join(broadcast_if_small(bundles.drop("_bounds")), "_tenant", "left")
+    own = F.col("_tenant") == F.col("_of")
+    if as_of:
+        own = own & (F.col("_in_force") == F.col("_writing"))
+    named = result.join(broadcast_if_small(bundles), own, "left")
     place = F.get(F.col("_verdicts"), F.col("_range"))
     verdict = F.when(place >= 0, F.get(F.col("rules"), place))
     return named.select(

@@ -206,23 +206,35 @@ def rule_condition(rule: Rule, tokens: str) -> str:
     return sql
 
 
-def rule_case(value, tokens="daily_tokens", tenants=None) -> str:
-    """CASE over the rules of each tenant; `value` maps a rule to its result."""
+def rule_case(value, tokens="daily_tokens", tenants=None, log=False) -> str:
+    """CASE over the rules of each tenant; `value` maps a rule to its result.
+
+    With `log` the rules are those in force at `ts`.
+    """
+    spans = [("own", "TRUE")]
+    if log:
+        accepted = [(kind, f"TIMESTAMP '{at:%Y-%m-%d %H:%M:%S}'") for kind, _, at in W.RULE_LOG if kind != "faulty"]
+        ends = [f" AND ts < {at}" for _, at in accepted[1:]] + [""]
+        spans = [(kind, f"ts >= {at}{end}") for (kind, at), end in zip(accepted, ends)]
     arms = []
     for tenant, rules in W.TENANT_RULES.items():
         if tenants and tenant not in tenants:
             continue
         guard = "" if tenants else f"tenant_id = {_text(tenant)} AND "
-        arms += [f"WHEN {guard}{rule_condition(r, tokens)} THEN {_text(value(r))}" for r in rules]
+        for kind, span in spans:
+            arms += [
+                f"WHEN {guard}{span} AND {rule_condition(r, tokens)} THEN {_text(value(r))}"
+                for r in (rules if kind == "own" else W.OLD_RULES)
+            ]
     return f"CASE {' '.join(arms)} END"
 
 
-def verdict_columns(tokens="daily_tokens", tenants=None) -> str:
-    name = rule_case(lambda r: r.rule_name, tokens, tenants)
+def verdict_columns(tokens="daily_tokens", tenants=None, log=False) -> str:
+    name = rule_case(lambda r: r.rule_name, tokens, tenants, log)
     return (
         f"{name} IS NOT NULL AS matched, {name} AS rule_name, "
-        f"{rule_case(lambda r: r.action.upper(), tokens, tenants)} AS action, "
-        f"{rule_case(lambda r: r.reason, tokens, tenants)} AS reason"
+        f"{rule_case(lambda r: r.action.upper(), tokens, tenants, log)} AS action, "
+        f"{rule_case(lambda r: r.reason, tokens, tenants, log)} AS reason"
     )
 
 
@@ -247,10 +259,10 @@ def rate_views(source: str, limit: int, window_seconds: float) -> list[str]:
 
 def quota_fold_views(source: str, limit: int) -> list[str]:
     """Recursive views up to judged; `source` has tenant_id, request_id, ts, score, model, tokens."""
-    name = rule_case(lambda r: r.rule_name, "used")
-    action = rule_case(lambda r: r.action.upper(), "used")
+    name = rule_case(lambda r: r.rule_name, "used", log=True)
+    action = rule_case(lambda r: r.action.upper(), "used", log=True)
     return [
-        "quota_in AS MATERIALIZED (SELECT tenant_id, request_id, CAST(ts AS DATE) AS day, score, model, tokens, "
+        "quota_in AS MATERIALIZED (SELECT tenant_id, request_id, ts, CAST(ts AS DATE) AS day, score, model, tokens, "
         f"row_number() OVER (PARTITION BY tenant_id, CAST(ts AS DATE) ORDER BY ts, request_id) AS rn FROM {source})",
         "quota_fold AS (SELECT DISTINCT tenant_id, day, 0::BIGINT AS rn, 0::BIGINT AS used_after, "
         "0::BIGINT AS used, FALSE AS quota_ok, 0::BIGINT AS charged, NULL::VARCHAR AS policy_rule, "
@@ -278,7 +290,7 @@ def decide_views() -> str:
     open_routes = "('/healthz', '/metrics')"
     reasons = " ".join(
         f"WHEN {_text(r.rule_name)} THEN {_text(r.reason)}"
-        for rules in W.TENANT_RULES.values() for r in rules
+        for rules in [*W.TENANT_RULES.values(), W.OLD_RULES] for r in rules
     )
     views = [
         REQUESTS, TENANTS, GATED,
@@ -475,6 +487,9 @@ def oracle_sql() -> dict[str, str]:
     sql["policy_rule_join"] = _with(CONTEXTS) + (
         f"SELECT request_id, tenant_id, {verdict_columns()} FROM contexts"
     )
+    sql["policy_as_of"] = _with(CONTEXTS) + (
+        f"SELECT request_id, tenant_id, {verdict_columns(log=True)} FROM contexts"
+    )
     fault = (
         "CASE WHEN field NOT IN ('input.risk_score', 'tenant.daily_tokens', 'request.model') THEN 'unknown_field' "
         "WHEN op = 'NOT_IN' AND field <> 'request.model' THEN 'not_in_on_number' WHEN op = 'NOT_IN' THEN NULL "

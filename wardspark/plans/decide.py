@@ -70,7 +70,8 @@ def decide(
 ) -> DataFrame:
     """Status and error of each request, with the columns of every stage.
 
-    The first failing stage answers: key, rate, quota, method and body, prompt,
+    A request is judged by the version of its tenant's rules in force at its time.  The
+    first failing stage answers: key, rate, quota, method and body, prompt,
     policy, model, output.  Requests refused later still hold their rate slot;
     refused ones charge no tokens, nor do streams.
     """
@@ -86,11 +87,11 @@ def decide(
     if reads_tokens(rules):
         judged = quota.quota_policy_fold(
             admitted, rules, limits.daily_tokens, chunk_rows=limits.chunk_rows,
-            force_model=limits.force_model,
+            force_model=limits.force_model, as_of=True,
         )
     else:
         ruled = policy.evaluate_tenant_policies(
-            admitted.withColumn("daily_tokens", F.lit(0.0)), rules, force_model=limits.force_model
+            admitted.withColumn("daily_tokens", F.lit(0.0)), rules, force_model=limits.force_model, as_of="ts"
         ).drop("daily_tokens")
         blocks = F.coalesce(F.col("action") == "BLOCK", F.lit(False))
         judged = quota.daily_quota(

@@ -93,6 +93,14 @@ def policy_rule_join(spark, folder):
     return judged.select("request_id", "tenant_id", "matched", "rule_name", "action", "reason")
 
 
+def policy_as_of(spark, folder):
+    """Each request judged by the version in force when it came."""
+    judged = policy.evaluate_tenant_policies(
+        W.rule_contexts(spark, folder), W.policy_rules(spark, W.RULE_LOG), as_of="ts"
+    )
+    return judged.select("request_id", "tenant_id", "matched", "rule_name", "action", "reason")
+
+
 def rule_table_check(spark, folder):
     return policy.rule_table_check(W.rule_rows(spark, folder))
 
@@ -150,7 +158,7 @@ def daily_quota(spark, folder):
 
 def quota_policy_fold(spark, folder):
     rows = W.rule_contexts(spark, folder).drop("daily_tokens")
-    folded = quota.quota_policy_fold(rows, W.policy_rules(spark), LIMITS.daily_tokens)
+    folded = quota.quota_policy_fold(rows, W.policy_rules(spark, W.RULE_LOG), LIMITS.daily_tokens, as_of=True)
     return folded.select(
         "tenant_id", "request_id", "used_before", "quota_ok", "charged", "policy_rule", "policy_action"
     )
@@ -210,13 +218,13 @@ def requests_total(spark, folder):
 
 def _decisions(spark, folder):
     return decide(
-        W.requests(spark, folder), W.tenants(spark, folder), W.policy_rules(spark), LIMITS
+        W.requests(spark, folder), W.tenants(spark, folder), W.policy_rules(spark, W.RULE_LOG), LIMITS
     )
 
 
 def _all_decisions(spark, folder):
     return decide_all(
-        W.requests(spark, folder), W.tenants(spark, folder), W.policy_rules(spark),
+        W.requests(spark, folder), W.tenants(spark, folder), W.policy_rules(spark, W.RULE_LOG),
         W.request_chunks(spark, folder), LIMITS,
     )
 
@@ -271,13 +279,13 @@ def total_requests(spark, folder):
 
 def decide_complete_query(spark, folder):
     return decide_complete(
-        W.requests(spark, folder), W.tenants(spark, folder), W.policy_rules(spark), LIMITS
+        W.requests(spark, folder), W.tenants(spark, folder), W.policy_rules(spark, W.RULE_LOG), LIMITS
     ).drop("ts", "model")
 
 
 def decide_stream_query(spark, folder):
     decided = decide_stream(
-        W.requests(spark, folder), W.tenants(spark, folder), W.policy_rules(spark),
+        W.requests(spark, folder), W.tenants(spark, folder), W.policy_rules(spark, W.RULE_LOG),
         W.request_chunks(spark, folder), LIMITS,
     )
     return decided.select(
@@ -344,14 +352,12 @@ def live_intercept(spark, folder):
         "stream_id", F.posexplode(words).alias("chunk_idx", "word")
     ).select(
         "stream_id", F.col("chunk_idx").cast("long").alias("chunk_idx"),
-        F.timestamp_micros(F.lit(W.BASE_US) + F.col("chunk_idx") * 20_000).alias("ts"),
+        F.timestamp_micros(F.lit(W.BASE_US) + F.col("stream_id") * 1000 + F.col("chunk_idx") * 20_000).alias("ts"),
         F.concat(F.lit("data: "), F.col("word"), F.lit("\n\n")).alias("raw"),
     )
-    # The streams of all files begin at one time, so no chunk may count as late.
-    chunks, _ = tables.split_late(framed, "live-chunks", "100 days", files_per_trigger=FILES_PER_TRIGGER)
-    buffers = live.live_buffers(chunks, HOLD, watermark="100 days")
-    scanned = tables.run_available(live.scan_buffers(buffers), "live-buffers")
-    return live.intercepted(scanned).groupBy("stream_id").agg(
+    chunks, _ = tables.split_late(framed, "live-chunks", "30 seconds", files_per_trigger=FILES_PER_TRIGGER)
+    sent = tables.run_available(live.live_intercept(chunks, HOLD, watermark="30 seconds"), "live-intercept")
+    return sent.groupBy("stream_id").agg(
         F.sum(F.octet_length("payload").cast("long")).alias("forwarded_bytes"),
         F.max(F.when(F.col("event").isin("abort", "drain_abort"), F.col("event"))).alias("stopped"),
     )
@@ -414,6 +420,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "unauthorized": unauthorized,
     "policy_first_match": policy_first_match,
     "policy_rule_join": policy_rule_join,
+    "policy_as_of": policy_as_of,
     "rule_table_check": rule_table_check,
     "live_versions": live_versions,
     "rule_hits": rule_hits,

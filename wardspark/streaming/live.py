@@ -9,12 +9,13 @@ come later than the watermark into a table of their own before any of these drop
 
 import bisect
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import batches
 from ..functions import fixed_values as V
-from ..functions.output import stream_unsafe
 from ..operators import metrics, policy, scan
 from ..session import ship_package
 from ..sources.tables import closing_row
@@ -202,73 +203,54 @@ def live_daily_quota(
     )
 
 
-def live_buffers(
+def live_intercept(
     chunks: DataFrame, window: int = V.WINDOW_BYTES, idle_seconds: int = 60,
-    watermark: str = "1 minute",
+    watermark: str = "10 seconds", remember_seconds: int = 86_400,
 ) -> DataFrame:
-    """The buffer of every chunk as it would be checked, and of the drain.
-
-    Columns: stream_id, seq (order within the stream), chunk_idx (null at the drain),
-    buffer and payload, the bytes that go out if the buffer is safe.  Chunks are taken
-    in order of chunk_idx from 0; one that comes early waits in the state.  The end mark
-    or `idle_seconds` without a chunk, by the watermark, drains a stream.
-
-    The state only keeps bytes; what is unsafe is judged by `scan_buffers`, with the
-    column functions of the batch form.
+    """What goes out of each stream, and the one row that stops it, as the chunks arrive.
+
+    Columns: stream_id, seq (order within the stream), chunk_idx (null at the drain), event
+    (forward, drain, abort, drain_abort) and payload, the bytes let through.  Chunks are
+    taken in order of chunk_idx from 0; one that comes early waits in the state.  The end
+    mark or `idle_seconds` without a chunk, by the watermark, drains a stream.
+
+    Buffers are matched inside the operator, all of a trigger's in one call, so the first
+    unsafe one stops its stream at once: its row carries no bytes, nothing after it is
+    emitted, and later chunks are dropped unread.  The state is the last `window` bytes,
+    the chunks that wait for one before them, and a mark that the stream has ended, which
+    is kept for `remember_seconds`, so that a straggler does not open the stream again.
     """
     ship_package(chunks.sparkSession)
     window = window if window > 0 else V.WINDOW_BYTES
-    mark = (V.DATA_PREFIX + V.DONE).encode()
 
-    def step(key, batches, state: GroupState):
+    def step(key, frames, state: GroupState):
         (stream,) = key
         if stream is None:
             return
-        fresh = (b"", 0, 0, False, [], [], 0)
-        held, following, seq, done, places, waiting, latest = state.get if state.exists else fresh
-        held, early = bytes(held), dict(zip(places, map(bytes, waiting)))
-        out = []
-
-        def take(index: int, data: bytes) -> None:
-            nonlocal held, seq, done
-            held += data
-            out.append((stream, seq, index, held, held[:-window] if len(held) > window else b""))
-            held = held[-window:]
-            seq += 1
-            if data.rstrip(b"\r\n").endswith(mark):
-                drain()
-
-        def drain() -> None:
-            nonlocal held, seq, done
-            out.append((stream, seq, None, held, held))
-            held, done, seq = b"", True, seq + 1
-
-        for batch in batches:
-            if batch.empty:  # a timer has no rows
+        held, following, seq, done, places, waiting, latest = state.get if state.exists else (b"", 0, 0, False, [], [], 0)
+        early = dict(zip(places, map(bytes, waiting)))
+        for frame in frames:
+            if frame.empty:  # a timer has no rows
                 continue
-            latest = max(latest, int(batch["us"].max() // 1000))
-            early.update(zip(batch["chunk_idx"].tolist(), map(_bytes, batch["raw"])))
-        if state.hasTimedOut:  # nothing more will fill a gap
-            order = sorted(early)
-        else:
-            order = []
-            while following + len(order) in early:
-                order.append(following + len(order))
-        for index in order:
-            data = early.pop(index)
+            latest = max(latest, int(frame["us"].max() // 1000))
             if not done:
-                take(index, data)
-            following = index + 1
-        if state.hasTimedOut:
-            if not done:
-                drain()
+                for index, raw in zip(frame["chunk_idx"].tolist(), frame["raw"]):
+                    if index >= following:  # what has been taken once is not taken again
+                        early.setdefault(index, _bytes(raw))
+        rows = []
+        if not done:
+            taken, following = _in_order(early, following, state.hasTimedOut)
+            rows, held, done = _let_through(bytes(held), taken, window, state.hasTimedOut)
+        out = [(stream, seq + k, *row) for k, row in enumerate(rows)]
+        if state.hasTimedOut and done and not rows:
             state.remove()
         else:
-            state.update((held, following, seq, done, list(early), list(early.values()), latest))
-            state.setTimeoutTimestamp(
-                max(latest + idle_seconds * 1000, state.getCurrentWatermarkMs() + 1)
-            )
-        yield pd.DataFrame(out, columns=["stream_id", "seq", "chunk_idx", "buffer", "payload"]).astype(
+            if done:
+                held, early = b"", {}
+            state.update((held, following, seq + len(rows), done, list(early), list(early.values()), latest))
+            quiet = remember_seconds if done else idle_seconds
+            state.setTimeoutTimestamp(max(latest + quiet * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["stream_id", "seq", "chunk_idx", "event", "payload"]).astype(
             {"chunk_idx": "Int64"}
         )
 
@@ -277,7 +259,7 @@ def live_buffers(
     )
     return narrow.groupBy("stream_id").applyInPandasWithState(
         step,
-        f"{_types(narrow, 'stream_id')}, seq bigint, chunk_idx bigint, buffer binary, payload binary",
+        f"{_types(narrow, 'stream_id')}, seq bigint, chunk_idx bigint, event string, payload binary",
         "held binary, following bigint, seq bigint, done boolean, "
         "places array<bigint>, waiting array<binary>, latest bigint",
         "append",
@@ -289,29 +271,42 @@ def _bytes(raw) -> bytes:
     return raw.encode() if isinstance(raw, str) else bytes(raw or b"")
 
 
-def scan_buffers(buffers: DataFrame) -> DataFrame:
-    """Buffers with the flag `unsafe`: one scanner for streams and for batches."""
-    return buffers.filter(F.col("stream_id").isNotNull()).withColumn(
-        "unsafe", stream_unsafe(F.col("buffer").cast("string"))
-    ).drop("buffer")
-
-
-def intercepted(scanned: DataFrame) -> DataFrame:
-    """What goes out: forward and drain rows up to the first unsafe buffer, which stops it.
-
-    scanned(stream_id, seq, chunk_idx, payload, unsafe), as a table that `scan_buffers`
-    has written.  The first unsafe buffer of a stream is one number per stream, found by
-    partial aggregation; payloads are not shuffled if few streams are stopped.
-    """
-    stops = scanned.filter("unsafe").groupBy("stream_id").agg(F.min("seq").alias("_stop"))
-    ending = F.col("chunk_idx").isNull()
-    event = F.when(F.col("seq") == F.col("_stop"), F.when(ending, "drain_abort").otherwise("abort")).otherwise(
-        F.when(ending, "drain").otherwise("forward")
-    )
-    kept = scanned.join(stops, "stream_id", "left").filter(
-        F.col("_stop").isNull() | (F.col("seq") <= F.col("_stop"))
-    )
-    return kept.select(
-        "stream_id", "seq", "chunk_idx", event.alias("event"),
-        F.when(F.col("_stop") == F.col("seq"), F.lit(b"")).otherwise(F.col("payload")).alias("payload"),
-    )
+def _in_order(early: dict[int, bytes], following: int, final: bool) -> tuple[list[tuple[int, bytes]], int]:
+    """Chunks that may be taken now, out of `early`; all of them if none will fill a gap."""
+    order = sorted(early) if final else []
+    while not final and following + len(order) in early:
+        order.append(following + len(order))
+    taken = [(index, early.pop(index)) for index in order]
+    return taken, taken[-1][0] + 1 if taken else following
+
+
+_END_MARK = (V.DATA_PREFIX + V.DONE).encode()
+
+
+def _let_through(
+    held: bytes, taken: list[tuple[int, bytes]], window: int, idle: bool
+) -> tuple[list[tuple], bytes, bool]:
+    """(chunk_idx, event, payload) of the chunks in order, the bytes still held, and whether
+    the stream has ended: stopped, drained by its end mark, or idle."""
+    ended = next((k for k, (_, raw) in enumerate(taken) if raw.rstrip(b"\r\n").endswith(_END_MARK)), None)
+    if ended is not None:
+        taken = taken[: ended + 1]
+    drains = idle or ended is not None
+    data = np.frombuffer(held + b"".join(raw for _, raw in taken), dtype=np.uint8)
+    ends = len(held) + np.cumsum([len(raw) for _, raw in taken], dtype=np.int64)
+    starts = np.concatenate([[len(held)], ends[:-1]]) if len(ends) else ends
+    if drains:  # the last bytes are looked at once more
+        starts, ends = np.append(starts, len(data)), np.append(ends, len(data))
+    lows = np.maximum(starts - window, 0)
+    flags = batches.unsafe_buffers(data, lows, ends, lows // max(4 * window, 1024))
+    rows, whole = [], data.tobytes()
+    for k, (low, end) in enumerate(zip(lows.tolist(), ends.tolist())):
+        draining = k == len(taken)
+        if flags[k]:
+            rows.append((None if draining else taken[k][0], "drain_abort" if draining else "abort", b""))
+            return rows, b"", True
+        if draining:
+            rows.append((None, "drain", whole[low:end]))
+        else:
+            rows.append((taken[k][0], "forward", whole[low : max(end - window, low)]))
+    return rows, whole[max(len(whole) - window, 0) :], drains

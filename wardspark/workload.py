@@ -160,22 +160,40 @@ def tenants(spark: SparkSession, folder: str) -> DataFrame:
     ), "tenants")
 
 
-def policy_rules(spark: SparkSession) -> DataFrame:
-    """Three versions per tenant: an old one, the one in force, and a newer faulty one."""
-    old = [Rule("old", (Atom("input.risk_score", ">", 0.0),), "BLOCK", "replaced since")]
-    faulty = [
-        Rule("newest", (Atom("input.risk_score", ">", 0.0),), "BLOCK", "never in force"),
-        Rule("broken", (Atom("request.model", "=="),), "BLOCK", "no model named"),
-    ]
+OLD_RULES = [Rule("old", (Atom("input.risk_score", ">", 0.0),), "BLOCK", "replaced since")]
+FAULTY_RULES = [
+    Rule("newest", (Atom("input.risk_score", ">", 0.0),), "BLOCK", "never in force"),
+    Rule("broken", (Atom("request.model", "=="),), "BLOCK", "no model named"),
+]
+# Times at which a tenant's rules are written: which, and the version they are.
+RULE_TIMES = [
+    ("old", "v1", dt.datetime(2024, 1, 1, tzinfo=dt.UTC)),
+    ("own", "v2", dt.datetime(2024, 1, 2, tzinfo=dt.UTC)),
+    ("faulty", "v3", dt.datetime(2024, 1, 3, tzinfo=dt.UTC)),
+]
+RULE_LOG = [
+    ("old", "v1", dt.datetime(2024, 1, 1, 9, tzinfo=dt.UTC)),
+    *RULE_TIMES[1:],
+    ("old", "v1", dt.datetime(2024, 1, 15, 12, tzinfo=dt.UTC)),
+    ("own", "v2", dt.datetime(2024, 1, 20, 6, 30, tzinfo=dt.UTC)),
+]
+
+
+def policy_rules(spark: SparkSession, times: list[tuple] = RULE_TIMES) -> DataFrame:
+    """Three versions per tenant: an old one, the one in force, and a newer faulty one.
+
+    With `RULE_LOG` the old one comes first during a day, is written again in the middle
+    of another and then replaced again.
+    """
     rows = [
         (
             tenant, version, order, rule.rule_name,
             [(a.connective, a.field, a.op, a.num_value, list(a.str_values)) for a in rule.atoms],
-            rule.action, rule.reason, dt.datetime(2024, 1, day, tzinfo=dt.UTC),
+            rule.action, rule.reason, written_at,
         )
         for tenant, rules in TENANT_RULES.items()
-        for day, (version, written) in enumerate({"v1": old, "v2": rules, "v3": faulty}.items(), 1)
-        for order, rule in enumerate(written)
+        for kind, version, written_at in times
+        for order, rule in enumerate({"old": OLD_RULES, "own": rules, "faulty": FAULTY_RULES}[kind])
     ]
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
