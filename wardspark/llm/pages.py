@@ -1,26 +1,26 @@
 """Operator 7: main text of web pages by tag-path ratios.
 
-A page is cut into blocks of text, each with its path of block tags from the root (with
-the words of their class and id).  Per path the text length per block and the punctuation
-per block are summed; along the page the ratios are smoothed, fused into one figure and
-compared with the page's own spread: every block above that threshold is selected.  The
-article's container is the article or main element, and where there is none the nearest
-element around the best path that holds CONTAINED of the selected mass.  All inside it is
-kept; beside an article or main nothing is, beside others what is selected, with the
-headings right before (if that element is the body: the best path's siblings).  Paths
-through parts that are never article (menus, headers, footers, sidebars, notices, adverts, forms,
-comments) take no part, whatever their text.
+A page is cut into blocks of text, each at a path of block tags from the root (with the
+words of their class and id).  Per path the lengths and the punctuation of its blocks are
+summed; the ratio of a path grows with its text, its text per block and its marks per
+block.  Ratios are smoothed over the tree of paths: with the paths that share the parent
+(lists and tables do not count as parents), those that differ in class names only, and half
+of those around the parent; a heading takes part in what it heads.  Tags are one more
+feature, fused with the ratio: an article or main element multiplies it, a menu, footer,
+advert or form divides it unless it holds most of the page's text, links and buttons take
+their share of the text away.  Every block of a path whose fused ratio reaches THRESHOLD
+of the page's mean, weighted by text, is content; nothing else selects or drops a block.
 
 A null or empty page, and one with no text left, gives an empty string.  Unclosed and
 crossing tags are read as browsers do: a block tag ends an open paragraph, an end tag
-closes down to its start, the end of the page closes all.  Nothing is capped.  Repeated
-rows are extracted one by one; an empty table gives no rows; `page_id` and `url` may be null.
+closes down to its start, the end of the page closes all.  Nothing is capped, and the time
+is linear in the page however deep it nests.  Pages with ties or repeated rows are
+extracted one by one; an empty table gives no rows; `page_id` and `url` may be null.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
 from collections import defaultdict
 
@@ -30,47 +30,52 @@ from pyspark.sql import DataFrame
 from ..session import ship_package
 from .common import slices
 
-RAW = frozenset("script style textarea title noscript iframe template svg math object".split())
+# Elements read as plain characters up to their end tag, and dropped.  An end tag that is
+# missing ends the page for those of the first list; the others are then not there.
+SWALLOWS = frozenset("script style textarea title".split())
+RAW = SWALLOWS | frozenset("noscript iframe template svg object select audio video canvas".split())
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp "
-    "small span strike strong sub sup time tt u var wbr img".split()
+    "a abbr acronym b bdi bdo big button cite code data del dfn em font i ins kbd label mark math mfrac mi "
+    "mn mo mrow msqrt msub msup mtext q s samp semantics small span strike strong sub sup time tt u var wbr "
+    "img".split()
 )
-SKIPPED = frozenset(
-    "head nav header footer aside form button select option fieldset dialog menu audio video canvas".split()
+CLICKED = frozenset(["a", "button"])
+TRANSPARENT = frozenset("ul ol li dl dt dd table tbody thead tfoot tr blockquote".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ARTICLE = frozenset(["article", "main"])
+# Tags, roles and names in a class or id of parts that are seldom article.
+NEVER_TAGS = frozenset("head nav footer dialog menu".split())
+ASIDE_TAGS = NEVER_TAGS | frozenset("aside form fieldset option".split())
+ASIDE_ROLES = frozenset(
+    "navigation banner contentinfo complementary search form alert dialog menu menubar".split()
 )
-# Names in a class or id, whole or made of these words alone.  Those of the second list also
-# name layouts of wrappers, so an article or main element inside is read all the same.  A
-# name with other words in it (`category-advertising`) hides no article, and nothing that
-# holds most of the page's text.
-SKIPPED_WORDS = frozenset(
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies reply".split())
+ASIDE_WORDS = COMMENT_WORDS | frozenset(
     "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion "
-    "breadcrumb breadcrumbs comment comments commentlist disqus replies reply cookie cookies consent "
-    "popup modal newsletter subscribe subscription signup login related recommended recommendations "
-    "pagination pager copyright disclaimer hidden".split()
-)
-LAYOUT_WORDS = frozenset(
+    "breadcrumb breadcrumbs cookie cookies consent popup modal newsletter subscribe subscription signup login "
+    "related recommended recommendations pagination pager copyright disclaimer hidden sitemap "
     "banner nav navbar navigation menu sidebar aside footer header masthead notice notices alert overlay "
     "share sharing social widget widgets legal toolbar skip".split()
 )
 NOT_MEANT = re.compile(r"\b(?:has|have|no|with|without|is|not)[-_][\w-]*")
-SKIPPED_ROLES = frozenset(
-    "navigation banner contentinfo complementary search form alert dialog menu menubar".split()
-)
-ARTICLE = frozenset(["article", "main"])
+# What these features multiply a ratio by.
+IN_ARTICLE, SELDOM, DOUBTED, HEADED = 5.0, 0.001, 0.3, 0.5
+THRESHOLD = 0.25
+
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 "
     "h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
 SAME_LEVEL = {
-    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
-    "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
+    "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"),
+    "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
 }
 SCOPES = {
-    "li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"},
-    "option": {"select"},
+    "li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",),
+    "option": ("select",),
 }
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>"
@@ -80,16 +85,7 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 WORD = re.compile(r"[a-z0-9]+")
-CONTAINED = 0.9
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-SMOOTH = (0.05, 0.25, 0.4, 0.25, 0.05)
-
-
-class Block:
-    __slots__ = ("path", "text", "linked", "doubted")
-
-    def __init__(self, path: tuple[str, ...], text: str, linked: int, doubted: tuple[int, ...] = ()):
-        self.path, self.text, self.linked, self.doubted = path, text, linked, doubted
+NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 def _attributes(attributes: str) -> dict[str, str]:
@@ -100,225 +96,230 @@ def _attributes(attributes: str) -> dict[str, str]:
     return found
 
 
-def _skips(tag: str, attributes: str) -> float:
-    """0 read, 0.5 skipped unless it holds most of the text, 1 skipped but for an article
-    inside, 2 skipped."""
-    if tag in SKIPPED:
-        return 2
-    if not attributes:
-        return 0
-    found = _attributes(attributes)
-    if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role") in SKIPPED_ROLES:
-        return 2
-    if tag in ("html", "body", "main"):
-        return 0
-    level = 0
-    for name in NOT_MEANT.sub(" ", f"{found.get('class', '')} {found.get('id', '')}").split():
-        words = {w for w in WORD.findall(name) if not w.isdigit()}
-        never, layout = words & SKIPPED_WORDS, words & LAYOUT_WORDS
-        if never and words <= SKIPPED_WORDS | LAYOUT_WORDS:
-            return 2
-        if tag != "article" and (never or layout):
-            level = max(level, 1 if words == layout else 0.5)
-    return level
-
-
-def _label(tag: str, attributes: str) -> str:
-    """A tag as a step of a path: with its class and id, but never with numbers."""
-    if not attributes or tag in ("html", "body", "p"):
-        return tag
-    found = _attributes(attributes)
-    named = f"{found.get('class', '')} {found.get('id', '')}"
-    words = sorted(w for w in WORD.findall(named) if w.isalpha())
-    return ".".join([tag, *words])
-
-
-def read_blocks(page: str) -> list[Block]:
-    """Blocks of text in page order, without those that are never article."""
-    blocks: list[Block] = []
-    # tag, step of the path, how far it is skipped, elements around that may be skipped
-    stack: list[tuple[str, str, float, tuple[int, ...]]] = []
+def _feature(tag: str, found: dict[str, str], in_article: bool) -> tuple[float, bool]:
+    """What an element's tag and names make of the ratios inside, and whether it does so
+    even if it holds most of the page's text."""
+    if "hidden" in found or found.get("aria-hidden") == "true" or NOT_SHOWN.search(found.get("style", "")):
+        return 0.0, True
+    factor = SELDOM if tag in ASIDE_TAGS or found.get("role") in ASIDE_ROLES else 1.0
+    if tag == "header" and not in_article:  # an article's own holds its title
+        factor = SELDOM
+    always = tag in NEVER_TAGS
+    if tag not in ("html", "body", "main"):
+        for name in NOT_MEANT.sub(" ", f"{found.get('class', '')} {found.get('id', '')}").split():
+            words = {w for w in WORD.findall(name) if not w.isdigit()}
+            if words and words <= ASIDE_WORDS:
+                factor = min(factor, SELDOM)
+                always = always or bool(words & COMMENT_WORDS)
+            elif words & ASIDE_WORDS and tag not in ARTICLE:
+                factor = min(factor, DOUBTED)
+    return factor, always
+
+
+class Page:
+    """Blocks of a page in order, and the trees of its paths and elements, by number.
+
+    A block is (path, element, text, characters in links and buttons).  A path is known by
+    its parent's number and its last step; `bare` numbers paths without class names.
+    """
+
+    def __init__(self):
+        self.blocks: list[tuple[int, int, str, int]] = []
+        self.tags, self.parents, self.bare = [""], [0], [0]  # by path; 0 is the root
+        self.around, self.factors, self.starts, self.ends = [0], [(1.0, False)], [0], [0]  # by element
+        self.chars = 0
+        self._paths: dict[tuple[int, str], int] = {}
+        self._bare: dict[tuple[int, str], int] = {}
+
+    def path(self, parent: int, tag: str, names: str) -> int:
+        key = (parent, f"{tag} {names}")
+        if key not in self._paths:
+            self._paths[key] = len(self.tags)
+            self.tags.append(tag)
+            self.parents.append(parent)
+            self.bare.append(self._bare.setdefault((self.bare[parent], tag), len(self._bare) + 1))
+        return self._paths[key]
+
+    def element(self, around: int, feature: tuple[float, bool]) -> int:
+        self.around.append(around)
+        self.factors.append(feature)
+        self.starts.append(self.chars)
+        self.ends.append(-1)
+        return len(self.around) - 1
+
+    def features(self) -> list[float]:
+        """By element, the product of the features around it; those of an element that holds
+        most of the page's text do not count, but for the ones that always do."""
+        found = [1.0] * len(self.around)
+        for k in range(1, len(found)):
+            factor, always = self.factors[k]
+            end = self.chars if self.ends[k] < 0 else self.ends[k]
+            if factor < 1 and not always and 2 * (end - self.starts[k]) > self.chars:
+                factor = 1.0
+            found[k] = found[self.around[k]] * factor
+        return found
+
+
+def read_page(page: str) -> Page:
+    read = Page()
+    # path, element, tag, in an article; `open_at` has the places of every open tag.
+    stack: list[tuple[int, int, str, bool]] = []
+    open_at: dict[str, list[int]] = defaultdict(list)
+    without_end: set[str] = set()
     text: list[str] = []
-    links = linked = doubts = 0
+    links = linked = 0
 
     def flush() -> None:
         nonlocal linked
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            blocks.append(Block(tuple(s[1] for s in stack), joined, linked, stack[-1][3] if stack else ()))
+            path, element = stack[-1][:2] if stack else (0, 0)
+            read.blocks.append((path, element, joined, min(linked, len(joined))))
+            read.chars += len(joined)
         text.clear()
         linked = 0
 
     def close_to(depth: int) -> None:
-        del stack[depth:]
+        while len(stack) > depth:
+            _, element, tag, _ = stack.pop()
+            open_at[tag].pop()
+            read.ends[element] = read.chars
+
+    def nearest(tags: tuple[str, ...]) -> int:
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=-1)
 
     at, size = 0, len(page)
     while at < size:
         match = TOKEN.match(page, at)
         at = match.end()
-        plain = match[7]
-        skipping = bool(stack) and stack[-1][2] > 0
-        if plain is not None or match[0] == "<":
-            if not skipping:
-                part = match[0]
-                text.append(part)
-                if links:
-                    linked += len(part)
+        if match[7] is not None or match[0] == "<":
+            text.append(match[0])
+            if links:
+                linked += len(match[0].strip())
             continue
         tag = match[2] or match[5]
         if tag is None:
             continue
         end, tag, attributes = match[1] or match[4], tag.lower(), match[3] or match[6] or ""
         if end:
-            if tag == "a":
+            if tag in CLICKED:
                 links = max(0, links - 1)
             if tag in INLINE:
                 continue
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
+            if open_at.get(tag):
                 flush()
-                close_to(depth)
+                close_to(open_at[tag][-1])
             elif tag in ("p", "br"):
                 flush()
             continue
         if tag in RAW:
-            if not attributes.rstrip().endswith("/") or tag in ("script", "style", "textarea", "title"):
-                closing = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = closing.end() if closing else size
+            if attributes.rstrip().endswith("/") and tag not in SWALLOWS:
+                continue
+            closing = None if tag in without_end else re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            if closing:
+                at = closing.end()
+            elif tag in SWALLOWS:
+                at = size
+            else:
+                without_end.add(tag)
             continue
-        if tag == "a":
+        if tag in CLICKED:
             links += 1
         if tag in VOID:
-            if tag == "br" and not skipping:
+            if tag == "br":
                 text.append(" ")
             elif tag == "hr":
                 flush()
             continue
-        if tag in INLINE:
+        if tag in INLINE or (tag in ("html", "body") and open_at.get(tag)):
             continue
         flush()
         links = 0
-        if tag in CLOSES_P:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-            if depth is not None:
-                close_to(depth)
-        same = SAME_LEVEL.get(tag)
-        if same:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in SCOPES[tag]:
-                    break
-                if stack[i][0] in same:
-                    close_to(i)
-                    break
+        if tag in CLOSES_P and open_at.get("p"):
+            close_to(open_at["p"][-1])
+        if tag in SAME_LEVEL:
+            alike = nearest(SAME_LEVEL[tag])
+            if alike > nearest(SCOPES[tag]):
+                close_to(alike)
         if tag == "body":
-            stack[:] = [s for s in stack if s[0] == "html"]
-        around, doubted = stack[-1][2:] if stack else (0, ())
-        if around <= 1 and tag in ARTICLE:
-            around, doubted = 0, ()
-        level = _skips(tag, attributes)
-        if level == 0.5:
-            level, doubted, doubts = 0, (*doubted, doubts), doubts + 1
-        stack.append((tag, _label(tag, attributes), max(around, level), doubted))
+            close_to(open_at["html"][0] + 1 if open_at.get("html") else 0)
+        path, element, _, inside = stack[-1] if stack else (0, 0, "", False)
+        found = _attributes(attributes) if attributes else {}
+        names = ""
+        if found and tag not in ("html", "body", "p"):
+            names = " ".join(sorted(w for w in WORD.findall(f"{found.get('class', '')} {found.get('id', '')}") if w.isalpha()))
+        open_at[tag].append(len(stack))
+        stack.append((
+            read.path(path, tag, names), read.element(element, _feature(tag, found, inside)), tag, inside or tag in ARTICLE
+        ))
     flush()
-    return _undoubted(blocks) if doubts else blocks
-
-
-def _undoubted(blocks: list[Block]) -> list[Block]:
-    """Blocks all of whose doubted elements hold most of the page's text."""
-    held: dict[int, int] = defaultdict(int)
-    for b in blocks:
-        for element in b.doubted:
-            held[element] += len(b.text)
-    total = sum(len(b.text) for b in blocks)
-    return [b for b in blocks if all(2 * held[element] > total for element in b.doubted)]
-
-
-def path_scores(blocks: list[Block]) -> list[float]:
-    """Smoothed and fused ratios of each block's path."""
-    length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for b in blocks:
-        length[b.path] += len(b.text) - b.linked
-        marks[b.path] += len(PUNCTUATION.findall(b.text))
-        count[b.path] += 1
-
-    def smooth(values: list[float]) -> list[float]:
-        half = len(SMOOTH) // 2
-        out = []
-        for i in range(len(values)):
-            total = weight = 0.0
-            for k, w in enumerate(SMOOTH):
-                if 0 <= i + k - half < len(values):
-                    total += w * values[i + k - half]
-                    weight += w
-            out.append(total / weight)
-        return out
-
-    lengths = smooth([length[b.path] / count[b.path] for b in blocks])
-    punctuation = smooth([marks[b.path] / count[b.path] for b in blocks])
-    return [x * (1 + y) for x, y in zip(lengths, punctuation)]
+    close_to(0)
+    return read
+
+
+def path_ratios(page: Page) -> tuple[dict[int, float], dict[int, float], dict[int, float]]:
+    """By path: its ratio, its text and the feature of its tags."""
+    chars, marks, count = defaultdict(float), defaultdict(int), defaultdict(int)
+    feature, features = defaultdict(float), page.features()
+    size = defaultdict(int)
+    for path, element, text, linked in page.blocks:
+        shown = len(text) - linked
+        chars[path] += shown
+        marks[path] += len(PUNCTUATION.findall(text)) if shown else 0
+        count[path] += 1
+        size[path] += len(text)
+        feature[path] += len(text) * features[element] * (shown / len(text)) ** 2
+    in_article = [False] * len(page.tags)
+    for path in range(1, len(page.tags)):
+        in_article[path] = in_article[page.parents[path]] or page.tags[path] in ARTICLE
+    ratio = {p: chars[p] / count[p] ** 0.5 * (1 + marks[p] / count[p]) for p in count}
+    fused = {p: feature[p] / size[p] * (IN_ARTICLE if in_article[p] else 1) for p in count}
+    return ratio, {p: float(size[p]) for p in count}, fused
+
+
+def path_scores(page: Page) -> dict[int, float]:
+    """Smoothed ratio of every path, fused with the feature of its tags."""
+    ratio, size, feature = path_ratios(page)
+    parents = list(page.parents)  # of the part a path belongs to
+    for path in range(1, len(parents)):
+        above = parents[path]
+        if above and page.tags[above] in TRANSPARENT:
+            parents[path] = parents[above]
+
+    def mean(group) -> dict[int, float]:
+        total, weight = defaultdict(float), defaultdict(float)
+        for p, r in ratio.items():
+            total[group(p)] += r * size[p]
+            weight[group(p)] += size[p]
+        return {g: total[g] / weight[g] for g in total}
+
+    beside, alike = mean(lambda p: parents[p]), mean(lambda p: page.bare[p])
+    smooth = {
+        p: r + beside[parents[p]] + alike[page.bare[p]] + beside.get(parents[parents[p]], 0.0)
+        for p, r in ratio.items()
+    }
+    score = {p: smooth[p] * feature[p] for p in ratio}
+    headed, weight, following = defaultdict(float), defaultdict(float), None
+    for path, _, text, _ in reversed(page.blocks):
+        if page.tags[path] in HEADINGS:
+            if following is not None:
+                headed[path] += score[following] * len(text)
+            weight[path] += len(text)
+        else:
+            following = path
+    for path in headed:
+        if feature[path] >= DOUBTED:
+            score[path] = max(score[path], HEADED * headed[path] / weight[path])
+    return score
 
 
 def main_text(page: str | None) -> str:
-    blocks = read_blocks(page or "")
-    if not blocks:
+    read = read_page(page or "")
+    if not read.blocks:
         return ""
-    scores = path_scores(blocks)
-    mean = sum(scores) / len(scores)
-    threshold = min(math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores)), mean)
-    mass: dict[tuple[str, ...], float] = defaultdict(float)
-    for b, s in zip(blocks, scores):
-        marked = any(step.partition(".")[0] in ARTICLE for step in b.path)
-        mass[b.path] += s * (1000 if marked else 1)
-    best = max(mass, key=mass.get)
-    depth = next((i + 1 for i, step in enumerate(best) if step.partition(".")[0] in ARTICLE), None)
-    marked, nearest = depth is not None, max(len(best) - 1, 0)
-    if not marked:
-        depth = _container(blocks, scores, best, threshold)
-
-    def rooted(path: tuple[str, ...]) -> bool:
-        return all(step.partition(".")[0] in ("html", "body") for step in path)
-
-    around = best[:depth] if marked or not rooted(best[:depth]) else best[:nearest]
-    loose = not marked and rooted(around)
-    own = _own_ratios(blocks)
-    kept: list[str] = []
-    headings: list[str] = []
-    for b, s in zip(blocks, scores):
-        inside = b.path[: len(around)] == around
-        if marked and not inside:
-            continue
-        if 2 * b.linked > len(b.text) and not PUNCTUATION.search(b.text):
-            headings.clear()
-            continue  # lists of links
-        selected = s >= threshold and (loose or own[b.path] >= threshold)
-        if inside and not loose or b.path == best or selected:
-            kept += [*headings, b.text]
-            headings.clear()
-        elif b.path and b.path[-1].partition(".")[0] in HEADINGS:
-            headings.append(b.text)
-        else:
-            headings.clear()
-    return " ".join(kept)
-
-
-def _own_ratios(blocks: list[Block]) -> dict[tuple[str, ...], float]:
-    """The fused ratio of each path without its neighbours on the page."""
-    length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for b in blocks:
-        length[b.path] += len(b.text) - b.linked
-        marks[b.path] += len(PUNCTUATION.findall(b.text))
-        count[b.path] += 1
-    return {p: length[p] / count[p] * (1 + marks[p] / count[p]) for p in count}
-
-
-def _container(blocks: list[Block], scores: list[float], best: tuple[str, ...], threshold: float) -> int:
-    """Depth of the nearest element around the best path with most of the selected mass."""
-    selected = [(b.path, s) for b, s in zip(blocks, scores) if s >= threshold or b.path == best]
-    needed = CONTAINED * sum(s for _, s in selected)
-    depth = max(len(best) - 1, 0)
-    while depth and sum(s for path, s in selected if path[:depth] == best[:depth]) < needed:
-        depth -= 1
-    return depth
+    score = path_scores(read)
+    mean = sum(score[path] * len(text) for path, _, text, _ in read.blocks) / read.chars
+    return " ".join(text for path, _, text, _ in read.blocks if score[path] > 0 and score[path] >= THRESHOLD * mean)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
