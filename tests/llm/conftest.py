@@ -27,3 +27,23 @@ HARD = [
     "the same text twice", "the same text twice", "ab" * 3000, "word " * 9000, " " * 5000 + "end",
     "line one\nline two\r\nline three  x",
 ]
+
+
+def word_list(text):
+    """Words as the operators define them, character by character."""
+    import unicodedata
+
+    import regex
+
+    words, run = [], ""
+    for c in (text or "").lower():
+        alone = regex.match(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]", c)
+        part = unicodedata.category(c)[0] in "LNM"
+        if run and (alone or not part):
+            words.append(run)
+            run = ""
+        if alone and part:
+            words.append(c)
+        elif part:
+            run += c
+    return [*words, run] if run else words

@@ -1,16 +1,11 @@
 import random
-import re
 from collections import Counter
 
 import pytest
 
 from wardspark.llm import decontamination as D
 
-from .conftest import HARD
-
-
-def word_list(text):
-    return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower()) if w]
+from .conftest import HARD, word_list
 
 
 def bag(words):

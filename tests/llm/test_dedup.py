@@ -1,5 +1,4 @@
 import random
-import re
 from collections import Counter
 
 import numpy as np
@@ -7,11 +6,11 @@ import pytest
 
 from wardspark.llm import dedup as M
 
-from .conftest import HARD
+from .conftest import HARD, word_list
 
 
 def bag(text):
-    words = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower()) if w]
+    words = word_list(text)
     return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else None
 
 

@@ -1,5 +1,4 @@
 import hashlib
-import re
 
 import numpy as np
 import pytest
@@ -7,13 +6,13 @@ from pyspark.sql import functions as F
 
 from wardspark.llm import fingerprints as P
 
-from .conftest import HARD
+from .conftest import HARD, word_list
 
 SAMPLE = "/root/testdata/sf0.01"
 
 
 def shingle_set(text):
-    words = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()) if w]
+    words = word_list(text)
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else {text}
 
 

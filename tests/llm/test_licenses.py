@@ -29,6 +29,42 @@ def test_notices_and_prose(make_docs):
     assert all(0.5 <= r.probability <= 1 and 0 <= r.notice_share <= 1 for r in got.values())
 
 
+MIT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated '
+    'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
+    'the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and '
+    'to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
+)
+GPL = (
+    'This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public '
+    'License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any '
+    'later version.'
+)
+BSD = (
+    'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the '
+    'following conditions are met:'
+)
+
+
+def test_wrapped_notices(make_docs):
+    """Notices as they stand in files: wrapped, in comments, between other paragraphs."""
+    import textwrap
+
+    def wrapped(text, lead="", width=76, end="\n"):
+        return end.join(lead + line for line in textwrap.wrap(text, width))
+
+    texts, want = [], {}
+    for lead in ("", "# ", " * ", "// ", "   "):
+        for family, text in (("mit", MIT), ("gpl", GPL), ("bsd", BSD)):
+            end = "\r\n" if lead == "// " else "\n"
+            want[len(texts)] = family
+            texts.append(end.join(["Some prose before.", lead.rstrip(), wrapped(text, lead, 76, end), lead.rstrip(), "And after it."]))
+    texts += ["Copies of the software\nare sold by any person\nwithout a licence", *PROSE]
+    got = scan(make_docs(texts))
+    assert {k[0]: r.family for k, r in got.items() if r.confirmed} == want
+    assert all(k[1] > 0 for k in got)
+
+
 def test_given_documents_against_a_search(spark):
     docs = spark.read.parquet(f"{SAMPLE}/documents.parquet")
     got = {(k[0], r.family) for k, r in scan(docs).items() if r.confirmed}

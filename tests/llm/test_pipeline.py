@@ -2,6 +2,7 @@ import random
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -73,3 +74,19 @@ def test_empty_table(spark, folder):
     for name, apply in corpus_pipeline.STAGES:
         out = apply(spark, docs, path)
         assert out.collect() == [], name
+
+
+def test_clashing_columns_keep_their_values(spark, folder):
+    """Columns named like those the stages work with come out as they went in."""
+    path, _, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet").dropDuplicates(["doc_id"])
+    names = ["score", "lang_pred", "predicted", "label", "node", "k1", "_k1", "class_id", "keeper", "_language", "_is_good",
+             "item", "vector", "h", "words"]
+    for n, name in enumerate(names):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")))
+    for name, apply in corpus_pipeline.STAGES[:4]:
+        before = docs.columns
+        docs = corpus_pipeline.stage(apply(spark, docs, path), name)
+        assert docs.columns == before
+        rows = docs.where("doc_id is not null").collect()
+        assert rows and all(r[c] == f"{n}:{r.doc_id}" for r in rows for n, c in enumerate(names)), name

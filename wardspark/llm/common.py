@@ -8,13 +8,16 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import write_stage
 
-# A word is a run of letters and digits: ASCII letters and digits in lower case and
-# every character beyond ASCII.  Both forms below give the same words.
-SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# A word is a run of letters, digits and their marks, in lower case.  In scripts written
+# without spaces every character is a word.  Both forms below give the same words.
+UNSPACED_SCRIPTS = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
+SEPARATOR = r"[^\p{L}\p{N}\p{M}]+"
+_UNSPACED = "[" + "".join(rf"\p{{Is{name}}}" for name in UNSPACED_SCRIPTS) + "]"
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 
@@ -25,12 +28,13 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """The words of a text in order; an empty array for null and for wordless texts."""
-    found = F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATOR)
-    return F.filter(found, lambda w: w != "")
+    low = F.lower(F.coalesce(text, F.lit("")))
+    apart = F.when(low.rlike(_UNSPACED), F.regexp_replace(low, _UNSPACED, " $0 ")).otherwise(low)
+    return F.filter(F.split(apart, SEPARATOR), lambda w: w != "")
 
 
 def word_hashes(text: Column) -> Column:
-    """One 64-bit hash per word.  Only the first and last split piece can be empty."""
+    """One 64-bit hash per word."""
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
@@ -89,6 +93,23 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _WORD_BYTE = np.zeros(256, dtype=bool)
 _WORD_BYTE[48:58] = _WORD_BYTE[97:123] = _WORD_BYTE[128:] = True
+_SCRIPTS = "[" + "".join(rf"\p{{Script={name}}}" for name in UNSPACED_SCRIPTS) + "]"
+_UNSPACED_CHAR = regex.compile(_SCRIPTS)
+_OTHER_SIGNS = regex.compile(r"[^\x00-\x7F\p{L}\p{N}\p{M}]+")
+
+
+def word_text(text: str) -> str:
+    """The text in lower case, with words apart by ASCII signs only."""
+    low = text.lower()
+    if low.isascii():
+        return low
+    if _OTHER_SIGNS.search(low):
+        low = _OTHER_SIGNS.sub(" ", low)
+    try:
+        low.encode("latin-1")  # quickly tells most texts without such scripts
+    except UnicodeEncodeError:
+        low = _UNSPACED_CHAR.sub(r" \g<0> ", low)
+    return low
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -129,7 +150,7 @@ def batch_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     Bytes are hashed in slices of about a megabyte that end with a word, so that a very
     long text needs little more memory than itself and its words' hashes.
     """
-    parts = [t.lower().encode("utf-8", "replace") for t in texts]
+    parts = [word_text(t).encode("utf-8", "replace") for t in texts]
     data = np.frombuffer(b" ".join([*parts, b""]), dtype=np.uint8)
     inside = np.zeros(len(data) + 2, dtype=np.int8)
     inside[1:-1] = _WORD_BYTE[data]

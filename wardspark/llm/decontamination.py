@@ -217,7 +217,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame
 def without_passages(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The documents that hold no benchmark item, with their own columns."""
     found = stage(find_passages(docs, benchmark, **settings), "passages")
-    first, second = text_key(F.col("text"))
-    keys = found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
-    keyed = docs.withColumns({"_k1": first, "_k2": second})
-    return keyed.join(bounded_broadcast(keys), ["_k1", "_k2"], "left_anti").drop("_k1", "_k2").select(*docs.columns)
+    first, second = text_key(docs["text"])
+    keys = bounded_broadcast(found.select("k1", "k2").distinct())
+    return docs.join(keys, (first == keys["k1"]) & (second == keys["k2"]), "left_anti")

@@ -149,25 +149,29 @@ def learn_languages(
     return LanguageModel(x, y) if len(x) else None
 
 
-def predict_languages(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """All columns of docs with `lang_pred` and `score`; texts stay where they are read."""
+def predict_languages(
+    docs: DataFrame, model: LanguageModel | None, names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """All columns of docs with the language and its score; texts stay where they are read.
+
+    `names` are the columns added; docs may have no others of these names.
+    """
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(parts):
         for batch in slices(parts):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+            found, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
             if shared.value is not None:
-                names, scores = shared.value.predict(texts)
+                found, scores = shared.value.predict(texts)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                [*batch.schema.names, "lang_pred", "score"],
+                [*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())],
+                [*batch.schema.names, *names],
             )
 
-    docs = docs.drop("lang_pred", "score")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(predict, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(predict, f"{fields}, `{names[0]}` string, `{names[1]}` double")
 
 
 def identify(docs: DataFrame, **settings) -> DataFrame:

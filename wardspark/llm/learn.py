@@ -108,7 +108,7 @@ def collect_vectors(
 
     kind = rows.schema[label].dataType.simpleString()
     made = rows.select("text", label).mapInArrow(vectors, f"label {kind}, vector binary")
-    found = made.limit(most).collect()
+    found = made.orderBy(F.xxhash64("label", "vector"), "label", "vector").limit(most).collect()
     found.sort(key=lambda r: (str(r.label), r.vector))
     x = np.array([np.frombuffer(r.vector, dtype=np.float16) for r in found], dtype=np.float32)
     return x, np.array([r.label for r in found])

@@ -6,7 +6,9 @@ train a multinomial logistic regression on the two- and three-word runs of the n
 One part is kept back to fit a temperature, so that the class `unknown` and the others
 have calibrated odds.  The model is a table: run of words -> one weight per class.
 
-Scan.  Paragraphs are lines.  Every pair of words looks up the table; weights of a
+Scan.  Paragraphs end at blank lines and at line ends after a full stop, colon, question or
+exclamation mark; other lines are joined, so that a wrapped notice is one paragraph, and
+signs of comments are taken off.  Every pair of words looks up the table; weights of a
 paragraph's distinct runs are added up, and the class with the best odds is predicted.
 Only runs in the table move, so texts and ordinary words never shuffle; a paragraph with
 no such run has the odds of the bias alone, which are those of `unknown`.  A prediction
@@ -14,7 +16,9 @@ is confirmed if a notice of that family has most of its runs in the paragraph.
 
 All of it is column functions and Spark's own estimators.  The result has a row per
 paragraph predicted to be of a family.  Null, empty and wordless texts have none, nor has
-an empty table; repeated rows of one id and text count once; ids may be null.
+an empty table; repeated rows of one id and text count once; ids may be null.  A very long
+text is as many paragraphs as it has; its runs are counted like any others.  Of classes of
+equal odds the first in the order of NOTICES is predicted, `unknown` before all.
 """
 
 from __future__ import annotations
@@ -134,11 +138,16 @@ def runs_of(found: Column) -> Column:
     )
 
 
+COMMENT = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|;+|--+|%+|<!--)?[ \t]*"
+WRAPPED = r"(?<![.!?:\r\n])\r?\n(?![\r\n])"
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, text key, number and words of every line with two words or more."""
+    """doc_id, text key, number and words of every paragraph with two words or more."""
+    bare = F.regexp_replace(F.coalesce("text", F.lit("")), COMMENT, "")
     lines = docs.select(
         "doc_id", *text_key(F.col("text")),
-        F.posexplode(F.split(F.coalesce("text", F.lit("")), "[\r\n]+")).alias("paragraph", "line"),
+        F.posexplode(F.split(F.regexp_replace(bare, WRAPPED, " "), "[\r\n]+")).alias("paragraph", "line"),
     )
     return lines.select("doc_id", "k1", "k2", "paragraph", words(F.col("line")).alias("w")).where(F.size("w") > 1)
 
@@ -169,8 +178,9 @@ def training_rows(docs: DataFrame) -> DataFrame:
     draw = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(DRAWS))
     chosen = docs.where(draw < DRAWS * SAMPLE_DOCUMENTS // rows + 1)
     grams = known.select(F.explode(runs_of(F.col("w"))).alias("run")).distinct()
-    sample = paragraphs(chosen).limit(SAMPLE_PARAGRAPHS).select(
-        F.xxhash64("doc_id", "paragraph").alias("notice"), "w"
+    name = F.xxhash64("k1", "k2", "paragraph")
+    sample = stage(  # in the order of a hash, so that it is the same each time
+        paragraphs(chosen).select(name.alias("notice"), "w").orderBy("notice").limit(SAMPLE_PARAGRAPHS), "license-sample"
     )
     # a sampled paragraph that holds a good part of a notice is not taken for an unknown one
     held = (

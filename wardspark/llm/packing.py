@@ -1,10 +1,10 @@
 """Operator 4: hierarchical residual packing of token pieces into sequences.
 
 Pieces are spread over parts of bounded size and packed best-fit in each part, longest
-first.  Bins that are nearly full, or too full for the shortest piece there is, are done.
-The underfull bins, one number each, are items of the next round, where fewer parts are
-merged and packed again, and so on up a tree, until one part is left or a round joins
-hardly any bins (then merging more parts cannot help much either).
+first.  Bins too full for the shortest piece there is are done.  The underfull bins, one
+number each, are items of the next round, where fewer parts are merged and packed again,
+and so on up a tree, until one part is left, or no bins join in parts that are not larger
+than those before.
 
 Only ids, lengths and checksums move; the largest group is `part_items` pieces, whatever
 their keys.  A null text is one closing token; an empty table gives no rows; repeated rows
@@ -24,8 +24,6 @@ from .tokens import token_pieces
 CAPACITY = 2048
 PART_ITEMS = 40_000
 FAN_IN = 8
-SLACK = 4
-LEAST_GAIN = 0.002
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -83,23 +81,22 @@ def _pack_round(items: DataFrame, parts: int, capacity: int) -> DataFrame:
 
 def pack_items(
     items: DataFrame, capacity: int = CAPACITY, part_items: int = PART_ITEMS,
-    fan_in: int = FAN_IN, slack: int = SLACK,
+    fan_in: int = FAN_IN,
 ) -> DataFrame:
     """items(item long, length long) with distinct items -> item, bin, offset."""
     shortest, count = items.agg(F.min("length"), F.count("*")).first()
     if not count:
         return items.select("item", F.col("item").alias("bin"), F.col("length").alias("offset"))
-    room = max(slack + 1, shortest)  # bins with less room than this are done
     parts = -(-count // part_items)
     packed = stage(_pack_round(items, parts, capacity), "packed")
     while parts > 1:
-        under = packed.where((F.col("offset") == 0) & (F.col("fill") <= capacity - room))
+        under = packed.where((F.col("offset") == 0) & (F.col("fill") <= capacity - shortest))
         bins = under.select(F.col("bin").alias("item"), F.col("fill").alias("length"))
         before = bins.count()
         if not before:
             break
-        parts = max(-(-parts // fan_in), -(-before // part_items))
-        merged = stage(_pack_round(bins, parts, capacity), "merged").select(
+        fewer = max(-(-parts // fan_in), -(-before // part_items))
+        merged = stage(_pack_round(bins, fewer, capacity), "merged").select(
             F.col("item").alias("bin"), F.col("bin").alias("into"),
             F.col("offset").alias("shift"), F.col("fill").alias("filled"),
         )
@@ -112,8 +109,9 @@ def pack_items(
             ),
             "packed",
         )
-        if before - after < LEAST_GAIN * before:
+        if after == before and fewer >= parts:
             break
+        parts = fewer
     return packed.select("item", "bin", "offset")
 
 

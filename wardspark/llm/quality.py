@@ -112,8 +112,13 @@ def learn_quality(
     return QualityModel(x, y) if len(x) else None
 
 
-def score_quality(docs: DataFrame, model: QualityModel | None) -> DataFrame:
-    """All columns of docs with `score` and `predicted`; texts stay where they are read."""
+def score_quality(
+    docs: DataFrame, model: QualityModel | None, names: tuple[str, str] = ("score", "predicted")
+) -> DataFrame:
+    """All columns of docs with the score and the prediction; texts stay where they are read.
+
+    `names` are the columns added; docs may have no others of these names.
+    """
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -128,12 +133,11 @@ def score_quality(docs: DataFrame, model: QualityModel | None) -> DataFrame:
                     *batch.columns, pa.array(scores, pa.float64()),
                     pa.array((scores >= THRESHOLD).astype(np.int32), pa.int32()),
                 ],
-                [*batch.schema.names, "score", "predicted"],
+                [*batch.schema.names, *names],
             )
 
-    docs = docs.drop("score", "predicted")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(score, f"{fields}, score double, predicted int")
+    return docs.mapInArrow(score, f"{fields}, `{names[0]}` double, `{names[1]}` int")
 
 
 def classify(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
