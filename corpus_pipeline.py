@@ -13,16 +13,26 @@ from wardspark.llm import decontamination, dedup, language, packing, quality
 from wardspark.llm.common import read, stage
 
 
+def _reserved(docs: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores before them as no column of documents has."""
+    lead = "_"
+    while any(lead + name in docs.columns for name in names):
+        lead += "_"
+    return [lead + name for name in names]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: those without text or letters go."""
-    kept = language.predict_languages(docs, language.learn_languages(docs))
-    return kept.where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+    name, score = _reserved(docs, "language", "language_score")
+    found = language.predict_languages(docs, language.learn_languages(docs), (name, score))
+    return found.where(F.col(name) != language.UNKNOWN).drop(name, score)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose neighbours vote for quality."""
     model = quality.learn_quality(docs, read(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, model).where("predicted = 1").select(*docs.columns)
+    score, good = _reserved(docs, "quality_score", "is_good")
+    return quality.score_quality(docs, model, (score, good)).where(F.col(good) == 1).drop(score, good)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
