@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..functions import fixed_values as V
 from ..functions import rules as R
 from ..functions.slots import micros, slot
-from ..session import broadcast_if_small, ship_package, write_parts, write_stage
+from ..session import broadcast_if_small, ship_package, write_stage
+from .fold_tree import chunk_starts, ranges_of
 from .policy import bundles_in_force, with_rules_of_the_time, writing_bundles
 
 SLOT_SECONDS = 1
@@ -101,8 +102,11 @@ def quota_policy_fold(
     A policy block removes a charge and so moves all later totals.  Between two
     constants that rules compare the total with, each request's verdict is fixed:
     Spark works out one verdict per such range, and the fold only has to find the
-    range each request falls in.  Days are folded in time order in chunks of
-    `chunk_rows` rows; the total carries over from chunk to chunk.
+    range each request falls in.
+
+    A day of more than `chunk_rows` rows is cut into chunks that are folded in parallel.
+    Each chunk is first summed up as a function from the total before it to the total
+    after it; `fold_tree` composes these up a tree and hands every chunk its start.
 
     With `as_of` each request is judged by the version of its tenant's rules in force at
     its time; the ranges are then those of all versions of the tenant.
@@ -157,43 +161,29 @@ def quota_policy_fold(
             lambda v: F.coalesce(F.get(F.col("rules"), v)["action"] == "BLOCK", F.lit(False)),
         ),
     ).drop("rules")
+    key = ["_tenant", "_day", "_chunk"]
     if last_chunk:
         prepared = prepared.join(late, ["_tenant", "_day", "_slot"], "left").withColumn(
             "_chunk", F.coalesce(F.col("_chunk"), F.lit(0))
         )
-        # Written once by chunk: a round reads its own chunk, verdicts and all.
-        prepared = write_parts(prepared, "quota-rows", "_chunk")
+        # Read twice: once to sum up the chunks of long days, once to fold all.
+        prepared = write_stage(prepared, "quota-rows")
+        long_days = prepared.join(late.select("_tenant", "_day").distinct(), ["_tenant", "_day"], "left_semi")
+        starts = chunk_starts(long_days, limit, int(last_chunk), order_id)
     else:
         prepared = prepared.withColumn("_chunk", F.lit(0).cast("long"))
-
-    key = ["_tenant", "_day"]
+        starts = prepared.sparkSession.createDataFrame(
+            [], T.StructType([prepared.schema[k] for k in key] + [T.StructField("_used", T.LongType())])
+        )
     extra = "used_before bigint, quota_ok boolean, charged bigint, _range int"
     schema = T.StructType(
         [f for f in prepared.schema.fields if f.name not in ("_bounds", "_blocked")]
         + T._parse_datatype_string(extra).fields
     )
-    state = prepared.sparkSession.createDataFrame(
-        [], T.StructType([prepared.schema["_tenant"], prepared.schema["_day"],
-                          T.StructField("_used", T.LongType())])
+    result = (
+        prepared.groupBy(*key).cogroup(starts.groupBy(*key))
+        .applyInArrow(_folder(limit, order_id), schema)
     )
-    parts = []
-    for chunk in range(int(last_chunk) + 1):
-        current = prepared.filter(F.col("_chunk") == chunk)
-        out = (
-            current.groupBy(*key).cogroup(state.groupBy(*key))
-            .applyInArrow(_folder(limit, order_id), schema)
-        )
-        if chunk < last_chunk:
-            out = write_stage(out, f"quota-chunk-{chunk}")
-            spent = out.groupBy(*key).agg(F.sum("charged").alias("_used"))
-            state = write_stage(
-                state.unionByName(spent).groupBy(*key).agg(F.sum("_used").alias("_used")),
-                f"quota-state-{chunk}",
-            )
-        parts.append(out)
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
     # Rows went through the fold with the places of their rules; names are looked up now.
     own = F.col("_tenant") == F.col("_of")
     if as_of:
@@ -224,17 +214,16 @@ def _folder(limit: int, order_id: str):
             bounds = np.array(rows["_bounds"][0].as_py() or [], dtype=float)
             tokens = rows["tokens"].to_numpy()
             blocked = np.stack(rows["_blocked"].to_numpy(zero_copy_only=False))
+            ends = ranges_of(bounds, limit)
         start = 0
         while start < n and used < limit:
             # Range 2i lies below bound i, range 2i + 1 is bound i itself.
-            at = int(np.searchsorted(bounds, used, "left"))
-            on_bound = at < len(bounds) and bounds[at] == used
-            current = 2 * at + int(on_bound)
-            leave = used + 1 if on_bound else (bounds[at] if at < len(bounds) else np.inf)
+            current = int(np.searchsorted(ends, used, "right"))
+            leave = ends[current]
             cost = np.where(blocked[start:, current].astype(bool), 0, tokens[start:])
             after = used + np.cumsum(cost)
             # The row that leaves the range is still judged in it.
-            size = min(int(np.searchsorted(after, min(leave, limit), "left")) + 1, n - start)
+            size = min(int(np.searchsorted(after, leave, "left")) + 1, n - start)
             stop = start + size
             before[start:stop] = after[:size] - cost[:size]
             charged[start:stop] = cost[:size]
