@@ -1,6 +1,7 @@
 """Audit events of decided requests."""
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 LEVELS = {"info": 0, "warn": 1, "error": 2}
 # Answers given before the request reached a handler.
@@ -83,3 +84,21 @@ def write_audit_log(events: DataFrame, path: str) -> None:
         .drop("seq")
         .write.mode("append").partitionBy("day").json(path)
     )
+
+
+def stream_audit_log(events: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Writer that adds the events of a stream to the log as JSON lines, each once.
+
+    A batch writes `path/batch=N/day=D`, over what an earlier try of it has left, so a
+    batch that runs again after a failure leaves one set of lines.  `spark.read.json(path)`
+    reads all, with the two folder names as columns.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        (
+            batch.withColumn("day", F.to_date("timestamp"))
+            .drop("seq")
+            .write.mode("overwrite").partitionBy("day").json(f"{path}/batch={number}")
+        )
+
+    return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)

@@ -1,5 +1,7 @@
 """Counters, latency histograms, quantiles and rates."""
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as V
@@ -7,6 +9,7 @@ from ..functions.slots import micros, slot
 
 REFUSED_EARLY = (401, 429)
 FINE_SLOTS = 4096
+SKETCH_ERROR = 0.01
 
 
 def requests_total(
@@ -196,6 +199,52 @@ def _log_slot(value: Column) -> Column:
     return F.when(value < 0, -size).otherwise(size)
 
 
+def latency_sketches(
+    df: DataFrame, value: str, by: list[str], error: float = SKETCH_ERROR
+) -> DataFrame:
+    """(by, place, n): how many values lie in each step of a geometric scale.
+
+    Steps grow by (1 + error) / (1 - error), so the middle of a step is within `error` of
+    all its values.  Counts of parts add up to those of the whole: keep them per tenant and
+    day, and merge what a report asks for.  Rows per label set grow with the span of the
+    values, at most some 71,000 at an error of 1 %, not with their number.  Place null
+    stands for 0 and less, which have no step; nulls are left out.
+    """
+    step = math.log((1 + error) / (1 - error))
+    place = F.when(F.col(value) > 0, F.ceil(F.log(F.col(value)) / F.lit(step)))
+    return df.filter(F.col(value).isNotNull()).groupBy(*by, place.alias("place")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+def merge_sketches(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """Sketches of coarser label sets, such as tenants out of tenants and days."""
+    return sketches.groupBy(*by, "place").agg(F.sum("n").alias("n"))
+
+
+def approximate_ranks(
+    sketches: DataFrame, by: list[str], quantiles: tuple[float, ...], error: float = SKETCH_ERROR
+) -> DataFrame:
+    """(by, quantile, n, value): within `error` of the element at floor((n - 1) * quantile).
+
+    `error` is that of the sketches.  Values of 0 and less come out as 0.
+    """
+    step = math.log((1 + error) / (1 - error))
+    order = Window.partitionBy(*by).orderBy(F.col("place").asc_nulls_first())
+    ranked = (
+        merge_sketches(sketches, by)
+        .withColumn("_upto", F.sum("n").over(order))
+        .withColumn("_total", F.sum("n").over(Window.partitionBy(*by)))
+        .withColumn("quantile", F.explode(F.array(*[F.lit(q) for q in quantiles])))
+        .filter(F.col("_upto") > F.floor((F.col("_total") - 1) * F.col("quantile")))
+    )
+    middle = F.exp(F.col("place") * F.lit(step)) * F.lit(1 - error)
+    return ranked.groupBy(*by, "quantile").agg(
+        F.first("_total").alias("n"),
+        F.min(F.when(F.col("place").isNull(), F.lit(0.0)).otherwise(middle)).alias("value"),
+    )
+
+
 def load_report(requests: DataFrame, latency: str = "seconds", ts: str = "ts") -> DataFrame:
     """One row: sent, ok, errors, throughput, exact percentiles, maximum, error flag."""
     ok = F.col("status").between(200, 299)

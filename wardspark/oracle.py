@@ -6,7 +6,8 @@ DuckDB matches with RE2, so the patterns stand here unchanged.
 from . import workload as W
 from .functions import fixed_values as V
 from .functions.rules import Rule
-from .queries import HOLD, LIMITS, QUOTA, RATE_LIMIT, RATE_WINDOW
+from .operators.metrics import SKETCH_ERROR
+from .queries import ARRIVALS, HOLD, LIMITS, QUOTA, RATE_LIMIT, RATE_WINDOW
 
 
 def _text(value: str) -> str:
@@ -658,6 +659,17 @@ def oracle_sql() -> dict[str, str]:
         f"{_rank(0.5)} AS p50, {_rank(0.95)} AS p95, {_rank(0.99)} AS p99, max(seconds) AS max_latency, "
         f"(count(*) - {ok})::DOUBLE / count(*) > 0.05 AS too_many_errors FROM latencies"
     )
+    step = f"ln({1 + SKETCH_ERROR}::DOUBLE / {1 - SKETCH_ERROR}::DOUBLE)"
+    sql["approximate_ranks"] = _with(
+        LATENCIES,
+        "placed AS (SELECT tenant_id, seconds, row_number() OVER (PARTITION BY tenant_id ORDER BY seconds) - 1 AS place, "
+        "count(*) OVER (PARTITION BY tenant_id) AS n FROM latencies WHERE seconds IS NOT NULL)",
+        "wanted(quantile) AS (VALUES (0.5::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE))",
+    ) + (
+        "SELECT tenant_id, quantile, n, round(CASE WHEN seconds > 0 "
+        f"THEN exp(ceil(ln(seconds) / {step}) * {step}) * {1 - SKETCH_ERROR}::DOUBLE ELSE 0 END, 6) AS value "
+        "FROM placed, wanted WHERE place = floor((n - 1) * quantile)"
+    )
     sql["total_requests"] = _with(LATENCIES) + (
         "SELECT count(*) AS total, CASE WHEN count(*) >= 10000 THEN 'red' WHEN count(*) >= 1000 THEN 'yellow' "
         "ELSE 'green' END AS band FROM latencies"
@@ -743,6 +755,10 @@ def oracle_sql() -> dict[str, str]:
             for level, message, condition in arms
         )
     )
+    sql["live_audit_log"] = sql["audit_log"]
+    sql["json_corpus"] = _with(DOCS) + (
+        "SELECT doc_id, lang, source, length(text) AS n_chars, md5(text) AS md5 FROM docs"
+    )
     sql["live_counters"] = _with(LATENCIES) + (
         "SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS window_start, tenant_id, status, count(*) AS n FROM latencies "
         "GROUP BY 1, 2, 3"
@@ -752,8 +768,13 @@ def oracle_sql() -> dict[str, str]:
         "daily AS (SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS window_start, tenant_id, seconds FROM latencies)",
         _buckets("seconds", "window_start, tenant_id", "daily", V.REQUEST_BUCKETS),
     ) + "SELECT window_start, tenant_id, le, cumulative, total, round(sum, 4) AS sum FROM cumulative"
-    # One file is one batch, and nothing in the first batch is late.
-    sql["late_rows"] = _with(CONTEXTS) + (
-        "SELECT tenant_id, count(*) AS n, count(*) AS in_time FROM contexts GROUP BY tenant_id"
+    sql["late_rows"] = _with(
+        CONTEXTS,
+        f"arrived AS (SELECT tenant_id, ts, request_id % {ARRIVALS} AS batch FROM contexts)",
+        "newest AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) "
+        "AS known FROM arrived GROUP BY batch)",
+    ) + (
+        "SELECT tenant_id, count(*) AS n, count(*) FILTER (WHERE known IS NULL OR ts >= known - INTERVAL 1 HOUR) "
+        "AS in_time FROM arrived JOIN newest USING (batch) GROUP BY tenant_id"
     )
     return sql

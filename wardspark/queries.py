@@ -273,6 +273,14 @@ def load_report(spark, folder):
     )
 
 
+def approximate_ranks(spark, folder):
+    """Percentiles per tenant, from sketches kept per tenant and day."""
+    daily = W.latencies(spark, folder).withColumn("day", F.to_date("ts"))
+    sketches = metrics.latency_sketches(daily, "seconds", ["tenant_id", "day"])
+    ranks = metrics.approximate_ranks(sketches, ["tenant_id"], (0.5, 0.95, 0.99))
+    return ranks.withColumn("value", F.round("value", 6))
+
+
 def total_requests(spark, folder):
     return metrics.total_requests(W.latencies(spark, folder))
 
@@ -294,8 +302,7 @@ def decide_stream_query(spark, folder):
     )
 
 
-def audit_log(spark, folder):
-    events = audit.audit_events(_all_decisions(spark, folder), "info")
+def _audit_columns(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("fields.request_id").alias("request_id"), "level", "message",
         F.col("fields.tenant_id").alias("tenant_id"), F.col("fields.status").alias("status"),
@@ -303,12 +310,37 @@ def audit_log(spark, folder):
     )
 
 
+def audit_log(spark, folder):
+    return _audit_columns(audit.audit_events(_all_decisions(spark, folder), "info"))
+
+
+def live_audit_log(spark, folder):
+    """Decisions as a stream into the log of JSON lines, read back."""
+    base = stage_folder(spark, "audit")
+    _all_decisions(spark, folder).write.parquet(f"{base}/decisions.parquet")
+    events = audit.audit_events(tables.stream_table(spark, base, "decisions"), "info")
+    audit.stream_audit_log(events, f"{base}/log", f"{base}/checkpoint").trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    return _audit_columns(spark.read.schema(events.drop("seq").schema).json(f"{base}/log"))
+
+
+def json_corpus(spark, folder):
+    """Documents as JSON lines, read with their schema: what a scan of JSON inputs starts from."""
+    path = f"{stage_folder(spark, 'json')}/documents"
+    documents = W.documents(spark, folder).select("doc_id", "lang", "source", "text")
+    documents.write.json(path, ignoreNullFields=False)
+    rows, _ = tables.read_json(spark, path, "doc_id bigint, lang string, source string, text string")
+    return rows.select("doc_id", "lang", "source", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("md5"))
+
+
 def corpus_scan(spark, folder):
     return corpus.corpus_report(W.documents(spark, folder), "text", ["lang", "source"])
 
 
 FILES_PER_TRIGGER = 8
 DELAY = "1 hour"
+ARRIVALS = 4
 
 
 def _in_time(spark, folder, table: str, columns: dict[str, str], name: str, delay: str = DELAY) -> DataFrame:
@@ -321,11 +353,16 @@ def _in_time(spark, folder, table: str, columns: dict[str, str], name: str, dela
 
 
 def late_rows(spark, folder):
-    """Per tenant: rows in time and rows that came too late for the watermark."""
-    source = tables.stream_table(spark, folder, "events", 1)
-    kept, late = tables.split_late(W._select(source, W.context_columns(False)), "late", DELAY, close=False)
-    in_time = tables.run_available(kept.select("tenant_id"), "in-time")
-    both = in_time.withColumn("late", F.lit(0)).union(late.select("tenant_id", F.lit(1)))
+    """Per tenant: all rows, and those not too late, of events that arrive in disorder."""
+    base = stage_folder(spark, "arrivals")
+    events = W.rule_contexts(spark, folder)
+    for arrival in range(ARRIVALS):  # the input goes on; the query is started again for what is new
+        events.filter(F.col("request_id") % ARRIVALS == arrival).write.mode("append").parquet(f"{base}/events")
+        source = spark.readStream.schema(events.schema).parquet(f"{base}/events")
+        router = tables.route_late(source, f"{base}/routed", DELAY)
+        router.trigger(availableNow=True).start().awaitTermination()
+    in_time, late = tables.routed(spark, f"{base}/routed", events.schema)
+    both = in_time.select("tenant_id", F.lit(0).alias("late")).union(late.select("tenant_id", F.lit(1)))
     return both.groupBy("tenant_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.lit(1) - F.col("late")).alias("in_time")
     )
@@ -407,6 +444,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sse_deltas": sse_deltas,
     "completions": completions,
     "audit_log": audit_log,
+    "live_audit_log": live_audit_log,
+    "json_corpus": json_corpus,
     "policy_versions": policy_versions,
     "strip_invisible": _text_query(T.strip_invisible),
     "fold_leet": _text_query(T.fold_leet),
@@ -449,6 +488,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rate_per_second": rate_per_second,
     "error_rate": error_rate,
     "load_report": load_report,
+    "approximate_ranks": approximate_ranks,
     "total_requests": total_requests,
     "decide_complete": decide_complete_query,
     "decide_stream": decide_stream_query,

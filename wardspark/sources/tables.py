@@ -1,6 +1,8 @@
 """Tables as batch and streaming DataFrames."""
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from ..session import stage_folder
 
@@ -9,6 +11,18 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def read_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """JSON lines as a table: (rows that fit `schema`, (line) of those that do not).
+
+    The schema is given, so no pass over the files guesses it, and a line that is no object
+    or has a value of another type is set apart whole.  Missing fields and JSON nulls are
+    null; fields that the schema does not name are left out.
+    """
+    bad = "_not_as_schema"
+    rows = spark.read.schema(f"{schema}, {bad} string").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord=bad)
+    return rows.filter(F.col(bad).isNull()).drop(bad), rows.filter(F.col(bad).isNotNull()).select(F.col(bad).alias("line"))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on an input of few splits; larger inputs are left as they lie.
 
@@ -79,21 +93,64 @@ def _fill_up(spark: SparkSession, folder: str, empty: str, schema, files: int) -
         hadoop.FileUtil.copy(system, source, system, target, False, conf)
 
 
+def route_late(
+    stream: DataFrame, base: str, delay: str, ts: str = "ts", files_per_trigger: int | None = None
+) -> DataStreamWriter:
+    """Writer that parts a stream, as it comes, into rows in time and late rows under `base`.
+
+    A row is late if it lies more than `delay` before the newest time of the batches before
+    its own, which is when an operator with that watermark would drop it; rows without a
+    time are in time.  The newest time goes from batch to batch as one row.  Each batch
+    writes its rows and its row under its own number, so a batch that runs again gives the
+    same files, and a query that starts again with the same `base` goes on where it was.
+
+    With `files_per_trigger` the rows in time of a batch are written as exactly so many part
+    files, filled up with empty ones, and a trigger that reads as many has one batch.
+    """
+
+    def split(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        known = None
+        if number:
+            before = session.read.schema("newest timestamp").parquet(f"{base}/newest/batch={number - 1}")
+            known = before.select((F.col("newest") - F.expr(f"INTERVAL {delay}")).alias("t")).first().t
+        late = F.coalesce(F.col(ts) < F.lit(known), F.lit(False)) if known else F.lit(False)
+        batch = batch.persist(StorageLevel.DISK_ONLY)
+        try:
+            batch.filter(late).write.mode("overwrite").parquet(f"{base}/late/batch={number}")
+            in_time, folder = batch.filter(~late), f"{base}/kept/batch={number:09d}"
+            if files_per_trigger:
+                in_time = in_time.coalesce(files_per_trigger)
+            in_time.write.mode("overwrite").option("maxRecordsPerFile", 0).parquet(folder)
+            if files_per_trigger:
+                _fill_up(session, folder, f"{base}/empty", batch.schema, files_per_trigger)
+            times = batch.select(F.col(ts).cast("timestamp").alias("newest"))
+            if number:
+                times = times.unionByName(before)
+            times.agg(F.max("newest").alias("newest")).coalesce(1).write.mode("overwrite").parquet(
+                f"{base}/newest/batch={number}"
+            )
+        finally:
+            batch.unpersist()
+
+    return stream.writeStream.foreachBatch(split).option("checkpointLocation", f"{base}/checkpoint")
+
+
+def routed(spark: SparkSession, base: str, schema) -> tuple[DataFrame, DataFrame]:
+    """What `route_late` has written so far: (rows in time, late rows)."""
+    reader = spark.read.schema(schema).option("recursiveFileLookup", "true")
+    return reader.parquet(f"{base}/kept"), reader.parquet(f"{base}/late")
+
+
 def split_late(
     stream: DataFrame, name: str, delay: str, ts: str = "ts", close: bool = True,
     files_per_trigger: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Run a stream over the files there now; (rows in time as a stream, late rows).
+    """Route a stream over the files there now; (rows in time as a stream, late rows).
 
-    A row is late if it lies more than `delay` before the newest time of the batches
-    before its own, which is when an operator with that watermark would drop it.  Late
-    rows are kept in a table of their own.  Each batch writes its rows and its newest
-    time under its own number, so a batch that runs again gives the same files.
-
-    The rows in time come in the same batches again: each is written as exactly
-    `files_per_trigger` part files, filled up with empty ones, and a trigger reads as
-    many.  Else a batch in several triggers would move the watermark past its own rows.
-    Without `files_per_trigger` one trigger reads all.
+    The rows in time come in the same batches again, `files_per_trigger` files each: else a
+    batch in several triggers would move the watermark past its own rows.  Without
+    `files_per_trigger` one trigger reads all.
 
     `close` adds one row of nulls far in the future to the rows in time: an input that
     ends has its last windows closed and its last rows decided.  Operators see it as a
@@ -101,33 +158,8 @@ def split_late(
     """
     spark = stream.sparkSession
     base = stage_folder(spark, name)
-
-    def split(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        newest = session.createDataFrame([], "newest timestamp")
-        if number:
-            newest = session.read.schema("newest timestamp, batch int").parquet(f"{base}/newest").filter(
-                F.col("batch") < number
-            )
-        known = newest.agg((F.max("newest") - F.expr(f"INTERVAL {delay}")).alias("t")).first().t
-        late = F.coalesce(F.col(ts) < F.lit(known), F.lit(False)) if known else F.lit(False)
-        batch.filter(late).write.mode("overwrite").parquet(f"{base}/late/batch={number}")
-        in_time, folder = batch.filter(~late), f"{base}/kept/batch={number:09d}"
-        if files_per_trigger:
-            in_time = in_time.coalesce(files_per_trigger)
-        in_time.write.mode("overwrite").option("maxRecordsPerFile", 0).parquet(folder)
-        if files_per_trigger:
-            _fill_up(session, folder, f"{base}/empty", batch.schema, files_per_trigger)
-        seen = batch.agg(F.max(ts).cast("timestamp").alias("newest"))
-        seen.coalesce(1).write.mode("overwrite").parquet(f"{base}/newest/batch={number}")
-
-    query = (
-        stream.writeStream.foreachBatch(split)
-        .option("checkpointLocation", f"{base}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    router = route_late(stream, base, delay, ts, files_per_trigger)
+    router.trigger(availableNow=True).start().awaitTermination()
     schema = stream.schema
     if close:
         nulls = spark.range(1).select(*[
@@ -138,8 +170,7 @@ def split_late(
     kept = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
     if files_per_trigger:
         kept = kept.option("maxFilesPerTrigger", files_per_trigger)
-    late = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/late")
-    return kept.parquet(f"{base}/kept"), late
+    return kept.parquet(f"{base}/kept"), routed(spark, base, schema)[1]
 
 
 CLOSING_TIME = "2200-01-01 00:00:00"  # still a time that pandas can hold
