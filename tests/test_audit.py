@@ -43,3 +43,23 @@ def test_level_filter_and_sink(spark, tmp_path):
     assert {r.message for r in back} == {
         "stream_provider_timeout", "stream_aborted_unsafe_output", "stream_aborted_unsafe_output_drain", "rate_limited"
     }
+
+
+def test_a_stream_appends_each_event_once(spark, tmp_path, monkeypatch):
+    folder, log = f"{tmp_path}/d", f"{tmp_path}/log"
+    add = []
+    for part in (decisions(spark).filter("request_id < 3"), decisions(spark).filter("request_id >= 3")):
+        part.coalesce(1).write.mode("append").parquet(folder)
+        events = audit.audit_events(spark.readStream.schema(part.schema).parquet(folder), "info")
+        audit.stream_audit_log(events, log, f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    want = sorted((e.fields.request_id, e.message) for e in audit.audit_events(decisions(spark)).collect())
+
+    def read():
+        return sorted((r.fields.request_id, r.message) for r in spark.read.json(log).collect())
+
+    assert read() == want
+    # A failure after the write and before the checkpoint runs the batch again.
+    monkeypatch.setattr("pyspark.sql.streaming.DataStreamWriter.foreachBatch", lambda self, f: add.append(f) or self)
+    audit.stream_audit_log(events, log, f"{tmp_path}/checkpoint")
+    add[0](audit.audit_events(decisions(spark).filter("request_id >= 3")), 1)
+    assert read() == want

@@ -169,3 +169,85 @@ def test_rules_in_force_when_a_batch_starts(spark, tmp_path):
     query = live.live_decisions(scored, rules, write).trigger(availableNow=True).start()
     query.awaitTermination()
     assert seen == [(0, {"BLOCK"}), (1, {"TAG"}), (2, {"TAG"})]
+
+
+def test_late_rows_of_an_input_that_goes_on(spark, tmp_path):
+    """The query ends and starts again; a batch that runs twice changes nothing."""
+    base, rows = f"{tmp_path}/routed", [(0, 1000), (1, 2000), (2, 1939), (3, 1940), (4, None), (5, 2100), (6, 2039), (7, 1990)]
+    batches = [rows[:1], rows[1:2], rows[2:6], [], rows[6:]]
+
+    def frame(part):
+        df = spark.createDataFrame(part, "request_id long, s long")
+        return df.select("request_id", F.timestamp_seconds("s").alias("ts"))
+
+    schema = frame(rows).schema
+    writers = []
+    for part in batches:
+        frame(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        writers.append(tables.route_late(source, base, "60 seconds"))
+        writers[-1].trigger(availableNow=True).start().awaitTermination()
+    kept, late = tables.routed(spark, base, schema)
+    assert as_rows(late, "request_id") == [(2,), (6,), (7,)]
+    assert as_rows(kept, "request_id") == [(0,), (1,), (3,), (4,), (5,)]
+    # Two rows of the newest time would show up as a second part file.
+    assert {r.newest.timestamp() for r in spark.read.parquet(f"{base}/newest").collect()} == {1000, 2000, 2100}
+
+
+def test_a_batch_routed_again_gives_the_same_files(spark, tmp_path, monkeypatch):
+    caught = []
+    source = spark.readStream.schema("request_id long, ts timestamp").parquet(str(tmp_path))
+    monkeypatch.setattr("pyspark.sql.streaming.DataStreamWriter.foreachBatch", lambda self, f: caught.append(f) or self)
+    tables.route_late(source, f"{tmp_path}/routed", "60 seconds")
+    (split,) = caught
+
+    def frame(*seconds):
+        return spark.createDataFrame([(i, s) for i, s in enumerate(seconds)], "request_id long, s long").select(
+            "request_id", F.timestamp_seconds("s").alias("ts"))
+
+    split(frame(1000), 0)
+    for _ in range(2):
+        split(frame(5000, 900, 960), 1)
+    kept, late = tables.routed(spark, f"{tmp_path}/routed", frame(1).schema)
+    assert (kept.count(), late.count()) == (3, 1)
+
+
+def test_json_lines_with_a_schema(spark, tmp_path):
+    lines = ['{"id": 1, "text": "é \\u0000 x", "more": 1}', '{"id": "x", "text": "a"}', "[1", '{"text": null}', "{}"]
+    (tmp_path / "lines.json").write_text("\n".join(lines))
+    rows, bad = tables.read_json(spark, str(tmp_path / "lines.json"), "id long, text string")
+    assert sorted(map(tuple, rows.collect()), key=str) == [(1, "é \x00 x"), (None, None), (None, None)]
+    assert {r.line for r in bad.collect()} == {lines[1], lines[2]}
+    (tmp_path / "none.json").write_text("")
+    assert [df.count() for df in tables.read_json(spark, str(tmp_path / "none.json"), "id long")] == [0, 0]
+
+
+def test_a_batch_judged_again_has_its_first_rules(spark, tmp_path, monkeypatch):
+    """A failure after the rules were read and before the batch was done."""
+    from wardspark import workload as W
+
+    scored = requests(spark).select(
+        F.lit("click").alias("tenant_id"), "request_id", F.lit(0.7).alias("score"),
+        F.lit("small-chat").alias("model"), F.lit(0.0).alias("daily_tokens"),
+    )
+    scored.coalesce(1).write.parquet(f"{tmp_path}/in")
+    state = {"fails": True, "now": W.policy_rules(spark)}
+
+    def write(decided, batch_id):
+        if state["fails"]:
+            raise RuntimeError("lost")
+        decided.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={batch_id}")
+
+    def run():
+        source = spark.readStream.schema(scored.schema).parquet(f"{tmp_path}/in")
+        query = live.live_decisions(source, lambda: state["now"], write, f"{tmp_path}/rules")
+        query.option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    with pytest.raises(Exception, match="lost"):
+        run()
+    state.update(fails=False, now=W.policy_rules(spark).filter("rule_order > 0"))
+    run()
+    scored.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run()
+    out = spark.read.parquet(f"{tmp_path}/out").select("batch", "action").distinct()
+    assert as_rows(out, "batch", "action") == [(0, "BLOCK"), (1, "TAG")]

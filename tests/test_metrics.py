@@ -37,3 +37,23 @@ def test_blocks_have_three_stages(spark):
     df = spark.createDataFrame(rows, "tenant_id string, path string, error string")
     got = {(r.stage, r.n) for r in metrics.blocks_total(df).collect()}
     assert got == {("input", 1), ("output", 1), ("output_sync", 1)}
+
+
+def test_merged_sketches_are_within_their_error(spark):
+    draw = random.Random(6)
+    rows = [("wide", day, draw.expovariate(1) * 10 ** draw.randint(-9, 9)) for day in range(3) for _ in range(700)]
+    rows += [("zeros", day, draw.choice([0.0, 0.0, -2.0, 4.0])) for day in range(2) for _ in range(100)]
+    rows += [("one", 0, 7.5), ("one", 1, None), ("none", 0, None)]
+    df = spark.createDataFrame(rows, "tenant string, day int, v double")
+    quantiles = (0.0, 0.25, 0.5, 0.95, 0.99, 1.0)
+    sketches = metrics.latency_sketches(df, "v", ["tenant", "day"], 0.02)
+    got = {(r.tenant, r.quantile): (r.n, r.value) for r in
+           metrics.approximate_ranks(sketches, ["tenant"], quantiles, 0.02).collect()}
+    assert {tenant for tenant, _ in got} == {"wide", "zeros", "one"}
+    for (tenant, q), (n, value) in got.items():
+        values = sorted(v for t, _, v in rows if t == tenant and v is not None)
+        exact = max(values[int((len(values) - 1) * q)], 0.0)
+        assert n == len(values) and abs(value - exact) <= 0.0201 * exact, (tenant, q)
+    whole = metrics.latency_sketches(df, "v", ["tenant"], 0.02)
+    merged = metrics.merge_sketches(sketches, ["tenant"])
+    assert sorted(map(str, whole.collect())) == sorted(map(str, merged.collect()))

@@ -561,6 +561,13 @@ def oracle_sql() -> dict[str, str]:
     ) + "SELECT tenant_id, request_id, admitted, remaining FROM rated"
     sql["live_rate_limit"] = sql["rate_limit"]
     sql["live_policy"] = sql["policy_rule_join"]
+    arrived = "".join(
+        f"WHEN ts >= TIMESTAMP '{start:%Y-%m-%d}' THEN TIMESTAMP '{start:%Y-%m-%d}' " for start in W.ARRIVAL_STARTS[::-1]
+    )
+    sql["live_policy_refresh"] = _with(
+        _view("all_contexts", W.context_columns(True), "events"),
+        f"contexts AS (SELECT * REPLACE (CASE {arrived}ELSE TIMESTAMP '{W.ARRIVAL_STARTS[0]:%Y-%m-%d}' END AS ts) FROM all_contexts)",
+    ) + f"SELECT request_id, tenant_id, {verdict_columns(log=True)} FROM contexts"
     sql["daily_quota"] = _with(
         CONTEXTS,
         "sums AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY tenant_id, CAST(ts AS DATE) "

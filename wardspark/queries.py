@@ -413,13 +413,35 @@ def live_policy(spark, folder):
     events = tables.stream_table(spark, folder, "events", FILES_PER_TRIGGER)
     base = stage_folder(spark, "live-policy")
     rules = write_stage(W.policy_rules(spark), "rules")
+    decided = _judged(spark, W._select(events, W.context_columns(False)), lambda: rules, base)
+    return decided.select("request_id", "tenant_id", "matched", "rule_name", "action", "reason")
+
 
+def _judged(spark, scored, load_rules, base):
     def write(decided, batch_id):
         decided.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
 
-    query = live.live_decisions(W._select(events, W.context_columns(False)), lambda: rules, write)
+    query = live.live_decisions(scored, load_rules, write, f"{base}/rules")
     query.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    decided = spark.read.parquet(f"{base}/out")
+    return spark.read.parquet(f"{base}/out")
+
+
+def live_policy_refresh(spark, folder):
+    """Events that arrive a month's part at a time, and rules that change in between.
+
+    Before each arrival the log of rules gains what was written before the arrival begins.
+    """
+    base = stage_folder(spark, "live-refresh")
+    events = W.rule_contexts(spark, folder)
+    log = write_stage(W.policy_rules(spark, W.RULE_LOG), "rules")
+    starts = [*W.ARRIVAL_STARTS, None]
+    for begin, end in zip(starts, starts[1:]):
+        inside = F.lit(True) if end is None else F.col("ts") < F.lit(end)
+        if begin is not W.ARRIVAL_STARTS[0]:
+            inside = inside & (F.col("ts") >= F.lit(begin))
+        events.filter(inside).write.mode("append").parquet(f"{base}/events")
+        arriving = spark.readStream.schema(events.schema).parquet(f"{base}/events")
+        decided = _judged(spark, arriving, lambda: log.filter(F.col("written_at") <= F.lit(begin)), base)
     return decided.select("request_id", "tenant_id", "matched", "rule_name", "action", "reason")
 
 
@@ -499,6 +521,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "live_intercept": live_intercept,
     "live_input_scan": live_input_scan,
     "live_policy": live_policy,
+    "live_policy_refresh": live_policy_refresh,
     "live_counters": live_counters,
     "live_histogram": live_histogram,
 }

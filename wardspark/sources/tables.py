@@ -16,11 +16,14 @@ def read_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, D
 
     The schema is given, so no pass over the files guesses it, and a line that is no object
     or has a value of another type is set apart whole.  Missing fields and JSON nulls are
-    null; fields that the schema does not name are left out.
+    null; fields that the schema does not name are left out, and so are blank lines.
     """
     bad = "_not_as_schema"
-    rows = spark.read.schema(f"{schema}, {bad} string").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord=bad)
-    return rows.filter(F.col(bad).isNull()).drop(bad), rows.filter(F.col(bad).isNotNull()).select(F.col(bad).alias("line"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = lines.withColumn("row", F.from_json("value", f"{schema}, {bad} string", options))
+    is_bad = F.col(f"row.{bad}").isNotNull() | F.col("row").isNull()
+    return parsed.filter(~is_bad).select("row.*").drop(bad), parsed.filter(is_bad).select(F.col("value").alias("line"))
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -39,6 +42,15 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
 
 
+def once_written(spark: SparkSession, path: str, load) -> DataFrame:
+    """The table at `path`; where none has been written whole, that of `load()` is first."""
+    context = spark.sparkContext
+    mark = context._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    if not mark.getFileSystem(context._jsc.hadoopConfiguration()).exists(mark):
+        load().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def stream_table(
     spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None
 ) -> DataFrame:

@@ -18,7 +18,7 @@ from ..functions import batches
 from ..functions import fixed_values as V
 from ..operators import metrics, policy, scan
 from ..session import ship_package
-from ..sources.tables import closing_row
+from ..sources.tables import closing_row, once_written
 
 
 def live_input_scan(requests: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
@@ -26,15 +26,24 @@ def live_input_scan(requests: DataFrame, text_col: str, keep: list[str]) -> Data
     return scan.input_scan(requests, text_col, keep).drop("signals")
 
 
-def live_decisions(scored: DataFrame, load_rules, write_batch):
+def live_decisions(scored: DataFrame, load_rules, write_batch, rules_folder: str | None = None):
     """Writer that judges each micro-batch by the rules in force when it starts.
 
     `load_rules()` returns the rule table; a batch finishes with the rules it began
     with.  `write_batch(decisions, batch_id)` must be idempotent per batch id.
+
+    With `rules_folder` the rules a batch begins with are written there under its number
+    and read from there, so a batch that runs again after a failure judges as it did
+    before, whatever the rules are by then.  A folder there also tells which rules
+    judged which batch.
     """
 
     def judge(batch: DataFrame, batch_id: int) -> None:
-        write_batch(policy.evaluate_tenant_policies(batch, load_rules()), batch_id)
+        if rules_folder:
+            rules = once_written(batch.sparkSession, f"{rules_folder}/batch={batch_id}", load_rules)
+        else:
+            rules = load_rules()
+        write_batch(policy.evaluate_tenant_policies(batch, rules), batch_id)
 
     return scored.writeStream.foreachBatch(judge)
 

@@ -178,6 +178,9 @@ RULE_LOG = [
     ("own", "v2", dt.datetime(2024, 1, 20, 6, 30, tzinfo=dt.UTC)),
 ]
 
+# Days from which events arrive in one part: before the log begins, and under three states of it.
+ARRIVAL_STARTS = [dt.datetime(2024, 1, day, tzinfo=dt.UTC) for day in (1, 5, 16, 25)]
+
 
 def policy_rules(spark: SparkSession, times: list[tuple] = RULE_TIMES) -> DataFrame:
     """Three versions per tenant: an old one, the one in force, and a newer faulty one.
