@@ -2,8 +2,9 @@
 
 Byte-level BPE works on each pre-token by itself, so the count of a prefix that ends
 between two pre-tokens is a running sum: the table of an operator's row holds the sums at
-all those ends.  A prefix that ends inside a pre-token adds the entry of that pre-token's
-own table, built by dynamic programming over its bytes.  Questions about budgets and cuts
+all those ends.  Each pre-token has a table of its own, built by dynamic programming over
+its bytes: its last entry is the pre-token's count, and a prefix that ends inside it adds
+the entry of that place.  Questions about budgets and cuts
 are answered from both tables; no text is encoded again.
 
 Null text counts as empty.  An empty text has no tokens and an empty table.  Texts are
@@ -47,7 +48,11 @@ class Vocabulary:
         with open(ranks_path, "rb") as lines:
             pairs = [line.split() for line in lines]
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
-        self.longest = max(map(len, self.ranks))
+        lengths: dict[int, set[int]] = {}
+        for token in self.ranks:
+            lengths.setdefault(token[-1], set()).add(len(token))
+        # by last byte, longest first
+        self.lengths = {byte: sorted(found, reverse=True) for byte, found in lengths.items()}
         self.library = tiktoken.Encoding(
             "bytes", pat_str=PRE_TOKEN, mergeable_ranks=self.ranks, special_tokens=SPECIAL
         )
@@ -64,7 +69,7 @@ class Vocabulary:
         if found is None:
             if len(self.counts) >= MAX_CACHED:
                 self.counts.clear()
-            found = 1 if piece in SPECIAL else len(self.library.encode_ordinary(piece))
+            found = 1 if piece in SPECIAL else self.piece_table(piece.encode())[-1]
             self.counts[piece] = found
         return found
 
@@ -114,8 +119,9 @@ class Vocabulary:
         """
         counts, last = [0], [b""]
         for end in range(1, len(piece) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = piece[start:end]
+            for length in self.lengths[piece[end - 1]]:
+                start = end - length
+                token = piece[start:end] if start >= 0 else None
                 if token in self.ranks and (
                     start == 0 or self._compatible(last[start], token)
                 ):
