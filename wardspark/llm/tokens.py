@@ -43,16 +43,16 @@ class Vocabulary:
     """Counts and ids of texts, with bounded tables of the pre-tokens met so far."""
 
     def __init__(self, ranks_path: str):
+        import ahocorasick
         import tiktoken
 
         with open(ranks_path, "rb") as lines:
             pairs = [line.split() for line in lines]
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
-        lengths: dict[int, set[int]] = {}
+        self.finder = ahocorasick.Automaton()
         for token in self.ranks:
-            lengths.setdefault(token[-1], set()).add(len(token))
-        # by last byte, longest first
-        self.lengths = {byte: sorted(found, reverse=True) for byte, found in lengths.items()}
+            self.finder.add_word(token.decode("latin-1"), token)
+        self.finder.make_automaton()
         self.library = tiktoken.Encoding(
             "bytes", pat_str=PRE_TOKEN, mergeable_ranks=self.ranks, special_tokens=SPECIAL
         )
@@ -117,17 +117,21 @@ class Vocabulary:
         The last token of a prefix is the one token that ends there and stands beside
         the last token of the prefix before it; its count is that prefix's plus one.
         """
-        counts, last = [0], [b""]
-        for end in range(1, len(piece) + 1):
-            for length in self.lengths[piece[end - 1]]:
-                start = end - length
-                token = piece[start:end] if start >= 0 else None
-                if token in self.ranks and (
-                    start == 0 or self._compatible(last[start], token)
-                ):
-                    counts.append(counts[start] + 1)
-                    last.append(token)
-                    break
+        counts, last = [0] * (len(piece) + 1), [b""] * (len(piece) + 1)
+        done, known = 0, self.pairs.get
+        # all tokens that end at each byte, the longest first
+        for at, token in self.finder.iter(piece.decode("latin-1")):
+            end = at + 1
+            if end == done:
+                continue
+            start = end - len(token)
+            if start:
+                stands = known((last[start], token))
+                if stands is None:
+                    stands = self._compatible(last[start], token)
+                if not stands:
+                    continue
+            counts[end], last[end], done = counts[start] + 1, token, end
         return counts
 
     def prefix_count(self, text: str, ends: np.ndarray, counts: np.ndarray, n: int) -> int:
