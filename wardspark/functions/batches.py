@@ -312,24 +312,36 @@ def entropy_signal(texts: pa.StringArray) -> np.ndarray:
 
 
 PART_BYTES, PART_ROWS = 8 << 20, 16384
+RUN_BYTES = 1 << 20  # of runs, whose bytes get places of eight bytes each
 
 
-def _in_parts(texts: pa.Array, scan: Callable[[pa.Array], pa.Array]) -> pa.Array:
-    """scan over parts of few rows and bytes, so that what it holds is bounded by them or
-    by the longest text."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    at, parts = 0, []
-    while at < len(texts):
+def _parts(sizes: np.ndarray, part_bytes: int) -> Iterator[tuple[int, int]]:
+    """(begin, end) of parts of few rows and bytes, or of one row."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at = 0
+    while at < len(sizes):
         before = int(ends[at - 1]) if at else 0
-        until = min(int(np.searchsorted(ends, before + PART_BYTES, "right")), at + PART_ROWS)
-        parts.append(scan(texts.slice(at, max(until, at + 1) - at)))
+        until = min(int(np.searchsorted(ends, before + part_bytes, "right")), at + PART_ROWS)
+        yield at, max(until, at + 1)
         at = max(until, at + 1)
-    return pa.concat_arrays(parts) if parts else scan(texts)
+
+
+def _in_parts(
+    scan: Callable[..., pa.Array], texts: pa.Array, *others: pa.Array, part_bytes: int = PART_BYTES
+) -> pa.Array:
+    """scan over parts of few rows and bytes, so that what it holds is bounded by them or
+    by the longest text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    parts = [
+        scan(*[a.slice(begin, end - begin) for a in (texts, *others)])
+        for begin, end in _parts(sizes, part_bytes)
+    ]
+    return pa.concat_arrays(parts) if parts else scan(texts, *others)
 
 
 def signals(texts: pa.Array) -> pa.StructArray:
     """The five unrounded signals; a null text has none."""
-    return _in_parts(texts, _signals)
+    return _in_parts(_signals, texts)
 
 
 def _signals(texts: pa.Array) -> pa.StructArray:
@@ -342,7 +354,7 @@ def _signals(texts: pa.Array) -> pa.StructArray:
 
 def output_flags(texts: pa.Array) -> pa.StructArray:
     """One flag per output pattern; null for a null text."""
-    return _in_parts(texts, _output_flags)
+    return _in_parts(_output_flags, texts)
 
 
 def _output_flags(texts: pa.Array) -> pa.StructArray:
@@ -435,8 +447,8 @@ def unsafe_buffers(data: np.ndarray, past: np.ndarray, ends: np.ndarray, spans:
     hit = matches(joined_view(_cut(data, lows, highs)), STREAM_CORE).to_numpy(zero_copy_only=False)
     sizes = np.diff(np.concatenate([first, [len(ends)]]))
     some = np.flatnonzero(np.repeat(hit, sizes))
-    for at in range(0, len(some), PART_ROWS):
-        rows = some[at : at + PART_ROWS]
+    for begin, end in _parts(ends[some] - past[some], RUN_BYTES):
+        rows = some[begin:end]
         flags[rows] = stream_unsafe(_cut(data, past[rows], ends[rows]))
     return flags
 
@@ -469,6 +481,10 @@ def run_flags(runs: pa.Array, sizes: pa.Array, window: int) -> pa.StructArray:
     """Of each run of chunks, by its bytes and the sizes of its chunks: where chunks end,
     whether the buffer at each is unsafe if nothing comes before the run, the bytes of the
     chunks whose buffers reach back before it, and its last `window` bytes."""
+    return _in_parts(lambda *part: _run_flags(*part, window), runs, sizes, part_bytes=RUN_BYTES)
+
+
+def _run_flags(runs: pa.Array, sizes: pa.Array, window: int) -> pa.StructArray:
     data, places = _binary(runs)
     size, offsets = _lists(sizes)
     rows = np.repeat(np.arange(len(runs)), np.diff(offsets))
@@ -496,6 +512,15 @@ def head_flags(
 
     Only chunks of the head are matched again, and only if there is a past.
     """
+    return _in_parts(
+        lambda head, past, *rest: _head_flags(past, head, *rest, window), head, past, ends, flags, finale,
+        part_bytes=RUN_BYTES,
+    )
+
+
+def _head_flags(
+    past: pa.Array, head: pa.Array, ends: pa.Array, flags: pa.Array, finale: pa.Array, window: int
+) -> pa.StructArray:
     end, offsets = _lists(ends)
     flag = _lists(flags)[0].astype(bool)
     rows = np.repeat(np.arange(len(past)), np.diff(offsets))
