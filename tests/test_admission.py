@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,3 +161,55 @@ def test_rounds_do_not_read_the_input_again(spark):
         quota.quota_policy_fold(source, W.policy_rules(spark), 300, chunk_rows=chunk_rows).collect()
         seen.append(read.value - before)
     assert seen[0] == seen[1]
+
+
+def test_fold_takes_batches_one_at_a_time():
+    """A chunk is never held whole: what a batch admits leaves before the next one is read."""
+    names, read = ["_tenant", "_pack", "_us", "request_id", "_past"], []
+
+    def batches():
+        for times in ([0, 10, 20], [30, 105, 110], [111]):
+            read.append(times)
+            n = len(times)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(["a"] * n), pa.array([0] * n), pa.array(times), pa.array(times), pa.array([False] * n)],
+                names,
+            )
+
+    seen, admitted = [], []
+    for out in admission._folder(2, 100)(batches()):
+        seen.append(len(read))
+        admitted += zip(out.column("_us").to_pylist(), out.column("_left").to_pylist())
+    assert seen == [1, 2, 3]
+    assert admitted == [(0, 1), (10, 0), (105, 0), (110, 0)]
+
+
+def test_contested_rows_alike_in_time_and_id(spark):
+    """Of rows alike in tenant, time and id as many are admitted as there is room for."""
+    rows = [("a", 0, 1, f"p{k}") for k in range(5)] + [("a", 0, None, "q")]
+    made = spark.createDataFrame(rows, "tenant_id string, us long, request_id long, note string")
+    out = admission.admit(made.withColumn("ts", F.timestamp_micros("us")), 3, 60.0).collect()
+    assert sorted(r.remaining for r in out if r.admitted) == [0, 1, 2]
+    assert sorted(r.note for r in out) == ["p0", "p1", "p2", "p3", "p4", "q"]
+    assert not [r for r in out if r.request_id is None and r.admitted]
+
+
+def test_quota_fold_takes_batches_one_at_a_time():
+    """The day's total goes from batch to batch; no chunk is held whole."""
+    read = []
+
+    def batches():
+        for tokens in ([5, 10], [20], [1, 1]):
+            read.append(tokens)
+            n = len(tokens)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tokens), pa.array([[]] * n, pa.list_(pa.float64())), pa.array([[False]] * n), pa.array([3] * n)],
+                ["tokens", "_bounds", "_blocked", "_used"],
+            )
+
+    seen, before = [], []
+    for out in quota._folder(30)(batches()):
+        seen.append(len(read))
+        before += out.column("used_before").to_pylist()
+    assert seen == [1, 2, 3]
+    assert before == [3, 8, 18, None, None]

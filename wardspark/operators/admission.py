@@ -13,10 +13,13 @@ counts per tenant and short time slot tell where the limit can bind at all.
   requests of the last window carry over from chunk to chunk.  Contested rows are written
   once by chunk, so that a round reads its own chunk only.
 
-A task holds a chunk and the admitted requests of one window, however many rows a tenant
-has.  A slot is never cut: one that alone has more than `chunk_rows` rows is one chunk.
+Spark sorts a chunk, and a task folds it batch by batch: it holds one batch and the admitted
+requests of one window, however many rows a tenant has.  A slot is never cut: one that alone
+has more than `chunk_rows` rows is one chunk.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
@@ -108,13 +111,8 @@ def admit(
         marked.filter(~F.coalesce(F.col("_contested"), F.lit(False))),
         limit, window_us, order_id,
     ).filter(~F.coalesce(F.col("_fold"), F.lit(False)))
-    parts = [calm.select(*out_columns)]
     folded = _fold_chunks(rows, hot, int(last_chunk), limit, window_us, slot_us, order_id)
-    parts.extend(part.select(*out_columns) for part in folded)
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    return calm.select(*out_columns).unionByName(folded.select(*out_columns))
 
 
 def _uncontested(rows: DataFrame, limit: int, window_us: int, order_id: str) -> DataFrame:
@@ -143,85 +141,115 @@ def _uncontested(rows: DataFrame, limit: int, window_us: int, order_id: str) ->
 def _fold_chunks(
     rows: DataFrame, hot: DataFrame, last_chunk: int, limit: int, window_us: int,
     slot_us: int, order_id: str,
-) -> list[DataFrame]:
-    """Fold every pack chunk by chunk; all packs of one round run in parallel."""
+) -> DataFrame:
+    """Fold every pack chunk by chunk; all packs of one round run in parallel.
+
+    Times and ids go through the rounds, and the admitted ones come out; other columns stay
+    where they are and are joined to what was admitted.
+    """
     ship_package(rows.sparkSession)
     fold_slots = hot.filter("_fold").select("_tenant", "_slot", "_pack", "_chunk")
     lead_slots = hot.filter(F.col("_leads_to").isNotNull()).select(
         "_tenant", "_slot", F.col("_leads_to").alias("_pack")
     )
-    past = (
-        rows.join(lead_slots, ["_tenant", "_slot"]).withColumn("_past", F.lit(True))
+    narrow = ["_tenant", "_pack", "_us", order_id, "_past"]
+    past = rows.join(lead_slots, ["_tenant", "_slot"]).withColumn("_past", F.lit(True)).select(*narrow)
+    contested = rows.join(fold_slots, ["_tenant", "_slot"]).withColumn("_past", F.lit(False)).select(
+        *narrow, "_chunk"
     )
-    contested = rows.join(fold_slots, ["_tenant", "_slot"])
     if last_chunk:
         contested = write_parts(contested, "rate-rows", "_chunk")
         past = write_stage(past, "rate-leads")
-    parts = []
+    schema = T.StructType(
+        [f for f in past.schema.fields if f.name != "_past"] + [T.StructField("_left", T.LongType())]
+    )
+    admitted = []
     for chunk in range(last_chunk + 1):
-        current = contested.filter(F.col("_chunk") == chunk).drop("_chunk").withColumn("_past", F.lit(False))
-        schema = T.StructType(
-            [f for f in current.schema.fields if f.name != "_past"]
-            + [T.StructField("admitted", T.BooleanType()), T.StructField("remaining", T.LongType())]
+        current = contested.filter(F.col("_chunk") == chunk).select(*narrow)
+        ordered = current.unionByName(past).repartition("_tenant", "_pack").sortWithinPartitions(
+            "_tenant", "_pack", F.asc_nulls_last("_us"), F.asc_nulls_last(order_id)
         )
-        out = (
-            current.unionByName(past.select(*current.columns))
-            .groupBy("_tenant", "_pack")
-            .applyInArrow(_folder(limit, window_us, order_id), schema)
+        taken = write_stage(
+            ordered.groupBy("_tenant", "_pack").applyInArrow(_folder(limit, window_us), schema),
+            f"rate-chunk-{chunk}",
         )
+        admitted.append(taken)
         if chunk == last_chunk:
-            parts.append(out)
             break
-        out = write_stage(out, f"rate-chunk-{chunk}")
-        parts.append(out)
         starts = (
             # A full slot may skip chunk numbers: the state waits for the next one.
             fold_slots.filter(F.col("_chunk") > chunk)
             .groupBy("_tenant", "_pack")
             .agg((F.min("_slot") * slot_us - window_us).alias("_from"))
         )
-        taken = out.filter("admitted").drop("admitted", "remaining").withColumn("_past", F.lit(True))
         past = (
-            taken.unionByName(past.select(*taken.columns))
+            taken.drop("_left").withColumn("_past", F.lit(True)).unionByName(past)
             .join(starts, ["_tenant", "_pack"])
             .filter(F.col("_us") > F.col("_from"))
             .drop("_from")
         )
         past = write_stage(past, f"rate-past-{chunk}")
-    return parts
+    return _marked(rows.join(fold_slots.select("_tenant", "_slot"), ["_tenant", "_slot"]), admitted, order_id)
+
+
+def _marked(rows: DataFrame, admitted: list[DataFrame], order_id: str) -> DataFrame:
+    """Contested rows with `admitted` and `remaining`.  Of rows alike in tenant, time and id
+    as many are admitted as the fold says; it does not matter which."""
+    taken = admitted[0]
+    for more in admitted[1:]:
+        taken = taken.unionByName(more)
+    allowed = write_stage(
+        taken.groupBy(F.col("_tenant").alias("_of"), F.col("_us").alias("_at"), F.col(order_id).alias("_id"))
+        .agg(F.sort_array(F.collect_list("_left"), asc=False).alias("_left")),
+        "rate-admitted",
+    )
+    same = (F.col("_of") == F.col("_tenant")) & (F.col("_at") == F.col("_us")) & F.col("_id").eqNullSafe(F.col(order_id))
+    refused = rows.join(allowed, same, "left_anti").select(
+        "*", F.lit(False).alias("admitted"), F.lit(0).cast("long").alias("remaining")
+    )
+    alike = Window.partitionBy("_tenant", "_us", order_id).orderBy("_slot")
+    left = F.get("_left", F.row_number().over(alike) - 1)
+    known = rows.join(allowed, same).withColumn("_left", left)
+    return refused.unionByName(known.select(
+        *rows.columns, F.col("_left").isNotNull().alias("admitted"),
+        F.coalesce("_left", F.lit(0).cast("long")).alias("remaining"),
+    ))
 
 
-def _folder(limit: int, window_us: int, order_id: str):
-    def fold(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("_us", "ascending"), (order_id, "ascending")])
-        is_past = table["_past"].to_numpy(zero_copy_only=False)
-        us = table["_us"].to_numpy()
-        n = len(us)
-        past_at = np.append(np.flatnonzero(is_past), n)
+def _folder(limit: int, window_us: int):
+    """Rows of a pack in order of time and id, a batch at a time: out go the admitted ones."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         taken: list[int] = []
-        admitted = np.zeros(n, dtype=bool)
-        remaining = np.zeros(n, dtype=np.int64)
-        live, i = 0, 0  # taken[live:] lies in the window of the latest request
-        while i < n:
-            if not is_past[i]:
-                room_from = us[i] if len(taken) < limit else taken[-limit] + window_us
-                if limit <= 0 or room_from > us[i]:
-                    # Everything up to the next row with room, or known row, is refused.
-                    next_past = past_at[np.searchsorted(past_at, i)]
-                    free = np.searchsorted(us, room_from, "left") if limit > 0 else n
-                    i = int(min(free, next_past))
-                    continue
-            taken.append(us[i])
-            while taken[live] <= us[i] - window_us:
-                live += 1
-            admitted[i] = True
-            remaining[i] = limit - (len(taken) - live)
-            i += 1
-        decided = ~is_past
-        admitted, remaining = admitted[decided], remaining[decided]
-        kept = table.filter(pa.array(~is_past)).drop_columns(["_past"])
-        return kept.append_column("admitted", pa.array(admitted)).append_column(
-            "remaining", pa.array(remaining)
-        )
+        live = 0  # taken[live:] lies in the window of the latest request
+        for batch in batches:
+            is_past = batch.column("_past").to_numpy(zero_copy_only=False)
+            us = batch.column("_us").to_numpy()
+            n = len(us)
+            past_at = np.append(np.flatnonzero(is_past), n)
+            rows, left, i = [], [], 0
+            while i < n:
+                now = int(us[i])
+                if not is_past[i]:
+                    room_from = taken[-limit] + window_us if 0 < limit <= len(taken) else now
+                    if limit <= 0 or room_from > now:
+                        # Everything up to the next row with room, or known row, is refused.
+                        next_past = past_at[np.searchsorted(past_at, i)]
+                        free = np.searchsorted(us, room_from, "left") if limit > 0 else n
+                        i = int(min(free, next_past))
+                        continue
+                taken.append(now)
+                while taken[live] <= now - window_us:
+                    live += 1
+                if not is_past[i]:
+                    rows.append(i)
+                    left.append(limit - (len(taken) - live))
+                i += 1
+            spent = max(min(live, len(taken) - limit), 0)
+            taken, live = taken[spent:], live - spent
+            kept = batch.drop_columns(["_past"]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*kept.columns, pa.array(left, pa.int64())], [*kept.schema.names, "_left"]
+            )
 
     return fold

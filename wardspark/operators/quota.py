@@ -1,5 +1,7 @@
 """Token charges and the daily token quota."""
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -169,20 +171,23 @@ def quota_policy_fold(
         # Read twice: once to sum up the chunks of long days, once to fold all.
         prepared = write_stage(prepared, "quota-rows")
         long_days = prepared.join(late.select("_tenant", "_day").distinct(), ["_tenant", "_day"], "left_semi")
-        starts = chunk_starts(long_days, limit, int(last_chunk), order_id)
-    else:
-        prepared = prepared.withColumn("_chunk", F.lit(0).cast("long"))
-        starts = prepared.sparkSession.createDataFrame(
-            [], T.StructType([prepared.schema[k] for k in key] + [T.StructField("_used", T.LongType())])
+        starts = chunk_starts(long_days, limit, int(last_chunk), order_id).select(
+            *[F.col(k).alias(f"{k}_of") for k in key], "_used"
         )
+        same = [F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in key]
+        prepared = prepared.join(broadcast_if_small(starts), same, "left").drop(*[f"{k}_of" for k in key])
+    else:
+        prepared = prepared.withColumn("_chunk", F.lit(0).cast("long")).withColumn("_used", F.lit(0).cast("long"))
     extra = "used_before bigint, quota_ok boolean, charged bigint, _range int"
     schema = T.StructType(
-        [f for f in prepared.schema.fields if f.name not in ("_bounds", "_blocked")]
+        [f for f in prepared.schema.fields if f.name not in _FOLD_ONLY]
         + T._parse_datatype_string(extra).fields
     )
+    # Spark sorts a chunk, and the fold takes it batch by batch.
     result = (
-        prepared.groupBy(*key).cogroup(starts.groupBy(*key))
-        .applyInArrow(_folder(limit, order_id), schema)
+        prepared.repartition(*key)
+        .sortWithinPartitions(*key, F.asc_nulls_last("_us"), F.asc_nulls_last(order_id))
+        .groupBy(*key).applyInArrow(_folder(limit), schema)
     )
     # Rows went through the fold with the places of their rules; names are looked up now.
     own = F.col("_tenant") == F.col("_of")
@@ -202,43 +207,55 @@ def quota_policy_fold(
     )
 
 
-def _folder(limit: int, order_id: str):
-    def fold(rows: pa.Table, state: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("_us", "ascending"), (order_id, "ascending")])
-        n = rows.num_rows
-        used = int(state["_used"][0].as_py()) if state.num_rows else 0
-        before = np.zeros(n, dtype=np.int64)
-        charged = np.zeros(n, dtype=np.int64)
-        ranges = np.full(n, -1, dtype=np.int32)
-        if n:
-            bounds = np.array(rows["_bounds"][0].as_py() or [], dtype=float)
-            tokens = rows["tokens"].to_numpy()
-            blocked = np.stack(rows["_blocked"].to_numpy(zero_copy_only=False))
-            ends = ranges_of(bounds, limit)
-        start = 0
-        while start < n and used < limit:
-            # Range 2i lies below bound i, range 2i + 1 is bound i itself.
-            current = int(np.searchsorted(ends, used, "right"))
-            leave = ends[current]
-            cost = np.where(blocked[start:, current].astype(bool), 0, tokens[start:])
-            after = used + np.cumsum(cost)
-            # The row that leaves the range is still judged in it.
-            size = min(int(np.searchsorted(after, leave, "left")) + 1, n - start)
-            stop = start + size
-            before[start:stop] = after[:size] - cost[:size]
-            charged[start:stop] = cost[:size]
-            ranges[start:stop] = current
-            used = int(after[size - 1])
-            start = stop
-        refused = ranges < 0
-        out = rows.drop_columns(["_bounds", "_blocked"])
-        for name, column in (
-            ("used_before", pa.array(before, mask=refused)),
-            ("quota_ok", pa.array(~refused)),
-            ("charged", pa.array(charged)),
-            ("_range", pa.array(ranges, mask=refused)),
-        ):
-            out = out.append_column(name, column)
-        return out
+_FOLD_ONLY = ("_bounds", "_blocked", "_used")
+
+
+def _folder(limit: int):
+    """Rows of a chunk in order of time and id, a batch at a time; the total goes along."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = None
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            if used is None:
+                used = rows.column("_used")[0].as_py() or 0
+            decided, used = _folded(rows, used, limit)
+            yield decided
 
     return fold
+
+
+def _folded(rows: pa.RecordBatch, used: int, limit: int) -> tuple[pa.RecordBatch, int]:
+    n = rows.num_rows
+    before = np.zeros(n, dtype=np.int64)
+    charged = np.zeros(n, dtype=np.int64)
+    ranges = np.full(n, -1, dtype=np.int32)
+    bounds = np.array(rows.column("_bounds")[0].as_py() or [], dtype=float)
+    tokens = rows.column("tokens").to_numpy(zero_copy_only=False)
+    blocked = np.stack(rows.column("_blocked").to_numpy(zero_copy_only=False))
+    ends = ranges_of(bounds, limit)
+    start = 0
+    while start < n and used < limit:
+        # Range 2i lies below bound i, range 2i + 1 is bound i itself.
+        current = int(np.searchsorted(ends, used, "right"))
+        leave = ends[current]
+        cost = np.where(blocked[start:, current].astype(bool), 0, tokens[start:])
+        after = used + np.cumsum(cost)
+        # The row that leaves the range is still judged in it.
+        size = min(int(np.searchsorted(after, leave, "left")) + 1, n - start)
+        stop = start + size
+        before[start:stop] = after[:size] - cost[:size]
+        charged[start:stop] = cost[:size]
+        ranges[start:stop] = current
+        used = int(after[size - 1])
+        start = stop
+    refused = ranges < 0
+    names = [name for name in rows.schema.names if name not in _FOLD_ONLY]
+    return pa.RecordBatch.from_arrays(
+        [
+            *[rows.column(name) for name in names],
+            pa.array(before, mask=refused), pa.array(~refused), pa.array(charged), pa.array(ranges, mask=refused),
+        ],
+        [*names, "used_before", "quota_ok", "charged", "_range"],
+    ), used
