@@ -1,5 +1,7 @@
 import random
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,3 +253,36 @@ def test_a_batch_judged_again_has_its_first_rules(spark, tmp_path, monkeypatch):
     run()
     out = spark.read.parquet(f"{tmp_path}/out").select("batch", "action").distinct()
     assert as_rows(out, "batch", "action") == [(0, "BLOCK"), (1, "TAG")]
+
+
+class _State:
+    def __init__(self):
+        self.exists, self.get, self.watermark, self.wake = False, None, 0, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+    def setTimeoutTimestamp(self, at):
+        self.wake = at
+
+
+def test_waiting_rows_are_packed_and_leave_in_parts():
+    """Rows that wait are a few bytes each, and decided ones leave a part at a time."""
+    schema, state, n = pa.schema([("us", pa.int64()), ("request_id", pa.int64())]), _State(), 50_000
+    held = live._Held(state, schema)
+    held.add([pd.DataFrame({"us": range(n, 0, -1), "request_id": range(n)})])
+    assert not list(held.due())
+    held.keep([], None)
+    assert len(state.get[0]) < 20 * n
+    state.watermark = 40
+    held = live._Held(state, schema)
+    parts = list(held.due())
+    held.keep([7], None)
+    assert [len(p) for p in parts] == [10_000] * 4
+    assert parts[0][:2] == [(1, n - 1), (2, n - 2)]
+    assert state.get[1] == [7] and state.wake == 41
+    state.watermark = 100
+    assert [len(p) for p in live._Held(state, schema).due()] == [10_000]

@@ -7,11 +7,11 @@ rows that the watermark has not passed.  `sources.tables.split_late` puts rows t
 come later than the watermark into a table of their own before any of these drops them.
 """
 
-import bisect
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import batches
@@ -74,44 +74,63 @@ def _types(df: DataFrame, *names: str) -> str:
     return ", ".join(f"{name} {df.schema[name].dataType.simpleString()}" for name in names)
 
 
+PART_ROWS = 10_000  # decided rows that leave the operator at once
+
+
 class _Held:
     """Rows of one key that wait for the watermark, in order of time and id.
 
     A row is decided once no row before it can come any more; until then it is part of
-    the state, which so holds the rows of the last `watermark` of its key.
+    the state, which so holds the rows of the last `watermark` of its key.  They are kept
+    as Arrow columns, in one binary value, and taken out in parts.
     """
 
-    def __init__(self, state: GroupState, names: list[str]):
-        self.names, self.state = names, state
-        self.rows = {n: list(v) for n, v in zip(names, state.get)} if state.exists else {n: [] for n in names}
+    def __init__(self, state: GroupState, schema: pa.Schema):
+        self.schema, self.state, self.last = schema, state, []
+        self.tables = []
+        if state.exists:
+            rows, last = state.get
+            self.tables.append(pa.ipc.open_stream(bytes(rows)).read_all())
+            self.last = list(last)
 
     def add(self, batches) -> None:
         for batch in batches:
-            for name in self.names[:-1]:
-                self.rows[name].extend(batch[name].tolist())
-
-    def due(self) -> list[tuple]:
-        """Rows up to the watermark, taken out of the state in order."""
-        waiting = self.names[:-1]
-        order = sorted(zip(*[self.rows[n] for n in waiting]))
+            if len(batch):
+                columns = [pa.array(batch[f.name], f.type, from_pandas=True) for f in self.schema]
+                self.tables.append(pa.table(columns, schema=self.schema))
+
+    def due(self):
+        """Rows up to the watermark, taken out of the state in order, a part at a time."""
+        rows = pa.concat_tables(self.tables) if self.tables else self.schema.empty_table()
+        self.tables = []
+        rows = rows.sort_by([(name, "ascending") for name in self.schema.names])
         upto = self.state.getCurrentWatermarkMs() * 1000
-        ready = bisect.bisect_right([r[0] for r in order], upto)
-        for i, name in enumerate(waiting):
-            self.rows[name] = [r[i] for r in order[ready:]]
-        return order[:ready]
+        ready = int(np.searchsorted(rows["us"].to_numpy(), upto, "right"))
+        self.rows = rows.slice(ready)
+        for at in range(0, ready, PART_ROWS):
+            part = rows.slice(at, min(PART_ROWS, ready - at))
+            yield list(zip(*[column.to_pylist() for column in part.columns]))
+
+    def waits(self) -> bool:
+        return self.rows.num_rows > 0
 
     def keep(self, last: list, expires_ms: int | None) -> None:
         """Store what is left; wake up when the next row is due, or drop a spent state."""
-        times = self.rows["us"]
-        if not times and expires_ms is None:
+        if not self.waits() and expires_ms is None:
             self.state.remove()
             return
-        self.rows[self.names[-1]] = last
-        self.state.update(tuple(self.rows[n] for n in self.names))
-        wake = times[0] // 1000 if times else expires_ms
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, self.schema) as stream:
+            stream.write_table(self.rows)
+        self.state.update((sink.getvalue().to_pybytes(), last))
+        wake = self.rows["us"][0].as_py() // 1000 if self.waits() else expires_ms
         self.state.setTimeoutTimestamp(max(int(wake) + 1, self.state.getCurrentWatermarkMs() + 1))
 
 
+def _waiting(df: DataFrame, *names: str) -> pa.Schema:
+    return to_arrow_schema(df.select(*names).schema)
+
+
 def live_rate_limit(
     requests: DataFrame, limit: int = V.REQUESTS_PER_MINUTE, window_seconds: float = 60.0,
     watermark: str = "10 minutes",
@@ -124,35 +143,37 @@ def live_rate_limit(
     """
     ship_package(requests.sparkSession)
     window_us = int(window_seconds * 1_000_000)
+    narrow = requests.withWatermark("ts", watermark).select(
+        "tenant_id", "ts", F.unix_micros("ts").alias("us"), "request_id"
+    )
+    schema = _waiting(narrow, "us", "request_id")
 
     def step(key, batches, state: GroupState):
         if key[0] is None:  # the row that closes an input, and requests of no tenant
             return
-        held = _Held(state, ["us", "request_id", "times"])
+        held = _Held(state, schema)
         held.add(batches)
-        times, begin, out = held.rows["times"], 0, []
-        for us, request in held.due():
-            while begin < len(times) and times[begin] <= us - window_us:
-                begin += 1
-            used = len(times) - begin
-            if used < limit:
-                times.append(us)
-            out.append((request, us, used < limit, max(limit - used - 1, 0)))
-        times = times[begin:]
+        times, begin = held.last, 0
+        for part in held.due():
+            out = []
+            for us, request in part:
+                while begin < len(times) and times[begin] <= us - window_us:
+                    begin += 1
+                used = len(times) - begin
+                if used < limit:
+                    times.append(us)
+                out.append((request, us, used < limit, max(limit - used - 1, 0)))
+            times, begin = times[begin:], 0
+            yield _frame(key[0], out, ["request_id", "us", "admitted", "remaining"])
         done = times[-1] // 1000 + window_us // 1000 + 1 if times else None
-        if done is not None and state.getCurrentWatermarkMs() > done and not held.rows["us"]:
+        if done is not None and state.getCurrentWatermarkMs() > done and not held.waits():
             done = None
         held.keep(times, done)
-        yield _frame(key[0], out, ["request_id", "us", "admitted", "remaining"])
 
-    narrow = requests.withWatermark("ts", watermark).select(
-        "tenant_id", "ts", F.unix_micros("ts").alias("us"), "request_id"
-    )
-    kind = narrow.schema["request_id"].dataType.simpleString()
     return narrow.groupBy("tenant_id").applyInPandasWithState(
         _without_ts(step),
         f"{_types(narrow, 'tenant_id', 'request_id')}, us bigint, admitted boolean, remaining bigint",
-        f"us array<bigint>, request_id array<{kind}>, times array<bigint>",
+        "waiting binary, times array<bigint>",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )
@@ -183,30 +204,31 @@ def live_daily_quota(
         tenant, day = key
         if tenant is None:
             return
-        held = _Held(state, ["us", "request_id", "tokens", "used"])
+        held = _Held(state, schema)
         held.add(batches)
-        used = held.rows["used"][0] if held.rows["used"] else 0
-        out = []
-        for us, request, tokens in held.due():
-            ok = used < limit
-            out.append((request, us, used if ok else None, ok))
-            used += tokens if ok else 0
+        used = held.last[0] if held.last else 0
+        for part in held.due():
+            out = []
+            for us, request, tokens in part:
+                ok = used < limit
+                out.append((request, us, used if ok else None, ok))
+                used += tokens if ok else 0
+            yield _frame(tenant, out, ["request_id", "us", "used_before", "quota_ok"]).astype(
+                {"used_before": "Int64"}
+            )
         expires = int(day) * 86_400_000 + 25 * 3_600_000
-        spent = not held.rows["us"] and state.getCurrentWatermarkMs() > expires
+        spent = not held.waits() and state.getCurrentWatermarkMs() > expires
         held.keep([used], None if spent else expires)
-        yield _frame(tenant, out, ["request_id", "us", "used_before", "quota_ok"]).astype(
-            {"used_before": "Int64"}
-        )
 
     narrow = requests.withWatermark("ts", watermark).select(
         "tenant_id", F.unix_date(F.to_date("ts")).alias("day"), "ts", F.unix_micros("ts").alias("us"),
         "request_id", "tokens",
     )
-    kind = narrow.schema["request_id"].dataType.simpleString()
+    schema = _waiting(narrow, "us", "request_id", "tokens")
     return narrow.groupBy("tenant_id", "day").applyInPandasWithState(
         _without_ts(step),
         f"{_types(narrow, 'tenant_id', 'request_id')}, us bigint, used_before bigint, quota_ok boolean",
-        f"us array<bigint>, request_id array<{kind}>, tokens array<bigint>, used array<bigint>",
+        "waiting binary, used array<bigint>",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )
