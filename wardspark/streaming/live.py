@@ -272,7 +272,6 @@ def live_intercept(
         if not done:
             taken, following = _in_order(early, following, state.hasTimedOut)
             rows, held, done = _let_through(bytes(held), taken, window, state.hasTimedOut)
-        out = [(stream, seq + k, *row) for k, row in enumerate(rows)]
         if state.hasTimedOut and done and not rows:
             state.remove()
         else:
@@ -281,9 +280,12 @@ def live_intercept(
             state.update((held, following, seq + len(rows), done, list(early), list(early.values()), latest))
             quiet = remember_seconds if done else idle_seconds
             state.setTimeoutTimestamp(max(latest + quiet * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["stream_id", "seq", "chunk_idx", "event", "payload"]).astype(
-            {"chunk_idx": "Int64"}
-        )
+        if rows:  # most timers send nothing
+            places, events, payloads = zip(*rows)
+            yield pd.DataFrame({
+                "stream_id": stream, "seq": np.arange(seq, seq + len(rows)),
+                "chunk_idx": pd.array(places, dtype="Int64"), "event": events, "payload": payloads,
+            })
 
     narrow = chunks.filter(F.col("stream_id").isNotNull() | closing_row()).withWatermark("ts", watermark).select(
         "stream_id", "chunk_idx", "ts", "raw", F.unix_micros("ts").alias("us")
