@@ -191,3 +191,20 @@ def test_fold_by_the_rules_of_the_time(spark, chunk_rows):
         blocked = name is not None and before > bounds[name][1]
         assert got[i] == (before, True, 0 if blocked else tokens, name if blocked else None), i
         used[tenant] = before + (0 if blocked else tokens)
+
+
+@pytest.mark.parametrize("as_of", [True, False])
+def test_requests_do_not_move_for_few_rules(spark, as_of):
+    """The rules' size is known only once they are written; a join by tenant would be few tasks."""
+    rows = [("click", dt.datetime(2024, 1, 2), i, 0.5, "m", 1) for i in range(20)]
+    requests = spark.createDataFrame(
+        rows, "tenant_id string, ts timestamp, request_id long, score double, model string, tokens long"
+    )
+    rules = W.policy_rules(spark)
+    judged = quota.quota_policy_fold(requests, rules, 300, as_of=as_of)
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == plan.count("rightHint=(strategy=broadcast)") > 0
+    if as_of:
+        placed = policy.with_rules_of_the_time(requests, rules)
+        plan = placed._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join LeftOuter") == plan.count("rightHint=(strategy=broadcast)") == 2

@@ -220,7 +220,8 @@ def _counts(texts: pa.StringArray, pattern: str) -> np.ndarray:
 
 
 def _worth_scanning(raw: pa.StringArray) -> Iterator[tuple[np.ndarray, pa.StringArray]]:
-    """The forms of the texts that no form before already stands for, with their rows.
+    """The forms of the texts that no form before already stands for, with their rows.  A row
+    may come twice in one array.
 
     Collapsing a text without lone letters, inner delimiters and rare blanks changes ASCII
     blanks only.  No phrase tells these apart but the one with a dot, which is looked for.
@@ -228,16 +229,42 @@ def _worth_scanning(raw: pa.StringArray) -> Iterator[tuple[np.ndarray, pa.String
     clean = strip_invisible(raw)
     leet = fold_leet(clean)
     folded = pc.not_equal(leet, clean)
-    for form, fresh, change in (
-        (raw, None, None), (clean, pc.not_equal(clean, raw), None), (leet, folded, None),
-        (clean, matches(clean, _COLLAPSES), collapse_spaced),
-        (leet, pc.and_(folded, matches(leet, _COLLAPSES)), collapse_spaced),
-        (leet, None, strip_whitespace),
-    ):
-        rows = np.arange(len(raw)) if fresh is None else np.flatnonzero(fresh.to_numpy(zero_copy_only=False))
+    everyone = np.arange(len(raw))
+    yield everyone, raw
+    for form, fresh in ((clean, pc.not_equal(clean, raw)), (leet, folded)):
+        rows = _true(fresh)
         if len(rows):
-            chosen = form if fresh is None else form.take(pa.array(rows))
-            yield rows, change(chosen) if change else chosen
+            yield rows, form.take(pa.array(rows))
+    some = _true(matches(clean, _COLLAPSES))
+    other = _true(pc.and_(folded, matches(leet, _COLLAPSES)))
+    if len(some) or len(other):
+        yield np.concatenate([some, other]), collapse_spaced(
+            pa.concat_arrays([clean.take(pa.array(some)), leet.take(pa.array(other))])
+        )
+    yield everyone, strip_whitespace(leet)
+
+
+def _true(mask: pa.BooleanArray) -> np.ndarray:
+    return np.flatnonzero(mask.to_numpy(zero_copy_only=False))
+
+
+def _gathered(forms: Iterator[tuple[np.ndarray, pa.StringArray]]) -> Iterator[tuple[np.ndarray, pa.StringArray]]:
+    """The same forms in few arrays of a part's bytes: every search builds its automaton anew,
+    which for short texts takes longer than the search."""
+    held, size = [], 0
+    for rows, texts in forms:
+        more = len(_bytes(texts)[0])
+        if held and size + more > PART_BYTES:
+            yield _joined(held)
+            held, size = [], 0
+        held.append((rows, texts))
+        size += more
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[tuple[np.ndarray, pa.StringArray]]) -> tuple[np.ndarray, pa.StringArray]:
+    return np.concatenate([rows for rows, _ in held]), pa.concat_arrays([texts for _, texts in held])
 
 
 def phrase_signals(texts: pa.StringArray) -> dict[str, np.ndarray]:
@@ -246,7 +273,7 @@ def phrase_signals(texts: pa.StringArray) -> dict[str, np.ndarray]:
     suspect = np.flatnonzero(matches(texts, HINT).to_numpy(zero_copy_only=False))
     if not len(suspect):
         return found
-    for rows, scanned in _worth_scanning(texts.take(pa.array(suspect))):
+    for rows, scanned in _gathered(_worth_scanning(texts.take(pa.array(suspect)))):
         for name, pattern in _COUNTED.items():
             hits = _counts(scanned, pattern)
             some = np.flatnonzero(hits)
@@ -257,8 +284,7 @@ def phrase_signals(texts: pa.StringArray) -> dict[str, np.ndarray]:
                 points = hits[some] / words / V.REPETITION_FULL_DENSITY
             else:
                 points = hits[some] * (V.KEYWORD_POINTS if name == "keyword" else V.STRUCTURAL_POINTS)
-            where = suspect[rows[some]]
-            found[name][where] = np.maximum(found[name][where], np.minimum(points, 1.0))
+            np.maximum.at(found[name], suspect[rows[some]], np.minimum(points, 1.0))
     verbs = np.flatnonzero(found["repetition"])
     if len(verbs):  # a floor for texts spelled out in letters
         words, single = word_counts(texts.take(pa.array(verbs)))
@@ -301,11 +327,34 @@ def entropy_bits(texts: pa.StringArray) -> np.ndarray:
     return np.array([_entropy(t) for t in _strings(texts)], dtype=np.float64)
 
 
+SHORT_BYTES = 256  # up to here a look at many texts at once is cheaper than one by one
+
+
+def _varied(texts: pa.StringArray) -> np.ndarray:
+    """Which texts are long enough and may have more than the base bits: n different
+    characters have at most log2(n).
+
+    Characters beyond ASCII count each time, one more stands for bytes that are no character,
+    and texts that are not short may always have them.
+    """
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    varied = sizes >= V.ENTROPY_MIN_BYTES
+    short = np.flatnonzero(varied & (sizes <= SHORT_BYTES))
+    for begin, end in _parts(sizes[short], RUN_BYTES):
+        rows = short[begin:end]
+        data, offsets = _bytes(texts.take(pa.array(rows)))
+        of = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(offsets))
+        seen = np.zeros((len(rows), 256), dtype=bool)
+        seen[of, data] = True
+        beyond = np.bincount(of[data >= 0xC0], minlength=len(rows))
+        varied[rows] = seen[:, :128].sum(axis=1) + beyond + 1 >= 2 ** V.ENTROPY_BASE_BITS
+    return varied
+
+
 def entropy_signal(texts: pa.StringArray) -> np.ndarray:
     """How far the character entropy lies above 5 bits, at most 1."""
     points = np.zeros(len(texts))
-    long_enough = pc.binary_length(texts).to_numpy(zero_copy_only=False) >= V.ENTROPY_MIN_BYTES
-    where = np.flatnonzero(long_enough)
+    where = np.flatnonzero(_varied(texts))
     over = (entropy_bits(texts.take(pa.array(where))) - V.ENTROPY_BASE_BITS) / V.ENTROPY_SPAN_BITS
     points[where] = np.clip(over, 0.0, 1.0)
     return points

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as V
 from ..functions import rules as R
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, write_stage
 
 
 def evaluate_policy(
@@ -89,7 +89,8 @@ def accepted_writings(rules: DataFrame) -> DataFrame:
 
 
 def with_rules_of_the_time(
-    requests: DataFrame, rules: DataFrame, ts: str = "ts", tenant: str = "tenant_id"
+    requests: DataFrame, rules: DataFrame, ts: str = "ts", tenant: str = "tenant_id",
+    bundles: DataFrame | None = None,
 ) -> DataFrame:
     """Add `in_force` (written_at, version) and `rules` as they were at the time of each request.
 
@@ -98,18 +99,24 @@ def with_rules_of_the_time(
     Before a tenant's first there are no rules; a version without a time was always there.  A tenant's times form one short array, in
     which a request finds its version; a second join on tenant and version brings the
     rules.  Both are joins on equal keys, so no request meets a version that it does not use.
+
+    Times and rules are written before, so that Spark knows how small they are and need not
+    bring all requests of a tenant together.  `bundles` are `writing_bundles(rules)` if a
+    caller has them written already.
     """
+    bundles = write_stage(writing_bundles(rules), "rules") if bundles is None else bundles
     entry = F.struct("written_at", "version")
-    accepted = accepted_writings(rules)
-    times = accepted.groupBy(F.col("tenant_id").alias("_of")).agg(
-        F.sort_array(F.collect_list(entry)).alias("_times")
+    times = write_stage(
+        accepted_writings(rules).groupBy(F.col("tenant_id").alias("_of")).agg(
+            F.sort_array(F.collect_list(entry)).alias("_times")
+        ), "rule-times",
     )
     earlier = F.filter("_times", lambda t: t["written_at"] <= F.col(ts))
     placed = requests.join(broadcast_if_small(times), F.col(tenant) == F.col("_of"), "left").withColumn(
         "in_force", F.get(earlier, F.size(earlier) - 1)
     ).drop("_of", "_times")
     return placed.join(
-        broadcast_if_small(writing_bundles(rules)),
+        broadcast_if_small(bundles),
         (F.col(tenant) == F.col("_of")) & (F.col("in_force") == F.col("_writing")), "left",
     ).drop("_of", "_writing")
 

@@ -118,9 +118,12 @@ def quota_policy_fold(
     """
     ship_package(requests.sparkSession)
     bundles = writing_bundles(rules) if as_of else bundles_in_force(rules).withColumnRenamed("tenant_id", "_of")
+    # Rules are written, so that Spark knows how small they are and moves no requests for them.
+    bundles = write_stage(bundles, "rules")
     bounds = bundles.groupBy(F.col("_of").alias("_tenant")).agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(R.token_bounds(F.col("rules")))))).alias("_bounds")
     )
+    bounds = write_stage(bounds.withColumn("_samples", R.token_samples(F.col("_bounds"))), "rule-bounds")
     rows = (
         requests.withColumn("_us", micros(F.col(ts)))
         .withColumn("_day", F.to_date(F.col(ts).cast("timestamp")))
@@ -142,7 +145,9 @@ def quota_policy_fold(
 
     bounded = rows.join(broadcast_if_small(bounds), "_tenant", "left")
     if as_of:
-        with_rules = with_rules_of_the_time(bounded, rules, ts, "_tenant").withColumnRenamed("in_force", "_in_force")
+        with_rules = with_rules_of_the_time(bounded, rules, ts, "_tenant", bundles).withColumnRenamed(
+            "in_force", "_in_force"
+        )
     else:
         with_rules = bounded.join(
             broadcast_if_small(bundles.withColumnRenamed("_of", "_tenant")), "_tenant", "left"
@@ -153,16 +158,15 @@ def quota_policy_fold(
     def verdict_at(total):
         return R.first_match_index(F.col("rules"), F.col("score"), model, total)
 
-    verdicts = F.transform(
-        R.token_samples(F.coalesce(F.col("_bounds"), F.array().cast("array<double>"))), verdict_at
-    )
+    samples = F.coalesce(F.col("_samples"), R.token_samples(F.array().cast("array<double>")))
+    verdicts = F.transform(samples, verdict_at)
     prepared = with_rules.withColumn("_verdicts", verdicts).withColumn(
         "_blocked",
         F.transform(
             F.col("_verdicts"),
             lambda v: F.coalesce(F.get(F.col("rules"), v)["action"] == "BLOCK", F.lit(False)),
         ),
-    ).drop("rules")
+    ).drop("rules", "_samples")
     key = ["_tenant", "_day", "_chunk"]
     if last_chunk:
         prepared = prepared.join(late, ["_tenant", "_day", "_slot"], "left").withColumn(
@@ -180,13 +184,14 @@ def quota_policy_fold(
         prepared = prepared.withColumn("_chunk", F.lit(0).cast("long")).withColumn("_used", F.lit(0).cast("long"))
     extra = "used_before bigint, quota_ok boolean, charged bigint, _range int"
     schema = T.StructType(
-        [f for f in prepared.schema.fields if f.name not in _FOLD_ONLY]
+        [f for f in prepared.schema.fields if f.name not in (*_FOLD_ONLY, "_us", "_slot")]
         + T._parse_datatype_string(extra).fields
     )
     # Spark sorts a chunk, and the fold takes it batch by batch.
     result = (
         prepared.repartition(*key)
         .sortWithinPartitions(*key, F.asc_nulls_last("_us"), F.asc_nulls_last(order_id))
+        .drop("_us", "_slot")
         .groupBy(*key).applyInArrow(_folder(limit), schema)
     )
     # Rows went through the fold with the places of their rules; names are looked up now.
@@ -207,7 +212,7 @@ def quota_policy_fold(
     )
 
 
-_FOLD_ONLY = ("_bounds", "_blocked", "_used")
+_FOLD_ONLY = ("_bounds", "_blocked", "_used", "_day", "_chunk")
 
 
 def _folder(limit: int):
