@@ -167,6 +167,24 @@ def test_long_stream_is_many_blocks(spark):
     assert (row.abort_stage, row.abort_chunk_idx, row.forwarded_bytes) == plain(chunks, 512)[:3]
 
 
+def test_only_streams_of_several_runs_are_placed(spark, monkeypatch):
+    streams = {i: framed("a", f"word {i}", "[DONE]") for i in range(6)}
+    streams[2] = framed(*["AKIAIOSF", "ODNN7EXA", "MPLE", "x"] * 3)
+    streams[4] = framed("mail a@b", ".com", "y")
+    placed = []
+    places = intercept._places
+    monkeypatch.setattr(
+        intercept, "_places",
+        lambda runs, window: placed.extend(r.stream_id for r in runs.collect()) or places(runs, window),
+    )
+    got = {
+        r.stream_id: (r.abort_stage, r.abort_chunk_idx, r.forwarded_bytes)
+        for r in intercept.stream_abort(chunk_frame(spark, streams), 40, run_chunks=3).collect()
+    }
+    assert got == {s: plain(chunks, 40)[:3] for s, chunks in streams.items()}
+    assert set(placed) == {2}
+
+
 def test_live_equals_batch_over_several_batches(spark, tmp_path):
     streams = {s: c for s, c in random_streams(3, 30).items()}
     frame = chunk_frame(spark, streams)

@@ -9,8 +9,8 @@ Bytes are shuffled once, into runs of `run_chunks` chunks, so a long stream is m
 and no group is larger than a run.  Each run is matched where it lies: it is searched once,
 in spans of a few buffers, for what any match must leave there, and only where something
 is found are buffers cut out and matched, all of a batch in one call.  What is left is
-written: offsets, times and flags, and the first and last `window` bytes.  Sums over these
-give each run its offset in the stream and the bytes before it, and only the buffers that
+written: offsets, times and flags, and the first and last `window` bytes.  For streams of
+more than one run sums over these give each run its offset in the stream and the bytes before it, and only the buffers that
 reach back into those are matched again.
 """
 
@@ -65,10 +65,23 @@ def _places(runs: DataFrame, window: int) -> DataFrame:
     )
 
 
+def _placed(runs: DataFrame, window: int) -> DataFrame:
+    """Runs with their places.  A stream of run 0 only has nothing before it: such runs, the
+    most by far where streams are short, stay where they lie."""
+    longer = broadcast_if_small(
+        write_stage(runs.filter(F.col("run") != 0).select("stream_id").distinct(), "long-streams")
+    )
+    alone = runs.join(longer, "stream_id", "left_anti").select(
+        "*", F.lit(0).cast("long").alias("base"), F.col("n_bytes").alias("total"), F.lit(True).alias("last"),
+        F.lit(b"").alias("past"),
+    )
+    several = runs.join(longer, "stream_id", "left_semi")
+    return alone.unionByName(several.join(broadcast_if_small(_places(several, window)), ["stream_id", "run"]))
+
+
 def _blocks(chunks: DataFrame, window: int, run_chunks: int) -> DataFrame:
     """stream_id, block (the run), total, chunks (chunk_idx, start, end, ts, unsafe), drain_unsafe."""
-    runs = _runs(chunks, window, run_chunks)
-    placed = runs.join(broadcast_if_small(_places(runs, window)), ["stream_id", "run"])
+    placed = _placed(_runs(chunks, window, run_chunks), window)
     finale = F.when(F.col("last"), F.substring(F.concat("past", "tail"), -window, window))
     checked = placed.withColumn("checked", O.scan_heads(window)("past", "head", "ends", "flags", finale))
     base = F.col("base")

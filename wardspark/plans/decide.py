@@ -203,7 +203,8 @@ def _with_outcomes(decided: DataFrame, chunks: DataFrame, limits: Limits) -> Dat
     outcomes = intercept.stream_abort(chunks, limits.window_bytes).withColumnRenamed(
         "stream_id", "request_id"
     )
-    joined = decided.join(outcomes, "request_id", "left")
+    # One row per stream is never small enough to be copied to every task, whatever its files take.
+    joined = decided.join(outcomes.hint("merge"), "request_id", "left")
     opened = F.col("error").isNull() | F.col("error").isin("provider_timeout", "provider_error")
     clean = F.col("error").isNull()
     aborted = clean & F.coalesce(F.col("aborted"), F.lit(False))
